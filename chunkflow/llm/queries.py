@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import urls, warc
+from . import packing, tokencount, urls, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_url_filters": urls.op2_url_filters,
     "op6_warc": warc.op6_warc,
+    "op10_token_counts": tokencount.op10_token_counts,
 }
 
 SQL = {
