@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, tokencount, urls, warc
+from . import langid, minhash, packing, quality, tokencount, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_url_filters": urls.op2_url_filters,
     "op4_quality": quality.op4_quality,
     "op6_warc": warc.op6_warc,
+    "op8_minhash": minhash.op8_minhash,
     "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,
 }
