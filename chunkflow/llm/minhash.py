@@ -6,10 +6,10 @@ that share a band key are candidates if their similarity, estimated by counting
 bits and corrected for chance, isn't far below the threshold; links are confirmed on the
 full sets. With 32 bands of 4 minima a pair at 0.85 is missed with probability 6e-11.
 
-No bucket is turned into all its pairs at once: its members are first held against one hub,
-the linked ones become components, and only members of different components of a bucket
-are compared with each other after that. So every link between components is found, and a
-large group of near copies costs a comparison for each member and bucket.
+No bucket is turned into all its pairs: its members are first held against one hub, and the
+linked ones become components. Where a bucket still holds several components, its members
+are compared in pairs if they are few, else in blocks that give only the links which join
+components. So no link between different components is lost.
 
 Null and empty texts and texts without words have no shingles and link with nothing.
 Repeated rows are copies. Rows with a null doc_id take part; a component's id is its
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,7 @@ from ._spark import connected_components, documents, materialize
 from .shingles import mix, overlap, shingle_sets
 
 MINIMA, BANDS, BITS, MARGIN = 128, 32, 2, 0.25
+FEW, BLOCK = 16, 256
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -98,37 +100,96 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return sizes & (estimate(f"{a}.planes", f"{b}.planes") >= percent / 100 - MARGIN)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of rows whose full sets reach the threshold."""
+def shingle_table(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full sets, 8 bytes a shingle, of the rows in column node."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 texts, rows, hi, lo = (c.slice(at, 500).to_pylist() for c in batch.columns)
                 found = [(r, s.tobytes()) for r, s, h, k in zip(rows, shingle_sets(texts, width), hi, lo, strict=True) if fingerprint(s) == (h, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["_row", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "shingles"])
+
+    wanted = reps.join(nodes.select(F.col("node").alias("_row")).distinct(), "_row", "left_semi").select("_row", F.col("doc_id").alias("_id"), "hi", "lo")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # several rows under one doc_id can have the same set
+    held = texts.select("text", "_row", "hi", "lo").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    return materialize(held, "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v): the pairs (a, b) whose full sets reach the threshold."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.array(c.to_pylist(), np.int64) for c in batch.columns[:2])
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = overlap(p, q)
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = np.array(good, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(two[keep])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    wanted = reps.select("_row", "doc_id", "hi", "lo").join(wanted, "_row", "left_semi").withColumnRenamed("doc_id", "_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # copies of one row under one id give the same set more than once
-    held = texts.select("text", "_row", "hi", "lo").mapInArrow(sets, "_row long, shingles binary").dropDuplicates(["_row"])
-    held = materialize(held, "sets")
-    left, right = (held.select(F.col("_row").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(test, "u long, v long")
 
 
+def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components which links between the two sides (or within the one) join.
+
+    Overlaps come from products of 0/1 matrices over the shingles that two members share.
+    """
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    shared = (n > 1)[at]
+    member, column = member[shared], column[at[shared]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[member[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    size = np.array([len(s) for s in sets])
+    linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (components[:, None] != components[None, :])
+    if len(set(sides.tolist())) > 1:
+        linked &= sides[:, None] != sides[None, :]
+    root = {c: c for c in components.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        p, q = find(int(components[i])), find(int(components[j]))
+        if p != q:
+            root[p] = q
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between components within large buckets: rest has key, node, component, m.
+
+    A bucket is dealt by a hash into blocks; every two of its blocks meet in one task, which
+    gives no more than the links that join their components.
+    """
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(s, np.uint64) for s in df.shingles]
+        links = spanning_links(df.node.to_numpy(), df.component.to_numpy(), df.side.to_numpy(), held, percent)
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    dealt = rest.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("key", "node"), F.col("parts")).cast("int"))
+    dealt = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "shingles")
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
+
+
 def duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     sig = signatures(docs, width)
@@ -138,25 +199,25 @@ def duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     slim = reps.select(F.col("_row").alias("node"), "n", "planes")
     bands = reps.select(F.col("_row").alias("node"), F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = materialize(bands.join(hubs.select("key", "hub"), "key"), "buckets")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        x, y = slim.alias("x"), slim.alias("y")
-        both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-        return materialize(both.where(may_link("x", "y", percent)).select("a", "b"), "pairs")
-
-    first = likely(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(confirmed(first, reps, docs, width, percent), "links")
+    buckets = materialize(bands.join(hubs, "key"), "buckets")
+    sets = shingle_table(buckets, reps, docs, width)
+
+    x, y = slim.alias("x"), slim.alias("y")
+    first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = first.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    first = materialize(first.where(may_link("x", "y", percent)).select("a", "b"), "pairs")
+    links = materialize(confirmed(first, sets, percent), "links")
     groups = connected_components(links)
-    # what is left: buckets that still hold several components
-    placed = buckets.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # buckets that still hold several components; of two members the pair has been tested
+    placed = buckets.where("m > 2").select("key", "node", "m").join(groups, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = placed.join(mixed, "key").join(slim, "node")
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = materialize(placed.join(mixed, "key"), "mixed")
+    few = rest.where(F.col("m") <= FEW).join(slim, "node")
+    x, y = few.alias("x"), few.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     more = x.join(y, apart & may_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(more, reps, docs, width, percent))
+    more = more.join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(confirmed(more, sets, percent)).unionByName(links_in_blocks(rest.where(F.col("m") > FEW), sets, percent))
     groups = connected_components(links)
     out = member.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node", "_row"))
     least = out.groupBy("group").agg(F.min("doc_id").alias("component_id"))
