@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, packing, quality, tokencount, urls, warc
+from . import langid, minhash, packing, quality, tokencount, topk, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_url_filters": urls.op2_url_filters,
+    "op3_topk": topk.op3_topk,
     "op4_quality": quality.op4_quality,
     "op6_warc": warc.op6_warc,
     "op8_minhash": minhash.op8_minhash,
@@ -16,5 +17,6 @@ QUERIES = {
 
 SQL = {
     "op2_url_filters": urls.OP2_SQL,
+    "op3_topk": topk.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
 }
