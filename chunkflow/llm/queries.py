@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, packing, quality, tokencount, topk, urls, warc
+from . import decontam, langid, minhash, packing, quality, tokencount, topk, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_url_filters": urls.op2_url_filters,
     "op3_topk": topk.op3_topk,
     "op4_quality": quality.op4_quality,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": langid.op9_language_id,
