@@ -171,11 +171,22 @@ def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray,
     return out
 
 
+def deal_in_blocks(rest: DataFrame, block: int) -> DataFrame:
+    """Rows of large buckets (key, node, m, ...), one for every two blocks (i, j) they are in.
+
+    A bucket of m members is dealt by a hash into ceil(m / block) blocks; side is a row's own.
+    """
+    dealt = rest.withColumn("parts", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key", "node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("parts", "other", "m")
+
+
 def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links between components within large buckets: rest has key, node, component, m.
 
-    A bucket is dealt by a hash into blocks; every two of its blocks meet in one task, which
-    gives no more than the links that join their components.
+    Every two blocks of a bucket meet in one task, which gives no more than the links that
+    join their components.
     """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -183,10 +194,7 @@ def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int =
         links = spanning_links(df.node.to_numpy(), df.component.to_numpy(), df.side.to_numpy(), held, percent)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = rest.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("key", "node"), F.col("parts")).cast("int"))
-    dealt = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "shingles")
+    dealt = deal_in_blocks(rest.join(sets, "node"), block)
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 

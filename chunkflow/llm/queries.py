@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minhash, packing, quality, tokencount, topk, urls, warc
+from . import decontam, langid, lines, minhash, packing, quality, tokencount, topk, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_warc": warc.op6_warc,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,

@@ -24,13 +24,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z lower-cased; bounds[i]:bounds[i + 1] are those of text i.
 
-    Also the byte ranges of the words within the texts joined by one space each.
+    Also the byte ranges of the words within the texts joined by one space each. table, if
+    given, maps bytes first.
     """
-    data = np.frombuffer(b" ".join([*((t or "").encode("utf-8", "replace").lower() for t in texts), b""]), np.uint8)
-    sizes = np.array([0, *(len((t or "").encode("utf-8", "replace")) + 1 for t in texts)])
+    parts = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    sizes = np.array([0, *(len(p) + 1 for p in parts)])
+    joined = b" ".join([*parts, b""])
+    data = np.frombuffer(joined.translate(table) if table else joined, np.uint8)
     solid = np.concatenate([[False], ~_SPACE[data], [False]])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     start, end = edge[::2], edge[1::2]
