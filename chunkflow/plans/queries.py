@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import reversing
 from ..functions import text as T
-from ..operators import answers, commits, cost, failures, glossary, progress, requests, sequences
+from ..operators import answers, chunking, commits, cost, failures, glossary, progress, records, requests, review, sequences, translation
 from .inputs import table, with_inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,3 +557,113 @@ def event_tail(get):
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_counts(get):
     return progress.event_counts(get("log")).select(F.col("book_id").alias("user_id"), F.col("key").alias("event_type"), "n")
+
+
+# --- chunking
+
+
+@query("SELECT doc_id, n_chars AS total_chars, true AS intact, true AS within_limit FROM documents")
+def chunk_integrity(get):
+    docs = get("documents")
+    out = chunking.chunk_quality(chunking.chunk_documents(docs.select("doc_id", "text"), text="text"), docs, "doc_id", "text")
+    return out.select("doc_id", F.col("total_chars").cast("long").alias("total_chars"), "intact", "within_limit")
+
+
+@query("SELECT doc_id, length(md) AS total_chars, true AS intact, 0 AS split_fences FROM @docs_md")
+def chunk_markdown(get):
+    docs = get("docs_md")
+    out = chunking.chunk_quality(chunking.chunk_documents(docs.select("doc_id", "md"), 1000, "md"), docs, "doc_id", "md", 1000)
+    return out.select("doc_id", F.col("total_chars").cast("long").alias("total_chars"), "intact", "split_fences")
+
+
+@query("SELECT doc_id, 2 AS blocks, length(md) AS chars FROM @docs_md")
+def split_blocks(get):
+    blocks = chunking.split_blocks_of(get("docs_md").select("doc_id", "md"), "md")
+    return blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("blocks"), F.sum(F.length("block")).alias("chars"))
+
+
+@query("SELECT doc_id, length(md) AS chars, true AS back FROM @docs_md")
+def reverse_markdown(get):
+    rows = get("docs_md").select("doc_id", "md", reversing.reverse_markdown(F.col("md")).alias("once"))
+    again = rows.withColumn("twice", reversing.reverse_markdown(F.col("once")))
+    return again.select("doc_id", F.length("once").alias("chars"), (F.col("twice") == F.col("md")).alias("back"))
+
+
+# --- folds and helpers
+
+
+@query("SELECT book_id, chunk_index, length(markdown) AS chars, false AS used_original FROM @turns WHERE length(trim(markdown)) > 0")
+def translate_run(get):
+    turns = get("turns").withColumn("window_id", F.floor(F.col("chunk_index") / 3)).withColumn("markdown", T.trim_ws(F.col("markdown")))
+    out = translation.translate_windows_run(turns.where("markdown <> ''"), reversing.reversing_translator)
+    return out.select("book_id", "chunk_index", F.length("translation").alias("chars"), "used_original")
+
+
+@query("""
+SELECT p.book_id, p.chunk_index, p.used_original AND trim(p.original) = '' AS used_original, CASE WHEN p.used_original THEN NULL ELSE p.pre_review END AS pre_review, r.book_id IS NOT NULL AND NOT p.used_original AS reviewed
+FROM @pairs p LEFT JOIN @reviewed r USING (book_id, chunk_index)
+""")
+def retry_kept(get):
+    pairs, reviewed = translation.retry_kept(get("pairs"), get("reviewed"), reversing.reversing_translator)
+    seen = reviewed.withColumn("reviewed", F.lit(True))
+    return pairs.join(seen, ["book_id", "chunk_index"], "left").select("book_id", "chunk_index", "used_original", "pre_review", F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+
+
+def _edited(get):
+    pairs = get("pairs").withColumn("reason", F.lit(None).cast("string"))
+    own = get("pairs").select("book_id", "chunk_index")
+    step = lambda seq, window, old, new: own.select("book_id", "chunk_index", window.cast("long").alias("window_id"), F.lit(seq).alias("seq"), F.lit(old).alias("old"), F.lit(new).alias("new"))
+    at = F.floor(F.col("chunk_index") / 2)
+    edits = step(1, at, "x ", "y $& ").unionByName(step(2, at, "", "z")).unionByName(step(3, at + 1, "y", "z")).unionByName(step(4, at, "no such text", "z"))
+    return review.apply_edits(pairs, edits, 2)
+
+
+@query("""
+SELECT book_id, chunk_index, seq, CASE seq WHEN 1 THEN 'ok' WHEN 2 THEN 'err: old is empty' WHEN 3 THEN 'err: chunk ' || chunk_index || ' is outside your range: ' || (chunk_index // 2 + 1) * 2 || ', ' || (chunk_index // 2 + 1) * 2 + 1 ELSE 'err: old was not found in this chunk' END AS result
+FROM @pairs, range(1, 5) AS r(seq) WHERE (length(original) - length(replace(original, 'x ', ''))) = 0
+""")
+def edit_results(get):
+    single = get("pairs").where(~F.contains("original", F.lit("x "))).select("book_id", "chunk_index")
+    return _edited(get)[1].join(single, ["book_id", "chunk_index"], "left_semi").select("book_id", "chunk_index", "seq", "result")
+
+
+@query("SELECT book_id, chunk_index, 'y $& ' || original AS translation, coalesce(pre_review, translation) AS pre_review, false AS used_original FROM @pairs WHERE NOT contains(original, 'x ')")
+def apply_edits(get):
+    out = _edited(get)[0].where(~F.contains("original", F.lit("x ")))
+    return out.select("book_id", "chunk_index", "translation", "pre_review", "used_original")
+
+
+@query("SELECT conv_id, turn, length(text) AS deleted_or_equal, length('new ' || text || ' end') AS inserted_or_equal, true AS changed FROM conversations")
+def word_diff(get):
+    c = get("conversations").select("conv_id", "turn", review.word_diff(F.col("text"), F.concat(F.lit("new "), "text", F.lit(" end"))).alias("ops"))
+    size = lambda kind: F.length(F.array_join(F.transform(F.filter("ops", lambda x: x["type"].isin("eq", kind)), lambda x: x["text"]), ""))
+    return c.select("conv_id", "turn", size("del").alias("deleted_or_equal"), size("ins").alias("inserted_or_equal"), F.exists("ops", lambda x: x["type"] != "eq").alias("changed"))
+
+
+TERMS = """'so {"b' || conv_id || '": " x ", "a": "' || role || '", "n": 1, "e": ""}'"""
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE 'b' || conv_id || '=x,a=' || role END AS terms FROM conversations")
+def glossary_json(get):
+    answer = F.expr(f"CASE turn % 3 WHEN 0 THEN {TERMS} WHEN 1 THEN '```json' || chr(10) || {TERMS} || chr(10) || '``` }}' ELSE '{{bad' END")
+    rows = get("conversations").select("conv_id", "turn", glossary.parse_glossary_json(answer).alias("e"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("e", lambda x: F.concat(x["src"], F.lit("="), x["dst"])), ",").alias("terms"))
+
+
+@query("SELECT conv_id AS book_id, CASE conv_id % 3 WHEN 0 THEN 'second' WHEN 1 THEN '' ELSE 'third' END AS term FROM conversations WHERE turn = 0")
+def accept_extracts(get):
+    answer = "CASE WHEN a = 1 AND conv_id % 3 = 1 THEN ' {} ' WHEN a = 2 AND conv_id % 3 = 0 THEN '{\"k\": \"second\"}' WHEN a = 3 THEN '{\"k\": \"third\"}' ELSE 'oops' END"
+    rows = get("conversations").where("turn = 0").select("conv_id", F.explode(F.array(*map(F.lit, (3, 1, 2)))).alias("a"))
+    out = glossary.accept_extracts(rows.select(F.col("conv_id").alias("book_id"), F.lit(0).alias("big_id"), F.col("a").alias("attempt"), F.expr(answer).alias("response")))
+    return out.select("book_id", F.array_join(F.transform("entries", lambda x: x["dst"]), ",").alias("term"))
+
+
+RECORD = """'{"version":' || CASE WHEN conv_id % 9 = 1 THEN '1' ELSE '2' END || ',"fileName":"a","fileBytes":"AA==","title":"t","format":"' || CASE WHEN conv_id % 9 = 2 THEN 'pdf' ELSE 'epub' END
+ || '","chunks":[{"index":0,"documentPath":"p","chapterTitle":"c","markdown":"m"' || CASE conv_id % 9 WHEN 3 THEN ',"joinWith":"tab"' WHEN 4 THEN ',"joinWith":"line"' ELSE '' END
+ || '}],"styleGuide":' || CASE WHEN conv_id % 9 = 5 THEN '3' ELSE '"g"' END || ',"translated":[{"index":0,"original":"o"' || CASE WHEN conv_id % 9 = 6 THEN '' ELSE ',"translation":"x"' END || '}],"index":1,"more":[]' || CASE WHEN conv_id % 9 = 7 THEN '' ELSE '}' END"""
+
+
+@query("SELECT conv_id, conv_id % 9 IN (0, 4, 8) AS is_valid FROM conversations WHERE turn = 0")
+def valid_checkpoints(get):
+    rows = get("conversations").where("turn = 0").select("conv_id", F.expr(RECORD).alias("record"))
+    return records.valid_checkpoints(rows).select("conv_id", "is_valid")
