@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import reversing
+from ..functions import reversing, xhtml
 from ..functions import text as T
 from ..operators import answers, chunking, commits, cost, failures, glossary, progress, records, requests, review, sequences, translation
+from ..sources import books, packing
 from .inputs import table, with_inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,3 +668,51 @@ RECORD = """'{"version":' || CASE WHEN conv_id % 9 = 1 THEN '1' ELSE '2' END ||
 def valid_checkpoints(get):
     rows = get("conversations").where("turn = 0").select("conv_id", F.expr(RECORD).alias("record"))
     return records.valid_checkpoints(rows).select("conv_id", "is_valid")
+
+
+# --- pages and images
+
+
+@query("SELECT page_id, regexp_matches(html, '<h1>') AS has_head, true AS no_script, true AS no_style FROM pages")
+def page_markdown(get):
+    out = books.html_to_markdown(get("pages"))
+    return out.select("page_id", out.markdown.rlike("(?m)^# ").alias("has_head"), (~F.contains("markdown", F.lit("track("))).alias("no_script"), (~F.contains("markdown", F.lit("margin:0"))).alias("no_style"))
+
+
+REF = "CASE page_id % 6 WHEN 0 THEN '#art/c%20' || page_id || '.png' WHEN 1 THEN '/art/c ' || page_id || '.png' WHEN 2 THEN 'other/c%20' || page_id || '.png' WHEN 3 THEN 'c%zz.png' WHEN 4 THEN '' ELSE 'art/c ' || page_id || '.png' END"
+
+
+@query(f"SELECT page_id, {REF} AS href, CASE WHEN page_id % 6 IN (0, 1, 2, 5) THEN 'images/i' || page_id || '.png' END AS packed FROM pages")
+def resolve_image_refs(get):
+    images = get("pages").select((F.col("page_id") % 7).alias("book_id"), F.expr("'art/c ' || page_id || '.png'").alias("source_path"), F.expr("'images/i' || page_id || '.png'").alias("href"))
+    links = get("pages").select("page_id", (F.col("page_id") % 7).alias("book_id"), F.expr(REF).alias("href"))
+    return books.resolve_image_refs(links, images).select("page_id", "href", "packed")
+
+
+@query("""
+WITH i AS (SELECT page_id % 5 AS book_id, 'images/i' || page_id || '.png' AS href FROM pages),
+r AS (SELECT DISTINCT page_id % 5 AS book_id, 'images/i' || page_id || '.png' AS href FROM pages WHERE page_id % 5 < 3 AND page_id % 4 = 0)
+SELECT book_id, href FROM i WHERE (book_id, href) IN (SELECT (book_id, href) FROM r) OR book_id NOT IN (SELECT book_id FROM r)
+""")
+def used_images(get):
+    own = get("pages").withColumn("book_id", F.col("page_id") % 5)
+    images = own.select("book_id", F.expr("'images/i' || page_id || '.png'").alias("href"))
+    texts = own.where("book_id < 3 and page_id % 4 = 0").select("book_id", F.expr("'see ![a](x/i' || page_id || '.png) there'").alias("markdown"))
+    return books.used_images(texts, images).select("book_id", "href")
+
+
+@query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents WHERE doc_id % 20 = 0")
+def pack_books(get):
+    rows = get("documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'end'").alias("markdown"))
+    images = rows.select("book_id", F.lit("images/a.png").alias("href"), F.lit("image/png").alias("mime_type"), F.unhex(F.lit("89")).alias("bytes"))
+    out = packing.pack_books(rows, images, "de")
+    sections = books.extract_sections(out.select("book_id", "file_name", F.col("epub").alias("content")))
+    read = sections.groupBy(F.col("book_id").cast("long").alias("book_id")).agg(F.count("markdown").cast("int").alias("n"))
+    return out.join(read, "book_id").select(F.col("book_id").alias("doc_id"), (F.col("n") + 5).alias("parts"), (F.hex(F.substring("epub", 1, 2)) == "504B").alias("is_zip"))
+
+
+@query("SELECT doc_id, true AS head, true AS picture, true AS link FROM @docs_md")
+def markdown_to_xhtml(get):
+    out = get("docs_md").select("doc_id", xhtml.markdown_to_xhtml(F.col("md")).alias("x"))
+    has = lambda s: F.contains("x", F.lit(s))
+    return out.select("doc_id", has("<h1>Title ").alias("head"), has('<img alt="pic" src="images/').alias("picture"), has('<a href="a_(b).html">rel</a> <em>em</em> <code>code</code>').alias("link"))
