@@ -200,8 +200,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             score.append(np.where(letters, 1 / np.exp2(np.maximum(least - total, -1000)).sum(1), 0.0))
         return pd.DataFrame({"lang_pred": np.concatenate(best) if best else [], "score": np.concatenate(score) if score else []})
 
-    out = docs.withColumn("_ppm", run(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_ppm.lang_pred"), "score": F.col("_ppm.score")}).drop("_ppm")
+    out = docs.withColumn("__cf_ppm", run(F.col(text)))
+    return out.withColumns({"lang_pred": F.col("__cf_ppm.lang_pred"), "score": F.col("__cf_ppm.score")}).drop("__cf_ppm")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

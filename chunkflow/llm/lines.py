@@ -127,8 +127,8 @@ def similar(a: str, b: str) -> bool:
 def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, line) of the lines numbered in column node."""
     wanted = lines.join(nodes.select(F.col("node").alias("_line")).distinct(), "_line", "left_semi")
-    wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("number", "_line")).alias("at"))
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    wanted = wanted.groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).agg(F.collect_list(F.struct("number", "_line")).alias("at"))
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
     held = held.select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("x"))
     held = held.select(F.col("x._line").alias("node"), F.get("all", F.col("x.number")).alias("line"))
     return materialize(held.dropDuplicates(["node"]), "line-texts")
@@ -221,14 +221,14 @@ def _without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that go, and the number of lines that went in `lines_gone`."""
-    own = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_text_hash": F.xxhash64("text")})
-    gone = dropped_lines(own.select("doc_id", "text", F.col("_text_hash").alias("text_hash")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("numbers").alias("_gone"))
-    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    own = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "__cf_text_hash": F.xxhash64("text")})
+    gone = dropped_lines(own.select("doc_id", "text", F.col("__cf_text_hash").alias("text_hash")))
+    gone = gone.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), F.col("numbers").alias("__cf_gone"))
+    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_text_hash") == F.col("__cf_hash")), "left")
     # only texts that lose lines go through Python
-    less = _without(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))
-    out = out.withColumns({"text": F.when(F.col("_gone").isNotNull(), less).otherwise(F.col("text")), "lines_gone": F.coalesce(F.size("_gone"), F.lit(0))})
-    return out.drop("_text_hash", "_id", "_hash", "_gone")
+    less = _without(F.when(F.col("__cf_gone").isNotNull(), F.col("text")), F.col("__cf_gone"))
+    out = out.withColumns({"text": F.when(F.col("__cf_gone").isNotNull(), less).otherwise(F.col("text")), "lines_gone": F.coalesce(F.size("__cf_gone"), F.lit(0))})
+    return out.drop("__cf_text_hash", "__cf_id", "__cf_hash", "__cf_gone")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 #: Python splits at these too, the tokenizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: A Latin-1 word and closing punctuation: lower-casing is all the normalizer does to it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 MOST_CHUNKS = 400_000

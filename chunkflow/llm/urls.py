@@ -64,24 +64,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Only the URL column is tokenised and shuffled. Columns of pages that are called host,
     path, rule or verdict are replaced.
     """
-    host, path = url_parts(F.col("_url"))
-    urls = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct().withColumn("_key", F.concat(host, path))
-    tokens = urls.select("_url", "_key", F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all(ascii_lower(F.col("_key")), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
+    host, path = url_parts(F.col("__cf_url"))
+    urls = pages.select(F.col(url).alias("__cf_url")).where("__cf_url is not null").distinct().withColumn("_key", F.concat(host, path))
+    tokens = urls.select("__cf_url", "_key", F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all(ascii_lower(F.col("_key")), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
     literals = rules.select("rule", "action", "rx", "listed", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
     seen = tokens.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     index = literals.join(seen, "token", "left").groupBy("rule", "action", "rx", "listed")
     index = index.agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
     fits = tokens.join(index, "token").where(F.expr("regexp(_key, rx)"))
     order = F.struct(F.length("rule"), "rule", "action")
-    best = fits.groupBy("_url").agg(
-        F.max_by("rule", F.when(F.col("listed"), order)).alias("_rule"),
-        F.max_by("action", F.when(F.col("listed"), order)).alias("_action"),
-        F.max(F.when(~F.col("listed"), F.lit("block"))).alias("_own"),
+    best = fits.groupBy("__cf_url").agg(
+        F.max_by("rule", F.when(F.col("listed"), order)).alias("__cf_rule"),
+        F.max_by("action", F.when(F.col("listed"), order)).alias("__cf_action"),
+        F.max(F.when(~F.col("listed"), F.lit("block"))).alias("__cf_own"),
     )
     host, path = url_parts(F.col(url))
     out = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    out = out.join(best, F.col(url) == F.col("_url"), "left").drop("_url")
-    return out.withColumns({"rule": F.col("_rule"), "verdict": F.coalesce("_action", "_own", F.lit(default))}).drop("_rule", "_action", "_own")
+    out = out.join(best, F.col(url) == F.col("__cf_url"), "left").drop("__cf_url")
+    return out.withColumns({"rule": F.col("__cf_rule"), "verdict": F.coalesce("__cf_action", "__cf_own", F.lit(default))}).drop("__cf_rule", "__cf_action", "__cf_own")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
