@@ -24,9 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from ._spark import connected_components, documents, materialize
 from .minhash import deal_in_blocks
@@ -54,15 +54,29 @@ def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
         hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
-    sim = np.zeros(len(lines), np.uint64)
-    full = np.flatnonzero(n)
-    for k in range(0, len(full), 4096):
-        some = full[k : k + 4096]
-        low = a[some[0]]
-        bits = np.unpackbits(words[low : b[some[-1]]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, a[some] - low, axis=0, dtype=np.int32)
-        sim[some] = np.packbits(votes * 2 > n[some][:, None], axis=1).view(">u8").ravel()
-    return n, hashes[0], hashes[1], sim.view(np.int64)
+    return n, hashes[0], hashes[1], simhash(words, a, n).view(np.int64)
+
+
+#: Byte -> its bits as counters of 8 bits each, the highest bit first.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(">u8").ravel().astype(np.uint64)
+
+
+def simhash(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each line the bits that most of its n words' hashes have; 0 without words."""
+    out = np.zeros((len(n), 8), np.uint8)
+    short, long = np.flatnonzero((n > 0) & (n < 256)), np.flatnonzero(n >= 256)
+    if len(short):
+        # every word of all lines, long ones included, is added up; those sums are not used
+        full = np.flatnonzero(n)
+        keep = n[full] < 256
+        for byte in range(8):
+            counters = _COUNTERS[(words >> np.uint64(56 - 8 * byte)).astype(np.uint8)]
+            votes = np.add.reduceat(counters, start[full])[keep].astype(">u8").view(np.uint8).reshape(-1, 8)
+            out[short, byte] = np.packbits(votes.astype(np.uint16) * 2 > n[short][:, None], axis=1).ravel()
+    for i in long.tolist():
+        bits = np.unpackbits(words[start[i] : start[i] + n[i]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out[i] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > n[i])
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -121,14 +135,47 @@ def edits(a: str, b: str) -> int:
 
 def similar(a: str, b: str) -> bool:
     """Edit similarity of 0.8 or more."""
-    return 5 * edits(a, b) <= max(len(a), len(b))
+    most = max(len(a), len(b))
+    if 5 * abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and 5 * sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True  # no more edits than the letters of the words that differ
+    return 5 * edits(a, b) <= most
+
+
+#: Bits of a filter on documents; its size doesn't depend on how many there are.
+FILTER_BITS = 1 << 24
+
+
+def _may_hold(keys: DataFrame, text_hash: str = "text_hash") -> Column:
+    """A predicate on (doc_id, text_hash): false only where keys don't hold the pair.
+
+    The pairs' hashes set bits of a map of FILTER_BITS, which goes to the tasks; so texts
+    that no join will use aren't shuffled. A full map lets all pass, with the same result.
+    """
+    h = F.xxhash64("doc_id", "text_hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words["word"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    held = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(BooleanType())
+    def test(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        return pd.Series((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return test(F.xxhash64("doc_id", text_hash))
 
 
 def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, line) of the lines numbered in column node."""
     wanted = lines.join(nodes.select(F.col("node").alias("_line")).distinct(), "_line", "left_semi")
     wanted = wanted.groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).agg(F.collect_list(F.struct("number", "_line")).alias("at"))
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
+    wanted = materialize(wanted, "wanted")
+    may = _may_hold(wanted.select(F.col("__cf_id").alias("doc_id"), F.col("__cf_hash").alias("text_hash")))
+    held = docs.where(may).join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
     held = held.select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("x"))
     held = held.select(F.col("x._line").alias("node"), F.get("all", F.col("x.number")).alias("line"))
     return materialize(held.dropDuplicates(["node"]), "line-texts")
@@ -170,31 +217,65 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
+def shared_keys(slim: DataFrame) -> DataFrame:
+    """(key, node, sim, hub, near) of the nodes that share a key with others.
+
+    Rows of a key come one after another, so a task holds no bucket: the first row of a key
+    is its hub, and near tells whether a node is within the distance of it.
+    """
+    masks, salts = np.array(MASKS, np.uint64), np.array([k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(len(MASKS))], np.uint64)
+    choose = lambda x: F.element_at(F.array(*[F.lit(signed(int(v))) for v in x]), F.col("mask") + 1)
+    key = F.col("sim").bitwiseAND(choose(masks)).bitwiseXOR(choose(salts))
+    names = ["key", "node", "sim", "hub", "near"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, 3), np.int64)  # the rows so far of the last key: one, or its hub and no more
+        told = True
+        for batch in batches:
+            node, sim, mask = (c.to_numpy() for c in batch.columns)
+            own = ((sim.view(np.uint64) & masks[mask]) ^ salts[mask]).view(np.int64)
+            rows = np.concatenate([kept, np.stack([own, node, sim], 1)])
+            if not len(rows):
+                continue
+            first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            size = np.diff(np.r_[first, len(rows)])
+            hub = np.repeat(first, size)
+            out = np.repeat(size > 1, size)
+            if len(kept) and told:
+                out[0] = False  # it was given with the batch before
+            near = np.bitwise_count(rows[:, 2].view(np.uint64) ^ rows[hub, 2].view(np.uint64)) <= DISTANCE
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*rows.T, rows[hub, 1], near)], names)
+            told = bool(out[first[-1]]) or (len(first) == 1 and bool(len(kept)) and told)
+            kept = rows[first[-1] : first[-1] + 1]
+
+    rows = slim.select("node", "sim", F.explode(F.array(*[F.lit(k).cast("byte") for k in range(len(MASKS))])).alias("mask"))
+    rows = rows.repartition(key).sortWithinPartitions(key)
+    return rows.mapInArrow(run, "key long, node long, sim long, hub long, near boolean")
+
+
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h1, h2, group) of the classes that occur more than once or are linked."""
     classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), F.first("sim").alias("sim"), F.first("words").alias("words"))
     classes = materialize(classes, "line-classes")
-    slim = classes.where(F.col("words") >= WORDS).select("node", "sim")
-    keys = F.array(*[F.col("sim").bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(signed(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k, m in enumerate(MASKS)])
-    members = slim.select("node", F.explode(keys).alias("key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = materialize(members.join(hubs, "key"), "buckets")
-    near = F.expr(f"bit_count(x.sim ^ y.sim) <= {DISTANCE}")
-    x, y = slim.alias("x"), slim.alias("y")
-    first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near).select("a", "b")
+    buckets = materialize(shared_keys(classes.where(F.col("words") >= WORDS).select("node", "sim")), "buckets")
+    first = buckets.where("near and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = materialize(first, "pairs")
-    several = buckets.where("m > 2").select("key", "node", "m")
-    texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(several.select("node")), lines, docs)
-    links = materialize(_confirmed(first, texts), "links")
+    ends = F.explode(F.array("a", "b")).alias("node")
+    links = materialize(_confirmed(first, _texts(first.select(ends), lines, docs)), "links")
     groups = connected_components(links)
-    placed = several.join(groups, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
+    # of two members the pair has been tested
+    several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 2")
+    placed = buckets.join(several, "key").join(groups, "node", "left").select("key", "node", "sim", "m", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(placed.join(mixed, "key").join(slim, "node"), "mixed")
+    rest = materialize(placed.join(mixed, "key"), "mixed")
     x, y = (rest.where(F.col("m") <= FEW).alias(n) for n in "xy")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, apart & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(more, texts)).unionByName(_links_in_blocks(rest.where(F.col("m") > FEW), texts))
+    near = F.expr(f"bit_count(x.sim ^ y.sim) <= {DISTANCE}")
+    more = x.join(y, apart & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = materialize(more.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    large = rest.where(F.col("m") > FEW)
+    texts = _texts(more.select(ends).unionByName(large.select("node")), lines, docs)
+    links = links.unionByName(_confirmed(more, texts)).unionByName(_links_in_blocks(large, texts))
     groups = connected_components(links)
     out = classes.join(groups, "node", "left").where("times > 1 or component is not null")
     return materialize(out.select("h1", "h2", F.coalesce("component", "node").alias("group")), "line-groups")
@@ -222,13 +303,15 @@ def _without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that go, and the number of lines that went in `lines_gone`."""
     own = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "__cf_text_hash": F.xxhash64("text")})
-    gone = dropped_lines(own.select("doc_id", "text", F.col("__cf_text_hash").alias("text_hash")))
-    gone = gone.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), F.col("numbers").alias("__cf_gone"))
-    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_text_hash") == F.col("__cf_hash")), "left")
+    gone = materialize(dropped_lines(own.select("doc_id", "text", F.col("__cf_text_hash").alias("text_hash"))), "dropped")
+    may = _may_hold(gone, "__cf_text_hash")
+    found = gone.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), F.col("numbers").alias("__cf_gone"))
+    out = own.where(may).join(found, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_text_hash") == F.col("__cf_hash")), "left")
     # only texts that lose lines go through Python
     less = _without(F.when(F.col("__cf_gone").isNotNull(), F.col("text")), F.col("__cf_gone"))
     out = out.withColumns({"text": F.when(F.col("__cf_gone").isNotNull(), less).otherwise(F.col("text")), "lines_gone": F.coalesce(F.size("__cf_gone"), F.lit(0))})
-    return out.drop("__cf_text_hash", "__cf_id", "__cf_hash", "__cf_gone")
+    out = out.drop("__cf_id", "__cf_hash", "__cf_gone").unionByName(own.where(~may).withColumn("lines_gone", F.lit(0)))
+    return out.drop("__cf_text_hash")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base ** 0 to base ** (n - 1); tables of up to 32 MB are kept."""
+    held = _TABLES.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16) * 5 // 4, base, np.uint64)
+        held[0] = 1
+        np.cumprod(held, out=held)
+        if len(held) <= 1 << 22:
+            _TABLES[int(base)] = held
+    return held[:n]
 
 
 def word_hashes(texts: list[str | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

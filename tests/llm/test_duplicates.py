@@ -124,8 +124,10 @@ def test_lines_equal_brute_force(spark, monkeypatch):
             own[rng.randrange(len(own))] = f"v{rng.randrange(30)}"
         texts[i] = "\n".join([prose(100 + i, 30), " ".join(own), "", "Same, line here!", prose(500 + i % 7, 9)])
     docs = spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "doc_id long, text string, node string").repartition(3)
-    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
-    assert got == kept_lines(texts)
+    for batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+        assert got == kept_lines(texts)
 
 
 def test_odd_lines(spark, messy, nothing):
