@@ -43,7 +43,7 @@ def accept_attempts(chunks: DataFrame, attempts: DataFrame) -> DataFrame:
 
     A chunk with fewer attempts, none of them valid, has no row: it is still pending.
     """
-    rows = attempts.where(F.col("attempt").between(1, ATTEMPTS)).withColumn("translation", parse_response(F.col("response")))
+    rows = attempts.select(BOOK, INDEX, "attempt", "response", "ms").where(F.col("attempt").between(1, ATTEMPTS)).withColumn("translation", parse_response(F.col("response")))
     rows = rows.join(chunks.select(BOOK, INDEX, F.col("markdown").alias("original")), [BOOK, INDEX])
     rows = validate_pairs(rows)
     best = rows.groupBy(BOOK, INDEX).agg(

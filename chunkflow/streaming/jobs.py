@@ -27,7 +27,7 @@ class _Accept(StatefulProcessor):
     """State of a chunk: the attempts seen so far, in any order, or that it is done."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "answers map<int,string>, done boolean")
+        self.seen = handle.getValueState("seen", "answers map<string,string>, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.seen.get() if self.seen.exists() else None
@@ -37,10 +37,10 @@ class _Accept(StatefulProcessor):
             for r in df.itertuples():
                 original = r.original
                 if not done and 1 <= r.attempt <= ATTEMPTS:
-                    answers.setdefault(int(r.attempt), r.response)
+                    answers.setdefault(str(int(r.attempt)), r.response)
         out, n = None, 1
-        while not done and n in answers:  # an attempt counts once all before it are known
-            text = parse_answer(answers[n] or "")
+        while not done and str(n) in answers:  # an attempt counts once all before it are known
+            text = parse_answer(answers[str(n)] or "")
             reason = problem(original, text)
             if reason is None:
                 out, done = (text, False, None), True
