@@ -2,8 +2,9 @@
 
 A line is normalised: A-Z lower-cased, ASCII punctuation and runs of white space made one
 space. Equal normalised lines are one class. A class of WORDS words or more gets a 64-bit
-SimHash of its words; two hashes that differ in at most DISTANCE bits agree on two of five
-blocks of bits, so every two blocks give a join key. Candidates within the distance are
+SimHash of its distinct words (counted as often as they occur, frequent words would decide
+most bits of any long line). Two hashes that differ in at most DISTANCE bits agree on two of
+five blocks of bits, so every two blocks give a join key. Candidates within the distance are
 linked if the edit similarity of their normalised lines, 1 - edits / longer length, is at
 least 0.8. Of each connected group of lines over all documents the occurrence with the
 smallest (doc_id, line number) stays, the others go.
@@ -30,9 +31,9 @@ from pyspark.sql.types import BooleanType, StringType
 
 from ._spark import connected_components, documents, materialize
 from .minhash import deal_in_blocks
-from .shingles import _P, _P_INVERSE, _powers, mix, word_hashes
+from .shingles import _P, _P_INVERSE, _powers, mix, portions, word_hashes
 
-WORDS, DISTANCE, FEW, BLOCK = 5, 3, 16, 256
+WORDS, DISTANCE, FEW, BLOCK = 5, 3, 64, 256
 _BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
 MASKS = [sum((1 << b) - (1 << a) for a, b in pair) for pair in combinations(_BLOCKS, len(_BLOCKS) - DISTANCE)]
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -46,6 +47,9 @@ def signed(x: int) -> int:
 
 def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, two hashes and the SimHash of every line."""
+    if len(some := list(portions([len(x) + 50 for x in lines]))) > 1:
+        parts = [line_hashes(lines[k]) for k in some]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     words, bounds, _, _ = word_hashes(lines, PUNCTUATION)
     n = np.diff(bounds)
     a, b = bounds[:-1], bounds[1:]
@@ -54,7 +58,12 @@ def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
         hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
-    return n, hashes[0], hashes[1], simhash(words, a, n).view(np.int64)
+    # each distinct word once: the line's number and 44 bits of the word's hash, sorted
+    own = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(44) | words >> np.uint64(20))
+    own = own[np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]])]
+    kinds = np.bincount((own >> np.uint64(44)).astype(np.int64), minlength=len(lines))
+    features = mix(own & np.uint64((1 << 44) - 1))
+    return n, hashes[0], hashes[1], simhash(features, np.cumsum(kinds) - kinds, kinds).view(np.int64)
 
 
 #: Byte -> its bits as counters of 8 bits each, the highest bit first.
@@ -62,7 +71,7 @@ _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy(
 
 
 def simhash(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each line the bits that most of its n words' hashes have; 0 without words."""
+    """For each line the bits that most of its n features' hashes have; 0 without any."""
     out = np.zeros((len(n), 8), np.uint8)
     short, long = np.flatnonzero((n > 0) & (n < 256)), np.flatnonzero(n >= 256)
     if len(short):
@@ -191,13 +200,40 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(test, "u long, v long")
 
 
+def _near(df: pd.DataFrame) -> np.ndarray:
+    """Which rows of a block pair are near each other and in different components, i < j."""
+    sim, side, component = (df[c].to_numpy() for c in ("sim", "side", "component"))
+    near = np.bitwise_count(sim[:, None].view(np.uint64) ^ sim[None, :].view(np.uint64)) <= DISTANCE
+    near &= component[:, None] != component[None, :]
+    if len(set(side.tolist())) > 1:
+        near &= side[:, None] != side[None, :]
+    return np.triu(near)
+
+
+def _near_in_blocks(rest: DataFrame) -> DataFrame:
+    """(key, u, v) of large buckets, from the SimHashes alone.
+
+    Where few rows of two blocks are near each other, these pairs (key is null); else, as in
+    a group of near copies, the bucket's rows u that have a near one (v is null).
+    """
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        node, near = df.node.to_numpy(), _near(df)
+        i, j = np.nonzero(near)
+        if len(i) <= 4 * len(df):
+            out = {"key": None, "u": np.minimum(node[i], node[j]), "v": np.maximum(node[i], node[j])}
+        else:
+            out = {"key": df.key.iloc[0], "u": node[near.any(0) | near.any(1)], "v": None}
+        return pd.DataFrame(out, columns=["key", "u", "v"]).astype("Int64")
+
+    return deal_in_blocks(rest, BLOCK).groupBy("key", "i", "j").applyInPandas(run, "key long, u long, v long")
+
+
 def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join the components in large buckets of which many rows are near each other."""
+
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        sim, side, component, node = (df[c].to_numpy() for c in ("sim", "side", "component", "node"))
-        near = np.bitwise_count(sim[:, None].view(np.uint64) ^ sim[None, :].view(np.uint64)) <= DISTANCE
-        near &= component[:, None] != component[None, :]
-        if len(set(side.tolist())) > 1:
-            near &= side[:, None] != side[None, :]
+        component, node = df.component.to_numpy(), df.node.to_numpy()
         root = {c: c for c in component.tolist()}
 
         def find(c):
@@ -206,7 +242,7 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
             return c
 
         lines, out = [normalised(x) for x in df.line], []
-        for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
+        for i, j in zip(*np.nonzero(_near(df)), strict=True):
             p, q = find(int(component[i])), find(int(component[j]))
             if p != q and similar(lines[i], lines[j]):
                 root[p] = q
@@ -271,10 +307,15 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     x, y = (rest.where(F.col("m") <= FEW).alias(n) for n in "xy")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     near = F.expr(f"bit_count(x.sim ^ y.sim) <= {DISTANCE}")
-    more = x.join(y, apart & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialize(more.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = x.join(y, apart & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     large = rest.where(F.col("m") > FEW)
-    texts = _texts(more.select(ends).unionByName(large.select("node")), lines, docs)
+    found = materialize(_near_in_blocks(large), "near")
+    dense = found.where("key is not null").select("key", F.col("u").alias("node")).distinct()
+    large = large.join(dense, ["key", "node"], "left_semi")
+    more = more.unionByName(found.where("key is null").select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct()
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    texts = _texts(more.select(ends).unionByName(dense.select("node")), lines, docs)
     links = links.unionByName(_confirmed(more, texts)).unionByName(_links_in_blocks(large, texts))
     groups = connected_components(links)
     out = classes.join(groups, "node", "left").where("times > 1 or component is not null")

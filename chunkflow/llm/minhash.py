@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import connected_components, documents, materialize
-from .shingles import mix, overlap, shingle_sets
+from .shingles import mix, overlap, portions, shingle_sets
 
 MINIMA, BANDS, BITS, MARGIN = 128, 32, 2, 0.25
 FEW, BLOCK = 16, 256
@@ -72,8 +72,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, texts = (c.slice(at, 500).to_pylist() for c in batch.columns)
+            all_ids, all_texts = (c.to_pylist() for c in batch.columns)
+            for part in portions([len(t or "") + 1000 for t in all_texts]):
+                ids, texts = all_ids[part], all_texts[part]
                 sets = shingle_sets(texts, width)
                 planes, bands = packed(np.stack([minima(s) for s in sets]))
                 prints = [fingerprint(s) for s in sets]
@@ -105,8 +106,9 @@ def shingle_table(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts, rows, hi, lo = (c.slice(at, 500).to_pylist() for c in batch.columns)
+            every = [c.to_pylist() for c in batch.columns]
+            for part in portions([len(t or "") + 1000 for t in every[0]]):
+                texts, rows, hi, lo = (c[part] for c in every)
                 found = [(r, s.tobytes()) for r, s, h, k in zip(rows, shingle_sets(texts, width), hi, lo, strict=True) if fingerprint(s) == (h, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "shingles"])
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Characters that are hashed at once, a bound on memory.
+PORTION = 1 << 19
+_BREAK = re.compile(r"[ \t-\r]")
+
 _RNG = np.random.default_rng(20_240_601)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -52,12 +59,38 @@ def word_hashes(texts: list[str | None], table: bytes | None = None) -> tuple[np
     return words, np.searchsorted(start, np.cumsum(sizes)), start, end
 
 
+def portions(sizes: list[int], most: int = PORTION) -> Iterator[slice]:
+    """Runs of items whose sizes add up to about `most`, or single larger items."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if len(sizes) > start:
+        yield slice(start, len(sizes))
+
+
+def _words_in_parts(text: str) -> np.ndarray:
+    out, at = [], 0
+    while at < len(text):
+        m = _BREAK.search(text, at + PORTION)
+        end = m.end() if m else len(text)
+        out.append(word_hashes([text[at:end]])[0])
+        at = end
+    return np.concatenate(out)
+
+
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its word shingles.
 
     A text of fewer words has one shingle, all its words; one without words has none.
     """
-    words, bounds, _, _ = word_hashes(texts)
+    if len(texts) == 1 and len(texts[0] or "") > 2 * PORTION:
+        words = _words_in_parts(texts[0])
+        bounds = np.array([0, len(words)])
+    else:
+        words, bounds, _, _ = word_hashes(texts)
     out = []
     if len(words) >= width:
         n = len(words) - width + 1
