@@ -45,8 +45,10 @@ INPUTS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, or an input derived from one."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | str:
+    """A table of the folder, or an input derived from one; name.path gives a table's path."""
+    if name.endswith(".path"):
+        return f"{sf_dir}/{name.removesuffix('.path')}.parque[t]"  # as a pattern it may be a file or a folder
     if name not in INPUTS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     query = INPUTS[name]

@@ -11,6 +11,7 @@ from ..functions import reversing, xhtml
 from ..functions import text as T
 from ..operators import answers, chunking, commits, cost, failures, glossary, progress, records, requests, review, sequences, translation
 from ..sources import books, packing
+from ..streaming import jobs
 from .inputs import table, with_inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -716,3 +717,27 @@ def markdown_to_xhtml(get):
     out = get("docs_md").select("doc_id", xhtml.markdown_to_xhtml(F.col("md")).alias("x"))
     has = lambda s: F.contains("x", F.lit(s))
     return out.select("doc_id", has("<h1>Title ").alias("head"), has('<img alt="pic" src="images/').alias("picture"), has('<a href="a_(b).html">rel</a> <em>em</em> <code>code</code>').alias("link"))
+
+
+# --- streams: the tables' files, worked off
+
+
+@query("SELECT doc_id, n_chars AS total_chars, true AS intact FROM documents")
+def stream_chunks(get):
+    docs = get("documents")
+    source = docs.sparkSession.readStream.schema(docs.schema).parquet(get("documents.path"))
+    chunks = jobs.work_off(jobs.stream_chunks(source.select("doc_id", "text"), 5000, "text"), "chunks")
+    out = chunking.chunk_quality(chunks, docs, "doc_id", "text")
+    return out.select("doc_id", F.col("total_chars").cast("long").alias("total_chars"), "intact")
+
+
+@query("SELECT conv_id AS book_id, turn AS chunk_index, CASE WHEN turn % 3 = 1 THEN text ELSE 'x ' || text END AS translation, turn % 3 = 1 AS used_original FROM conversations WHERE length(trim(text)) > 0 AND turn % 3 < 2 AND NOT regexp_matches(text, '(?i)as an ai')")
+def stream_commit(get):
+    turns = get("conversations")
+    spark = turns.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STORE)
+    source = spark.readStream.schema(turns.schema).parquet(get("conversations.path")).where("length(trim(text)) > 0 and not text rlike '(?i)as an ai'")
+    answer = F.when(F.col("turn") % 3 == 1, "").when(F.col("turn") % 3 == 2, F.lit(None)).when(F.col("a") == 2, F.concat(F.lit("x "), "text")).otherwise("<<<SOURCE>>>")
+    tries = source.select("conv_id", "turn", "text", F.explode(F.array(*map(F.lit, (3, 2, 1)))).alias("a")).where("a = 2 or turn % 3 < 2")
+    attempts = tries.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chunk_index"), F.col("a").alias("attempt"), answer.alias("response"), F.col("text").alias("original"))
+    return jobs.work_off(jobs.stream_commit(attempts), "pairs").select("book_id", "chunk_index", "translation", "used_original")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,3 +83,16 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A folder of Parquet files as a stream, with the schema they have now."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def work_off(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for all that is there now, as a table in the shared folder.
+
+    The folder is the one in spark.checkpoint.dir; where that is unset, as in tests, a
+    temporary one.
+    """
+    spark = stream.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    run_available(stream, f"{path}/rows", f"{path}/state")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
