@@ -2,8 +2,8 @@
 
 A line is normalised: A-Z lower-cased, ASCII punctuation and runs of white space made one
 space. Equal normalised lines are one class. A class of WORDS words or more gets a 64-bit
-SimHash of its distinct words (counted as often as they occur, frequent words would decide
-most bits of any long line). Two hashes that differ in at most DISTANCE bits agree on two of
+SimHash of its words, each counted MOST_TIMES at most (else frequent words would decide most
+bits of any long line). Two hashes that differ in at most DISTANCE bits agree on two of
 five blocks of bits, so every two blocks give a join key. Candidates within the distance are
 linked if the edit similarity of their normalised lines, 1 - edits / longer length, is at
 least 0.8. Of each connected group of lines over all documents the occurrence with the
@@ -33,7 +33,7 @@ from ._spark import connected_components, documents, materialize
 from .minhash import deal_in_blocks
 from .shingles import _P, _P_INVERSE, _powers, mix, portions, word_hashes
 
-WORDS, DISTANCE, FEW, BLOCK = 5, 3, 64, 256
+WORDS, DISTANCE, MOST_TIMES, FEW, BLOCK = 5, 3, 3, 64, 256
 _BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
 MASKS = [sum((1 << b) - (1 << a) for a, b in pair) for pair in combinations(_BLOCKS, len(_BLOCKS) - DISTANCE)]
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -58,9 +58,9 @@ def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
         hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
-    # each distinct word once: the line's number and 44 bits of the word's hash, sorted
+    # each word MOST_TIMES at most: the line's number and 44 bits of the word's hash, sorted
     own = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(44) | words >> np.uint64(20))
-    own = own[np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]])]
+    own = own[np.concatenate([np.ones(min(MOST_TIMES, len(own)), bool), own[MOST_TIMES:] != own[:-MOST_TIMES]])]
     kinds = np.bincount((own >> np.uint64(44)).astype(np.int64), minlength=len(lines))
     features = mix(own & np.uint64((1 << 44) - 1))
     return n, hashes[0], hashes[1], simhash(features, np.cumsum(kinds) - kinds, kinds).view(np.int64)
