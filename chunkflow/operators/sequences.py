@@ -65,12 +65,20 @@ def review_slots(pending: DataFrame, concurrency: int = 1) -> DataFrame:
     return pending.withColumn("slot", F.floor(rank / size).cast("int"))
 
 
-def chapter_ids(chunks: DataFrame) -> DataFrame:
-    """chunks with chapter_no: runs of equal title and path count up from 0."""
-    own = Window.partitionBy(BOOK).orderBy(INDEX)
+def chapter_ids(chunks: DataFrame, block: int = 4096) -> DataFrame:
+    """chunks with chapter_no: runs of equal title and path count up from 0.
+
+    Runs are counted in blocks of a book; only the blocks' counts are put in order.
+    Indexes have no gaps.
+    """
+    own = Window.partitionBy(BOOK, "_block").orderBy(INDEX)
     here = F.struct(F.coalesce("chapter_title", F.lit("")), F.coalesce("document_path", F.lit("")))
-    new = F.when(F.lag(here).over(own).eqNullSafe(here), 0).otherwise(1)
-    return chunks.withColumn("_new", new).withColumn("chapter_no", (F.sum("_new").over(own) - 1).cast("int")).drop("_new")
+    rows = neighbours(chunks, 1, block).withColumn("_new", F.when(F.lag(here).over(own).eqNullSafe(here), 0).otherwise(1)).where("_own")
+    before = Window.partitionBy(BOOK).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(BOOK, "_block").agg(F.sum("_new").alias("_n"))
+    counts = counts.select(BOOK, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rows = rows.join(counts, [BOOK, "_block"])
+    return rows.withColumn("chapter_no", (F.col("_first") + F.sum("_new").over(own) - 1).cast("int")).drop("_new", "_first", "_block", "_own")
 
 
 def chapter_ranges(chunks: DataFrame) -> DataFrame:

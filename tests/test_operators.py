@@ -39,6 +39,13 @@ def test_chapters_with_blank_titles(spark):
     assert sequences.chapter_list(df).first().chapters == "# Opening (chunks from 1 to 2)\n# Untitled 2 (chunks from 3 to 3)\n# Redemption (chunks from 4 to 5)"
 
 
+def test_chapters_cross_block_borders(spark):
+    df = spark.createDataFrame([("b", i, "x", "p", "aabbbbbbca"[i], None) for i in range(10)], CHUNKS).repartition(4)
+    for block in (2, 3, 4096):
+        got = {r.chunk_index: r.chapter_no for r in sequences.chapter_ids(df, block).collect()}
+        assert [got[i] for i in range(10)] == [0, 0, 1, 1, 1, 1, 1, 1, 2, 3]
+
+
 def test_context_crosses_block_borders(spark):
     pairs = chunks(spark).where("chunk_index <> 4").select("book_id", "chunk_index", F.col("markdown").alias("original"), F.col("markdown").alias("translation"))
     whole = sequences.neighbours(chunks(spark), 2, block=3)
