@@ -6,7 +6,8 @@ byte costs what its last four bytes say, and a text's exact code length is a sum
 look-ups. The language with the shortest code wins, ties go to the smaller name.
 
 Statistics come from at most about `most_rows` rows of each language, chosen by a hash, and
-from the `most_grams` most frequent (language, four bytes); both bound what is broadcast.
+from the `most_grams` most frequent (language, four bytes), fewer where there are so many
+languages that the table would pass MOST_COSTS numbers; these bound what is broadcast.
 Null texts and texts without a letter are `und` with score 0, as is every text if nothing
 could be learned. Rows with null doc_id or lang aren't learned from.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ._spark import documents
 from .quality import fold
 
-FOLDS, HELD_OUT, MOST_ROWS, MOST_GRAMS = 4, 2, 20_000, 1_000_000
+FOLDS, HELD_OUT, MOST_ROWS, MOST_GRAMS, MOST_COSTS = 4, 2, 20_000, 1_000_000, 1 << 26
 ORDER, CHUNK = 3, 1 << 20
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -171,7 +172,8 @@ def learn(docs: DataFrame, most_rows: int = MOST_ROWS, most_grams: int = MOST_GR
         return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(1_000_000 * min(1, most_rows / r["count"])))])
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
-    counts = gram_counts(rows).orderBy(F.desc("n"), "lang", "gram").limit(most_grams).toArrow().to_pandas()
+    most = min(most_grams, MOST_COSTS // len(sizes))  # a gram costs a number for each language
+    counts = gram_counts(rows).orderBy(F.desc("n"), "lang", "gram").limit(most).toArrow().to_pandas()
     return build(counts) if len(counts) else None
 
 
