@@ -88,11 +88,15 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 def work_off(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there now, as a table in the shared folder.
 
-    The folder is the one in spark.checkpoint.dir; where that is unset, as in tests, a
-    temporary one.
+    The folder is the one in spark.checkpoint.dir; a local master may leave it unset.
     """
     spark = stream.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     run_available(stream, f"{path}/rows", f"{path}/state")
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
