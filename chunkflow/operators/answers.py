@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import MARKERS, image_srcs, language_prefix, link_hrefs, mostly_script, parse_response, plain_text, script_counts, script_for_lang, trim_ws
 from .sequences import BOOK, INDEX
 
+#: Fixed phrases of refusals.
 REFUSAL = "(?i)i cannot translate|i can't translate|as an ai|не могу перевести|отказ от перевода"
 ATTEMPTS = 3
 

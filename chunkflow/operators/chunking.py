@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.cutting import DEFAULT_CHARS, cut_markdown, slack_of, split_blocks
+from ..functions.cutting import DEFAULT_CHARS, Text, cut_markdown, slack_of, split_blocks
 from .sequences import in_order
 
 LEAST_CHARS, MOST_CHARS = 800, 20_000
@@ -73,3 +74,13 @@ def chunk_quality(chunks: DataFrame, docs: DataFrame, key: str, text: str, max_c
         (F.coalesce(F.array_join("parts", ""), F.lit("")) == F.coalesce("_text", F.lit(""))).alias("intact"), F.coalesce(split_words, F.lit(0)).alias("split_words"),
         F.coalesce(fences, F.lit(0)).alias("split_fences"), F.coalesce(longest <= max_chars + slack_of(max_chars), F.lit(True)).alias("within_limit"),
     )
+
+
+def best_cut(text: Column, start: Column, max_chars: int = DEFAULT_CHARS) -> Column:
+    """Where the piece of a text that begins at start ends; null for a null text."""
+
+    @F.pandas_udf(IntegerType())
+    def run(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else Text(t).next_cut(int(s), max_chars) for t, s in zip(texts, starts, strict=True)], dtype="Int32")
+
+    return run(text, start)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reversing, xhtml
 from ..functions import text as T
-from ..operators import answers, chunking, commits, cost, failures, glossary, progress, records, requests, review, sequences, translation
+from ..operators import answers, chunking, commits, cost, failures, glossary, links, progress, records, requests, review, sequences, translation
 from ..sources import books, packing
 from ..streaming import jobs
 from .inputs import table, with_inputs
@@ -64,8 +64,7 @@ WITH f AS (
 SELECT doc_id, kind, i - 1 AS pos, t[i] AS target FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM f)
 """)
 def explode_links(get):
-    both = get("docs_md").select("doc_id", F.explode(F.map_from_arrays(F.array(F.lit("image"), F.lit("link")), F.array(T.image_srcs(F.col("md")), T.link_hrefs(F.col("md"))))).alias("kind", "t"))
-    return both.select("doc_id", "kind", F.posexplode("t").alias("pos", "target"))
+    return links.explode_links(get("docs_md"), "doc_id", "md")
 
 
 HREF = "CASE page_id % 7 WHEN 0 THEN 'java' || chr(9) || 'script:alert(1)' WHEN 1 THEN '//host/x' WHEN 2 THEN ' mailto:a@b.example' WHEN 3 THEN '../rel/' || cast(page_id AS string) WHEN 4 THEN ' ' WHEN 5 THEN 'data:text/html,x' ELSE url END"
@@ -741,3 +740,24 @@ def stream_commit(get):
     tries = source.select("conv_id", "turn", "text", F.explode(F.array(*map(F.lit, (3, 2, 1)))).alias("a")).where("a = 2 or turn % 3 < 2")
     attempts = tries.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chunk_index"), F.col("a").alias("attempt"), answer.alias("response"), F.col("text").alias("original"))
     return jobs.work_off(jobs.stream_commit(attempts), "pairs").select("book_id", "chunk_index", "translation", "used_original")
+
+
+@query("SELECT conv_id AS book_id, count(*) AS done, sum((turn % 5 = 0)::INT) AS kept FROM conversations GROUP BY 1")
+def stream_progress(get):
+    turns = get("conversations")
+    source = turns.sparkSession.readStream.schema(turns.schema).parquet(get("conversations.path"))
+    pairs = source.select(F.col("conv_id").alias("book_id"), (F.col("turn") % 5 == 0).alias("used_original"))
+    return jobs.latest(jobs.stream_progress(pairs), "progress")
+
+
+@query("SELECT doc_id, least(n_chars, 400) AS at_most, true AS inside FROM documents")
+def best_cut(get):
+    rows = get("documents").select("doc_id", "n_chars", chunking.best_cut(F.col("text"), F.lit(0), 400).alias("cut"))
+    inside = (F.col("cut") <= F.least(F.col("n_chars"), F.lit(600))) & ((F.col("cut") >= 200) | (F.col("cut") == F.col("n_chars")))
+    return rows.select("doc_id", F.least(F.col("n_chars"), F.lit(400)).alias("at_most"), inside.alias("inside"))
+
+
+@query("SELECT page_id, html AS text FROM pages")
+def decode_xml(get):
+    bom = F.when(F.col("page_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
+    return get("pages").select("page_id", books.decode_xml_of(bom).alias("text"))
