@@ -9,8 +9,8 @@ linked if the edit similarity of their normalised lines, 1 - edits / longer leng
 least 0.8. Of each connected group of lines over all documents the occurrence with the
 smallest (doc_id, line number) stays, the others go.
 
-Buckets of a key are held against one hub first, then only members of different components
-are compared, in pairs or, in large buckets, in blocks. Lines without a word always stay.
+The rows of a key are compared as they pass, if they are few; members of large buckets are
+compared in blocks, and there only those of different components. Lines without a word always stay.
 Null texts stay null. Rows with equal doc_id and text are one document that was written
 more than once and keep the same lines; a null doc_id comes after all others. Other columns
 are kept as they are.
@@ -254,19 +254,31 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def shared_keys(slim: DataFrame) -> DataFrame:
-    """(key, node, sim, hub, near) of the nodes that share a key with others.
+    """(key, a, b): what the nodes that share a key give.
 
-    Rows of a key come one after another, so a task holds no bucket: the first row of a key
-    is its hub, and near tells whether a node is within the distance of it.
+    Rows of a key come one after another. Of up to FEW rows, all pairs a, b within the
+    distance come out, with a null key; of more rows, each row with its key, node and
+    SimHash. So a task holds FEW rows of a key at most, and chance collisions give nothing.
     """
     masks, salts = np.array(MASKS, np.uint64), np.array([k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(len(MASKS))], np.uint64)
     choose = lambda x: F.element_at(F.array(*[F.lit(signed(int(v))) for v in x]), F.col("mask") + 1)
     key = F.col("sim").bitwiseAND(choose(masks)).bitwiseXOR(choose(salts))
-    names = ["key", "node", "sim", "hub", "near"]
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        """Of rows whose keys are complete and have FEW rows at most."""
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, FEW):
+            same = np.flatnonzero(rows[d:, 0] == rows[:-d, 0]) if len(rows) > d else []
+            if not len(same):
+                break
+            x, y = rows[same], rows[same + d]
+            near = np.bitwise_count(x[:, 2].view(np.uint64) ^ y[:, 2].view(np.uint64)) <= DISTANCE
+            found.append(np.stack([np.minimum(x[near, 1], y[near, 1]), np.maximum(x[near, 1], y[near, 1])], 1))
+        out = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.array(out[:, 0]), pa.array(out[:, 1])], ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 3), np.int64)  # the rows so far of the last key: one, or its hub and no more
-        told = True
+        kept, large = np.zeros((0, 3), np.int64), None  # the last key's rows so far; the last key if it has more than FEW
         for batch in batches:
             node, sim, mask = (c.to_numpy() for c in batch.columns)
             own = ((sim.view(np.uint64) & masks[mask]) ^ salts[mask]).view(np.int64)
@@ -275,18 +287,21 @@ def shared_keys(slim: DataFrame) -> DataFrame:
                 continue
             first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
             size = np.diff(np.r_[first, len(rows)])
-            hub = np.repeat(first, size)
-            out = np.repeat(size > 1, size)
-            if len(kept) and told:
-                out[0] = False  # it was given with the batch before
-            near = np.bitwise_count(rows[:, 2].view(np.uint64) ^ rows[hub, 2].view(np.uint64)) <= DISTANCE
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*rows.T, rows[hub, 1], near)], names)
-            told = bool(out[first[-1]]) or (len(first) == 1 and bool(len(kept)) and told)
-            kept = rows[first[-1] : first[-1] + 1]
+            many = size > FEW
+            if large is not None and rows[0, 0] == large:
+                many[0] = True
+            big = np.repeat(many, size)
+            if big.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[big].T], ["key", "a", "b"])
+            large = rows[-1, 0] if many[-1] else None
+            last = np.arange(len(rows)) >= first[-1]
+            kept = rows[last & ~big]
+            yield pairs(rows[~last & ~big])
+        yield pairs(kept)
 
     rows = slim.select("node", "sim", F.explode(F.array(*[F.lit(k).cast("byte") for k in range(len(MASKS))])).alias("mask"))
     rows = rows.repartition(key).sortWithinPartitions(key)
-    return rows.mapInArrow(run, "key long, node long, sim long, hub long, near boolean")
+    return rows.mapInArrow(run, "key long, a long, b long")
 
 
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -294,27 +309,21 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), F.first("sim").alias("sim"), F.first("words").alias("words"))
     classes = materialize(classes, "line-classes")
     buckets = materialize(shared_keys(classes.where(F.col("words") >= WORDS).select("node", "sim")), "buckets")
-    first = buckets.where("near and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(first, "pairs")
+    first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
     ends = F.explode(F.array("a", "b")).alias("node")
     links = materialize(_confirmed(first, _texts(first.select(ends), lines, docs)), "links")
     groups = connected_components(links)
-    # of two members the pair has been tested
-    several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 2")
-    placed = buckets.join(several, "key").join(groups, "node", "left").select("key", "node", "sim", "m", F.coalesce("component", "node").alias("component"))
+    # buckets of more than FEW rows: what links could still join components
+    large = buckets.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("sim"))
+    sizes = large.groupBy("key").agg(F.count("*").alias("m"))
+    placed = large.join(sizes, "key").join(groups, "node", "left").select("key", "node", "sim", "m", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = materialize(placed.join(mixed, "key"), "mixed")
-    x, y = (rest.where(F.col("m") <= FEW).alias(n) for n in "xy")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    near = F.expr(f"bit_count(x.sim ^ y.sim) <= {DISTANCE}")
-    more = x.join(y, apart & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    large = rest.where(F.col("m") > FEW)
-    found = materialize(_near_in_blocks(large), "near")
+    found = materialize(_near_in_blocks(rest), "near")
     dense = found.where("key is not null").select("key", F.col("u").alias("node")).distinct()
-    large = large.join(dense, ["key", "node"], "left_semi")
-    more = more.unionByName(found.where("key is null").select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    large = rest.join(dense, ["key", "node"], "left_semi")
+    more = found.where("key is null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
     texts = _texts(more.select(ends).unionByName(dense.select("node")), lines, docs)
     links = links.unionByName(_confirmed(more, texts)).unionByName(_links_in_blocks(large, texts))
     groups = connected_components(links)
