@@ -1,13 +1,13 @@
 """Fuzzy line dedup (operator 7).
 
 A line is normalised: A-Z lower-cased, ASCII punctuation and runs of white space made one
-space. Equal normalised lines are one class. A class of WORDS words or more gets a 64-bit
-SimHash of its words, each counted MOST_TIMES at most (else frequent words would decide most
-bits of any long line). Two hashes that differ in at most DISTANCE bits agree on two of
-five blocks of bits, so every two blocks give a join key. Candidates within the distance are
+space. Equal normalised lines are one class. A class has KEYS keys, weighted minima over its
+pairs of neighbouring words (of a line under SHORT words mostly over runs of three bytes), and
+a 63-bit SimHash of its words (of a short line, its runs). Classes that share a key are
+candidates, without those whose SimHashes differ in more than DISTANCE bits, and are
 linked if the edit similarity of their normalised lines, 1 - edits / longer length, is at
-least 0.8. Of each connected group of lines over all documents the occurrence with the
-smallest (doc_id, line number) stays, the others go.
+least 0.8. README has the recall. Of each connected group of lines over all documents the
+occurrence with the smallest (doc_id, line number) stays, the others go.
 
 The rows of a key are compared as they pass, if they are few; members of large buckets are
 compared in blocks, and there only those of different components. Lines without a word always stay.
@@ -19,7 +19,6 @@ are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,24 +32,25 @@ from ._spark import connected_components, documents, materialize
 from .minhash import deal_in_blocks
 from .shingles import _P, _P_INVERSE, _powers, mix, portions, word_hashes
 
-WORDS, DISTANCE, MOST_TIMES, FEW, BLOCK = 5, 3, 3, 64, 256
-_BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
-MASKS = [sum((1 << b) - (1 << a) for a, b in pair) for pair in combinations(_BLOCKS, len(_BLOCKS) - DISTANCE)]
+WORDS, SHORT, DISTANCE, KEYS, FEW, BLOCK = 1, 5, 24, 8, 64, 256
+_END = np.uint64(0x2545F4914F6CDD1D)
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
-LINES = "_line long, doc_id long, text_hash long, number int, words int, h1 long, h2 long, sim long"
+SIGNATURE = ["level", "sim", "k0", "k1", "k2", "k3"]
+LINES = "_line long, doc_id long, text_hash long, number int, level int, h1 long, h2 long, sim long, k0 long, k1 long, k2 long, k3 long"
 _ARROW = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.int64()) for x in LINES.split(", ")])
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, two hashes and the SimHash of every line."""
+    return hashes_and_keys(lines)[:4]
+
+
+def hashes_and_keys(lines: list[str]) -> tuple[np.ndarray, ...]:
+    """Words, two hashes, the SimHash and the KEYS keys of every line."""
     if len(some := list(portions([len(x) + 50 for x in lines]))) > 1:
-        parts = [line_hashes(lines[k]) for k in some]
+        parts = [hashes_and_keys(lines[k]) for k in some]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    words, bounds, _, _ = word_hashes(lines, PUNCTUATION)
+    words, bounds, start, end = word_hashes(lines, PUNCTUATION)
     n = np.diff(bounds)
     a, b = bounds[:-1], bounds[1:]
     hashes = []
@@ -58,36 +58,94 @@ def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
         hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
-    # each word MOST_TIMES at most: the line's number and 44 bits of the word's hash, sorted
-    own = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(44) | words >> np.uint64(20))
-    own = own[np.concatenate([np.ones(min(MOST_TIMES, len(own)), bool), own[MOST_TIMES:] != own[:-MOST_TIMES]])]
-    kinds = np.bincount((own >> np.uint64(44)).astype(np.int64), minlength=len(lines))
-    features = mix(own & np.uint64((1 << 44) - 1))
-    return n, hashes[0], hashes[1], simhash(features, np.cumsum(kinds) - kinds, kinds).view(np.int64)
+    sim, keys = line_keys(lines, words, end - start, bounds)
+    return n, hashes[0], hashes[1], sim, keys
+
+
+def _least(features: np.ndarray, weights: np.ndarray, start: np.ndarray, keys: range) -> np.ndarray:
+    """For each of the keys the hash of the least exponential variate of each run of features.
+
+    Two runs share one with the probability of their weighted Jaccard similarity.
+    """
+    out = np.zeros((len(start), len(keys)), np.uint32)
+    for at, k in enumerate(keys):
+        u = (mix(features ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 1
+        least = np.minimum.reduceat((53 * np.log(2) - np.log(u)) / weights, start)
+        out[:, at] = (mix(least.view(np.uint64) + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
+def line_keys(lines: list[str], words: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash and KEYS keys of 32 bits, two in a long, of every line; of lines without words they mean nothing.
+
+    The keys' features are pairs of neighbouring words, with the line's ends as words; a pair
+    weighs by the square of its length, so that pairs of frequent, short words seldom give a
+    key. In the SimHash a word counts as often as it occurs, one of five bytes or more three
+    times that. A line under SHORT words has its SimHash and most keys from runs of three bytes, two
+    runs a key; its SimHash has the highest bit.
+    """
+    n = np.diff(bounds)
+    sim = simhash(mix(words), bounds[:-1], n, np.where(sizes < 5, 1, 3).astype(np.uint64)) >> np.uint64(1)
+    out = np.zeros((len(lines), KEYS), np.uint32)
+    full = np.flatnonzero(n)
+    if len(full):
+        # an end before each line's words and after the last line's
+        at = np.arange(len(words)) + np.repeat(np.arange(len(full)), n[full]) + 1
+        every, long = np.full(len(words) + len(full) + 1, _END), np.zeros(len(words) + len(full) + 1)
+        every[at], long[at] = words, sizes
+        pairs, weights = mix(every[:-1] * _P + every[1:]), np.maximum(long[:-1] + long[1:] - 4, 1.0) ** 2
+        out[full] = _least(pairs, weights, np.cumsum(n[full] + 1) - (n[full] + 1), range(KEYS))
+    if len(few := np.flatnonzero((n > 0) & (n < SHORT))):
+        texts = [b"\n" + normalised(lines[i]).encode() + b"\n" for i in few]
+        data, size = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.array([len(t) for t in texts])
+        keep = np.ones(len(data), bool)
+        keep[np.cumsum(size) - 1] = keep[np.cumsum(size) - 2] = False
+        runs = mix((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:])[keep[:-2]])
+        start = np.cumsum(size - 2) - (size - 2)
+        sim[few] = simhash(runs, start, size - 2) >> np.uint64(1) | np.uint64(1 << 63)
+        own = KEYS - 3
+        least = _least(runs, np.ones(len(runs)), start, range(KEYS, KEYS + 2 * own)).astype(np.uint64)
+        out[few, 3:] = (mix(least[:, :own] << np.uint64(32) | least[:, own:]) >> np.uint64(32)).astype(np.uint32)
+    return sim.view(np.int64), out.view(np.int64)
+
+
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether SimHashes leave room for a link; those of a short and a longer line say nothing."""
+    differ = x.view(np.uint64) ^ y.view(np.uint64)
+    return (np.bitwise_count(differ) <= DISTANCE) | (differ >> np.uint64(63)).astype(bool)
 
 
 #: Byte -> its bits as counters of 8 bits each, the highest bit first.
 _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(">u8").ravel().astype(np.uint64)
 
 
-def simhash(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each line the bits that most of its n features' hashes have; 0 without any."""
+def simhash(words: np.ndarray, start: np.ndarray, n: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """For each line the bits that most of its n features' hashes have, by weight; 0 without any."""
+    weights = np.ones(len(words), np.uint64) if weights is None else weights
+    sums = np.concatenate([[0], np.cumsum(weights)]).astype(np.int64)
+    total = sums[start + n] - sums[start]
     out = np.zeros((len(n), 8), np.uint8)
-    short, long = np.flatnonzero((n > 0) & (n < 256)), np.flatnonzero(n >= 256)
+    short, long = np.flatnonzero((n > 0) & (total < 256)), np.flatnonzero(total >= 256)
     if len(short):
         # every word of all lines, long ones included, is added up; those sums are not used
         full = np.flatnonzero(n)
-        keep = n[full] < 256
+        keep = total[full] < 256
         for byte in range(8):
-            counters = _COUNTERS[(words >> np.uint64(56 - 8 * byte)).astype(np.uint8)]
+            counters = _COUNTERS[(words >> np.uint64(56 - 8 * byte)).astype(np.uint8)] * weights
             votes = np.add.reduceat(counters, start[full])[keep].astype(">u8").view(np.uint8).reshape(-1, 8)
-            out[short, byte] = np.packbits(votes.astype(np.uint16) * 2 > n[short][:, None], axis=1).ravel()
+            out[short, byte] = np.packbits(votes.astype(np.uint16) * 2 > total[short][:, None], axis=1).ravel()
     for i in long.tolist():
-        bits = np.unpackbits(words[start[i] : start[i] + n[i]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        out[i] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > n[i])
+        own = slice(start[i], start[i] + n[i])
+        bits = np.unpackbits(words[own].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out[i] = np.packbits(weights[own].astype(np.float64) @ bits * 2 > total[i])
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+def levels(lines: list[str]) -> np.ndarray:
+    """8 times the logarithm of the normalised length to the base 1.25: similar lines are at most 8 apart."""
+    return np.floor(8 * np.log([max(1, len(normalised(x))) for x in lines]) / np.log(1.25)).astype(np.int32)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """LINES of all lines with words, in the shared folder; docs holds doc_id, text, text_hash."""
 
@@ -98,12 +156,12 @@ def line_table(docs: DataFrame) -> DataFrame:
                 ids, texts, hashed = (c.slice(at, 500).to_pylist() for c in batch.columns)
                 split = [(t or "").split("\n") for t in texts]
                 sizes = np.array([len(x) for x in split])
-                words, h1, h2, sim = line_hashes([x for lines in split for x in lines])
+                words, h1, h2, sim, keys = hashes_and_keys([x for lines in split for x in lines])
                 keep = np.flatnonzero(words)
                 of = np.repeat(np.arange(len(sizes)), sizes)[keep]
                 number = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
                 pick = [pa.array(x, pa.int64()).take(pa.array(of)) for x in (ids, hashed)]
-                columns = [np.arange(line, line + len(keep)), *pick, number.astype(np.int32), words[keep].astype(np.int32), h1[keep], h2[keep], sim[keep]]
+                columns = [np.arange(line, line + len(keep)), *pick, number.astype(np.int32), levels([x for lines in split for x in lines])[keep], h1[keep], h2[keep], sim[keep], *keys[keep].T]
                 line += len(keep)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ARROW)
 
@@ -203,11 +261,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _near(df: pd.DataFrame) -> np.ndarray:
     """Which rows of a block pair are near each other and in different components, i < j."""
     sim, side, component = (df[c].to_numpy() for c in ("sim", "side", "component"))
-    near = np.bitwise_count(sim[:, None].view(np.uint64) ^ sim[None, :].view(np.uint64)) <= DISTANCE
-    near &= component[:, None] != component[None, :]
+    ok = near(sim[:, None], sim[None, :])
+    ok &= component[:, None] != component[None, :]
     if len(set(side.tolist())) > 1:
-        near &= side[:, None] != side[None, :]
-    return np.triu(near)
+        ok &= side[:, None] != side[None, :]
+    return np.triu(ok)
 
 
 def _near_in_blocks(rest: DataFrame) -> DataFrame:
@@ -218,12 +276,12 @@ def _near_in_blocks(rest: DataFrame) -> DataFrame:
     """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        node, near = df.node.to_numpy(), _near(df)
-        i, j = np.nonzero(near)
+        node, ok = df.node.to_numpy(), _near(df)
+        i, j = np.nonzero(ok)
         if len(i) <= 4 * len(df):
             out = {"key": None, "u": np.minimum(node[i], node[j]), "v": np.maximum(node[i], node[j])}
         else:
-            out = {"key": df.key.iloc[0], "u": node[near.any(0) | near.any(1)], "v": None}
+            out = {"key": df.key.iloc[0], "u": node[ok.any(0) | ok.any(1)], "v": None}
         return pd.DataFrame(out, columns=["key", "u", "v"]).astype("Int64")
 
     return deal_in_blocks(rest, BLOCK).groupBy("key", "i", "j").applyInPandas(run, "key long, u long, v long")
@@ -257,58 +315,58 @@ def shared_keys(slim: DataFrame) -> DataFrame:
     """(key, a, b): what the nodes that share a key give.
 
     Rows of a key come one after another. Of up to FEW rows, all pairs a, b within the
-    distance come out, with a null key; of more rows, each row with its key, node and
-    SimHash. So a task holds FEW rows of a key at most, and chance collisions give nothing.
+    distance come out, with a null key; of more rows, each row with its key and two levels of
+    length, node and SimHash. So a task holds FEW rows of a key at most, and chance collisions give nothing.
     """
-    masks, salts = np.array(MASKS, np.uint64), np.array([k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(len(MASKS))], np.uint64)
-    choose = lambda x: F.element_at(F.array(*[F.lit(signed(int(v))) for v in x]), F.col("mask") + 1)
-    key = F.col("sim").bitwiseAND(choose(masks)).bitwiseXOR(choose(salts))
-
     def pairs(rows: np.ndarray) -> pa.RecordBatch:
         """Of rows whose keys are complete and have FEW rows at most."""
         found = [np.zeros((0, 2), np.int64)]
         for d in range(1, FEW):
-            same = np.flatnonzero(rows[d:, 0] == rows[:-d, 0]) if len(rows) > d else []
+            same = np.flatnonzero(rows[d:, 0] >> 10 == rows[:-d, 0] >> 10) if len(rows) > d else []
             if not len(same):
                 break
             x, y = rows[same], rows[same + d]
-            near = np.bitwise_count(x[:, 2].view(np.uint64) ^ y[:, 2].view(np.uint64)) <= DISTANCE
-            found.append(np.stack([np.minimum(x[near, 1], y[near, 1]), np.maximum(x[near, 1], y[near, 1])], 1))
+            ok = (y[:, 0] - x[:, 0] <= 9) & near(x[:, 2].copy(), y[:, 2].copy())
+            found.append(np.stack([np.minimum(x[ok, 1], y[ok, 1]), np.maximum(x[ok, 1], y[ok, 1])], 1))
         out = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.array(out[:, 0]), pa.array(out[:, 1])], ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, large = np.zeros((0, 3), np.int64), None  # the last key's rows so far; the last key if it has more than FEW
         for batch in batches:
-            node, sim, mask = (c.to_numpy() for c in batch.columns)
-            own = ((sim.view(np.uint64) & masks[mask]) ^ salts[mask]).view(np.int64)
-            rows = np.concatenate([kept, np.stack([own, node, sim], 1)])
+            rows = np.concatenate([kept, np.stack([c.to_numpy() for c in batch.columns], 1)])
             if not len(rows):
                 continue
-            first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            first = np.flatnonzero(np.r_[True, rows[1:, 0] >> 10 != rows[:-1, 0] >> 10])
             size = np.diff(np.r_[first, len(rows)])
             many = size > FEW
-            if large is not None and rows[0, 0] == large:
+            if large is not None and rows[0, 0] >> 10 == large:
                 many[0] = True
             big = np.repeat(many, size)
             if big.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[big].T], ["key", "a", "b"])
-            large = rows[-1, 0] if many[-1] else None
+                # by length: two rows of one level of eight or of neighbouring ones meet
+                part = (rows[big, 0] >> 10 << 8) + (rows[big, 0] & 1023) // 8
+                for more in (0, 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part + more, rows[big, 1], rows[big, 2])], ["key", "a", "b"])
+            large = rows[-1, 0] >> 10 if many[-1] else None
             last = np.arange(len(rows)) >= first[-1]
             kept = rows[last & ~big]
             yield pairs(rows[~last & ~big])
         yield pairs(kept)
 
-    rows = slim.select("node", "sim", F.explode(F.array(*[F.lit(k).cast("byte") for k in range(len(MASKS))])).alias("mask"))
-    rows = rows.repartition(key).sortWithinPartitions(key)
+    # a key has its number above its 32 bits, the level of length below them
+    half = lambda k: F.col(f"k{k // 2}") if k % 2 == 0 else F.shiftright(f"k{k // 2}", 32)
+    keys = [F.shiftleft(half(k).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32)), 10).bitwiseOR(F.col("level").cast("long")) for k in range(KEYS)]
+    rows = slim.select(F.explode(F.array(*keys)).alias("key"), "node", "sim")
+    rows = rows.repartition(F.shiftright("key", 10)).sortWithinPartitions("key")
     return rows.mapInArrow(run, "key long, a long, b long")
 
 
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h1, h2, group) of the classes that occur more than once or are linked."""
-    classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), F.first("sim").alias("sim"), F.first("words").alias("words"))
+    classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in SIGNATURE])
     classes = materialize(classes, "line-classes")
-    buckets = materialize(shared_keys(classes.where(F.col("words") >= WORDS).select("node", "sim")), "buckets")
+    buckets = materialize(shared_keys(classes), "buckets")
     first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
     ends = F.explode(F.array("a", "b")).alias("node")
     links = materialize(_confirmed(first, _texts(first.select(ends), lines, docs)), "links")

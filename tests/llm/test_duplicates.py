@@ -130,6 +130,23 @@ def test_lines_equal_brute_force(spark, monkeypatch):
         assert got == kept_lines(texts)
 
 
+def test_lines_with_some_changed_words_are_linked(spark):
+    rng, texts, want = random.Random(5), {}, set()
+    for i in range(120):
+        own = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range((2, 4, 7, 12, 30, 90)[i % 6])]
+        near = list(own)
+        for _ in range(max(1, len(own) // 9)):
+            k = rng.randrange(len(near))
+            near[k] = near[k][:-1] + "z" if i % 2 or len(own) < 8 else "".join(rng.choice("klmnop") for _ in near[k])
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join(near)
+        if lines.similar(texts[2 * i], texts[2 * i + 1]):
+            want.add(2 * i + 1)
+    assert len(want) > 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id for r in lines.dedup_lines(docs).where("lines_gone = 1").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)  # keys are drawn by chance
+
+
 def test_odd_lines(spark, messy, nothing):
     out = lines.dedup_lines(messy)
     rows = out.collect()
