@@ -701,9 +701,8 @@ def used_images(get):
     return books.used_images(texts, images).select("book_id", "href")
 
 
-@query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents WHERE doc_id % 20 = 0")
-def pack_books(get):
-    rows = get("documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'end'").alias("markdown"))
+def _packed(docs):
+    rows = docs.select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'end'").alias("markdown"))
     images = rows.select("book_id", F.lit("images/a.png").alias("href"), F.lit("image/png").alias("mime_type"), F.unhex(F.lit("89")).alias("bytes"))
     out = packing.pack_books(rows, images, "de")
     sections = books.extract_sections(out.select("book_id", "file_name", F.col("epub").alias("content")))
@@ -711,6 +710,16 @@ def pack_books(get):
     return out.join(read, "book_id").select(F.col("book_id").alias("doc_id"), (F.col("n") + 5).alias("parts"), (F.hex(F.substring("epub", 1, 2)) == "504B").alias("is_zip"))
 
 
+@query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents WHERE doc_id % 20 = 0")
+def pack_books(get):
+    return _packed(get("documents").where("doc_id % 20 = 0"))
+
+
+@query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents")
+def pack_all_books(get):
+    return _packed(get("documents"))
+
+
 @query("SELECT doc_id, true AS head, true AS picture, true AS link FROM @docs_md")
 def markdown_to_xhtml(get):
     out = get("docs_md").select("doc_id", xhtml.markdown_to_xhtml(F.col("md")).alias("x"))
