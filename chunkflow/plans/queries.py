@@ -395,6 +395,16 @@ def parse_glossary_lines(get):
     return glossary.parse_glossary_lines(get("conversations").where("turn < 2").select(F.expr("conv_id * 10 + turn").alias("book_id"), F.expr(PASTED).alias("text")))
 
 
+
+@query(rf"""
+WITH l AS (SELECT conv_id, turn, unnest(range(0, len(x))) AS pos, {_trim("unnest(x)")} AS line FROM (SELECT conv_id, turn, string_split({PASTED}, chr(10)) AS x FROM conversations)),
+p AS (SELECT *, regexp_split_to_array(line, '\s*(?:->|—|–|\|)\s*') AS parts FROM l WHERE line <> '' AND NOT starts_with(line, '#'))
+SELECT cast(conv_id AS varchar) || '-' || cast(turn AS varchar) AS book_id, pos, parts[1] AS src, array_to_string(parts[2:], ' | ') AS dst FROM p WHERE len(parts) >= 2
+""")
+def parse_all_glossary_lines(get):
+    return glossary.parse_glossary_lines(get("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("book_id"), F.expr(PASTED).alias("text")))
+
+
 # --- cost, catalog, progress
 
 _COST = rf"""
@@ -634,6 +644,22 @@ def apply_edits(get):
     return out.select("book_id", "chunk_index", "translation", "pre_review", "used_original")
 
 
+@query("""
+SELECT book_id, chunk_index, seq, CASE seq WHEN 1 THEN CASE WHEN n = 1 THEN 'ok' ELSE 'err: old matches ' || n || ' times in this chunk; make it a unique substring' END WHEN 2 THEN 'err: old is empty' WHEN 3 THEN 'err: chunk ' || chunk_index || ' is outside your range: ' || (chunk_index // 2 + 1) * 2 || ', ' || (chunk_index // 2 + 1) * 2 + 1 ELSE 'err: old was not found in this chunk' END AS result
+FROM (SELECT *, (length(translation) - length(replace(translation, 'x ', ''))) // 2 AS n FROM @pairs), range(1, 5) AS r(seq)
+""")
+def edit_all_results(get):
+    return _edited(get)[1].select("book_id", "chunk_index", "seq", "result")
+
+
+@query("""
+SELECT book_id, chunk_index, CASE WHEN single THEN 'y $& ' || original ELSE translation END AS translation, CASE WHEN single THEN coalesce(pre_review, translation) ELSE pre_review END AS pre_review, used_original AND NOT single AS used_original
+FROM (SELECT *, NOT contains(original, 'x ') AS single FROM @pairs)
+""")
+def apply_all_edits(get):
+    return _edited(get)[0].select("book_id", "chunk_index", "translation", "pre_review", "used_original")
+
+
 @query("SELECT conv_id, turn, length(text) AS deleted_or_equal, length('new ' || text || ' end') AS inserted_or_equal, true AS changed FROM conversations")
 def word_diff(get):
     c = get("conversations").select("conv_id", "turn", review.word_diff(F.col("text"), F.concat(F.lit("new "), "text", F.lit(" end"))).alias("ops"))
