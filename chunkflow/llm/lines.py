@@ -1,120 +1,133 @@
 """Fuzzy line dedup (operator 7).
 
 A line is normalised: A-Z lower-cased, ASCII punctuation and runs of white space made one
-space. Equal normalised lines are one class. A class has KEYS keys, weighted minima over its
-pairs of neighbouring words (of a line under SHORT words mostly over runs of three bytes), and
-a 63-bit SimHash of its words (of a short line, its runs). Classes that share a key are
-candidates, without those whose SimHashes differ in more than DISTANCE bits, and are
-linked if the edit similarity of their normalised lines, 1 - edits / longer length, is at
-least 0.8. README has the recall. Of each connected group of lines over all documents the
-occurrence with the smallest (doc_id, line number) stays, the others go.
-
-The rows of a key are compared as they pass, if they are few; members of large buckets are
-compared in blocks, and there only those of different components. Lines without a word always stay.
-Null texts stay null. Rows with equal doc_id and text are one document that was written
-more than once and keep the same lines; a null doc_id comes after all others. Other columns
-are kept as they are.
+space. Equal normalised lines are one class. A class has a 62-bit SimHash of its words (of a
+line under SHORT words, of its runs of four bytes) and KEYS keys. A key of a line of WIDE words
+or more is made of three minima over its words, longer words weighing more; one of a line of up to
+NARROW words of two minima over its runs of four bytes; lines of at most TINY characters are
+also keyed by all strings that as many deletions as they may have edits leave, which misses
+nothing. Classes that share a key are candidates, without those whose SimHashes differ in more
+than DISTANCE bits, and are linked if the edit similarity of their normalised lines, 1 - edits
+/ longer length, is at least 0.8. README says why blocks of the SimHash alone don't do, and has
+the recall. Of each connected group of lines over all documents the occurrence with the smallest
+(doc_id, line number) stays, the others go.
+
+The rows of a key are compared as they pass, if they are at most FEW; larger buckets go the way of
+buckets.py. Lines without a word always stay. Null texts stay null. Rows with equal doc_id and
+text are one document that was written more than once and keep the same lines; a null doc_id
+comes after all others. Other columns are kept as they are, but for `lines_gone`, which is
+replaced. A table without rows gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from ._spark import connected_components, documents, materialize
-from .minhash import deal_in_blocks
+from ._spark import documents, materialize
+from .buckets import deal_in_blocks, settle
 from .shingles import _P, _P_INVERSE, _powers, mix, portions, word_hashes
 
-WORDS, SHORT, DISTANCE, KEYS, FEW, BLOCK = 1, 5, 24, 8, 64, 256
-_END = np.uint64(0x2545F4914F6CDD1D)
+SHORT, WIDE, NARROW, TINY, DISTANCE, KEYS, FEW = 10, 8, 12, 14, 24, 8, 64
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
-SIGNATURE = ["level", "sim", "k0", "k1", "k2", "k3"]
-LINES = "_line long, doc_id long, text_hash long, number int, level int, h1 long, h2 long, sim long, k0 long, k1 long, k2 long, k3 long"
-_ARROW = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.int64()) for x in LINES.split(", ")])
+#: Key columns: two keys of 32 bits in each; k from words, g from runs of bytes.
+PACKED = [f"{x}{i}" for x in "kg" for i in range(KEYS // 2)]
+LINES = "_line long, doc_id long, text_hash long, number int, level int, h1 long, h2 long, sim long, " + ", ".join(f"{c} long" for c in PACKED) + ", tiny string"
+_KIND = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+_ARROW = pa.schema([(x.split()[0], _KIND[x.split()[1]]) for x in LINES.split(", ")])
+_RNG = np.random.default_rng(80)
+_A = _RNG.integers(0, 1 << 32, 3 * KEYS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, 3 * KEYS, dtype=np.uint32)
+
+
+class Hashes(NamedTuple):
+    """Of lines: words, two hashes, SimHash, keys from words and from bytes (0 rows mean nothing)."""
+
+    words: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+    sim: np.ndarray
+    by_words: np.ndarray
+    by_bytes: np.ndarray
+
+    @classmethod
+    def of(cls, lines: list[str]) -> Hashes:
+        if len(some := list(portions([len(x) + 50 for x in lines]))) > 1:
+            return cls(*(np.concatenate(x) for x in zip(*(cls.of(lines[k]) for k in some), strict=True)))
+        words, bounds, start, end = word_hashes(lines, PUNCTUATION)
+        n, a, b = np.diff(bounds), bounds[:-1], bounds[1:]
+        hashes = []
+        for salt in (0, 0x5851F42D4C957F2D):
+            sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
+            hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
+        sizes = end - start
+        sim = simhash(mix(words), a, n, np.where(sizes < 5, 1, 3).astype(np.uint64)) >> np.uint64(2)
+        by_words, by_bytes = np.zeros((2, len(lines), KEYS // 2), np.int64)
+        if len(full := np.flatnonzero(n)):
+            # a longer word's numbers are cut by more, so it gives the minimum more often
+            cut = np.clip(2 * np.log2(np.maximum(sizes - 1, 1)), 0, 6).astype(np.uint32)
+            by_words[full] = packed_keys(least(words, cut, np.cumsum(n[full]) - n[full], 3 * KEYS), 3)
+        if len(few := np.flatnonzero((n > 0) & (n <= NARROW))):
+            texts = [b"\n\n" + normalised(lines[i]).encode() + b"\n" for i in few]
+            data, size = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.array([len(t) for t in texts])
+            keep = np.ones(len(data), bool)
+            for k in (1, 2, 3):
+                keep[np.cumsum(size) - k] = False
+            runs = mix((data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16) | data[2:-1] << np.uint64(8) | data[3:])[keep[:-3]])
+            first = np.cumsum(size - 3) - (size - 3)
+            short = n[few] < SHORT
+            sim[few[short]] = (simhash(runs, first, size - 3) >> np.uint64(2) | np.uint64(1 << 62))[short]
+            by_bytes[few] = packed_keys(least(runs, np.uint32(0), first, 2 * KEYS), 2)
+        return cls(n, *hashes, sim.view(np.int64), by_words, by_bytes)
+
+
+def least(features: np.ndarray, cut: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """n minima of each run of features, under n hash functions."""
+    low = (features >> np.uint64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat((low * _A[k] + _B[k]) >> cut, start) for k in range(n)], 1)
+
+
+def packed_keys(minima: np.ndarray, each: int) -> np.ndarray:
+    """Keys of 32 bits, two in a long, from `each` minima a key."""
+    key = np.broadcast_to(np.arange(KEYS, dtype=np.uint64), (len(minima), KEYS))
+    for k in range(each):
+        key = mix(key * _P + minima[:, k::each])
+    return np.ascontiguousarray((key >> np.uint64(32)).astype(np.uint32)).view(np.int64)
 
 
-def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, two hashes and the SimHash of every line."""
-    return hashes_and_keys(lines)[:4]
-
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether SimHashes leave room for a link; those of a tiny line, or of two kinds, say nothing."""
+    differ = x.view(np.uint64) ^ y.view(np.uint64)
+    return (np.bitwise_count(differ) <= DISTANCE) | (differ >> np.uint64(62) != 0) | (x < 0)
 
-def hashes_and_keys(lines: list[str]) -> tuple[np.ndarray, ...]:
-    """Words, two hashes, the SimHash and the KEYS keys of every line."""
-    if len(some := list(portions([len(x) + 50 for x in lines]))) > 1:
-        parts = [hashes_and_keys(lines[k]) for k in some]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    words, bounds, start, end = word_hashes(lines, PUNCTUATION)
-    n = np.diff(bounds)
-    a, b = bounds[:-1], bounds[1:]
-    hashes = []
-    for salt in (0, 0x5851F42D4C957F2D):
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
-        hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
-    sim, keys = line_keys(lines, words, end - start, bounds)
-    return n, hashes[0], hashes[1], sim, keys
 
+def may_link(x: str, y: str) -> Column:
+    """near() of the columns x.sim and y.sim, and lengths that leave room for a link."""
+    differ = F.expr(f"{x}.sim ^ {y}.sim")
+    levels = F.abs(F.col(f"{x}.level") - F.col(f"{y}.level")) <= 9
+    return levels & ((F.bit_count(differ) <= DISTANCE) | (F.shiftrightunsigned(differ, 62) != 0) | (F.col(f"{x}.sim") < 0))
 
-def _least(features: np.ndarray, weights: np.ndarray, start: np.ndarray, keys: range) -> np.ndarray:
-    """For each of the keys the hash of the least exponential variate of each run of features.
 
-    Two runs share one with the probability of their weighted Jaccard similarity.
-    """
-    out = np.zeros((len(start), len(keys)), np.uint32)
-    for at, k in enumerate(keys):
-        u = (mix(features ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 1
-        least = np.minimum.reduceat((53 * np.log(2) - np.log(u)) / weights, start)
-        out[:, at] = (mix(least.view(np.uint64) + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
+def deletions(line: str) -> set[str]:
+    """What is left of a line of at most TINY characters after as many deletions as it may have edits."""
+    out = now = {line}
+    for _ in range(min(TINY, len(line) * 5 // 4) // 5):
+        now = {x[:k] + x[k + 1 :] for x in now for k in range(len(x))}
+        out = out | now
     return out
 
 
-def line_keys(lines: list[str], words: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash and KEYS keys of 32 bits, two in a long, of every line; of lines without words they mean nothing.
-
-    The keys' features are pairs of neighbouring words, with the line's ends as words; a pair
-    weighs by the square of its length, so that pairs of frequent, short words seldom give a
-    key. In the SimHash a word counts as often as it occurs, one of five bytes or more three
-    times that. A line under SHORT words has its SimHash and most keys from runs of three bytes, two
-    runs a key; its SimHash has the highest bit.
-    """
-    n = np.diff(bounds)
-    sim = simhash(mix(words), bounds[:-1], n, np.where(sizes < 5, 1, 3).astype(np.uint64)) >> np.uint64(1)
-    out = np.zeros((len(lines), KEYS), np.uint32)
-    full = np.flatnonzero(n)
-    if len(full):
-        # an end before each line's words and after the last line's
-        at = np.arange(len(words)) + np.repeat(np.arange(len(full)), n[full]) + 1
-        every, long = np.full(len(words) + len(full) + 1, _END), np.zeros(len(words) + len(full) + 1)
-        every[at], long[at] = words, sizes
-        pairs, weights = mix(every[:-1] * _P + every[1:]), np.maximum(long[:-1] + long[1:] - 4, 1.0) ** 2
-        out[full] = _least(pairs, weights, np.cumsum(n[full] + 1) - (n[full] + 1), range(KEYS))
-    if len(few := np.flatnonzero((n > 0) & (n < SHORT))):
-        texts = [b"\n" + normalised(lines[i]).encode() + b"\n" for i in few]
-        data, size = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.array([len(t) for t in texts])
-        keep = np.ones(len(data), bool)
-        keep[np.cumsum(size) - 1] = keep[np.cumsum(size) - 2] = False
-        runs = mix((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:])[keep[:-2]])
-        start = np.cumsum(size - 2) - (size - 2)
-        sim[few] = simhash(runs, start, size - 2) >> np.uint64(1) | np.uint64(1 << 63)
-        own = KEYS - 3
-        least = _least(runs, np.ones(len(runs)), start, range(KEYS, KEYS + 2 * own)).astype(np.uint64)
-        out[few, 3:] = (mix(least[:, :own] << np.uint64(32) | least[:, own:]) >> np.uint64(32)).astype(np.uint32)
-    return sim.view(np.int64), out.view(np.int64)
-
-
-def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether SimHashes leave room for a link; those of a short and a longer line say nothing."""
-    differ = x.view(np.uint64) ^ y.view(np.uint64)
-    return (np.bitwise_count(differ) <= DISTANCE) | (differ >> np.uint64(63)).astype(bool)
-
-
 #: Byte -> its bits as counters of 8 bits each, the highest bit first.
 _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(">u8").ravel().astype(np.uint64)
 
@@ -152,18 +165,24 @@ def line_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = TaskContext.get().partitionId() << 43
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, texts, hashed = (c.slice(at, 500).to_pylist() for c in batch.columns)
-                split = [(t or "").split("\n") for t in texts]
+            for part in portions([x + 1000 for x in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()]):
+                ids, texts, hashed = (c.slice(part.start, part.stop - part.start) for c in batch.columns)
+                split = [(t or "").split("\n") for t in texts.to_pylist()]
                 sizes = np.array([len(x) for x in split])
-                words, h1, h2, sim, keys = hashes_and_keys([x for lines in split for x in lines])
-                keep = np.flatnonzero(words)
+                every = [x for lines in split for x in lines]
+                got = Hashes.of(every)
+                keep = np.flatnonzero(got.words)
                 of = np.repeat(np.arange(len(sizes)), sizes)[keep]
                 number = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
-                pick = [pa.array(x, pa.int64()).take(pa.array(of)) for x in (ids, hashed)]
-                columns = [np.arange(line, line + len(keep)), *pick, number.astype(np.int32), levels([x for lines in split for x in lines])[keep], h1[keep], h2[keep], sim[keep], *keys[keep].T]
+                pick = [x.take(pa.array(of)) for x in (ids, hashed)]
+                short = [normalised(every[i]) if len(every[i]) <= 8 * TINY else None for i in keep]
+                short = [x if x is not None and len(x) <= TINY else None for x in short]
+                sim = np.where([x is None for x in short], got.sim[keep], np.int64(-1 << 63))
+                words, none = got.words[keep], lambda x: pa.array(np.ascontiguousarray(x[0]), mask=x[1])
+                keys = [none((c, words < WIDE)) for c in got.by_words[keep].T] + [none((c, words > NARROW)) for c in got.by_bytes[keep].T]
+                columns = [pa.array(np.arange(line, line + len(keep))), *pick, *map(pa.array, (number.astype(np.int32), levels(every)[keep], got.h1[keep], got.h2[keep], sim)), *keys, pa.array(short, pa.string())]
                 line += len(keep)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
     return materialize(docs.select(F.col("doc_id").cast("long"), "text", "text_hash").mapInArrow(run, LINES), "lines")
 
@@ -258,40 +277,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(test, "u long, v long")
 
 
-def _near(df: pd.DataFrame) -> np.ndarray:
-    """Which rows of a block pair are near each other and in different components, i < j."""
-    sim, side, component = (df[c].to_numpy() for c in ("sim", "side", "component"))
-    ok = near(sim[:, None], sim[None, :])
-    ok &= component[:, None] != component[None, :]
-    if len(set(side.tolist())) > 1:
-        ok &= side[:, None] != side[None, :]
-    return np.triu(ok)
-
-
-def _near_in_blocks(rest: DataFrame) -> DataFrame:
-    """(key, u, v) of large buckets, from the SimHashes alone.
-
-    Where few rows of two blocks are near each other, these pairs (key is null); else, as in
-    a group of near copies, the bucket's rows u that have a near one (v is null).
-    """
+def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join the components of mixed buckets (key, node, component)."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        node, ok = df.node.to_numpy(), _near(df)
-        i, j = np.nonzero(ok)
-        if len(i) <= 4 * len(df):
-            out = {"key": None, "u": np.minimum(node[i], node[j]), "v": np.maximum(node[i], node[j])}
-        else:
-            out = {"key": df.key.iloc[0], "u": node[ok.any(0) | ok.any(1)], "v": None}
-        return pd.DataFrame(out, columns=["key", "u", "v"]).astype("Int64")
-
-    return deal_in_blocks(rest, BLOCK).groupBy("key", "i", "j").applyInPandas(run, "key long, u long, v long")
-
-
-def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join the components in large buckets of which many rows are near each other."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        component, node = df.component.to_numpy(), df.node.to_numpy()
+        sim, side, component, node = (df[c].to_numpy() for c in ("sim", "side", "component", "node"))
+        ok = near(sim[:, None], sim[None, :]) & (component[:, None] != component[None, :])
+        if side.any():
+            ok &= side[:, None] != side[None, :]
         root = {c: c for c in component.tolist()}
 
         def find(c):
@@ -300,19 +293,30 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
             return c
 
         lines, out = [normalised(x) for x in df.line], []
-        for i, j in zip(*np.nonzero(_near(df)), strict=True):
+        for i, j in zip(*np.nonzero(np.triu(ok)), strict=True):
             p, q = find(int(component[i])), find(int(component[j]))
             if p != q and similar(lines[i], lines[j]):
                 root[p] = q
                 out.append((int(node[i]), int(node[j])))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    dealt = deal_in_blocks(rest.join(texts, "node"), BLOCK)
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
+    dealt = deal_in_blocks(rest).join(info, "node").join(texts, "node")
+    return materialize(dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long"), "links")
+
 
+def deletion_keys(tiny: DataFrame) -> DataFrame:
+    """(key, node, sim) of lines (node, tiny, sim): what deletions leave, in hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(h, i, s) for i, x, s in zip(*(c.to_pylist() for c in batch.columns), strict=True) for h in {1 << 62 | int.from_bytes(blake2b(y.encode(), digest_size=8).digest()) >> 12 << 10 for y in deletions(x)}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * 3)], ["key", "node", "sim"])
+
+    return tiny.select("node", "tiny", "sim").mapInArrow(run, "key long, node long, sim long")
 
-def shared_keys(slim: DataFrame) -> DataFrame:
-    """(key, a, b): what the nodes that share a key give.
+
+def shared_keys(slim: DataFrame, more: DataFrame) -> DataFrame:
+    """(key, a, b): what the nodes that share a key give. more: further rows (key, node, sim).
 
     Rows of a key come one after another. Of up to FEW rows, all pairs a, b within the
     distance come out, with a null key; of more rows, each row with its key and two levels of
@@ -355,36 +359,33 @@ def shared_keys(slim: DataFrame) -> DataFrame:
         yield pairs(kept)
 
     # a key has its number above its 32 bits, the level of length below them
-    half = lambda k: F.col(f"k{k // 2}") if k % 2 == 0 else F.shiftright(f"k{k // 2}", 32)
-    keys = [F.shiftleft(half(k).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32)), 10).bitwiseOR(F.col("level").cast("long")) for k in range(KEYS)]
-    rows = slim.select(F.explode(F.array(*keys)).alias("key"), "node", "sim")
+    keys = []
+    for k in range(2 * KEYS):
+        half = F.col(PACKED[k // 2]) if k % 2 == 0 else F.shiftright(PACKED[k // 2], 32)
+        keys.append(F.shiftleft(half.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32)), 10).bitwiseOR(F.col("level").cast("long")))
+    rows = slim.select(F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("key"), "node", "sim").unionByName(more)
     rows = rows.repartition(F.shiftright("key", 10)).sortWithinPartitions("key")
     return rows.mapInArrow(run, "key long, a long, b long")
 
 
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h1, h2, group) of the classes that occur more than once or are linked."""
-    classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in SIGNATURE])
+    classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("level", "sim", *PACKED)])
     classes = materialize(classes, "line-classes")
-    buckets = materialize(shared_keys(classes), "buckets")
+    tiny = lines.where("tiny is not null").groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.first("sim").alias("sim"), F.first("tiny").alias("tiny"))
+    buckets = materialize(shared_keys(classes, deletion_keys(tiny)), "buckets")
     first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
-    ends = F.explode(F.array("a", "b")).alias("node")
-    links = materialize(_confirmed(first, _texts(first.select(ends), lines, docs)), "links")
-    groups = connected_components(links)
-    # buckets of more than FEW rows: what links could still join components
-    large = buckets.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("sim"))
-    sizes = large.groupBy("key").agg(F.count("*").alias("m"))
-    placed = large.join(sizes, "key").join(groups, "node", "left").select("key", "node", "sim", "m", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(placed.join(mixed, "key"), "mixed")
-    found = materialize(_near_in_blocks(rest), "near")
-    dense = found.where("key is not null").select("key", F.col("u").alias("node")).distinct()
-    large = rest.join(dense, ["key", "node"], "left_semi")
-    more = found.where("key is null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    texts = _texts(more.select(ends).unionByName(dense.select("node")), lines, docs)
-    links = links.unionByName(_confirmed(more, texts)).unionByName(_links_in_blocks(large, texts))
-    groups = connected_components(links)
+    large = buckets.where("key is not null").select("key", F.col("a").alias("node"))
+    texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), lines, docs)
+    info = classes.select("node", "level", "sim")
+
+    def test(pairs: DataFrame) -> DataFrame:
+        x, y = info.alias("x"), info.alias("y")
+        may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y"))
+        return materialize(_confirmed(may.select("a", "b"), texts), "links")
+
+    links = materialize(_confirmed(first, texts), "links")
+    groups = settle(large, links, test, lambda rest: _links_in_blocks(rest, info, texts))
     out = classes.join(groups, "node", "left").where("times > 1 or component is not null")
     return materialize(out.select("h1", "h2", F.coalesce("component", "node").alias("group")), "line-groups")
 
@@ -393,9 +394,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, numbers): the lines that go; docs holds doc_id, text, text_hash."""
     lines = line_table(docs)
     found = lines.join(line_groups(lines, docs), ["h1", "h2"]).select("group", F.col("doc_id").isNull().alias("late"), "doc_id", "number", "text_hash")
-    place = F.struct("late", "doc_id", "number", "text_hash")
-    kept = found.groupBy("group").agg(F.min(place).alias("kept"))
-    gone = found.join(kept, "group").where(~place.eqNullSafe(F.col("kept")))
+    found = materialize(found, "found")
+    kept = found.groupBy("group").agg(F.min(F.struct("late", "doc_id", "number", "text_hash")).alias("x")).select("x.*")
+    # by place and not by group, a key that holds no more than a document's copies
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("number").alias("_number"), F.col("text_hash").alias("_hash"))
+    gone = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("number") == F.col("_number")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers"))
 
 
@@ -423,6 +426,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each document how many lines stay and went, and its remaining text."""
+    """Of each document how many lines went, and checksum and length of the text that is left."""
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "lines_gone", F.crc32("text").alias("text_crc32"), F.length("text").alias("n_chars"))

@@ -8,8 +8,8 @@ full sets. With 32 bands of 4 minima a pair at 0.85 is missed with probability 6
 
 No bucket is turned into all its pairs: its members are first held against one hub, and the
 linked ones become components. Where a bucket still holds several components, its members
-are compared in pairs if they are few, else in blocks that give only the links which join
-components. So no link between different components is lost.
+are compared in pairs if they are at most FEW, else against further hubs and at last, what
+those leave apart, in blocks (buckets.py). So no link between different components is lost.
 
 Null and empty texts and texts without words have no shingles and link with nothing.
 Repeated rows are copies. Rows with a null doc_id take part; a component's id is its
@@ -23,21 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import connected_components, documents, materialize
+from .buckets import deal_in_blocks, mixed, placed, settle
 from .shingles import mix, overlap, portions, shingle_sets
 
 MINIMA, BANDS, BITS, MARGIN = 128, 32, 2, 0.25
-FEW, BLOCK = 16, 256
+FEW = 16
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 
-SIGNATURE = "_row long, doc_id long, n long, hi long, lo long, planes array<long>, bands array<long>"
-_ARROW = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("planes", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+SIGNATURE = "_row long, doc_id long, text_hash long, n long, hi long, lo long, planes array<long>, bands array<long>"
+_ARROW = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("planes", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -72,18 +74,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            all_ids, all_texts = (c.to_pylist() for c in batch.columns)
-            for part in portions([len(t or "") + 1000 for t in all_texts]):
-                ids, texts = all_ids[part], all_texts[part]
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for part in portions([n + 1000 for n in sizes]):
+                ids, hashed, texts = (c.slice(part.start, part.stop - part.start).to_pylist() for c in batch.columns)
                 sets = shingle_sets(texts, width)
                 planes, bands = packed(np.stack([minima(s) for s in sets]))
                 prints = [fingerprint(s) for s in sets]
                 flat = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-                columns = [np.arange(row, row + len(ids)), ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
+                columns = [np.arange(row, row + len(ids)), ids, hashed, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), flat(np.ascontiguousarray(planes)), flat(np.ascontiguousarray(bands))], schema=_ARROW)
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE), "signatures")
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE), "signatures")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -106,9 +108,9 @@ def shingle_table(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [c.to_pylist() for c in batch.columns]
-            for part in portions([len(t or "") + 1000 for t in every[0]]):
-                texts, rows, hi, lo = (c[part] for c in every)
+            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
+            for part in portions([n + 1000 for n in sizes]):
+                texts, rows, hi, lo = (c.slice(part.start, part.stop - part.start).to_pylist() for c in batch.columns)
                 found = [(r, s.tobytes()) for r, s, h, k in zip(rows, shingle_sets(texts, width), hi, lo, strict=True) if fingerprint(s) == (h, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "shingles"])
 
@@ -173,22 +175,11 @@ def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray,
     return out
 
 
-def deal_in_blocks(rest: DataFrame, block: int) -> DataFrame:
-    """Rows of large buckets (key, node, m, ...), one for every two blocks (i, j) they are in.
+def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of mixed buckets (key, node, component).
 
-    A bucket of m members is dealt by a hash into ceil(m / block) blocks; side is a row's own.
-    """
-    dealt = rest.withColumn("parts", F.ceil(F.col("m") / F.lit(block)).cast("int"))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key", "node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("parts", "other", "m")
-
-
-def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between components within large buckets: rest has key, node, component, m.
-
-    Every two blocks of a bucket meet in one task, which gives no more than the links that
-    join their components.
+    Every two blocks meet in one task, which gives no more than the links that join their
+    components.
     """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -196,45 +187,72 @@ def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int =
         links = spanning_links(df.node.to_numpy(), df.component.to_numpy(), df.side.to_numpy(), held, percent)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    dealt = deal_in_blocks(rest.join(sets, "node"), block)
+    dealt = deal_in_blocks(rest).join(sets, "node")
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
-def duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n and group (any number) of every row of docs."""
     sig = signatures(docs, width)
     classes = sig.where("n > 0").groupBy("hi", "lo").agg(F.min("_row").alias("node"))
-    member = materialize(sig.join(classes, ["hi", "lo"], "left").select("_row", "doc_id", "n", "node"), "members")
+    member = materialize(sig.join(classes, ["hi", "lo"], "left").select("_row", "doc_id", "text_hash", "n", "node"), "members")
     reps = materialize(sig.join(member.where("_row = node").select("_row"), "_row", "left_semi"), "classes")
     slim = reps.select(F.col("_row").alias("node"), "n", "planes")
     bands = reps.select(F.col("_row").alias("node"), F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = materialize(bands.join(hubs, "key"), "buckets")
+    sizes = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    buckets = materialize(bands.join(sizes, "key"), "buckets")
     sets = shingle_table(buckets, reps, docs, width)
 
-    x, y = slim.alias("x"), slim.alias("y")
+    def test(pairs: DataFrame) -> DataFrame:
+        x, y = slim.alias("x"), slim.alias("y")
+        may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y", percent))
+        return materialize(confirmed(materialize(may.select("a", "b"), "pairs"), sets, percent), "links")
+
     first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    first = materialize(first.where(may_link("x", "y", percent)).select("a", "b"), "pairs")
-    links = materialize(confirmed(first, sets, percent), "links")
-    groups = connected_components(links)
+    links = test(first)
     # buckets that still hold several components; of two members the pair has been tested
-    placed = buckets.where("m > 2").select("key", "node", "m").join(groups, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(placed.join(mixed, "key"), "mixed")
-    few = rest.where(F.col("m") <= FEW).join(slim, "node")
+    rows = materialize(placed(buckets.where("m > 2").select("key", "node", "m"), connected_components(links)), "placed")
+    rest = materialize(rows.join(mixed(rows).select("key"), "key", "left_semi"), "mixed")
+    few = rest.where(F.col("m") <= FEW)
     x, y = few.alias("x"), few.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, apart & may_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = more.join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(more, sets, percent)).unionByName(links_in_blocks(rest.where(F.col("m") > FEW), sets, percent))
-    groups = connected_components(links)
-    out = member.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node", "_row"))
+    more = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = links.unionByName(test(more))
+    groups = settle(rest.where(F.col("m") > FEW), links, test, lambda rows: materialize(links_in_blocks(rows, sets, percent), "links"))
+    out = member.join(groups, "node", "left")
+    # rows without shingles are in groups of their own
+    return out.select("doc_id", "text_hash", "n", F.coalesce("component", "node", "_row").alias("group"))
+
+
+def duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    out = near_groups(docs, width, percent)
     least = out.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = out.join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    # rows without shingles are in groups of their own
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates, that with the smallest doc_id.
+
+    Null doc_ids come last; under one doc_id the text with the smallest hash is kept, and of
+    rows equal in both any one. All columns of docs come back.
+    """
+    groups = materialize(near_groups(docs, width, percent).select("group", F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash"), "groups")
+    place = F.struct("late", "doc_id", "text_hash")
+    kept = groups.groupBy("group").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    found = materialize(groups.join(kept, "group"), "grouped").where("n > 1")
+    gone = found.where(~place.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).distinct()
+    # kept rows that are there more than once
+    twice = found.where(place.eqNullSafe(F.col("kept"))).groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).count().where("count > 1").drop("count")
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col("__cf_id")) & (F.xxhash64("text") == F.col("__cf_hash"))
+    left = docs.join(gone, at, "left_anti")
+    again = materialize(twice, "repeated")
+    if again.isEmpty():
+        return left
+    one = left.join(again, at, "left_semi").withColumn("__cf_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__cf_hash"]).drop("__cf_hash")
+    return left.join(again, at, "left_anti").unionByName(one)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(documents(spark, sf_dir), width=3, percent=85)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chunkflow.llm import decontam, lines, minhash
+from chunkflow.llm import buckets, decontam, lines, minhash
 from chunkflow.llm._spark import connected_components, materialize
 
 from .conftest import prose
@@ -51,9 +51,11 @@ def test_groups_equal_brute_force(spark, tiny, width, percent):
     assert got == want
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_a_large_group_of_near_copies(spark, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "FEW", 4)
-    monkeypatch.setattr(minhash.links_in_blocks, "__defaults__", (16,))
+    monkeypatch.setattr(buckets.settle, "__defaults__", (rounds,))
+    monkeypatch.setattr(buckets.deal_in_blocks, "__defaults__", (16,))
     base, rng, texts = prose(1, 120).split(), random.Random(3), {}
     for i in range(120):
         own = list(base)
@@ -102,10 +104,16 @@ def kept_lines(texts: dict[int, str]):
             if norm := lines.normalised(line):
                 places.setdefault(norm, []).append((i, n))
     keys, group = list(places), Union()
-    words, _, _, sim = lines.line_hashes(keys)
-    for a, b in combinations(range(len(keys)), 2):
-        if min(words[a], words[b]) >= lines.WORDS and bin((int(sim[a]) ^ int(sim[b])) & (1 << 64) - 1).count("1") <= lines.DISTANCE and lines.similar(keys[a], keys[b]):
-            group.join(a, b)
+    bags = np.zeros((len(keys), 256), np.int32)
+    for k, norm in enumerate(keys):
+        np.add.at(bags[k], [ord(c) % 256 for c in norm], 1)
+    sizes = bags.sum(1)
+    for a in range(len(keys)):
+        # an edit changes two counts by one at most
+        may = 5 * np.maximum(np.abs(bags - bags[a]).sum(1) / 2, np.abs(sizes - sizes[a])) <= np.maximum(sizes, sizes[a])
+        for b in np.flatnonzero(may[:a]).tolist():
+            if group.find(a) != group.find(b) and lines.similar(keys[a], keys[b]):
+                group.join(a, b)
     first: dict[int, tuple[int, int]] = {}
     for k, norm in enumerate(keys):
         g = group.find(k)
@@ -114,9 +122,11 @@ def kept_lines(texts: dict[int, str]):
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in texts.items()}
 
 
-def test_lines_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_lines_equal_brute_force(spark, monkeypatch, rounds):
     monkeypatch.setattr(lines, "FEW", 4)
-    monkeypatch.setattr(lines, "BLOCK", 16)
+    monkeypatch.setattr(buckets.deal_in_blocks, "__defaults__", (16,))
+    monkeypatch.setattr(buckets.settle, "__defaults__", (rounds,))
     rng, base, texts = random.Random(8), prose(4, 120).split(), {}
     for i in range(90):
         own = list(base)
@@ -157,6 +167,29 @@ def test_odd_lines(spark, messy, nothing):
     assert lines.dedup_lines(nothing).collect() == []
 
 
+def test_tiny_lines_within_their_edits_share_a_deletion():
+    rng = random.Random(2)
+    for _ in range(4000):
+        a = "".join(rng.choice("ab c") for _ in range(rng.randint(1, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = rng.choice([[], ["a"], ["d"]])
+        b = "".join(b)
+        if b and len(b) <= lines.TINY and lines.similar(a, b):
+            assert lines.deletions(a) & lines.deletions(b)
+
+
+def test_near_duplicates_go_by_row(spark, messy, nothing):
+    one, two, other = prose(1, 80), prose(1, 80) + " end", prose(7, 80)
+    rows = [(3, one), (8, two), (8, other), (3, one), (None, one), (None, other), (None, None), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"group": F.lit(1), "kept": F.lit("x")}).repartition(3)
+    out = minhash.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, ""), (-1, ""), (3, one), (8, other), (9, "")]
+    assert minhash.without_near_duplicates(nothing).collect() == [] and minhash.without_near_duplicates(messy).count() == messy.count() - 3
+
+
 def test_edit_distance():
     rng = random.Random(1)
 
