@@ -5,11 +5,13 @@ method C (distinct / (total + distinct)) and no exclusions. The statistics are f
 byte costs what its last four bytes say, and a text's exact code length is a sum of table
 look-ups. The language with the shortest code wins, ties go to the smaller name.
 
-Statistics come from at most about `most_rows` rows of each language, chosen by a hash, and
-from the `most_grams` most frequent (language, four bytes), fewer where there are so many
-languages that the table would pass MOST_COSTS numbers; these bound what is broadcast.
-Null texts and texts without a letter are `und` with score 0, as is every text if nothing
-could be learned. Rows with null doc_id or lang aren't learned from.
+Statistics come from all grams of at most about `most_rows` rows of each language, chosen by a
+hash. A table of more than MOST_COSTS numbers (grams times languages) isn't broadcast: learning
+starts again from half as many rows, and so on. More than MOST_LANGS languages are an error.
+Null texts and texts without a letter are `und` with score 0, as is every text if nothing could
+be learned. Rows with null doc_id or lang aren't learned from. Repeated rows are predicted each
+and are learned from each; very long texts are scored in stretches. Columns called `lang_pred`
+or `score` are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -23,31 +25,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import documents
+from ._spark import documents, materialize
+from .arrow import portions
 from .quality import fold
 
-FOLDS, HELD_OUT, MOST_ROWS, MOST_GRAMS, MOST_COSTS = 4, 2, 20_000, 1_000_000, 1 << 26
+FOLDS, HELD_OUT, MOST_ROWS, MOST_COSTS, MOST_LANGS = 4, 2, 20_000, 1 << 26, 10_000
 ORDER, CHUNK = 3, 1 << 20
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The last four bytes at every byte of the lower-cased texts; where each text ends."""
-    parts = [b"\n\n\n" + (t or "").lower().encode("utf-8", "replace") for t in texts]
+def padded(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
+    """About `most` bytes at a time: the lower-cased texts, each after three line ends, and which they are.
+
+    A longer text comes in stretches that begin with the three bytes before them.
+    """
+    of, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        data = b"\n\n\n" + (t or "").lower().encode("utf-8", "replace")
+        for a in range(0, max(1, len(data) - 3), most):
+            parts.append(data[a : a + most + 3])
+            of.append(i)
+            size += len(parts[-1])
+            if size >= most:
+                yield of, parts
+                of, parts, size = [], [], 0
+    if parts:
+        yield of, parts
+
+
+def grams_in(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The last four bytes at every byte of the parts but their first three; where each part ends."""
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     if len(data) < 4:
-        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
     grams = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
     keep = np.ones(len(grams), bool)
-    for k in range(3):  # the grams that end in a later text's padding
+    for k in range(3):  # the grams that end in a later part's first bytes
         at = ends[:-1] - 3 + k
         keep[at[(at >= 0) & (at < len(grams))]] = False
     return grams[keep], np.cumsum(sizes - 3)
 
 
-def gram_counts(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
+def gram_counts(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(lang, gram, n) of rows (lang, text), summed by partition first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,11 +79,13 @@ def gram_counts(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(got), "gram": list(got), "n": list(got.values())}, GRAMS)
             found.clear()
 
-        for batch in batches:
-            df = pd.DataFrame({"lang": batch.column(0).to_pylist(), "text": batch.column(1).to_pylist()})
-            for lang, part in df.groupby("lang"):
-                for texts in _chunked(part.text.tolist()):
-                    values, n = np.unique(grams_of(texts)[0], return_counts=True)
+        for part in (p for batch in batches for p in portions(batch, 1)):
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                for _, parts in padded(texts):
+                    values, n = np.unique(grams_in(parts)[0], return_counts=True)
                     got = found.setdefault(lang, {})
                     for v, k in zip(values.tolist(), n.tolist(), strict=True):
                         got[v] = got.get(v, 0) + k
@@ -73,18 +96,6 @@ def gram_counts(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _chunked(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 class Table(NamedTuple):
     """Costs by key in an open-addressed table, a row of one cost for each language."""
 
@@ -164,17 +175,23 @@ def build(counts: pd.DataFrame) -> Model:
     return model
 
 
-def learn(docs: DataFrame, most_rows: int = MOST_ROWS, most_grams: int = MOST_GRAMS) -> Model | None:
+def learn(docs: DataFrame, most_rows: int = MOST_ROWS, most_costs: int = MOST_COSTS) -> Model | None:
     rows = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
     rows = rows.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(1_000_000 * min(1, most_rows / r["count"])))])
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
-    most = min(most_grams, MOST_COSTS // len(sizes))  # a gram costs a number for each language
-    counts = gram_counts(rows).orderBy(F.desc("n"), "lang", "gram").limit(most).toArrow().to_pandas()
-    return build(counts) if len(counts) else None
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    while True:
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int((1 << 52) * min(1, most_rows / r["count"])))])
+        counts = materialize(gram_counts(rows.where(chance < share[F.col("lang")])), "grams")
+        grams = counts.agg(F.countDistinct("gram")).first()[0]
+        if grams * len(sizes) <= most_costs or most_rows <= 1:
+            break
+        most_rows //= 2
+    return build(counts.toArrow().to_pandas()) if grams else None
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -186,21 +203,17 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         own, langs = held.value, np.array([*held.value.langs, "und"], object)
-        best, score = [], []
-        for part in _chunked(texts.tolist()):
-            total = np.zeros((len(part), len(langs) - 1))
-            grams, ends = grams_of(part)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            for k in range(0, len(grams), CHUNK):
-                costs = own.costs(grams[k : k + CHUNK])
-                inside = np.flatnonzero((ends > k) & (starts < k + len(costs)) & (ends > starts))
-                if len(inside):
-                    total[inside] += np.add.reduceat(costs, np.maximum(starts[inside] - k, 0), axis=0, dtype=np.float64)
-            least = total.min(1, initial=np.inf, keepdims=True)
-            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in part])
-            best.append(langs[np.where(letters, total.argmin(1), len(langs) - 1)])
-            score.append(np.where(letters, 1 / np.exp2(np.maximum(least - total, -1000)).sum(1), 0.0))
-        return pd.DataFrame({"lang_pred": np.concatenate(best) if best else [], "score": np.concatenate(score) if score else []})
+        total = np.zeros((len(texts), len(langs) - 1))
+        for of, parts in padded(texts.tolist()):
+            grams, ends = grams_in(parts)
+            full = np.flatnonzero(np.diff(ends, prepend=0))
+            if len(full):
+                sums = np.add.reduceat(own.costs(grams), np.concatenate([[0], ends[:-1]])[full], axis=0, dtype=np.float64)
+                np.add.at(total, np.array(of)[full], sums)
+        least = total.min(1, initial=np.inf, keepdims=True)
+        letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+        score = np.where(letters, 1 / np.exp2(np.maximum(least - total, -1000)).sum(1), 0.0)
+        return pd.DataFrame({"lang_pred": langs[np.where(letters, total.argmin(1), len(langs) - 1)], "score": score})
 
     out = docs.withColumn("__cf_ppm", run(F.col(text)))
     return out.withColumns({"lang_pred": F.col("__cf_ppm.lang_pred"), "score": F.col("__cf_ppm.score")}).drop("__cf_ppm")

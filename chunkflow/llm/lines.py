@@ -28,15 +28,15 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from ._spark import documents, materialize
+from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle
-from .shingles import _P, _P_INVERSE, _powers, mix, portions, word_hashes
+from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
 SHORT, WIDE, NARROW, TINY, DISTANCE, KEYS, FEW = 10, 8, 12, 14, 24, 8, 64
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -62,7 +62,7 @@ class Hashes(NamedTuple):
 
     @classmethod
     def of(cls, lines: list[str]) -> Hashes:
-        if len(some := list(portions([len(x) + 50 for x in lines]))) > 1:
+        if len(some := list(runs([len(x) + 50 for x in lines], PORTION))) > 1:
             return cls(*(np.concatenate(x) for x in zip(*(cls.of(lines[k]) for k in some), strict=True)))
         words, bounds, start, end = word_hashes(lines, PUNCTUATION)
         n, a, b = np.diff(bounds), bounds[:-1], bounds[1:]
@@ -165,8 +165,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = TaskContext.get().partitionId() << 43
         for batch in batches:
-            for part in portions([x + 1000 for x in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()]):
-                ids, texts, hashed = (c.slice(part.start, part.stop - part.start) for c in batch.columns)
+            for part in portions(batch, 1):
+                ids, texts, hashed = part.columns
                 split = [(t or "").split("\n") for t in texts.to_pylist()]
                 sizes = np.array([len(x) for x in split])
                 every = [x for lines in split for x in lines]

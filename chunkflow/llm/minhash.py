@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import connected_components, documents, materialize
+from .arrow import portions
 from .buckets import deal_in_blocks, mixed, placed, settle
-from .shingles import mix, overlap, portions, shingle_sets
+from .shingles import mix, overlap, shingle_sets
 
 MINIMA, BANDS, BITS, MARGIN = 128, 32, 2, 0.25
 FEW = 16
@@ -74,9 +74,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
-            for part in portions([n + 1000 for n in sizes]):
-                ids, hashed, texts = (c.slice(part.start, part.stop - part.start).to_pylist() for c in batch.columns)
+            for part in portions(batch, 2):
+                ids, hashed, texts = (c.to_pylist() for c in part.columns)
                 sets = shingle_sets(texts, width)
                 planes, bands = packed(np.stack([minima(s) for s in sets]))
                 prints = [fingerprint(s) for s in sets]
@@ -108,9 +107,8 @@ def shingle_table(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
-            for part in portions([n + 1000 for n in sizes]):
-                texts, rows, hi, lo = (c.slice(part.start, part.stop - part.start).to_pylist() for c in batch.columns)
+            for part in portions(batch, 0):
+                texts, rows, hi, lo = (c.to_pylist() for c in part.columns)
                 found = [(r, s.tobytes()) for r, s, h, k in zip(rows, shingle_sets(texts, width), hi, lo, strict=True) if fingerprint(s) == (h, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "shingles"])
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import documents, materialize
-from .tokens import chunk_ids, vocabulary
+from .arrow import portions
+from .tokens import ChunkIds, vocabulary
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 16384, 2, 2, 4, 12
 EOS = 1
@@ -185,14 +186,14 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_i
     arrow = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, key, step = chunk_ids(path), TaskContext.get().partitionId() << 33, capacity * 4
-        for batch in batches:
+        by, key, step = ChunkIds(path), TaskContext.get().partitionId() << 33, capacity * 4
+        for part in (p for batch in batches for p in portions(batch, 1)):
             made: list[tuple] = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 ids = by.encode(text or "") + EOS.to_bytes(4, "little")
                 for piece, k in enumerate(range(0, len(ids), step)):
-                    part = ids[k : k + step]
-                    made.append((key, doc_id, piece, k // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
+                    cut_out = ids[k : k + step]
+                    made.append((key, doc_id, piece, k // 4, len(cut_out) // 4, zlib.crc32(cut_out), cut_out)[: len(fields)])
                     key += 1
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)

@@ -23,8 +23,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ._spark import documents, materialize
+from .arrow import portions
 
 FEATURES, RIDGE, SEED, MOST_LABELS, BINS = 256, 1e-3, 7, 400_000, 4000
 THRESHOLD = 0.3
@@ -90,15 +92,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics; written to the shared folder."""
+def with_statistics(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """doc_id, x (the statistics) and the columns named in keep; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+        for part in (p for batch in batches for p in portions(batch, 1)):
+            x = [statistics(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64())), *(part.column(k) for k in at)], ["__cf_id", "__cf_x", *keep])
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>"), "statistics")
+    more = [c for c in keep if c != "text"]
+    at = [1 if c == "text" else 2 + more.index(c) for c in keep]
+    schema = StructType([StructField("__cf_id", LongType()), StructField("__cf_x", ArrayType(DoubleType())), *(docs.schema[c] for c in keep)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("__cf_id"), F.col("text"), *(F.col(f"`{c}`") for c in more)).mapInArrow(run, schema)
+    return materialize(rows, "statistics")
 
 
 def isotonic(x: np.ndarray, sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +146,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", features: i
         return None
     if n > most_labels:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most_labels / n))
-    rows = materialize(stats.join(known, "doc_id").select("x", "y", "fold"), "labelled")
+    rows = stats.select(F.col("__cf_id").alias("doc_id"), F.col("__cf_x").alias("x")).join(known, "doc_id").select("x", "y", "fold")
+    # few, bounded rows: as few partitions as their sums need
+    rows = materialize(rows.repartition(max(1, -(-min(n, most_labels) // 4000))), "labelled")
     learn = rows.where(F.col("fold") != CALIBRATION).select("x", "y")
     moments = _summed(learn, lambda x, y: np.vstack([x.sum(0), (x**2).sum(0), np.full(x.shape[1], len(x))]), 0)
     if not len(moments):
@@ -182,25 +190,20 @@ def score_statistics(x: Column, model: Model | None) -> Column:
     return score(x)
 
 
-def score_texts(text: Column, model: Model | None) -> Column:
-    """The score of each text, its statistics worked out on the way."""
-    if model is None:
-        return F.lit(0.5)
-
-    @F.pandas_udf("double")
-    def score(rows: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in rows])) if len(rows) else [], dtype="float64")
-
-    return score(text)
-
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that a classifier learned from labels scores at the threshold or above.
 
-def quality_model(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(document_statistics(docs), labels)
+    Each text's statistics are worked out once; they and the rows wait in the shared folder
+    until the model is there.
+    """
+    stats = with_statistics(docs, docs.columns)
+    good = stats.where(score_statistics(F.col("__cf_x"), fit(stats, labels)) >= threshold)
+    return good.drop("__cf_id", "__cf_x")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = document_statistics(documents(spark, sf_dir))
+    stats = with_statistics(documents(spark, sf_dir))
     model = fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    out = stats.select("doc_id", held_out.alias("held_out"), score_statistics(F.col("x"), model).alias("score"))
+    held_out = F.coalesce(fold(F.col("__cf_id"), FOLDS) == HELD_OUT, F.lit(False))
+    out = stats.select(F.col("__cf_id").alias("doc_id"), held_out.alias("held_out"), score_statistics(F.col("__cf_x"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

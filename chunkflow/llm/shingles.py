@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 
 #: Characters that are hashed at once, a bound on memory.
@@ -59,18 +57,6 @@ def word_hashes(texts: list[str | None], table: bytes | None = None) -> tuple[np
     return words, np.searchsorted(start, np.cumsum(sizes)), start, end
 
 
-def portions(sizes: list[int], most: int = PORTION) -> Iterator[slice]:
-    """Runs of items whose sizes add up to about `most`, or single larger items."""
-    start = total = 0
-    for i, size in enumerate(sizes):
-        if i > start and total + size > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += size
-    if len(sizes) > start:
-        yield slice(start, len(sizes))
-
-
 def _words_in_parts(text: str) -> np.ndarray:
     out, at = [], 0
     while at < len(text):

@@ -2,7 +2,7 @@
 
 No pre-token crosses white space, so a chunk's ids never depend on its neighbours: a text
 is the sequence of its chunks, and what a chunk gives is worked out once per worker. The
-memory of chunks is bounded and forgets all when full; results don't depend on it.
+memory of chunks is bounded and forgets the oldest when full; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import re
 from array import array
 from functools import lru_cache
 
+from .arrow import Memory
+
 #: Python splits at these too, the tokenizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: A Latin-1 word and closing punctuation: lower-casing is all the normalizer does to it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-MOST_CHUNKS = 400_000
+#: Bounds on what is remembered: entries of a generation, characters of an entry.
+MOST_CHUNKS, MOST_CHARS = 200_000, 64
 
 
 def chunks(text: str) -> list[str]:
@@ -66,37 +69,31 @@ def pre_tokenizer(path: str) -> PreTokenizer:
     return PreTokenizer(path)
 
 
-class ChunkIds(dict):
+class ChunkIds(Memory):
     """chunk -> its ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.by, self.words = pre_tokenizer(path), {}
+        super().__init__(MOST_CHUNKS)
+        self.by, self.words = pre_tokenizer(path), Memory(MOST_CHUNKS)
 
     def __missing__(self, chunk: str) -> bytes:
+        if (out := super().__missing__(chunk)) is not None:
+            return out
         out = b""
         for p in self.by.split(chunk):
-            if (got := self.words.get(p)) is None:
-                if len(self.words) >= MOST_CHUNKS:
-                    self.words.clear()
+            if (got := self.words[p]) is None:
                 got = array("I", self.by.ids(p)).tobytes()
-                if len(p) <= 64:
-                    self.words[p] = got
+                if len(p) <= MOST_CHARS:
+                    self.words.keep(p, got)
             out += got
-        if len(self) >= MOST_CHUNKS:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = out
+        if len(chunk) <= MOST_CHARS:
+            self.keep(chunk, out)
         return out
 
     def encode(self, text: str) -> bytes:
         return b"".join([self[c] for c in chunks(text)])
 
 
-@lru_cache(maxsize=4)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file is installed."""
     import public_tokenizers

@@ -3,9 +3,11 @@
 Archives are ``.warc.gz`` files, one gzip member a record; the reader also takes plain
 ``.warc``. After a failed check (broken member, bad version line, missing or wrong length,
 wrong digest) the reader searches for the next gzip member or version line that begins a
-sound record, goes on there and logs the bytes between as a gap. Null payloads are empty
-ones, null URLs leave the header out, repeated rows give repeated records. A table without
-rows gives no archive. An archive that can't be opened is one gap of length -1.
+sound record, goes on there and logs the bytes between as a gap. A member may hold several
+records; the reader streams it, and if something in it is unsound its records that are sound
+come back beside a gap of the whole member. Null payloads are empty ones, null URLs and ids
+leave their headers out, repeated rows give repeated records, other columns are left out. A table
+without rows gives no archive. An archive that can't be opened is one gap of length -1.
 """
 
 from __future__ import annotations
@@ -44,14 +46,15 @@ def with_revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame
     """page_id, url, payload, payload_digest, refers_to; refers_to is null for responses.
 
     Of rows with equal payloads of min_bytes or more, those with the largest page_id are
-    responses. A group's row is its maximum, combined before the shuffle; the join back
-    is one that Spark splits if a payload is very common.
+    responses; a row with a null id revisits them, unless no row has an id. A group's row is its
+    maximum, combined before the shuffle; the join back is one that Spark splits if a payload is
+    very common.
     """
     p = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     p = p.withColumn("payload_digest", F.sha1("payload"))
     long = F.length("payload") >= min_bytes
     group = p.where(long).groupBy(F.col("payload_digest").alias("_digest"))
-    group = group.agg(F.max("page_id").alias("_first"), F.min("page_id").alias("_last")).where("_first <> _last")
+    group = group.agg(F.max("page_id").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1 and _first is not null")
     out = p.join(group, (F.col("payload_digest") == F.col("_digest")) & long, "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_first")), F.col("_first"))
     return out.select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
@@ -113,10 +116,13 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
 
 
 class _Window:
-    """A forward view of a stream: bytes from `start` on, read as they are asked for."""
+    """A forward view of a stream: bytes from `start` on, read as they are asked for.
 
-    def __init__(self, stream, step: int = 1 << 20):
-        self.stream, self.step, self.start, self.data, self.ended = stream, step, 0, bytearray(), False
+    size, if known, is the stream's length in bytes.
+    """
+
+    def __init__(self, stream, size: int | None = None, step: int = 1 << 20):
+        self.stream, self.size, self.step, self.start, self.data, self.ended = stream, size, step, 0, bytearray(), False
 
     def fill(self, n: int) -> bool:
         while len(self.data) < n and not self.ended:
@@ -125,11 +131,41 @@ class _Window:
             self.data += got
         return len(self.data) >= n
 
+    def holds(self, n: int) -> bool:
+        """fill(n), without reading on where the stream is known to be shorter."""
+        return (self.size is None or self.start + n <= self.size) and self.fill(n)
+
     def drop(self, n: int) -> None:
         del self.data[:n]
         self.start += n
 
 
+class _Inflated:
+    """The gzip member at a window's start as a stream; taken counts the bytes it used.
+
+    It ends where the member breaks; broken says how.
+    """
+
+    def __init__(self, w: _Window):
+        self.w, self.unzip, self.taken, self.broken = w, zlib.decompressobj(31), 0, ""
+
+    def read(self, _n: int) -> bytes:
+        while not self.unzip.eof and not self.broken:
+            if not self.w.fill(self.taken + 1):
+                self.broken = "member is cut off"
+                break
+            piece = bytes(self.w.data[self.taken : self.taken + (1 << 12)])
+            try:
+                out = self.unzip.decompress(piece)
+            except zlib.error as e:
+                self.broken = f"broken member: {e}"
+                break
+            self.taken += len(piece) - len(self.unzip.unused_data)
+            if out:
+                return out
+        return b""
+
+
 def _parse(block: bytes) -> dict:
     """The record that begins a decompressed member or a plain stretch; ValueError if unsound."""
     m = VERSION.match(block)
@@ -160,31 +196,13 @@ def _row(head: dict, body: bytes) -> dict:
     return {"page_id": whole("warc-page-id"), "url": head.get("warc-target-uri"), "record_type": kind, "refers_to": whole("warc-refers-to-page-id"), "payload_bytes": int(size[1]) if size else len(payload), "payload_digest": hexed, "payload": payload}
 
 
-def _member(w: _Window) -> tuple[int, dict]:
-    """(bytes taken, row) of the gzip member at the window's start."""
-    d, taken, out = zlib.decompressobj(31), 0, bytearray()
-    try:
-        while not d.eof:
-            if not w.fill(taken + 1):
-                raise ValueError("member is cut off")
-            piece = bytes(w.data[taken : taken + (1 << 16)])
-            out += d.decompress(piece)
-            taken += len(piece) - len(d.unused_data)
-    except zlib.error as e:
-        raise ValueError(f"broken member: {e}") from None
-    head = _parse(bytes(out))
-    if len(out) < head["to"]:
-        raise ValueError("content is shorter than its length")
-    return taken, _row(head, bytes(out[head["from"] : head["to"]]))
-
-
 def _plain(w: _Window) -> tuple[int, dict]:
+    """(bytes taken, row) of the record whose version line is at the window's start."""
     n = 1 << 12
     while w.fill(n) and w.data.find(b"\r\n\r\n") < 0 and n < 1 << 20:
         n *= 2
-    w.fill(n)
     head = _parse(bytes(w.data[:n]))
-    if not w.fill(head["to"]):
+    if not w.holds(head["to"]):
         raise ValueError("content is cut off")
     row, taken = _row(head, bytes(w.data[head["from"] : head["to"]])), head["to"]
     w.fill(taken + 4)
@@ -193,37 +211,74 @@ def _plain(w: _Window) -> tuple[int, dict]:
     return taken, row
 
 
-def salvage(stream) -> Iterator[dict]:
-    """Rows of kind record or gap, in order, of one archive; memory holds one record."""
-    w, bad, reason = _Window(stream), None, ""
+def _members(w: _Window) -> Iterator[dict]:
+    """Rows of the gzip member at the window's start, which goes; ValueError if it is broken.
+
+    The last record's length is the member's, an earlier one's is null. A broken member's last
+    record counts as unsound.
+    """
+    inner, last, reason = _Inflated(w), None, ""
+    for row in _salvaged(_Window(inner), members=False):
+        if row["kind"] == "gap":
+            reason = reason or row["reason"]
+            continue
+        if last is not None:
+            yield last
+        last = row | {"offset": w.start, "length": None}
+    if last is None or inner.broken:
+        raise ValueError(inner.broken or reason or "a member without a record")
+    yield last | {"length": inner.taken}
+    if reason:
+        yield {"kind": "gap", "offset": w.start, "length": inner.taken, "reason": reason}
+    w.drop(inner.taken)
+
+
+def _salvaged(w: _Window, members: bool = True) -> Iterator[dict]:
+    begins = (MEMBER, b"WARC/") if members else (b"WARC/",)
+    bad, reason = None, ""
     while w.fill(1):
         w.fill(32)
-        read = _member if w.data.startswith(MEMBER) else _plain if VERSION.match(bytes(w.data[:32])) else None
         try:
-            if not read:
+            if members and w.data.startswith(MEMBER):
+                found = _members(w)
+                row = next(found)
+            elif VERSION.match(bytes(w.data[:32])):
+                taken, row = _plain(w)
+                row, found = row | {"kind": "record", "offset": w.start, "length": taken}, None
+            else:
                 raise ValueError("no member or version line")
-            taken, row = read(w)
+            if bad is not None:
+                yield {"kind": "gap", "offset": bad, "length": w.start - bad, "reason": reason}
+                bad = None
+            yield row
+            if found is None:
+                w.drop(taken)
+            else:
+                yield from found
         except (ValueError, TypeError) as e:
             bad, reason = (w.start, str(e)) if bad is None else (bad, reason)
             w.drop(1)
             while w.fill(1):  # to the next place where one could begin
-                at = [x for x in (w.data.find(MEMBER), w.data.find(b"WARC/")) if x >= 0]
+                at = [x for x in map(w.data.find, begins) if x >= 0]
                 if at:
                     w.drop(min(at))
                     break
                 w.drop(max(1, len(w.data) - 4) if not w.ended else len(w.data))
                 if len(w.data) <= 4 and not w.fill(len(w.data) + 1):
                     w.drop(len(w.data))
-            continue
-        if bad is not None:
-            yield {"kind": "gap", "offset": bad, "length": w.start - bad, "reason": reason}
-            bad = None
-        yield row | {"kind": "record", "offset": w.start, "length": taken}
-        w.drop(taken)
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": w.start - bad, "reason": reason}
 
 
+def salvage(stream, size: int | None = None) -> Iterator[dict]:
+    """Rows of kind record or gap, in order, of one archive of `size` bytes, if known.
+
+    Memory holds one record and the compressed bytes of its member; a length that points beyond
+    the archive's end isn't followed.
+    """
+    return _salvaged(_Window(stream, size))
+
+
 def read_warc(archives: DataFrame, keep_payload: bool = True, rows: int = 200) -> DataFrame:
     """Records and gaps of the archives whose URIs are in column path."""
 
@@ -238,12 +293,12 @@ def read_warc(archives: DataFrame, keep_payload: bool = True, rows: int = 200) -
                 got = []
                 try:
                     store, name = fs.FileSystem.from_uri(path)
-                    stream = store.open_input_stream(name, compression=None)
+                    stream, size = store.open_input_stream(name, compression=None), store.get_file_info(name).size
                 except (OSError, ValueError) as e:
                     yield frame([{"path": path, "kind": "gap", "offset": 0, "length": -1, "reason": str(e)[:200]}])
                     continue
                 with stream:
-                    for row in salvage(stream):
+                    for row in salvage(stream, size):
                         if not keep_payload:
                             row["payload"] = None
                         got.append(row | {"path": path})

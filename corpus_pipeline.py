@@ -19,8 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go: those it scores below the threshold."""
-    model = quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(quality.score_texts(F.col("text"), model) >= quality.THRESHOLD).select(COLUMNS)
+    return quality.good_documents(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id.
-
-    Of rows with equal doc_id and text one stays; the rare doc_ids that repeat are told apart
-    by text, so that other texts needn't be shuffled.
-    """
-    groups = materialize(minhash.duplicate_groups(docs).where("doc_id is not null").select("doc_id", "kept"), "groups")
-    gone = groups.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left.select(COLUMNS)
-    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(twice).select(COLUMNS)
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    return minhash.without_near_duplicates(docs.select(COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from chunkflow.llm import langid, quality, tokencount
 from chunkflow.llm.tokens import vocabulary
 
+from .conftest import prose
+
 VOCAB = vocabulary("word_bpe_49k.json")
 
 
@@ -45,14 +50,14 @@ def test_code_lengths_are_those_of_the_context_trees():
 
     import pandas as pd
 
-    grams, _ = langid.grams_of(["abab"])
+    grams, _ = langid.grams_in([b"\n\n\nabab"])
     counts = pd.Series(grams.tolist()).value_counts()
     model = langid.build(pd.DataFrame({"lang": "x", "gram": counts.index, "n": counts.values}))
     # after "\n\n\n" only "a" came, once: 1 / (1 + 1)
-    assert math.isclose(float(model.costs(langid.grams_of(["a"])[0])[0, 0]), 1.0)
+    assert math.isclose(float(model.costs(langid.grams_in([b"\n\n\na"])[0])[0, 0]), 1.0)
     # "z" was never seen: an escape of each order, then one of 256 bytes
     total = sum(math.log2(x) for x in (2, 2, 2, (4 + 2) / 2)) + 8
-    assert math.isclose(float(model.costs(langid.grams_of(["z"])[0])[0, 0]), total, rel_tol=1e-6)
+    assert math.isclose(float(model.costs(langid.grams_in([b"\n\n\nz"])[0])[0, 0]), total, rel_tol=1e-6)
 
 
 def test_quality_of_held_out_documents(spark, sf):
@@ -63,16 +68,91 @@ def test_quality_of_held_out_documents(spark, sf):
 
 def test_quality_of_odd_documents(spark, messy, nothing):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 13)] + [(None, 1), (9, None), (1, 0)], "doc_id long, quality int")
-    model = quality.quality_model(messy, labels)
-    rows = messy.withColumn("score", quality.score_texts(F.col("text"), model)).collect()
-    assert len(rows) == messy.count() and all(0 <= r.score <= 1 for r in rows)
-    assert quality.quality_model(messy, labels.limit(0)) is None
-    assert quality.quality_model(nothing, labels) is None
-    assert {r.score for r in messy.withColumn("score", quality.score_texts(F.col("text"), None)).collect()} == {0.5}
+    stats = quality.with_statistics(messy, ["text", "score"])
+    score = lambda model: [r.s for r in stats.withColumn("s", quality.score_statistics(F.col("__cf_x"), model)).collect()]
+    rows = score(quality.fit(stats, labels))
+    assert len(rows) == messy.count() and all(0 <= x <= 1 for x in rows)
+    assert quality.fit(stats, labels.limit(0)) is None and set(score(None)) == {0.5}
+    assert quality.fit(quality.with_statistics(nothing), labels) is None
+    for threshold, n in ((0.0, messy.count()), (1.1, 0)):
+        out = quality.good_documents(messy, labels, threshold)
+        assert out.schema == messy.schema and out.count() == n
+    assert quality.good_documents(nothing, labels).collect() == []
+
+
+def test_sums_and_weights_equal_one_solve(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(700, 21)), rng.integers(0, 2, 700)
+    folds = [zlib.crc32(str(i).encode()) % quality.FOLDS for i in range(700)]
+    stats = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "__cf_id long, __cf_x array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(stats, labels, features=40)
+    own = np.array([f not in (quality.HELD_OUT, quality.CALIBRATION) for f in folds])
+    assert np.allclose(model.mean, x[own].mean(0)) and np.allclose(model.scale, x[own].std(0))
+    z = model.features(x[own])
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * own.sum() * np.eye(z.shape[1]), z.T @ y[own])
+    assert np.allclose(model.weights, want)
+
+
+def test_features_approximate_a_gaussian_kernel():
+    rng = np.random.default_rng(2)
+    x, n = rng.normal(size=(30, 21)), 20_000
+    project, phase = rng.normal(size=(21, n)) / np.sqrt(42), rng.uniform(0, 2 * np.pi, n)
+    z = quality.Model(np.zeros(21), np.ones(21), project, phase, np.zeros(n + 1), np.zeros(1), np.zeros(1)).features(x)[:, :-1]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 84)
+    assert np.abs(z @ z.T - exact).max() < 0.04
+
+
+def test_isotonic_equals_the_least_squares_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = rng.integers(1, 9, 12).astype(float)
+        s = np.floor(rng.random(12) * (n + 1))
+        knots, levels = quality.isotonic(np.arange(12.0), s, n)
+        # the fit at i: the largest of the least means of runs that hold i
+        mean = lambda a, b: s[a : b + 1].sum() / n[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]
+        assert np.allclose(np.interp(np.arange(12.0), knots, levels), want, atol=1e-6)
+
+
+def test_code_lengths_equal_a_plain_reading_of_the_texts(spark):
+    import math
 
+    learned = {"a": [prose(1, 40), "zebra ñu", ""], "b": ["qwxz " * 30, prose(2, 5)]}
+    docs = spark.createDataFrame([(k, lang, t) for lang, texts in learned.items() for k, t in enumerate(texts * 3) if zlib.crc32(str(k).encode()) % 4 != 2], "doc_id long, lang string, text string")
+    model = langid.learn(docs)
+    tries = {}
+    for r in docs.collect():
+        data = b"\n\n\n" + r.text.lower().encode()
+        for k in range(3, len(data)):
+            for order in range(4):
+                by = tries.setdefault((r.lang, data[k - order : k]), {})
+                by[data[k]] = by.get(data[k], 0) + 1
+
+    def bits(lang, text):
+        data, total = b"\n\n\n" + text.lower().encode(), 0.0
+        for k in range(3, len(data)):
+            for order in (3, 2, 1, 0):
+                by = tries.get((lang, data[k - order : k]))
+                if by and data[k] in by:
+                    total -= math.log2(by[data[k]] / (sum(by.values()) + len(by)))
+                    break
+                if by:
+                    total -= math.log2(len(by) / (sum(by.values()) + len(by)))
+            else:
+                total += 8
+        return total
+
+    for text in (prose(3, 30), "Zebra QWX", "漢字", "x"):
+        got = model.costs(langid.grams_in([b"\n\n\n" + text.lower().encode()])[0]).sum(0)
+        assert [round(float(x), 2) for x in got] == [round(bits(lang, text), 2) for lang in model.langs]
+    whole, cut = (langid.padded([prose(5, 900), "", "b"], n) for n in (1 << 20, 100))
+    flat = lambda parts: [np.sort(langid.grams_in(p)[0]).tolist() for _, p in parts]
+    assert sorted(sum(flat(whole), [])) == sorted(sum(flat(cut), []))
+    small = langid.learn(docs, most_costs=400)
+    assert small is None or sum(len(t.keys) for t in small.tables[-1:]) * len(small.langs) <= 400
 
-def test_isotonic_levels_rise():
-    import numpy as np
 
+def test_isotonic_levels_rise():
     knots, levels = quality.isotonic(np.arange(5.0), np.array([1.0, 0, 3, 1, 4]), np.array([2.0, 2, 4, 4, 4]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all() and levels[-1] == 1.0

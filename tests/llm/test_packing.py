@@ -6,7 +6,7 @@ from array import array
 import pytest
 
 from chunkflow.llm import packing
-from chunkflow.llm.tokens import chunk_ids, vocabulary
+from chunkflow.llm.tokens import ChunkIds, vocabulary
 
 VOCAB = vocabulary("word_bpe_49k.json")
 
@@ -66,7 +66,7 @@ def test_chunk_ids_equal_the_tokenizer():
 
     from tokenizers import Tokenizer
 
-    tokenizer, own, rng = Tokenizer.from_file(VOCAB), chunk_ids(VOCAB), random.Random(4)
+    tokenizer, own, rng = Tokenizer.from_file(VOCAB), ChunkIds(VOCAB), random.Random(4)
     parts = ["a", "É", "é", "é", "́", "İ", "Σ", "'s", "'S", "1", "½", "<|endoftext|>", "<|", "😀", "中", "\x1c", "\x85", "\xa0", " ", "​", "\n", "-", "ﬁ", "नि"]
     for _ in range(3000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))

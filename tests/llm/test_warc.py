@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chunkflow.llm import warc
 from chunkflow.llm._spark import new_folder
@@ -72,3 +73,38 @@ def test_empty_table_and_missing_archive(spark):
     assert warc.read_warc(warc.write_warc(warc.with_revisits(spark.createDataFrame([], PAGES)), new_folder(spark, "t"))).collect() == []
     lost = warc.read_warc(spark.createDataFrame([("file:///no/such.warc.gz",), (None,)], "path string")).collect()
     assert [(r.kind, r.length) for r in lost] == [("gap", -1)]
+
+
+def test_members_of_several_records():
+    parts = [record(i, b"<p>%d</p>" % i * 30, plain=True) for i in range(5)]
+    one = gzip.compress(b"".join(parts))
+    assert found(one + record(9, b"x")) == ([0, 1, 2, 3, 4, 9], [])
+    broken = bytearray(b"".join(parts))
+    broken[len(parts[0]) + len(parts[1]) - 40] ^= 0xFF
+    bad = gzip.compress(bytes(broken))
+    assert found(bad + record(9, b"x")) == ([0, 2, 3, 4, 9], [(0, len(bad))])
+    ids, gaps = found(one[:-9] + record(9, b"x"))
+    assert set(ids) >= {0, 1, 2, 3, 9} and len(gaps) == 1
+
+
+def test_a_length_beyond_the_archive_is_not_followed():
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    good = record(1, b"y" * 200, plain=True)
+    at = good.rindex(b"Content-Length: ")
+    data = good[:at] + b"Content-Length: 99999999999\r\n" + good[good.index(b"\n", at) + 1 :] + record(2, b"z", plain=True)
+    stream = Counted(data)
+    assert [r["page_id"] for r in warc.salvage(stream, len(data)) if r["kind"] == "record"] == [2]
+    assert stream.most <= 1 << 20
+
+
+def test_null_ids_revisit_equal_payloads(spark):
+    rows = [(None, "a" * 1000), (2, "a" * 1000), (None, "b" * 1000), (None, "b" * 1000), (5, "c" * 1000), (5, "c" * 1000), (6, None), (7, "d" * 999), (8, "d" * 999)]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string").withColumn("_first", F.lit(1))
+    got = sorted((r.page_id or 0, r.payload[:1].decode(), r.refers_to) for r in warc.with_revisits(pages).collect())
+    assert got == [(0, "a", 2), (0, "b", None), (0, "b", None), (2, "a", None), (5, "c", None), (5, "c", None), (6, "", None), (7, "d", None), (8, "d", None)]
