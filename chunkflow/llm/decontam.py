@@ -1,16 +1,17 @@
 """Benchmark decontamination by the q-gram lemma (operator 5).
 
 Texts and items are lower-cased and everything but letters and digits becomes one space.
-An item is cut into overlapping segments of SEGMENT characters (a shorter item is one), and
-a document holds a segment if some stretch of it is within the edit budget, RATE of the
-segment's length. Each edit spoils at most q of a segment's q-grams, so such a stretch
+An item is seen as overlapping segments of SEGMENT characters, one every STRIDE (a shorter item
+is one), and a document holds a segment if some stretch of it is within the edit budget, RATE of
+the segment's length. Each edit spoils at most q of a segment's q-grams, so such a stretch
 shares at least n - q + 1 - q * budget of them with it, and all of those lie in a diagonal
-band as wide as the budget. Shared q-grams are counted in bands that overlap by half; bands
-that reach the bound are verified by banded alignment.
+band as wide as the budget. Shared q-grams are counted in bands that overlap by half, then
+by segment; what reaches the bound is verified by banded alignment. Items of fewer than SHORTEST
+characters have no budget and are met where they stand as whole words.
 
-Null and empty texts hold nothing; items that are null or have fewer than SHORTEST
-characters are left out. Repeated rows and items are each reported. Very long texts are
-searched in stretches that overlap by more than a segment and its budget.
+Null and empty texts hold nothing; items that are null or without a letter or digit are left
+out. Repeated rows and items are each reported. Very long texts are searched in stretches that
+overlap by more than a segment and its budget. An item longer than a batch is an error.
 """
 
 from __future__ import annotations
@@ -24,50 +25,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import documents
+from ._spark import documents, materialize
+from .arrow import portions
 
-Q, SEGMENT, STRIDE, RATE, SHORTEST = 10, 100, 50, 0.08, 20
-BATCH_CHARS, STRETCH = 4_000_000, 1 << 18
+Q, SEGMENT, STRIDE, RATE, SHORTEST = 10, 100, 10, 0.08, 20
+#: Characters of a batch of items: its index takes some 40 bytes for each.
+BATCH_CHARS, STRETCH = 800_000, 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = 42
 LEAKS = "item_id long, start int, stop int, edits int"
+_lower = lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c)
 _PLAIN = np.array([chr(c).isalnum() for c in range(0x3000)])
-_LOWER = np.array([ord(c.lower()) if len((c := chr(i)).lower()) == 1 else i for i in range(0x3000)], np.uint32)
+_LOWER = np.array([_lower(chr(c)) for c in range(0x3000)], np.uint32)
 
 
 def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points with separators made single spaces, and where each stands in the text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    small = codes < 0x3000
-    if small.all():
-        codes, solid = _LOWER[codes], _PLAIN[codes]
-    else:
-        codes = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text], np.uint32)
-        solid = np.array([c.isalnum() for c in text], bool)
+    high = codes >= 0x3000
+    low = np.where(high, 0, codes)
+    out, solid = _LOWER[low], _PLAIN[low]
+    if high.any():
+        kinds, at = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([_lower(chr(c)) for c in kinds], np.uint32)[at]
+        solid[high] = np.array([chr(c).isalnum() for c in kinds])[at]
     keep = solid.copy()
     keep[1:] |= solid[:-1]  # the first separator after each run stays, as a space
     at = np.flatnonzero(keep)
-    return np.where(solid[at], codes[at], np.uint32(32)), at
+    return np.where(solid[at], out[at], np.uint32(32)), at
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    if len(codes) < Q:
+def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    # runs of 1, 2, 4, ... are joined until their lengths add up to Q
+    # runs of 1, 2, 4, ... are joined until their lengths add up to q
     run, size, out, done, power = codes.astype(np.uint64), 1, None, 0, _P
     while True:
-        if Q & size:
+        if q & size:
             out = run if out is None else out[: len(run) - done] * power + run[done:]
             done += size
-        if size * 2 > Q:
+        if size * 2 > q:
             break
         run, size, power = run[:-size] * power + run[size:], size * 2, np.uint64(int(power) ** 2 % (1 << 64))
-    out = out[: len(codes) - Q + 1]
+    out = out[: len(codes) - q + 1]
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Index(NamedTuple):
-    """Segments of the items and the places of their q-grams, sorted by hash."""
+    """The items and the places of their q-grams, sorted by hash; exact: short items by length."""
 
     items: np.ndarray
     codes: list[np.ndarray]
@@ -75,32 +80,35 @@ class Index(NamedTuple):
     bound: np.ndarray
     grams: np.ndarray
     first: np.ndarray
-    segment: np.ndarray
+    owner: np.ndarray
     place: np.ndarray
     known: np.ndarray
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
-        ids, codes = [], []
+        ids, codes, short = [], [], {}
         for item, text in items:
             whole = normalized(text)[0]
-            while len(whole) and whole[-1] == 32:
+            if len(whole) and whole[-1] == 32:
                 whole = whole[:-1]
             if len(whole) >= SHORTEST:
-                for a in range(0, max(1, len(whole) - SEGMENT + STRIDE), STRIDE):
-                    ids.append(item)
-                    codes.append(whole[max(0, min(a, len(whole) - SEGMENT)) :][:SEGMENT])
-        length = np.array([len(c) for c in codes], np.int64)
+                ids.append(item)
+                codes.append(whole)
+            elif len(whole):
+                short.setdefault(len(whole), []).append((int(gram_hashes(whole, len(whole))[0]), item))
+        length = np.minimum(np.array([len(c) for c in codes], np.int64), SEGMENT)
         budget = np.minimum((length * RATE).astype(np.int64), np.maximum(length // Q - 1, 0))
         hashes = [gram_hashes(c) for c in codes]
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        segment = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
+        owner = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
         place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
         known = np.zeros(1 << 64 - _SHIFT, bool)
         known[(grams >> np.uint64(_SHIFT)).astype(np.int64)] = True
-        return cls(np.array(ids, np.int64), codes, budget, length - Q + 1 - Q * budget, grams, np.append(first, len(flat)), segment[order], place[order], known)
+        exact = {n: tuple(np.array(x, kind) for x, kind in zip(zip(*sorted(own), strict=True), (np.uint64, np.int64), strict=True)) for n, own in short.items()}
+        return cls(np.array(ids, np.int64), codes, budget, length - Q + 1 - Q * budget, grams, np.append(first, len(flat)), owner[order].astype(np.int32), place[order].astype(np.int32), known, exact)
 
 
 def banded(pattern: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +127,15 @@ def banded(pattern: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def find_leaks(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item, start, stop, edits) of the segments in one normalized text, best per item."""
+    """(item, start, stop, edits) of the items in one normalized text, best per item."""
     out: dict[int, tuple[int, int, int]] = {}
     step = STRETCH - 4 * SEGMENT
     for base in range(0, max(1, len(codes)), step):
         part = codes[base : base + STRETCH]
         hashes = gram_hashes(part)
         at = np.flatnonzero(index.known[(hashes >> np.uint64(_SHIFT)).astype(np.int64)])
-        if len(at) and len(index.grams):
-            for item, start, stop, edits in _in_stretch(part, hashes, at, index):
+        for found in (_in_stretch(part, hashes, at, index) if len(at) and len(index.grams) else (), _exact(part, index) if index.exact else ()):
+            for item, start, stop, edits in found:
                 if item not in out or (edits, start + base) < (out[item][2], out[item][0]):
                     out[item] = (start + base, stop + base, edits)
         if base + STRETCH >= len(codes):
@@ -135,6 +143,18 @@ def find_leaks(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int
     return [(item, *x) for item, x in sorted(out.items())]
 
 
+def _exact(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """Short items that stand in the text as whole words."""
+    edge = np.concatenate([[True], codes == 32, [True]])  # edge[i]: i - 1 is no part of a word
+    for n, (hashes, items) in index.exact.items():
+        start = np.flatnonzero(edge[: max(0, len(codes) - n + 1)] & edge[n + 1 :]) if len(codes) >= n else np.zeros(0, np.int64)
+        own = gram_hashes(codes, n)[start]
+        low, high = (np.searchsorted(hashes, own, side) for side in ("left", "right"))
+        for k in np.flatnonzero(high > low).tolist():
+            for item in items[low[k] : high[k]].tolist():
+                yield item, int(start[k]), int(start[k]) + n, 0
+
+
 def _in_stretch(codes: np.ndarray, hashes: np.ndarray, at: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
     gram = np.searchsorted(index.grams, hashes[at])
     gram[gram == len(index.grams)] = 0
@@ -145,70 +165,129 @@ def _in_stretch(codes: np.ndarray, hashes: np.ndarray, at: np.ndarray, index: In
         return
     spot = np.repeat(at, n)
     entry = np.repeat(index.first[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    segment = index.segment[entry]
-    enough = np.bincount(segment, minlength=len(index.bound)) >= index.bound
+    owner = index.owner[entry]
+    enough = np.bincount(owner, minlength=len(index.bound)) >= index.bound
     if not enough.any():
         return
-    left = enough[segment]
-    spot, entry, segment = spot[left], entry[left], segment[left]
-    diagonal = spot - index.place[entry] + SEGMENT
-    half = index.budget[segment] + 1
-    band = diagonal // half
-    key = np.concatenate([segment << 24 | band, segment << 24 | np.maximum(band - 1, 0)])
-    places = np.concatenate([index.place[entry]] * 2)
-    # a q-gram of the segment counts once in a band, however often it occurs there
-    bands, shared = np.unique(np.unique(key << 8 | places) >> 8, return_counts=True)
-    bands = bands[shared >= index.bound[bands >> 24]]
-    for s in np.unique(bands >> 24).tolist():
-        own, k = index.codes[s], int(index.budget[s])
-        low = (bands[bands >> 24 == s] & 0xFFFFFF) * (k + 1) - SEGMENT - k
-        wide = len(own) + 4 * k + 2
-        grid = low[:, None] + np.arange(wide)
-        inside = (grid >= 0) & (grid < len(codes))
-        texts = np.where(inside, codes[np.clip(grid, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))
-        equal = np.lib.stride_tricks.sliding_window_view(texts, len(own), axis=1)[:, k : 3 * k + 3]
-        row, shift = np.nonzero((equal[:, :, 0] == own[0]) & (equal[:, :, -1] == own[-1]))
-        whole = (equal[row, shift] == own).all(1)
-        if whole.any():
-            edits, end = np.where(np.isin(np.arange(len(low)), row[whole]), 0, k + 1), np.full(len(low), len(own) + k)
-            end[row[whole]] += shift[whole]
-        else:
-            edits, end = banded(own, texts)
-        best = int(edits.argmin())
-        if edits[best] <= k:
-            stop = min(len(codes), int(low[best] + end[best]))
-            yield int(index.items[s]), max(0, stop - len(own)), stop, int(edits[best])
-
-
-def item_batches(benchmark: DataFrame, batch_chars: int = BATCH_CHARS) -> list[Index]:
+    left = enough[owner]
+    spot, owner, place = spot[left], owner[left].astype(np.int64), index.place[entry[left]].astype(np.int64)
+    shift = max(map(len, index.codes))
+    band = (spot - place + shift) // (index.budget[owner] + 1)
+    # a q-gram of the item counts once in a band, however often it occurs there
+    keys, of = np.unique(np.concatenate([owner << 32 | band, owner << 32 | np.maximum(band - 1, 0)]), return_inverse=True)
+    hits = np.unique(of << 32 | np.concatenate([place] * 2))
+    of, place = hits >> 32, hits & 0xFFFFFFFF
+    bound = index.bound[keys >> 32]
+    full = np.bincount(of, minlength=len(keys)) >= bound
+    of, place = of[full[of]], place[full[of]]
+    # the segments of each shared q-gram: starts every STRIDE, the last at the item's end
+    size = np.array([len(index.codes[k]) for k in (keys >> 32).tolist()])[of]
+    last = np.maximum(size - SEGMENT, 0)
+    low = np.minimum(np.maximum(-(-(place - SEGMENT + Q) // STRIDE), 0), -(-last // STRIDE))
+    n = np.minimum(place // STRIDE, -(-last // STRIDE)) - low + 1
+    segment = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.minimum(segment * STRIDE, np.repeat(last, n))
+    inside = start <= np.repeat(place, n)
+    found, shared = np.unique((np.repeat(of, n) << 32 | start)[inside], return_counts=True)
+    found = found[shared >= bound[found >> 32]]
+    key, start = keys[found >> 32], found & 0xFFFFFFFF
+    for item in np.unique(key >> 32).tolist():
+        k, best = int(index.budget[item]), None
+        mine = key >> 32 == item
+        for a in np.unique(start[mine]).tolist():
+            own = index.codes[item][a : a + SEGMENT]
+            low = (key[mine & (start == a)] & 0xFFFFFFFF) * (k + 1) - shift + a - k
+            edits, stop = _aligned(own, codes, low, k)
+            if edits <= k and (best is None or edits < best[0]):
+                best = edits, stop, len(own)
+            if best and not best[0]:
+                break
+        if best:
+            yield int(index.items[item]), max(0, best[1] - best[2]), best[1], best[0]
+
+
+def _aligned(own: np.ndarray, codes: np.ndarray, low: np.ndarray, k: int) -> tuple[int, int]:
+    """Least edits of a segment in stretches of the text that begin about `low`, and the end there."""
+    grid = low[:, None] + np.arange(len(own) + 4 * k + 2)
+    inside = (grid >= 0) & (grid < len(codes))
+    texts = np.where(inside, codes[np.clip(grid, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))
+    equal = np.lib.stride_tricks.sliding_window_view(texts, len(own), axis=1)
+    row, shift = np.nonzero((equal[:, :, 0] == own[0]) & (equal[:, :, -1] == own[-1]))
+    whole = np.flatnonzero((equal[row, shift] == own).all(1))
+    if len(whole):
+        return 0, int((low[row] + shift)[whole].min()) + len(own)
+    edits, end = banded(own, texts)
+    best = int(edits.argmin())
+    return int(edits[best]), min(len(codes), int(low[best] + end[best]))
+
+
+def item_batches(benchmark: DataFrame, batch_chars: int = BATCH_CHARS) -> Iterator[Index]:
     """The benchmark's indexes, each of about batch_chars characters, a size that is checked."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // batch_chars))
+    size = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    if (size[1] or 0) > BATCH_CHARS:
+        raise ValueError(f"a benchmark item of {size[1]} characters; BATCH_CHARS is {BATCH_CHARS}")
+    n = max(1, -(-(size[0] or 0) // batch_chars))
     for b in range(n):
         yield Index.of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()])
 
 
+def _found(texts: list[str | None], index: Index) -> list[list[dict]]:
+    out = []
+    for t in texts:
+        codes, at = normalized(t) if t else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        found = find_leaks(codes, index) if len(codes) else []
+        out.append([{"item_id": i, "start": int(at[a]), "stop": int(at[b - 1]) + 1, "edits": e} for i, a, b, e in found])
+    return out
+
+
 def leaks_of(text: Column, index) -> Column:
     """An array of LEAKS for each text; start and stop are offsets in the text itself."""
 
-    @F.pandas_udf(f"array<struct<{LEAKS.replace(' long', ':long').replace(' int', ':int')}>>")
+    @F.pandas_udf(f"array<struct<{LEAKS}>>")
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            codes, at = normalized(t) if t else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-            found = find_leaks(codes, index.value) if len(codes) >= Q else []
-            out.append([{"item_id": i, "start": int(at[a]), "stop": int(at[b - 1]) + 1, "edits": e} for i, a, b, e in found])
-        return pd.Series(out, dtype=object)
+        return pd.Series(_found(texts, index.value), dtype=object)
 
     return run(text)
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks") -> DataFrame:
-    """docs with an array of LEAKS; one pass over the texts for each batch of the benchmark."""
-    spark = docs.sparkSession
-    columns = [leaks_of(F.col(text), spark.sparkContext.broadcast(index)) for index in item_batches(benchmark)]
-    return docs.withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks", batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """docs with an array of LEAKS in column `name`, which is replaced if it is there.
+
+    A benchmark of one batch takes one pass. Of more, each is a pass of its own that leaves the
+    few texts which hold something, by their digests; its index is gone before the next.
+    """
+    spark, tables = docs.sparkSession, []
+    batches = item_batches(benchmark, batch_chars)
+    index, following = next(batches), next(batches, None)
+    if following is None:
+        return docs.withColumn(name, leaks_of(F.col(text), spark.sparkContext.broadcast(index)))
+    while index is not None:
+        held = spark.sparkContext.broadcast(index)
+
+        def run(rows: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
+            for part in (p for batch in rows for p in portions(batch, 1)):
+                digests, texts = (c.to_pylist() for c in part.columns)
+                got = [(d, x) for d, x in zip(digests, _found(texts, held.value), strict=True) if x]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.string()), pa.array([x for _, x in got], kind)], ["__cf_digest", "__cf_leaks"])
+
+        texts = docs.select(F.md5(text).alias("__cf_digest"), F.col(text).alias("__cf_text")).where("__cf_text is not null")
+        tables.append(materialize(texts.mapInArrow(run, f"__cf_digest string, __cf_leaks array<struct<{LEAKS}>>"), "leaks").dropDuplicates(["__cf_digest"]))
+        held.destroy()
+        index, following = following, next(batches, None)
+    found = tables[0]
+    for more in tables[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy("__cf_digest").agg(F.array_sort(F.flatten(F.collect_list("__cf_leaks"))).alias("__cf_leaks"))
+    column = F.coalesce("__cf_leaks", F.array().cast(f"array<struct<{LEAKS}>>"))
+    return docs.join(found, F.md5(text) == F.col("__cf_digest"), "left").withColumn(name, column).drop("__cf_digest", "__cf_leaks")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs that hold no segment of an item; items of fewer than SHORTEST characters, which any text may hold, don't count."""
+    out = with_leaks(docs, benchmark, name="__cf_found")
+    return out.where(~F.exists("__cf_found", lambda x: x["stop"] - x["start"] >= SHORTEST)).drop("__cf_found")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a segment of a benchmark item go."""
-    out = decontam.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.where(F.size("leaks") == 0).select(COLUMNS)
+    return decontam.without_leaks(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,6 +241,52 @@ def test_leaks_in_long_texts_and_batches(spark, monkeypatch):
     assert sum(1 for _ in decontam.item_batches(bench, 300)) > 2
 
 
+def test_leaks_equal_an_alignment_of_every_segment(spark, monkeypatch):
+    """Against the whole table of edits of every segment of every item and each text."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip()
+    items = [(k, letters(n)) for k, n in enumerate((25, 60, 99, 100, 131, 180, 320))]
+    texts = []
+    for _ in range(60):
+        item = rng.choice(items)[1]
+        a = rng.randrange(max(1, len(item) - 90))
+        part = list(item[a : a + rng.choice((60, 104, 120, 400))])
+        for _ in range(rng.randint(0, 11)):
+            k = rng.randrange(len(part))
+            part[k : k + 1] = rng.choice([[], ["z"], [part[k], "z"]])
+        texts.append(letters(70) + " " + "".join(part) + " " + letters(50))
+
+    def least(own, text):
+        row = np.zeros(len(text) + 1, int)
+        for i, c in enumerate(own, 1):
+            new = np.minimum(np.concatenate([[i], row[:-1] + (text != c)]), np.concatenate([[i], row[1:] + 1]))
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        return row.min()
+
+    index, seen = decontam.Index.of(items), set()
+    for text in texts:
+        codes, want = decontam.normalized(text)[0], {}
+        for k, (item, own) in enumerate(zip(index.items.tolist(), index.codes, strict=True)):
+            last = max(0, len(own) - decontam.SEGMENT)
+            edits = min(least(own[a : a + decontam.SEGMENT], codes) for a in {*range(0, last + 1, decontam.STRIDE), last})
+            if edits <= index.budget[k]:
+                want[item] = edits
+        assert {i: e for i, _, _, e in decontam.find_leaks(codes, index)} == want
+        seen |= set(want.values())
+    assert len(seen) > 5
+    # several batches give what one does, and short items stand as whole words
+    items = [*items, (50, "Ab c"), (51, "abcdefgh"), (52, "?!"), (0, items[0][1]), (53, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "x, ab - C!", "ab cd", None, "", texts[0]])], "doc_id long, text string").withColumns({"leaks": F.lit(1), "item_id": F.lit("i")})
+    found = [{(r.doc_id, x.item_id, x.start, x.stop, x.edits) for r in decontam.with_leaks(docs, bench, batch_chars=n).collect() for x in r.leaks} for n in (decontam.BATCH_CHARS, 300)]
+    assert found[0] == found[1] and (len(texts), 50, 3, 9, 0) in found[0] and not any(x[0] == len(texts) + 1 for x in found[0])
+    left = {r.doc_id for r in decontam.without_leaks(docs, bench).collect()}
+    assert left == set(range(len(texts) + 5)) - {x[0] for x in found[0] if x[3] - x[2] >= decontam.SHORTEST} and len(texts) in left
+    monkeypatch.setattr(decontam, "BATCH_CHARS", 200)
+    with pytest.raises(ValueError, match="BATCH_CHARS"):
+        decontam.with_leaks(docs, bench)
+
+
 def test_banded_alignment_equals_the_whole_table():
     rng = random.Random(3)
     for _ in range(200):
