@@ -1,17 +1,19 @@
 """Exact top-k by inner product with a three-phase uniform threshold (operator 3).
 
 A vector's components are cut into `slices`; a query's score against a vector is the sum of
-its scores on the slices, so each slice is a list to search. Phase one gathers from every
-partition the best of each local list with their whole scores; the k-th best of all of them
-is a cutoff no top-k score lies below. Phase two hands the cutoff out: a vector can reach it
-only if on some slice its score, less the slice's least possible one, reaches the cutoff's
-uniform share. Phase three works out the remaining slices of these entries exactly and
+its scores on the slices, so each slice is a list to search. Phase one gathers local lists: from
+one of SHARE rows, chosen by a hash, every partition gives the best of each slice's list with
+their whole scores; the k-th best of them is a safe cutoff, one that no top-k score lies below.
+Phase two hands it out: a sum reaches the cutoff only if some slice reaches its uniform share,
+cutoff / slices, so each slice's list over all rows gives just the entries at or above the
+share. Phase three works out the slices that such an entry lacks, for these entries alone, and
 keeps those at or above the cutoff, of which the best k in the whole table are the answer.
 
-Queries go out in batches of bounded bytes, each a pass over the vectors. Vectors that are
-null or hold null or non-finite components, and null ids, take no part; only vectors of
-equal length meet. Rows that share a query's id aren't its candidates. Ties go to the
-smaller id, rows repeated under one id count each. An empty table gives no rows.
+Queries go out in batches of bounded bytes, each a pass over the vectors whose finds are kept in
+the shared folder. Vectors that are null or hold null or non-finite components, and null ids, take
+no part; only vectors of equal length meet. Rows that share a query's id aren't its candidates.
+Ties go to the smaller id, rows repeated under one id count each. An empty table gives no rows,
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K, SLICES, BATCH_BYTES, ROWS, QUERIES = 20, 4, 16 << 20, 4096, 256
-EXACT = float(1 << 53)
+from ._spark import materialize
+
+K, SLICES, SHARE, BATCH_BYTES, ROWS, QUERIES = 20, 2, 8, 16 << 20, 4096, 256
 _LISTS = pa.schema([("query_id", pa.int64()), ("scores", pa.list_(pa.int64()))])
 _ENTRIES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -50,94 +53,111 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 class Batch:
-    """The queries of one pass by vector length, with bounds that hold for every vector."""
+    """The queries of one pass, by vector length."""
 
-    def __init__(self, ids: list[int], vectors: list[list[int]], low: dict[int, list[int]], high: dict[int, list[int]]):
+    def __init__(self, ids: list[int], vectors: list[list[int]]):
         by: dict[int, list[int]] = defaultdict(list)
         for i, v in enumerate(vectors):
             by[len(v)].append(i)
-        self.by = {}
-        for d, rows in by.items():
-            q, lo, hi = np.array([vectors[i] for i in rows]), np.array(low[d]), np.array(high[d])
-            widest = float(np.abs(q).max(initial=0)) * float(max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0))) * d
-            kind = np.float64 if widest < EXACT else object
-            cuts = np.linspace(0, d, min(SLICES, d) + 1).astype(int)
-            least = np.minimum(q.astype(kind) * lo.astype(kind), q.astype(kind) * hi.astype(kind))
-            least = np.stack([least[:, a:b].sum(1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            self.by[d] = (np.array([ids[i] for i in rows]), q.astype(kind), cuts, least)
-
-    def parts(self, d: int, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For some of the queries: their ids, slice scores (slice, query, vector), least slice scores."""
-        if d in self.by:
-            ids, q, cuts, least = self.by[d]
-            v = vectors.astype(q.dtype)
-            for at in range(0, len(ids), QUERIES):
-                own = slice(at, at + QUERIES)
-                yield ids[own], np.stack([q[own, a:b] @ v[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]), least[:, own]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+        self.by = {d: (np.array([ids[i] for i in rows]), np.array([vectors[i] for i in rows])) for d, rows in by.items()}
+
+    def parts(self, vectors: np.ndarray, slices: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """For some of the queries: their ids, and the slices of their vectors and of `vectors`.
+
+        As numbers whose sums of products are exact.
+        """
+        d = vectors.shape[1]
+        if d not in self.by or not len(vectors):
+            return
+        ids, q = self.by[d]
+        widest = float(np.abs(q).max()) * float(np.abs(vectors).max()) * d
+        kind = np.float32 if widest < 1 << 24 else np.float64 if widest < 1 << 53 else object
+        cuts = np.linspace(0, d, min(slices, d) + 1).astype(int)
+        q, v = (np.split(x.astype(kind), cuts[1:-1], axis=1) for x in (q, vectors))
+        for at in range(0, len(ids), QUERIES):
+            yield ids[at : at + QUERIES], [x[at : at + QUERIES] for x in q], v
+
+
+def best_of_lists(ids: np.ndarray, own: np.ndarray, q: list[np.ndarray], v: list[np.ndarray], k: int) -> list[list[int]]:
+    """Whole scores of the k best of each slice's list, for each query."""
+    scores = [a @ b.T for a, b in zip(q, v, strict=True)]
+    whole, other = sum(scores), own[:, None] != ids[None, :]
+    if len(ids) <= k:
+        return [row[keep].tolist() for row, keep in zip(whole, other, strict=True)]
+    chosen = np.zeros(whole.shape, bool)
+    for s in scores:
+        np.put_along_axis(chosen, np.argpartition(s, -k, axis=1)[:, -k:], True, axis=1)
+    return [row[keep].tolist() for row, keep in zip(whole, chosen & other, strict=True)]
+
+
+def sufficient(q: list[np.ndarray], v: list[np.ndarray], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, vector, score) places of the entries at or above the cutoff, and the slice scores resolved.
+
+    A slice's list gives its entries at or above the uniform share; what an entry lacks is
+    worked out for it alone. A cutoff of minus infinity lets all through.
+    """
+    share, n = np.array([c if c == -np.inf else -(-c // len(q)) for c in cutoff.tolist()], cutoff.dtype), len(v[0])
+    lists = []
+    for a, b in zip(q, v, strict=True):
+        s = a @ b.T
+        at = np.flatnonzero(s >= share[:, None])
+        lists.append((at, s.ravel()[at]))
+    entries, resolved = np.unique(np.concatenate([at for at, _ in lists])), 0
+    i, j = entries // n, entries % n
+    score = np.zeros(len(entries), q[0].dtype)
+    for (at, s), a, b in zip(lists, q, v, strict=True):
+        have = np.isin(entries, at, assume_unique=True)
+        score[have] += s
+        lack = np.flatnonzero(~have)
+        resolved += len(lack)
+        score[lack] += (a[i[lack]] * b[j[lack]]).sum(1)
+    keep = score >= cutoff[i]
+    return i[keep], j[keep], score[keep], resolved
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, batch_bytes: int = BATCH_BYTES, slices: int = SLICES, share: int = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score; both tables hold vec_id and v, an array of longs."""
     spark = vectors.sparkSession
     vectors, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id is not null and v is not null and size(v) > 0") for x in (vectors, queries))
-    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(4096).collect()
-    ranges = vectors.select(F.size("v").alias("d"), F.posexplode("v")).groupBy("d", "pos").agg(F.min("col").alias("low"), F.max("col").alias("high"))
-    low, high = defaultdict(dict), defaultdict(dict)
-    for r in ranges.collect():  # two numbers for each component
-        low[r.d][r.pos], high[r.d][r.pos] = r.low, r.high
-    low, high = ({d: [x[i] for i in range(d)] for d, x in by.items()} for by in (low, high))
     total = queries.agg(F.sum(F.size("v") * 8)).first()[0] or 0
-    batches = max(1, -(-total // batch_bytes))
-    out = None
-    for b in range(batches if sizes else 0):
+    batches, out = max(1, -(-total // batch_bytes)), spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for b in range(batches):
         part = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(batches)) == b).toArrow()  # about batch_bytes
-        batch = spark.sparkContext.broadcast(Batch(part["vec_id"].to_pylist(), part["v"].to_pylist(), low, high))
+        batch = spark.sparkContext.broadcast(Batch(part["vec_id"].to_pylist(), part["v"].to_pylist()))
 
         def gather(rows: Iterator[pa.RecordBatch], batch=batch) -> Iterator[pa.RecordBatch]:
-            best: dict[int, np.ndarray] = {}
+            best: dict[int, list[int]] = {}
             for ids, v in _blocks(rows):
-                for own, scores, _ in batch.value.parts(v.shape[1], v):
-                    whole = scores.sum(0)
-                    whole[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                    for i, q in enumerate(own.tolist()):
-                        near = np.unique(np.concatenate([np.argpartition(s[i], -k)[-k:] if len(ids) > k else np.arange(len(ids)) for s in scores]))
-                        got = np.sort(np.concatenate([best.get(q, whole[:0, 0]), whole[i, near]]))
-                        best[q] = got[got > np.iinfo(np.int64).min][-k:]
+                for own, q, own_v in batch.value.parts(v, slices):
+                    for i, got in zip(own.tolist(), best_of_lists(ids, own, q, own_v, k), strict=True):
+                        best[i] = sorted(best.get(i, []) + got)[-k:]
             for at in range(0, len(best), 5000):
                 some = list(best.items())[at : at + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in some], pa.int64()), pa.array([[int(x) for x in s] for _, s in some], pa.list_(pa.int64()))], schema=_LISTS)
 
-        lists = vectors.mapInArrow(gather, "query_id long, scores array<long>").groupBy("query_id")
+        lists = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(share)) == 0)
+        lists = lists.mapInArrow(gather, "query_id long, scores array<long>").groupBy("query_id")
         lists = lists.agg(F.sort_array(F.flatten(F.collect_list("scores")), asc=False).alias("s"))
-        cut = {r.query_id: r.cut for r in lists.select("query_id", F.get("s", F.lit(k - 1)).alias("cut")).collect()}  # a number for each query of the batch
+        cut = {r.query_id: r.cut for r in lists.select("query_id", F.get("s", F.lit(k - 1)).alias("cut")).where("cut is not null").collect()}  # a number for each query of the batch
         cutoff = spark.sparkContext.broadcast(cut)
 
         def collect(rows: Iterator[pa.RecordBatch], batch=batch, cutoff=cutoff) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for ids, v in _blocks(rows):
-                for own, scores, least in batch.value.parts(v.shape[1], v):
-                    cuts = [cutoff.value.get(q) for q in own.tolist()]
-                    none = np.array([c is None for c in cuts])
-                    bar = np.array([0 if c is None else c for c in cuts], scores.dtype)
-                    # slices * (score - least) >= cutoff - sum of least: the uniform share, in whole numbers
-                    enough = (len(scores) * (scores - least[:, :, None]) >= (bar - least.sum(0))[None, :, None]).any(0)
-                    enough |= none[:, None]
-                    enough &= own[:, None] != ids[None, :]
-                    at_q, at_v = np.nonzero(enough)
-                    exact = scores[:, at_q, at_v].sum(0)
-                    keep = none[at_q] | (exact >= bar[at_q])
-                    for q, i, s in zip(own[at_q[keep]].tolist(), ids[at_v[keep]].tolist(), exact[keep].tolist(), strict=True):
-                        held[q].append((-int(s), i))
-                        if len(held[q]) >= 50 * k:
-                            held[q] = sorted(held[q])[:k]
-            made = [(q, i, -s) for q, got in held.items() for s, i in sorted(got)[:k]]
+                for own, q, own_v in batch.value.parts(v, slices):
+                    i, j, score, _ = sufficient(q, own_v, np.array([cutoff.value.get(x, -np.inf) for x in own.tolist()], object if q[0].dtype == object else np.float64))
+                    for x, y, s in zip(own[i].tolist(), ids[j].tolist(), score.tolist(), strict=True):
+                        if x != y:
+                            held[x].append((-int(s), y))
+                            if len(held[x]) >= 50 * k:
+                                held[x] = sorted(held[x])[:k]
+            made = [(x, y, -s) for x, got in held.items() for s, y in sorted(got)[:k]]
             for at in range(0, len(made), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made[at : at + 10_000], strict=True)], schema=_ENTRIES)
 
-        found = vectors.mapInArrow(collect, "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        out = out.unionByName(materialize(vectors.mapInArrow(collect, "query_id long, vec_id long, score long"), "entries"))
+        batch.destroy()
+        cutoff.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from chunkflow.llm import topk, urls
@@ -55,6 +58,28 @@ def test_topk_of_few_and_huge_numbers(spark):
     assert topk.search(table.limit(0), table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("top", [9, 1 << 22, 1 << 58])
+def test_phases_lose_nothing_and_spare_products(top):
+    rng = np.random.default_rng(4)
+    v, q = rng.integers(-top, top, (500, 8)), rng.integers(-9, 9, (6, 8))
+    ids, own = np.arange(500), np.arange(6)
+    exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in q], object)
+    for slices in (1, 2, 3):
+        (got_ids, a, b), = topk.Batch(own.tolist(), q.tolist()).parts(v, slices)
+        assert got_ids.tolist() == own.tolist() and len(a) == slices
+        lists = topk.best_of_lists(ids, own, a, b, 20)
+        cutoff = np.array([sorted(int(x) for x in got)[-20] for got in lists], object if top > 1 << 50 else float)
+        i, j, score, resolved = topk.sufficient(a, b, cutoff)
+        assert sorted(zip(i.tolist(), j.tolist(), map(int, score), strict=True)) == sorted((x, y, int(exact[x, y])) for x in range(6) for y in range(500) if exact[x, y] >= cutoff[x])
+        assert resolved <= 0.5 * 3000 * (slices - 1)
+
+
+def test_topk_with_clashing_columns(spark):
+    table = spark.createDataFrame([(i, [i, 1], i, 1, 0) for i in range(40)], "vec_id long, v array<long>, score long, rank int, query_id int")
+    rows = topk.search(table, table.where("vec_id = 20"), k=3, share=100).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 39, 781), (2, 38, 761), (3, 37, 741)]
+
+
 def test_bad_components_are_left_out(spark):
     rows = [(1, [0.5, -0.01]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf"), 0.0])]
     got = spark.createDataFrame(rows, "i int, e array<float>").select("i", topk.quantized(F.col("e")).alias("v")).orderBy("i").collect()
