@@ -35,7 +35,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 from ._spark import documents, materialize
 from .arrow import portions, runs
-from .buckets import deal_in_blocks, settle
+from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
 SHORT, WIDE, NARROW, TINY, DISTANCE, KEYS, FEW = 10, 8, 12, 14, 24, 8, 64
@@ -84,11 +84,11 @@ class Hashes(NamedTuple):
             keep = np.ones(len(data), bool)
             for k in (1, 2, 3):
                 keep[np.cumsum(size) - k] = False
-            runs = mix((data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16) | data[2:-1] << np.uint64(8) | data[3:])[keep[:-3]])
+            quads = mix((data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16) | data[2:-1] << np.uint64(8) | data[3:])[keep[:-3]])
             first = np.cumsum(size - 3) - (size - 3)
             short = n[few] < SHORT
-            sim[few[short]] = (simhash(runs, first, size - 3) >> np.uint64(2) | np.uint64(1 << 62))[short]
-            by_bytes[few] = packed_keys(least(runs, np.uint32(0), first, 2 * KEYS), 2)
+            sim[few[short]] = (simhash(quads, first, size - 3) >> np.uint64(2) | np.uint64(1 << 62))[short]
+            by_bytes[few] = packed_keys(least(quads, np.uint32(0), first, 2 * KEYS), 2)
         return cls(n, *hashes, sim.view(np.int64), by_words, by_bytes)
 
 
@@ -385,7 +385,7 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
         return materialize(_confirmed(may.select("a", "b"), texts), "links")
 
     links = materialize(_confirmed(first, texts), "links")
-    groups = settle(large, links, test, lambda rest: _links_in_blocks(rest, info, texts))
+    groups = settle(with_hubs(large), links, test, lambda rest: _links_in_blocks(rest, info, texts), 1)
     out = classes.join(groups, "node", "left").where("times > 1 or component is not null")
     return materialize(out.select("h1", "h2", F.coalesce("component", "node").alias("group")), "line-groups")
 

@@ -6,10 +6,10 @@ that share a band key are candidates if their similarity, estimated by counting
 bits and corrected for chance, isn't far below the threshold; links are confirmed on the
 full sets. With 32 bands of 4 minima a pair at 0.85 is missed with probability 6e-11.
 
-No bucket is turned into all its pairs: its members are first held against one hub, and the
+No bucket is turned into all its pairs: its members are first held against hubs, and the
 linked ones become components. Where a bucket still holds several components, its members
-are compared in pairs if they are at most FEW, else against further hubs and at last, what
-those leave apart, in blocks (buckets.py). So no link between different components is lost.
+are compared in pairs if they are at most FEW, else what lies outside the largest component in
+blocks (buckets.py). So no link between different components is lost.
 
 Null and empty texts and texts without words have no shingles and link with nothing.
 Repeated rows are copies. Rows with a null doc_id take part; a component's id is its
@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, documents, materialize
+from ._spark import documents, materialize
 from .arrow import portions
-from .buckets import deal_in_blocks, mixed, placed, settle
+from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import mix, overlap, shingle_sets
 
 MINIMA, BANDS, BITS, MARGIN = 128, 32, 2, 0.25
@@ -197,8 +197,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     reps = materialize(sig.join(member.where("_row = node").select("_row"), "_row", "left_semi"), "classes")
     slim = reps.select(F.col("_row").alias("node"), "n", "planes")
     bands = reps.select(F.col("_row").alias("node"), F.explode("bands").alias("key"))
-    sizes = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = materialize(bands.join(sizes, "key"), "buckets")
+    buckets = with_hubs(bands)
     sets = shingle_table(buckets, reps, docs, width)
 
     def test(pairs: DataFrame) -> DataFrame:
@@ -206,17 +205,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y", percent))
         return materialize(confirmed(materialize(may.select("a", "b"), "pairs"), sets, percent), "links")
 
-    first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = test(first)
-    # buckets that still hold several components; of two members the pair has been tested
-    rows = materialize(placed(buckets.where("m > 2").select("key", "node", "m"), connected_components(links)), "placed")
-    rest = materialize(rows.join(mixed(rows).select("key"), "key", "left_semi"), "mixed")
-    few = rest.where(F.col("m") <= FEW)
-    x, y = few.alias("x"), few.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.unionByName(test(more))
-    groups = settle(rest.where(F.col("m") > FEW), links, test, lambda rows: materialize(links_in_blocks(rows, sets, percent), "links"))
+    none = buckets.sparkSession.createDataFrame([], "u long, v long")
+    groups = settle(buckets, none, test, lambda rows: materialize(links_in_blocks(rows, sets, percent), "links"), FEW)
     out = member.join(groups, "node", "left")
     # rows without shingles are in groups of their own
     return out.select("doc_id", "text_hash", "n", F.coalesce("component", "node", "_row").alias("group"))

@@ -51,11 +51,11 @@ def test_groups_equal_brute_force(spark, tiny, width, percent):
     assert got == want
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 4])
-def test_a_large_group_of_near_copies(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("copies", [0, 100])
+def test_a_large_group_of_near_copies(spark, monkeypatch, copies):
     monkeypatch.setattr(minhash, "FEW", 4)
-    monkeypatch.setattr(buckets.settle, "__defaults__", (rounds,))
-    monkeypatch.setattr(buckets.deal_in_blocks, "__defaults__", (16,))
+    monkeypatch.setattr(buckets, "COPIES", copies)
+    monkeypatch.setattr(buckets, "BLOCK", 16)
     base, rng, texts = prose(1, 120).split(), random.Random(3), {}
     for i in range(120):
         own = list(base)
@@ -122,11 +122,11 @@ def kept_lines(texts: dict[int, str]):
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in texts.items()}
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_lines_equal_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("copies", "batch"), [(0, "7"), (100, "10000")])
+def test_lines_equal_brute_force(spark, monkeypatch, copies, batch):
     monkeypatch.setattr(lines, "FEW", 4)
-    monkeypatch.setattr(buckets.deal_in_blocks, "__defaults__", (16,))
-    monkeypatch.setattr(buckets.settle, "__defaults__", (rounds,))
+    monkeypatch.setattr(buckets, "BLOCK", 16)
+    monkeypatch.setattr(buckets, "COPIES", copies)
     rng, base, texts = random.Random(8), prose(4, 120).split(), {}
     for i in range(90):
         own = list(base)
@@ -134,10 +134,9 @@ def test_lines_equal_brute_force(spark, monkeypatch, rounds):
             own[rng.randrange(len(own))] = f"v{rng.randrange(30)}"
         texts[i] = "\n".join([prose(100 + i, 30), " ".join(own), "", "Same, line here!", prose(500 + i % 7, 9)])
     docs = spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "doc_id long, text string, node string").repartition(3)
-    for batch in ("7", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
-        assert got == kept_lines(texts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got == kept_lines(texts)
 
 
 def test_lines_with_some_changed_words_are_linked(spark):
