@@ -9,26 +9,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_HEADING = re.compile(r"(#{1,6} )(.*)", re.S)
-_PIECE = re.compile(r"(?P<open>!?\[)(?P<inner>[^\]]*)(?P<close>\]\([^)]+\))|(?P<code>`[^`]+`)|(?P<text>[^\[\]#!*_`]+)|(?P<mark>[\[\]#!*_`]+)")
+#: What stays in place: links and images (whose label is reversed), code spans, runs of marks.
+_FIXED = re.compile(r"(!?\[[^\]]*\]\([^)]+\)|`[^`]+`|[\[\]#!*_`]+)")
 
 
-def _piece(m: re.Match) -> str:
-    if m["open"]:
-        return m["open"] + m["inner"][::-1] + m["close"]
-    return m["text"][::-1] if m["text"] else m[0]
+def _reversed(part: str) -> str:
+    label, target, rest = part.partition("](")
+    if not target:
+        return part
+    mark, bracket, inner = label.partition("[")
+    return f"{mark}{bracket}{inner[::-1]}{target}{rest}"
+
+
+def reverse_line(line: str) -> str:
+    """The words between what is fixed, each stretch backwards; a fence line is all fixed."""
+    if line.startswith("```"):
+        return line
+    hashes = len(line) - len(line.lstrip("#"))
+    head = hashes + 1 if 0 < hashes < 7 and line[hashes : hashes + 1] == " " else 0
+    parts = _FIXED.split(line[head:])
+    parts[::2] = [x[::-1] for x in parts[::2]]
+    parts[1::2] = [_reversed(x) if x.endswith(")") else x for x in parts[1::2]]
+    return line[:head] + "".join(parts)
 
 
 def reverse_text(markdown: str | None) -> str | None:
-    """Lines keep their places, fence lines, code spans, targets and marks stay as they are."""
-    if markdown is None:
-        return None
-    lines = []
-    for line in markdown.split("\n"):
-        heading = _HEADING.match(line)
-        head, rest = (heading[1], heading[2]) if heading else ("", line)
-        lines.append(line if line.startswith("```") else head + _PIECE.sub(_piece, rest))
-    return "\n".join(lines)
+    """Lines keep their places."""
+    return None if markdown is None else "\n".join(map(reverse_line, markdown.split("\n")))
 
 
 def reverse_markdown(c: Column) -> Column:

@@ -68,10 +68,11 @@ def chunk_quality(chunks: DataFrame, docs: DataFrame, key: str, text: str, max_c
     split_words: Column = F.when(F.size("parts") > 1, F.size(F.filter(seams, lambda x: x))).otherwise(0)
     fences = F.size(F.filter("parts", lambda p: F.regexp_count(p, F.lit("(?m)^```")) % 2 == 1))
     longest = F.array_max(F.transform("parts", F.length))
-    out = docs.select(key, F.col(text).alias("_text")).join(parts, key, "left")
+    # of the texts only digests move
+    out = docs.select(key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text")).join(parts, key, "left")
     return out.select(
         key, F.coalesce(F.size("parts"), F.lit(0)).alias("chunks"), F.coalesce(F.length(F.array_join("parts", "")), F.lit(0)).alias("total_chars"),
-        (F.coalesce(F.array_join("parts", ""), F.lit("")) == F.coalesce("_text", F.lit(""))).alias("intact"), F.coalesce(split_words, F.lit(0)).alias("split_words"),
+        (F.md5(F.coalesce(F.array_join("parts", ""), F.lit(""))) == F.col("_text")).alias("intact"), F.coalesce(split_words, F.lit(0)).alias("split_words"),
         F.coalesce(fences, F.lit(0)).alias("split_fences"), F.coalesce(longest <= max_chars + slack_of(max_chars), F.lit(True)).alias("within_limit"),
     )
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+from os.path import commonprefix
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,41 +69,63 @@ def apply_edits(pairs: DataFrame, edits: DataFrame, batch: int = 5) -> tuple[Dat
 
 
 def diff_words(before: str | None, after: str | None) -> list[dict[str, str]]:
-    """Equal, deleted and inserted stretches between two texts, word by word."""
+    """Equal, deleted and inserted stretches between two texts, word by word.
+
+    What is deleted comes before what is inserted at the same place. If the parts that differ
+    have more than MOST_CELLS pairs of words, all of them are replaced.
+    """
     a, b = (re.findall(r"\s+|\S+", t or "") for t in (before, after))
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    ops = [("eq", x) for x in a[:head]] + _lcs(a[head : len(a) - tail], b[head : len(b) - tail]) + [("eq", x) for x in a[len(a) - tail :]]
     out: list[dict[str, str]] = []
-    for kind, text in ops:
-        if out and out[-1]["type"] == kind:
-            out[-1]["text"] += text
-        else:
-            out.append({"type": kind, "text": text})
+    at_a = at_b = 0
+    for i, j, n in [*_equal_runs(a, b), (len(a), len(b), 0)]:
+        for kind, words in (("del", a[at_a:i]), ("ins", b[at_b:j]), ("eq", a[i : i + n])):
+            if words:
+                out.append({"type": kind, "text": "".join(words)})
+        at_a, at_b = i + n, j + n
     return out
 
 
-def _lcs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    if len(a) * len(b) > MOST_CELLS or not a or not b:
-        return [("del", "".join(a))] * bool(a) + [("ins", "".join(b))] * bool(b)
-    ids = {w: i for i, w in enumerate({*a, *b})}
-    y = np.array([ids[w] for w in b])
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, w in enumerate(a, 1):
-        np.maximum.accumulate(np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (y == ids[w])), out=table[i, 1:])
-    out, i, j = [], len(a), len(b)
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            out.append(("eq", a[i := i - 1]))
+def _equal_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """Runs (place in a, place in b, length) of a longest common subsequence."""
+    same = len(commonprefix([a, b]))
+    tail = len(commonprefix([a[same:][::-1], b[same:][::-1]]))
+    x, y = a[same : len(a) - tail], b[same : len(b) - tail]
+    pairs = [(k, k) for k in range(same)] + [(i + same, j + same) for i, j in _common(x, y)]
+    pairs += [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    runs: list[tuple[int, int, int]] = []
+    for i, j in pairs:
+        if runs and (i, j) == (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]):
+            runs[-1] = (*runs[-1][:2], runs[-1][2] + 1)
+        else:
+            runs.append((i, j, 1))
+    return runs
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, bit-parallel: one number holds a row over y.
+
+    A zero at bit j of row i says that y[j] makes the subsequence of x[: i + 1] longer.
+    """
+    if len(x) * len(y) > MOST_CELLS:
+        return []
+    where: dict[str, int] = {}
+    for j, w in enumerate(y):
+        where[w] = where.get(w, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row, rows = full, []
+    for w in x:
+        hit = row & where.get(w, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    out, i, j = [], len(x) - 1, len(y) - 1
+    while i >= 0 and j >= 0:
+        if rows[i] >> j & 1:
             j -= 1
-        elif i and (not j or table[i - 1, j] > table[i, j - 1]):
-            out.append(("del", a[i := i - 1]))
+        elif i and not rows[i - 1] >> j & 1:
+            i -= 1
         else:
-            out.append(("ins", b[j := j - 1]))
+            out.append((i, j))
+            i, j = i - 1, j - 1
     return out[::-1]
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.checking import parse_answer, problem
 from .commits import KEYS, invalidate_reviewed, kept_original
@@ -17,6 +17,7 @@ from .sequences import BOOK, INDEX
 #: Takes source texts and for each the (original, translation) pairs before it.
 Translator = Callable[[list[str], list[list[tuple[str, str]]]], list[str]]
 PAIRS = "chunk_index int, original string, translation string, used_original boolean, reason string, ms long, failure string"
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def _one(translator: Translator, source: str, context: list[tuple[str, str]], attempts: int) -> dict:
@@ -38,25 +39,33 @@ def translate_windows_run(chunks: DataFrame, translator: Translator, attempts: i
     """chunks (book, window_id, chunk_index, markdown) -> pairs, with failure where one stopped.
 
     A window is translated in order, with the two pairs before each chunk in the same window
-    as context, so its size bounds the group in a task; all windows run at once. When the
-    translator raises, the window stops there and gives one row with the failure; its other
-    chunks stay pending.
+    as context; all windows run at once. Windows pass through a task in order, one after another,
+    so it holds two pairs at a time. When the translator raises, the window stops there and
+    gives one row with the failure; its other chunks stay pending.
     """
-    kind = chunks.schema[BOOK].dataType.simpleString()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        done: dict[int, tuple[str, str]] = {}
-        rows = []
-        for book, at, source in df.sort_values(INDEX)[[BOOK, INDEX, "markdown"]].itertuples(index=False):
-            context = [done[k] for k in (at - 2, at - 1) if k in done]
-            got = _one(translator, source or "", context, attempts)
-            rows.append({BOOK: book, INDEX: at, "original": source, "translation": None, "used_original": None, "reason": None, "ms": None, "failure": None} | got)
-            if "failure" in got:
-                break
-            done[at] = (source, got["translation"])
-        return pd.DataFrame(rows, columns=[BOOK, *(x.split()[0] for x in PAIRS.split(", "))]).astype({"used_original": "boolean", "ms": "Int64"})
-
-    return chunks.select(BOOK, "window_id", INDEX, "markdown").groupBy(BOOK, "window_id").applyInPandas(run, f"{BOOK} {kind}, {PAIRS}")
+    kind = chunks.schema[BOOK].dataType
+    fields = [f.split() for f in PAIRS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done, stopped = None, {}, False
+        for batch in batches:
+            rows = []
+            for book, window, at, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (book, window):
+                    now, done, stopped = (book, window), {}, False
+                if stopped:
+                    continue
+                got = _one(translator, source or "", [done[k] for k in (at - 2, at - 1) if k in done], attempts)
+                rows.append({INDEX: at, "original": source} | got | {BOOK: book})
+                stopped = "failure" in got
+                if not stopped:
+                    done = {k: done[k] for k in done if k == at - 1} | {at: (source, got["translation"])}
+            columns = [pa.array([r[BOOK] for r in rows], batch.column(0).type)]
+            columns += [pa.array([r.get(name) for r in rows], ARROW[of]) for name, of in fields]
+            yield pa.RecordBatch.from_arrays(columns, [BOOK, *(name for name, _ in fields)])
+
+    rows = chunks.select(BOOK, "window_id", F.col(INDEX).cast("int").alias(INDEX), "markdown").repartition(BOOK, "window_id").sortWithinPartitions(BOOK, "window_id", INDEX)
+    return rows.mapInArrow(run, StructType([StructField(BOOK, kind), *StructType.fromDDL(PAIRS).fields]))
 
 
 def retry_kept(pairs: DataFrame, reviewed: DataFrame, translator: Translator, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -66,25 +75,29 @@ def retry_kept(pairs: DataFrame, reviewed: DataFrame, translator: Translator, at
     old one whole; what is translated now counts as not reviewed.
     """
     kept = kept_original(pairs)
-    # runs of kept chunks that see each other stay together, with the two pairs ahead of them
+    # what is tried again and the two pairs ahead of it
     near = kept.select(BOOK, F.explode(F.array(F.col(INDEX) - 2, F.col(INDEX) - 1, F.col(INDEX))).alias(INDEX)).distinct()
     rows = pairs.join(near, KEYS, "left_semi").select(*KEYS, "original", "translation", "used_original")
-    own = Window.partitionBy(BOOK).orderBy(INDEX)
-    rows = rows.withColumn("_new", F.when(F.col(INDEX) - F.lag(INDEX).over(own) <= 2, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(own))
-    kind = pairs.schema[BOOK].dataType.simpleString()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(INDEX)
-        now = {r.chunk_index: (r.original, r.translation) for r in df.itertuples()}
-        out = []
-        for r in df[df.used_original].itertuples():
-            got = _one(translator, r.original, [now[k] for k in (r.chunk_index - 2, r.chunk_index - 1) if k in now], attempts)
-            if got.get("used_original") is False:
-                now[r.chunk_index] = (r.original, got["translation"])
-                out.append((getattr(r, BOOK), r.chunk_index, got["translation"], got["ms"]))
-        return pd.DataFrame(out, columns=[BOOK, INDEX, "translation", "ms"])
-
-    new = rows.groupBy(BOOK, "_run").applyInPandas(run, f"{BOOK} {kind}, {INDEX} {pairs.schema[INDEX].dataType.simpleString()}, translation string, ms long")
+    kind, index = pairs.schema[BOOK].dataType, pairs.schema[INDEX].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, {}
+        for batch in batches:
+            out = []
+            for book, at, original, text, used in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != book:
+                    now, last = book, {}
+                got = _one(translator, original or "", [last[k] for k in (at - 2, at - 1) if k in last], attempts) if used else {}
+                if got.get("used_original") is False:
+                    text = got["translation"]
+                    out.append((book, at, text, got["ms"]))
+                last = {k: last[k] for k in last if k == at - 1} | {at: (original, text)}
+            types = [batch.column(0).type, batch.column(1).type, pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], [BOOK, INDEX, "translation", "ms"])
+
+    # a book's rows pass in order, as each try sees the one before
+    rows = rows.repartition(BOOK).sortWithinPartitions(*KEYS)
+    new = rows.mapInArrow(run, StructType([StructField(BOOK, kind), StructField(INDEX, index), StructField("translation", StringType()), StructField("ms", LongType())]))
     fresh = new.select(*KEYS, F.col("translation").alias("_t"), F.col("ms").alias("_ms"))
     out = pairs.join(fresh, KEYS, "left")
     got = F.col("_t").isNotNull()

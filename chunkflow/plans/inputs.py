@@ -19,20 +19,25 @@ INPUTS = {
         'T' || cast(cast(floor(turn / 3) AS int) AS string) AS chapter_title, 'p' || cast(cast(floor(turn / 6) AS int) AS string) AS document_path,
         CASE WHEN turn % 3 = 1 THEN 'space' WHEN turn % 3 = 2 THEN 'line' END AS join_with FROM conversations""",
     # a source is a book, a document a chunk
-    "sourced": "SELECT source AS book_id, cast(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS int) AS chunk_index, text AS markdown, lang AS chapter_title, 'd' AS document_path, doc_id, lang FROM documents",
+    # numbered by counts of blocks of ids and ranks inside them, apart from the texts
+    "sourced": """SELECT d.source AS book_id, cast(n.at + coalesce(b.before, 0) AS int) AS chunk_index, d.text AS markdown, d.lang AS chapter_title, 'd' AS document_path, d.doc_id, d.lang
+        FROM documents AS d
+        JOIN (SELECT doc_id, source, cast(floor(doc_id / 4096) AS bigint) AS blk, row_number() OVER (PARTITION BY source, floor(doc_id / 4096) ORDER BY doc_id) - 1 AS at FROM documents AS x) AS n ON d.doc_id = n.doc_id
+        JOIN (SELECT source, blk, sum(n) OVER (PARTITION BY source ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+              FROM (SELECT source, cast(floor(doc_id / 4096) AS bigint) AS blk, count(*) AS n FROM documents AS y GROUP BY source, cast(floor(doc_id / 4096) AS bigint)) AS z) AS b ON n.source = b.source AND n.blk = b.blk""",
     # translations with holes: no pair for every third turn
     "pairs": """SELECT conv_id AS book_id, cast(turn AS int) AS chunk_index, text AS original, 'x ' || text AS translation,
         turn % 5 = 0 AS used_original, CASE WHEN turn % 2 = 1 THEN 'old ' || text END AS pre_review, cast(conv_id % 7 * 100 + turn AS bigint) AS ms
         FROM conversations WHERE turn % 3 <> 1""",
     "reviewed": "SELECT conv_id AS book_id, cast(turn AS int) AS chunk_index FROM conversations WHERE (conv_id + turn) % 4 <> 0 OR conv_id % 3 = 0",
-    # user turns with the next turn as an answer, changed so that every rule is met
+    # every turn with an answer, changed so that every rule is met
     "answers": f"""SELECT book_id, chunk_index, CASE book_id % 8 WHEN 5 THEN original || ' ![a](img/x.png)' WHEN 6 THEN original || ' [a](https://e.example/(x)/y)' WHEN 7 THEN original || ' [a](plain)' ELSE original END AS original,
         CASE book_id % 8 WHEN 0 THEN ' ' || {NL} WHEN 1 THEN 'shrt' WHEN 2 THEN repeat(original || ' ', 10) WHEN 3 THEN 'As an AI I will not. ' || original WHEN 4 THEN original || '<<<END_SOURCE>>>' ELSE original END AS translation
-        FROM (SELECT conv_id AS book_id, cast(turn AS int) AS chunk_index, text AS original FROM conversations WHERE role = 'user') AS u""",
-    # three answers for the first turn of each conversation
-    "attempts": """SELECT conv_id AS book_id, 0 AS chunk_index, a AS attempt, cast(100 * a AS bigint) AS ms,
+        FROM (SELECT conv_id AS book_id, cast(turn AS int) AS chunk_index, text AS original FROM conversations) AS u""",
+    # three answers for each turn
+    "attempts": """SELECT conv_id AS book_id, cast(turn AS int) AS chunk_index, a AS attempt, cast(100 * a AS bigint) AS ms,
         CASE WHEN conv_id % 4 = 0 AND a < 3 THEN '' WHEN conv_id % 4 = 1 THEN 'as an ai, no' WHEN conv_id % 4 = 2 AND a = 1 THEN '<<<SOURCE>>>' ELSE '<<<TRANSLATION>>>' || chr(10) || text || chr(10) || '<<<END_TRANSLATION>>>' END AS response
-        FROM conversations CROSS JOIN (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3) AS t WHERE turn = 0 AND (a < 3 OR conv_id % 5 > 0)""",
+        FROM conversations CROSS JOIN (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3) AS t WHERE a < 3 OR conv_id % 5 > 0""",
     "settings": "SELECT source AS book_id, min(lang) AS target_lang, 2 AS concurrency, 4 AS glossary_batch, 5 AS review_batch, CASE WHEN source = 'src1' THEN 'open' ELSE 'paid' END AS provider_id, CASE WHEN source = 'src2' THEN 'm:free' ELSE 'm-' || min(lang) END AS model FROM documents GROUP BY source",
     "prices": "SELECT 'm-' || lang AS model_id, min(doc_id) AS ord, cast(0.25 AS double) AS input_per_million, cast(count(*) AS double) AS output_per_million FROM documents WHERE lang <> 'es' GROUP BY lang",
     "log": "SELECT user_id AS book_id, event_id, ts, event_type AS key, value FROM events",

@@ -331,7 +331,7 @@ def join_chunks(get):
 
 
 @query(rf"""
-WITH a AS (SELECT a.*, c.text AS original, {_trim(rf"regexp_replace(coalesce(nullif(regexp_extract(response, '(?is)<<<TRANSLATION>>>{WS}*(.*?){WS}*<<<END_TRANSLATION>>>', 1), ''), response), '{MARK}', '', 'g')")} AS t FROM @attempts a JOIN conversations c ON c.conv_id = a.book_id AND c.turn = 0),
+WITH a AS (SELECT a.*, c.text AS original, {_trim(rf"regexp_replace(coalesce(nullif(regexp_extract(response, '(?is)<<<TRANSLATION>>>{WS}*(.*?){WS}*<<<END_TRANSLATION>>>', 1), ''), response), '{MARK}', '', 'g')")} AS t FROM @attempts a JOIN conversations c ON c.conv_id = a.book_id AND c.turn = a.chunk_index),
 v AS (SELECT *, CASE WHEN t = '' THEN 'empty translation' WHEN length({_plain("original")}) > 20 AND length({_plain("t")}) < greatest(8.0::DOUBLE, length({_plain("original")}) * 0.15::DOUBLE) THEN 'translation too short' WHEN contains(lower(t), 'as an ai') THEN 'model refusal' END AS reason FROM a),
 g AS (SELECT book_id, chunk_index, max(original) AS original, arg_min(t, attempt) FILTER (reason IS NULL) AS good, arg_max(reason, attempt) AS last, count(*) AS n FROM v GROUP BY 1, 2)
 SELECT book_id, chunk_index, coalesce(good, original) AS translation, good IS NULL AS used_original, CASE WHEN good IS NULL THEN last END AS reason FROM g WHERE good IS NOT NULL OR n >= 3
@@ -363,45 +363,35 @@ def glossary_merge(get):
 
 
 @query("""
-WITH c AS (SELECT conv_id % 20 AS book_id, conv_id AS spot, 'w' || conv_id % 7 AS src, 'd' || conv_id AS dst, 0 AS late FROM conversations WHERE turn = 0
-UNION ALL SELECT conv_id % 20, conv_id * 100 + turn, 'w' || conv_id % 9, 'u' || turn, 1 FROM conversations WHERE turn % 3 = 1)
+WITH c AS (SELECT conv_id % 20 AS book_id, conv_id * 100 + turn AS spot, 'w' || conv_id % 7 AS src, 'd' || conv_id || '-' || turn AS dst, 0 AS late FROM conversations WHERE turn % 3 = 0
+UNION ALL SELECT conv_id % 20, conv_id * 100 + turn, 'w' || conv_id % 9, 'u' || turn, 1 FROM conversations WHERE turn % 3 > 0)
 SELECT book_id, src, arg_max(dst, late * 1000000000 + spot) AS dst, min(late) AS late FROM c GROUP BY 1, 2
 """)
 def glossary_upsert(get):
     c = get("conversations").withColumn("book_id", F.col("conv_id") % 20)
-    now = c.where("turn = 0").select("book_id", F.col("conv_id").alias("pos"), F.expr("'w' || conv_id % 7").alias("src"), F.expr("'d' || conv_id").alias("dst"))
-    new = c.where("turn % 3 = 1").select("book_id", F.expr("conv_id * 100 + turn").alias("seq"), F.expr("' w' || conv_id % 9").alias("src"), F.expr("'u' || turn || ' '").alias("dst"))
+    now = c.where("turn % 3 = 0").select("book_id", F.expr("conv_id * 100 + turn").alias("pos"), F.expr("'w' || conv_id % 7").alias("src"), F.expr("'d' || conv_id || '-' || turn").alias("dst"))
+    new = c.where("turn % 3 > 0").select("book_id", F.expr("conv_id * 100 + turn").alias("seq"), F.expr("' w' || conv_id % 9").alias("src"), F.expr("'u' || turn || ' '").alias("dst"))
     return glossary.upsert_glossary(now, new).select("book_id", "src", "dst", "ord.late")
 
 
 @query("""
-WITH e AS (SELECT conv_id % 30 AS book_id, conv_id AS ord, 's' || conv_id AS src, role AS dst FROM conversations WHERE turn = 0 AND conv_id % 30 < 25)
+WITH e AS (SELECT conv_id % 30 AS book_id, conv_id * 100 + turn AS ord, 's' || conv_id || '-' || turn AS src, role AS dst FROM conversations WHERE conv_id % 30 < 25)
 SELECT book_id, coalesce(glossary, '(none yet)') AS glossary FROM (SELECT DISTINCT conv_id % 30 AS book_id FROM conversations) LEFT JOIN (SELECT book_id, string_agg(src || ' — ' || dst, chr(10) ORDER BY ord) AS glossary FROM e GROUP BY 1) USING (book_id)
 """)
 def glossary_text(get):
     c = get("conversations").withColumn("book_id", F.col("conv_id") % 30)
-    return glossary.glossary_text(c, c.where("turn = 0 and book_id < 25").select("book_id", F.col("conv_id").alias("ord"), F.expr("'s' || conv_id").alias("src"), F.col("role").alias("dst")))
+    return glossary.glossary_text(c, c.where("book_id < 25").select("book_id", F.expr("conv_id * 100 + turn").alias("ord"), F.expr("'s' || conv_id || '-' || turn").alias("src"), F.col("role").alias("dst")))
 
 
 PASTED = "'# note' || chr(10) || chr(10) || ' a' || cast(conv_id AS string) || ' -> b ' || chr(10) || 'c — d|e' || chr(10) || 'none' || chr(10) || role || '|' || cast(turn AS string) || ' – x'"
 
 
-@query(rf"""
-WITH l AS (SELECT conv_id, turn, unnest(range(0, len(x))) AS pos, {_trim("unnest(x)")} AS line FROM (SELECT conv_id, turn, string_split({PASTED}, chr(10)) AS x FROM conversations WHERE turn < 2)),
-p AS (SELECT *, regexp_split_to_array(line, '\s*(?:->|—|–|\|)\s*') AS parts FROM l WHERE line <> '' AND NOT starts_with(line, '#'))
-SELECT conv_id * 10 + turn AS book_id, pos, parts[1] AS src, array_to_string(parts[2:], ' | ') AS dst FROM p WHERE len(parts) >= 2
-""")
-def parse_glossary_lines(get):
-    return glossary.parse_glossary_lines(get("conversations").where("turn < 2").select(F.expr("conv_id * 10 + turn").alias("book_id"), F.expr(PASTED).alias("text")))
-
-
-
 @query(rf"""
 WITH l AS (SELECT conv_id, turn, unnest(range(0, len(x))) AS pos, {_trim("unnest(x)")} AS line FROM (SELECT conv_id, turn, string_split({PASTED}, chr(10)) AS x FROM conversations)),
 p AS (SELECT *, regexp_split_to_array(line, '\s*(?:->|—|–|\|)\s*') AS parts FROM l WHERE line <> '' AND NOT starts_with(line, '#'))
 SELECT cast(conv_id AS varchar) || '-' || cast(turn AS varchar) AS book_id, pos, parts[1] AS src, array_to_string(parts[2:], ' | ') AS dst FROM p WHERE len(parts) >= 2
 """)
-def parse_all_glossary_lines(get):
+def parse_glossary_lines(get):
     return glossary.parse_glossary_lines(get("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("book_id"), F.expr(PASTED).alias("text")))
 
 
@@ -587,10 +577,13 @@ def chunk_markdown(get):
     return out.select("doc_id", F.col("total_chars").cast("long").alias("total_chars"), "intact", "split_fences")
 
 
-@query("SELECT doc_id, 2 AS blocks, length(md) AS chars FROM @docs_md")
+# every line a paragraph, with a heading and a fence in front; no text has a line that begins like one
+BLOCKS = "'## ' || source || chr(10) || '```' || chr(10) || lang || chr(10) || '```' || chr(10) || replace(text, chr(10), chr(10) || chr(10))"
+
+
+@query(rf"SELECT doc_id, unnest(range(0, len(b)))::INT AS pos, unnest(b) AS block FROM (SELECT doc_id, regexp_extract_all({BLOCKS}, '^## [^\n]*\n|```\n[^\n]*\n```\n|\n+|[^\n]+\n*') AS b FROM documents)")
 def split_blocks(get):
-    blocks = chunking.split_blocks_of(get("docs_md").select("doc_id", "md"), "md")
-    return blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("blocks"), F.sum(F.length("block")).alias("chars"))
+    return chunking.split_blocks_of(get("documents").select("doc_id", F.expr(BLOCKS).alias("md")), "md").select("doc_id", "pos", "block")
 
 
 @query("SELECT doc_id, length(md) AS chars, true AS back FROM @docs_md")
@@ -629,26 +622,11 @@ def _edited(get):
     return review.apply_edits(pairs, edits, 2)
 
 
-@query("""
-SELECT book_id, chunk_index, seq, CASE seq WHEN 1 THEN 'ok' WHEN 2 THEN 'err: old is empty' WHEN 3 THEN 'err: chunk ' || chunk_index || ' is outside your range: ' || (chunk_index // 2 + 1) * 2 || ', ' || (chunk_index // 2 + 1) * 2 + 1 ELSE 'err: old was not found in this chunk' END AS result
-FROM @pairs, range(1, 5) AS r(seq) WHERE (length(original) - length(replace(original, 'x ', ''))) = 0
-""")
-def edit_results(get):
-    single = get("pairs").where(~F.contains("original", F.lit("x "))).select("book_id", "chunk_index")
-    return _edited(get)[1].join(single, ["book_id", "chunk_index"], "left_semi").select("book_id", "chunk_index", "seq", "result")
-
-
-@query("SELECT book_id, chunk_index, 'y $& ' || original AS translation, coalesce(pre_review, translation) AS pre_review, false AS used_original FROM @pairs WHERE NOT contains(original, 'x ')")
-def apply_edits(get):
-    out = _edited(get)[0].where(~F.contains("original", F.lit("x ")))
-    return out.select("book_id", "chunk_index", "translation", "pre_review", "used_original")
-
-
 @query("""
 SELECT book_id, chunk_index, seq, CASE seq WHEN 1 THEN CASE WHEN n = 1 THEN 'ok' ELSE 'err: old matches ' || n || ' times in this chunk; make it a unique substring' END WHEN 2 THEN 'err: old is empty' WHEN 3 THEN 'err: chunk ' || chunk_index || ' is outside your range: ' || (chunk_index // 2 + 1) * 2 || ', ' || (chunk_index // 2 + 1) * 2 + 1 ELSE 'err: old was not found in this chunk' END AS result
 FROM (SELECT *, (length(translation) - length(replace(translation, 'x ', ''))) // 2 AS n FROM @pairs), range(1, 5) AS r(seq)
 """)
-def edit_all_results(get):
+def edit_results(get):
     return _edited(get)[1].select("book_id", "chunk_index", "seq", "result")
 
 
@@ -656,15 +634,15 @@ def edit_all_results(get):
 SELECT book_id, chunk_index, CASE WHEN single THEN 'y $& ' || original ELSE translation END AS translation, CASE WHEN single THEN coalesce(pre_review, translation) ELSE pre_review END AS pre_review, used_original AND NOT single AS used_original
 FROM (SELECT *, NOT contains(original, 'x ') AS single FROM @pairs)
 """)
-def apply_all_edits(get):
+def apply_edits(get):
     return _edited(get)[0].select("book_id", "chunk_index", "translation", "pre_review", "used_original")
 
 
-@query("SELECT conv_id, turn, length(text) AS deleted_or_equal, length('new ' || text || ' end') AS inserted_or_equal, true AS changed FROM conversations")
+@query("SELECT conv_id, turn, '-[a]+[c]= ' || text || ' -[b]+[d]' AS ops FROM conversations")
 def word_diff(get):
-    c = get("conversations").select("conv_id", "turn", review.word_diff(F.col("text"), F.concat(F.lit("new "), "text", F.lit(" end"))).alias("ops"))
-    size = lambda kind: F.length(F.array_join(F.transform(F.filter("ops", lambda x: x["type"].isin("eq", kind)), lambda x: x["text"]), ""))
-    return c.select("conv_id", "turn", size("del").alias("deleted_or_equal"), size("ins").alias("inserted_or_equal"), F.exists("ops", lambda x: x["type"] != "eq").alias("changed"))
+    ops = review.word_diff(F.concat(F.lit("[a] "), "text", F.lit(" [b]")), F.concat(F.lit("[c] "), "text", F.lit(" [d]")))
+    mark = lambda x: F.when(x["type"] == "eq", "=").when(x["type"] == "del", "-").otherwise("+")
+    return get("conversations").select("conv_id", "turn", F.array_join(F.transform(ops, lambda x: F.concat(mark(x), x["text"])), "").alias("ops"))
 
 
 TERMS = """'so {"b' || conv_id || '": " x ", "a": "' || role || '", "n": 1, "e": ""}'"""
@@ -677,23 +655,23 @@ def glossary_json(get):
     return rows.select("conv_id", "turn", F.array_join(F.transform("e", lambda x: F.concat(x["src"], F.lit("="), x["dst"])), ",").alias("terms"))
 
 
-@query("SELECT conv_id AS book_id, CASE conv_id % 3 WHEN 0 THEN 'second' WHEN 1 THEN '' ELSE 'third' END AS term FROM conversations WHERE turn = 0")
+@query("SELECT conv_id AS book_id, turn AS big_id, CASE (conv_id + turn) % 3 WHEN 0 THEN 'second' WHEN 1 THEN '' ELSE 'third' END AS term FROM conversations")
 def accept_extracts(get):
-    answer = "CASE WHEN a = 1 AND conv_id % 3 = 1 THEN ' {} ' WHEN a = 2 AND conv_id % 3 = 0 THEN '{\"k\": \"second\"}' WHEN a = 3 THEN '{\"k\": \"third\"}' ELSE 'oops' END"
-    rows = get("conversations").where("turn = 0").select("conv_id", F.explode(F.array(*map(F.lit, (3, 1, 2)))).alias("a"))
-    out = glossary.accept_extracts(rows.select(F.col("conv_id").alias("book_id"), F.lit(0).alias("big_id"), F.col("a").alias("attempt"), F.expr(answer).alias("response")))
-    return out.select("book_id", F.array_join(F.transform("entries", lambda x: x["dst"]), ",").alias("term"))
+    answer = "CASE WHEN a = 1 AND (conv_id + turn) % 3 = 1 THEN ' {} ' WHEN a = 2 AND (conv_id + turn) % 3 = 0 THEN '{\"k\": \"second\"}' WHEN a = 3 THEN '{\"k\": \"third\"}' ELSE 'oops' END"
+    rows = get("conversations").select("conv_id", "turn", F.explode(F.array(*map(F.lit, (3, 1, 2)))).alias("a"))
+    out = glossary.accept_extracts(rows.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("big_id"), F.col("a").alias("attempt"), F.expr(answer).alias("response")))
+    return out.select("book_id", "big_id", F.array_join(F.transform("entries", lambda x: x["dst"]), ",").alias("term"))
 
 
-RECORD = """'{"version":' || CASE WHEN conv_id % 9 = 1 THEN '1' ELSE '2' END || ',"fileName":"a","fileBytes":"AA==","title":"t","format":"' || CASE WHEN conv_id % 9 = 2 THEN 'pdf' ELSE 'epub' END
- || '","chunks":[{"index":0,"documentPath":"p","chapterTitle":"c","markdown":"m"' || CASE conv_id % 9 WHEN 3 THEN ',"joinWith":"tab"' WHEN 4 THEN ',"joinWith":"line"' ELSE '' END
- || '}],"styleGuide":' || CASE WHEN conv_id % 9 = 5 THEN '3' ELSE '"g"' END || ',"translated":[{"index":0,"original":"o"' || CASE WHEN conv_id % 9 = 6 THEN '' ELSE ',"translation":"x"' END || '}],"index":1,"more":[]' || CASE WHEN conv_id % 9 = 7 THEN '' ELSE '}' END"""
+RECORD = """'{"version":' || CASE WHEN (conv_id + turn) % 9 = 1 THEN '1' ELSE '2' END || ',"fileName":"a","fileBytes":"AA==","title":"t","format":"' || CASE WHEN (conv_id + turn) % 9 = 2 THEN 'pdf' ELSE 'epub' END
+ || '","chunks":[{"index":0,"documentPath":"p","chapterTitle":"c","markdown":"m"' || CASE (conv_id + turn) % 9 WHEN 3 THEN ',"joinWith":"tab"' WHEN 4 THEN ',"joinWith":"line"' ELSE '' END
+ || '}],"styleGuide":' || CASE WHEN (conv_id + turn) % 9 = 5 THEN '3' ELSE '"g"' END || ',"translated":[{"index":0,"original":"o"' || CASE WHEN (conv_id + turn) % 9 = 6 THEN '' ELSE ',"translation":"x"' END || '}],"index":1,"more":[]' || CASE WHEN (conv_id + turn) % 9 = 7 THEN '' ELSE '}' END"""
 
 
-@query("SELECT conv_id, conv_id % 9 IN (0, 4, 8) AS is_valid FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, (conv_id + turn) % 9 IN (0, 4, 8) AS is_valid FROM conversations")
 def valid_checkpoints(get):
-    rows = get("conversations").where("turn = 0").select("conv_id", F.expr(RECORD).alias("record"))
-    return records.valid_checkpoints(rows).select("conv_id", "is_valid")
+    rows = get("conversations").select("conv_id", "turn", F.expr(RECORD).alias("record"))
+    return records.valid_checkpoints(rows).select("conv_id", "turn", "is_valid")
 
 
 # --- pages and images
@@ -705,6 +683,80 @@ def page_markdown(get):
     return out.select("page_id", out.markdown.rlike("(?m)^# ").alias("has_head"), (~F.contains("markdown", F.lit("track("))).alias("no_script"), (~F.contains("markdown", F.lit("margin:0"))).alias("no_style"))
 
 
+# texts of letters, digits and single spaces, so that markup can be put around them
+CLEAN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' '{g}), ' +', ' '{g}))"
+CLEAN_SQL = CLEAN.replace("{g}", ", 'g'")
+
+
+def _clean(get):
+    return get("documents").select("doc_id", "source", "lang", F.expr(CLEAN.replace("{g}", "")).alias("t"))
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, source, lang, {CLEAN_SQL} AS t FROM documents)
+SELECT doc_id, '## ' || source || chr(10) || chr(10) || CASE WHEN t = '' THEN '' ELSE t || ' ' END || '*' || lang || '* [r](https://e.example/' || doc_id || ')' || chr(10) || chr(10) || '- one' || chr(10) || '- **two**' || chr(10) || '  - in' || chr(10) || chr(10)
+  || '1. ' || lang || chr(10) || chr(10) || '> quoted' || chr(10) || '>' || chr(10) || '> more' || chr(10) || chr(10) || '| a | b \\| c |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || source || ' |' || chr(10) || chr(10) || '```' || chr(10) || 'x  y' || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '![p](i.png)' || chr(10) AS markdown
+FROM c
+""")
+def html_markdown(get):
+    html = "'<html><head><title>x</title><style>p {}</style></head><body><h2>' || source || '</h2><script>no()</script><p>' || t || ' <em>' || lang || '</em> <a href=\"https://e.example/' || doc_id || '\">r</a></p><ul><li>one</li><li><b>two</b></li><ul><li>in</li></ul></ul><ol><li>' || lang || '</li></ol><blockquote><p>quoted</p><p>more</p></blockquote><table><tr><th>a</th><th>b | c</th></tr><tr><td>1</td><td>' || source || '</td></tr></table><pre>x  y</pre><hr><img src=\"i.png\" alt=\"p\"></body></html>'"
+    return books.html_to_markdown(_clean(get).select("doc_id", F.expr(html).alias("html"))).select("doc_id", "markdown")
+
+
+@query(f"""
+SELECT doc_id, '<h2>' || source || '</h2>' || chr(10) || '<p>' || {CLEAN_SQL} || ' <em>' || lang || '</em> <strong>a &amp; b</strong><br/>' || chr(10) || '<a href="u/' || doc_id || '">r</a> <code>x &lt; y</code></p>' || chr(10) || '<ul>' || chr(10) || '<li><p>one</p></li>' || chr(10) || '<li><p>two</p></li>' || chr(10) || '</ul>' || chr(10) || '<blockquote><p>quoted</p></blockquote>' || chr(10) || '<hr/>' || chr(10) || '<pre><code>*a*</code></pre>' || chr(10) || '<p><img alt="p" src="images/i.png"/></p>' AS xhtml FROM documents
+""")
+def xhtml_text(get):
+    md = "'## ' || source || chr(10) || chr(10) || t || ' *' || lang || '* **a & b**' || chr(10) || '[r](u/' || doc_id || ') `x < y`' || chr(10) || chr(10) || '* one' || chr(10) || '* two' || chr(10) || chr(10) || '> quoted' || chr(10) || chr(10) || '---' || chr(10) || '```' || chr(10) || '*a*' || chr(10) || '```' || chr(10) || '![p](img/i.png)'"
+    return _clean(get).select("doc_id", xhtml.markdown_to_xhtml(F.expr(md)).alias("xhtml"))
+
+
+def _books(get):
+    """Books of two chapters and two images, packed and as files again."""
+    rows = _clean(get).select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A ' || lang || chr(10) || chr(10) || 'w ' || t || chr(10) || chr(10) || '## B' || chr(10) || chr(10) || 'end'").alias("markdown"))
+    images = rows.select("book_id", F.explode(F.array(*(F.struct(F.lit(f"images/{n}").alias("href"), F.lit("image/png").alias("mime_type"), F.encode(F.concat(F.lit(n), F.col("book_id").cast("string")), "UTF-8").alias("bytes")) for n in ("a.png", "b c.png")))).alias("x")).select("book_id", "x.*")
+    return packing.pack_books(rows, images, "de").select(F.col("book_id").cast("string").alias("book_id"), "file_name", F.col("epub").alias("content"))
+
+
+@query(f"""
+SELECT doc_id, 0 AS piece_pos, 'b' || doc_id || '.de.epub' AS file_name, 'A ' || lang AS chapter_title, '# A ' || lang || chr(10) || chr(10) || trim('w ' || {CLEAN_SQL}) || chr(10) AS markdown FROM documents
+UNION ALL SELECT doc_id, 1, 'b' || doc_id || '.de.epub', 'B', '## B' || chr(10) || chr(10) || 'end' || chr(10) FROM documents
+""")
+def book_sections(get):
+    out = books.extract_sections(_books(get))
+    return out.select(F.col("book_id").cast("long").alias("doc_id"), "piece_pos", "file_name", "chapter_title", "markdown")
+
+
+@query("""
+SELECT doc_id, 'OEBPS/images/' || n AS source_path, 'images/' || replace(n, ' ', '_') AS href, 'image/png' AS mime_type, n || doc_id AS content FROM documents, (VALUES ('a.png'), ('b c.png')) AS v(n)
+""")
+def book_images(get):
+    out = books.extract_images(_books(get))
+    return out.select(F.col("book_id").cast("long").alias("doc_id"), "source_path", "href", "mime_type", F.decode("bytes", "UTF-8").alias("content"))
+
+
+@query("SELECT conv_id, turn, role, text, 'part' AS file FROM conversations")
+def request_files(get):
+    """Requests written as JSON lines, the files read as any book is, and their lines parsed."""
+    rows = get("conversations").select("conv_id", "turn", "role", "text")
+    path = jobs.shared_path(rows.sparkSession, "requests")
+    packing.write_requests(rows, path)
+    files = books.read_books(rows.sparkSession, path).where(F.col("file_name").startswith("part-"))
+    lines = files.select(F.substring("file_name", 1, 4).alias("file"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.from_json("line", rows.schema).alias("x"), "file").select("x.*", "file")
+
+
+@query("""
+SELECT source AS book_id, 'plain' AS style_guide, string_agg('s' || doc_id || '=' || lang, ',' ORDER BY doc_id) AS terms FROM documents GROUP BY source
+""")
+def brief_files(get):
+    docs = get("documents").withColumnRenamed("source", "book_id")
+    path = jobs.shared_path(docs.sparkSession, "brief")
+    packing.export_brief(docs.select("book_id", F.lit("plain").alias("style_guide")).distinct(), docs.select("book_id", F.col("doc_id").alias("ord"), F.expr("'s' || doc_id").alias("src"), F.col("lang").alias("dst")), path)
+    read = docs.sparkSession.read.schema("book_id string, style_guide string, glossary array<struct<src string, dst string>>").json(path)
+    return read.select("book_id", "style_guide", F.array_join(F.transform("glossary", lambda x: F.concat(x["src"], F.lit("="), x["dst"])), ",").alias("terms"))
+
+
 REF = "CASE page_id % 6 WHEN 0 THEN '#art/c%20' || page_id || '.png' WHEN 1 THEN '/art/c ' || page_id || '.png' WHEN 2 THEN 'other/c%20' || page_id || '.png' WHEN 3 THEN 'c%zz.png' WHEN 4 THEN '' ELSE 'art/c ' || page_id || '.png' END"
 
 
@@ -736,13 +788,8 @@ def _packed(docs):
     return out.join(read, "book_id").select(F.col("book_id").alias("doc_id"), (F.col("n") + 5).alias("parts"), (F.hex(F.substring("epub", 1, 2)) == "504B").alias("is_zip"))
 
 
-@query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents WHERE doc_id % 20 = 0")
-def pack_books(get):
-    return _packed(get("documents").where("doc_id % 20 = 0"))
-
-
 @query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents")
-def pack_all_books(get):
+def pack_books(get):
     return _packed(get("documents"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import count
+from textwrap import indent
 
 from ..functions.text import CJK_LANGS, CYRILLIC_LANGS, LATIN_LANGS
 
@@ -129,124 +131,155 @@ def _mostly(text: str, script: str) -> bool:
     return total >= 8 and n.get(script, 0) / total > 0.7
 
 
+class Part:
+    """What an element gives to the one around it: its layout as a block, in a line, and pieces for some."""
+
+    __slots__ = ("attrs", "block", "items", "kids", "line", "name", "rows", "text")
+
+    def __init__(self, node: Node, kids: list[Part | str]):
+        self.name, self.attrs, self.kids = node.name, node.attrs, kids
+        self.block = self.line = self.items = ""
+        own = [] if self.name != "tr" else [[k.inside for k in kids if isinstance(k, Part) and k.name in ("td", "th")]]
+        self.rows = own + [row for k in kids if isinstance(k, Part) for row in k.rows]
+        self.text = "".join(k if isinstance(k, str) else k.text for k in kids)
+
+    @property
+    def has_block(self) -> bool:
+        return any(isinstance(k, Part) and k.name in BLOCKS for k in self.kids)
+
+    @property
+    def inside(self) -> str:
+        """The contents as a line."""
+        line = "".join(k if isinstance(k, str) else k.line for k in self.kids)
+        return re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]+\n", "\n", line)).strip()
+
+    @property
+    def blocks(self) -> str:
+        """The contents as blocks; loose text is a block."""
+        return "".join(k.block if isinstance(k, Part) else _block(" ".join(k.split())) for k in self.kids)
+
+    @property
+    def laid_out(self) -> str:
+        return self.blocks if self.has_block else _block(self.inside)
+
+
+def _block(text: str) -> str:
+    return text and f"{text}\n\n"
+
+
+def _quote(p: Part) -> str:
+    inner = p.laid_out.strip()
+    return re.sub("(?m)^(.+)$|^$", lambda m: f"> {m[1]}" if m[1] else ">", inner) * bool(inner) + "\n\n"
+
+
+def _list(p: Part) -> str:
+    """An item a line; what else stands in a list comes as it is, a list in it two spaces in."""
+    numbers, lines = count(1), []
+    for k in (k for k in p.kids if isinstance(k, Part)):
+        if k.name == "li":
+            mark = f"{next(numbers)}. " if p.name == "ol" else "- "
+            lines.append(mark + (k.blocks.strip() if k.has_block else k.inside).replace("\n", "\n  "))
+        elif k.name in LISTS:
+            lines += [indent(k.items.rstrip(), "  ", lambda _: True)] if k.items.rstrip() else []
+        elif k.block.strip():
+            lines.append(k.block.strip().replace("\n", "\n  "))
+    return "\n".join(lines) + "\n"
+
+
+def _table(p: Part) -> str:
+    cells = [[re.sub(r"\s*\n\s*", " ", c.replace("|", "\\|")).strip() for c in row] for row in p.rows]
+    cells[1:1] = [["---"] * len(cells[0])] if cells else []
+    return "\n".join(f"| {' | '.join(row)} |" for row in cells) if cells else p.inside
+
+
+#: How elements are laid out as blocks; others are what is in them.
+AS_BLOCK: dict[str, Callable[[Part], str]] = {h: (lambda p, mark=mark: f"{mark}{p.inside}\n\n") for h, mark in HEADS.items()}
+AS_BLOCK |= dict.fromkeys(("blockquote", "epigraph", "cite"), _quote) | {
+    "p": lambda p: f"{p.inside}\n\n",
+    "li": lambda p: f"- {p.inside}\n",
+    "v": lambda p: f"{p.inside}\n",
+    "text-author": lambda p: f"*{p.inside}*\n\n",
+    "pre": lambda p: f"```\n{p.text.removesuffix(chr(10))}\n```\n\n",
+    "table": lambda p: _table(p) + "\n\n",
+    "hr": lambda p: "---\n\n",
+    "br": lambda p: "\n",
+    "empty-line": lambda p: "\n",
+}
+#: What stands around an element's contents in a line.
+IN_LINE = {"em": "*", "i": "*", "emphasis": "*", "strong": "**", "b": "**", "code": "`"}
+LISTS, PICTURES = ("ul", "ol"), ("img", "image")
+
+
 class Markdown:
     """Writes a tree as markdown. href resolves references; langs = (source, target) drops
-    blocks that are in the target language already, unless nothing would be left."""
+    blocks that are in the target language already, unless nothing would be left.
+
+    Elements are finished from the leaves up, without recursion.
+    """
 
     def __init__(self, href: Callable[[str], str] | None = None, image: Callable[[str], str | None] | None = None, langs: tuple[str, str] | None = None):
         self.href, self.image = href or (lambda x: x), image or (lambda _: None)
         self.langs = tuple(re.split("[-_]", x.strip().lower())[0] for x in langs) if langs else None
 
     def write(self, root: Node) -> str:
-        out = re.sub(r"\n{3,}", "\n\n", self.container(root)).strip() + ("\n" if root.children else "")
+        out = re.sub(r"\n{3,}", "\n\n", self.finish(root).laid_out).strip() + ("\n" if root.children else "")
         if self.langs and not out.strip():
             return Markdown(self.href, self.image).write(root)
         return out
 
-    def marked(self, node: Node) -> bool:
-        own = re.split("[-_]", (node.attrs.get("lang") or node.attrs.get("xml:lang") or "").strip().lower())[0]
+    def finish(self, root: Node) -> Part:
+        """The part of the root, once all below it are finished."""
+        done: list[Part | str] = []
+        todo: list[tuple[Node | str, bool]] = [(root, False)]
+        while todo:
+            node, opened = todo.pop()
+            if isinstance(node, str):
+                done.append(node)
+            elif not opened:
+                todo.append((node, True))
+                todo += [(c, False) for c in reversed(node.children)]
+            else:
+                first = len(done) - len(node.children)
+                done[first:] = [self.rendered(Part(node, done[first:]))]
+        return done[0]
+
+    def rendered(self, p: Part) -> Part:
+        if p.name in LISTS:
+            p.items = _list(p)
+        if self.foreign(p):
+            return p
+        p.line = self.in_line(p)
+        if not self.translated(p):
+            p.block = p.items + "\n" if p.name in LISTS else p.line + "\n\n" if p.name in PICTURES else AS_BLOCK.get(p.name, lambda p: p.laid_out)(p)
+        return p
+
+    def in_line(self, p: Part) -> str:
+        if p.name in PICTURES:
+            alt, src = p.attrs.get("alt") or p.attrs.get("title") or "", _first(p.attrs, "src", "l:href", "xlink:href", "href").removeprefix("#")
+            full = self.href(src)
+            return f"![{alt}]({self.image(full) or self.image(src) or full})"
+        if p.name == "br":
+            return "  \n"
+        mark, inside = IN_LINE.get(p.name, ""), p.inside
+        if p.name != "a":
+            return mark + inside + mark
+        href = _first(p.attrs, "href", "l:href", "xlink:href")
+        if href and not re.match("(?i)https?:|mailto:|data:|#", href):
+            href = self.href(href)
+        return f"[{inside or href}]({href})" if href else inside
+
+    def foreign(self, p: Part) -> bool:
+        """Marked as in the target language, when that isn't the source's."""
+        own = re.split("[-_]", _first(p.attrs, "lang", "xml:lang").strip().lower())[0]
         return bool(self.langs and own and own == self.langs[1] != self.langs[0])
 
-    def skipped(self, node: Node) -> bool:
-        if not self.langs:
-            return False
-        if self.marked(node):
-            return True
-        source, target = map(_script, self.langs)
-        if self.has_block(node) or "other" in (source, target) or source == target:
+    def translated(self, p: Part) -> bool:
+        """A block without blocks whose letters are the target language's and not the source's."""
+        scripts = [_script(x) for x in self.langs or ()]
+        if len(set(scripts)) < 2 or "other" in scripts or p.has_block:
             return False
-        text = node.text()
-        return _mostly(text, target) and not _mostly(text, source)
-
-    @staticmethod
-    def has_block(node: Node) -> bool:
-        return any(isinstance(c, Node) and c.name in BLOCKS for c in node.children)
-
-    def blocks(self, node: Node) -> str:
-        return "".join(self.block(c) for c in node.children)
-
-    def container(self, node: Node) -> str:
-        if self.has_block(node):
-            return self.blocks(node)
-        inline = self.inline(node)
-        return f"{inline}\n\n" if inline else ""
-
-    def block(self, node: Node | str) -> str:
-        if isinstance(node, str):
-            text = " ".join(node.split())
-            return f"{text}\n\n" if text else ""
-        if self.skipped(node):
-            return ""
-        name = node.name
-        if name in HEADS or name == "p":
-            return f"{HEADS.get(name, '')}{self.inline(node)}\n\n"
-        if name in ("blockquote", "epigraph", "cite"):
-            inner = self.container(node).strip()
-            return "\n".join(f"> {x}" if x else ">" for x in inner.split("\n")) * bool(inner) + "\n\n"
-        if name in ("ul", "ol"):
-            return self.items(node) + "\n"
-        if name == "pre":
-            return f"```\n{node.text().removesuffix(chr(10))}\n```\n\n"
-        if name == "table":
-            return self.table(node) + "\n\n"
-        if name in ("img", "image"):
-            return self.picture(node) + "\n\n"
-        inline = {"li": "- {}\n", "v": "{}\n", "text-author": "*{}*\n\n"}.get(name)
-        fixed = {"hr": "---\n\n", "br": "\n", "empty-line": "\n"}.get(name)
-        return fixed or (inline.format(self.inline(node)) if inline else self.container(node))
-
-    def items(self, node: Node) -> str:
-        lines, n = [], 0
-        for child in node.children:
-            if isinstance(child, str):
-                continue
-            if child.name == "li":
-                n += 1
-                body = self.blocks(child).strip() if self.has_block(child) else self.inline(child)
-                lines.append((f"{n}. " if node.name == "ol" else "- ") + body.replace("\n", "\n  "))
-            elif child.name in ("ul", "ol"):
-                if nested := self.items(child).rstrip():
-                    lines.append("\n".join("  " + x for x in nested.split("\n")))
-            elif stray := self.block(child).strip():
-                lines.append(stray.replace("\n", "\n  "))
-        return "\n".join(lines) + "\n"
-
-    def table(self, node: Node) -> str:
-        rows = [n for n in node.walk() if n.name == "tr"]
-        if not rows:
-            return self.inline(node)
-        lines = []
-        for row in rows:
-            cells = [c for c in row.children if isinstance(c, Node) and c.name in ("td", "th")]
-            texts = [re.sub(r"\s*\n\s*", " ", self.inline(c).replace("|", "\\|")).strip() for c in cells]
-            lines.append(f"| {' | '.join(texts)} |")
-            if len(lines) == 1:
-                lines.append(f"| {' | '.join('---' for _ in texts)} |")
-        return "\n".join(lines)
-
-    def inline(self, node: Node) -> str:
-        out = "".join(c if isinstance(c, str) else self.run(c) for c in node.children)
-        return re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]+\n", "\n", out)).strip()
-
-    def run(self, node: Node) -> str:
-        if self.langs and self.marked(node):
-            return ""
-        name = node.name
-        mark = {"em": "*", "i": "*", "emphasis": "*", "strong": "**", "b": "**", "code": "`"}.get(name)
-        if mark:
-            return mark + self.inline(node) + mark
-        if name == "br":
-            return "  \n"
-        if name == "a":
-            href = node.attrs.get("href") or node.attrs.get("l:href") or node.attrs.get("xlink:href") or ""
-            if href and not re.match("(?i)https?:|mailto:|data:|#", href):
-                href = self.href(href)
-            text = self.inline(node) or href
-            return f"[{text}]({href})" if href else text
-        return self.picture(node) if name in ("img", "image") else self.inline(node)
-
-    def picture(self, node: Node) -> str:
-        a = node.attrs
-        src = (a.get("src") or a.get("l:href") or a.get("xlink:href") or a.get("href") or "").removeprefix("#")
-        full = self.href(src)
-        return f"![{a.get('alt') or a.get('title') or ''}]({self.image(full) or self.image(src) or full})"
+        return _mostly(p.text, scripts[1]) and not _mostly(p.text, scripts[0])
+
+
+def _first(attrs: dict[str, str], *names: str) -> str:
+    return next((attrs[n] for n in names if attrs.get(n)), "")

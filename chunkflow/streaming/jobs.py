@@ -85,7 +85,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder in the one that spark.checkpoint.dir names; a local master may leave it unset."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
@@ -98,14 +98,14 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def work_off(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there now, as a table in the shared folder."""
-    path = _folder(stream.sparkSession, name)
+    path = shared_path(stream.sparkSession, name)
     run_available(stream, f"{path}/rows", f"{path}/state")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def latest(counts: DataFrame, name: str) -> DataFrame:
     """The last state of running counts; each batch replaces the table of the one before."""
-    path = _folder(counts.sparkSession, name)
+    path = shared_path(counts.sparkSession, name)
     put = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")
     query = counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
