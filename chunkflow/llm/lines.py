@@ -38,7 +38,7 @@ from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
-SHORT, WIDE, NARROW, TINY, DISTANCE, KEYS, FEW = 10, 8, 12, 14, 24, 8, 64
+SHORT, WIDE, NARROW, TINY, DISTANCE, KEYS, FEW = 10, 8, 12, 14, 20, 8, 64
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
 #: Key columns: two keys of 32 bits in each; k from words, g from runs of bytes.
 PACKED = [f"{x}{i}" for x in "kg" for i in range(KEYS // 2)]

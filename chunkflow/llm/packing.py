@@ -2,11 +2,12 @@
 
 Items (key, length) go into sequences of at most `capacity`. Items are dealt into blocks of
 bounded size by a hash; each block evolves on several islands. An individual is a set of
-bins. Crossover injects another individual's well-filled bins whole, takes out the bins
-that now hold an item twice and best-fits their displaced items; mutation dissolves the
-emptiest bins. After every epoch each island's elite migrates to the next island of its
-block, and at last each block keeps its best island. The bins with most room left are then
-dissolved and packed once more across blocks.
+bins; the first ones take the items in random orders, each into the last bin or a new one. Crossover
+injects another individual's well-filled bins whole, takes out the bins that now hold an item
+twice and best-fits their displaced items; mutation dissolves the emptiest bins. An island stops
+at the bound of bins. After every epoch each island's elite migrates to the next island of its
+block, unless all blocks have met their bounds, and at last each block keeps its best island.
+The bins with most room left are then dissolved and packed once more across blocks.
 
 Items of the full capacity are sequences by themselves. Null or non-positive lengths, or
 ones above the capacity, raise an error; repeated keys aren't allowed, ties are free.
@@ -28,7 +29,7 @@ from ._spark import documents, materialize
 from .arrow import portions
 from .tokens import ChunkIds, vocabulary
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 16384, 2, 2, 4, 12
+CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 16384, 2, 2, 4, 16
 EOS = 1
 
 
@@ -90,36 +91,35 @@ def _mutate(bins, room, sizes, capacity, rng) -> list[list[int]]:
     return kept
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best individual of one island; stops early where the bound on bins is met."""
+def _random(sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+    order, bins, room = list(range(len(sizes))), [], 0
+    rng.shuffle(order)
+    for i in order:
+        if sizes[i] > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= sizes[i]
+    return bins
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[list[int]], int]:
+    """The best individual of one island and the generations it took; stops at the bound on bins."""
     rng, least = random.Random(seed), -(-sum(sizes) // capacity)
-    pool = [list(map(list, e)) for e in elites]
-    worth = lambda bins: _worth(bins, sizes, capacity)
-    while len(pool) < max(1, population):
-        if pool and min(map(len, pool)) <= least:
-            return max(pool, key=worth)
-        bins: list[list[int]] = []
-        if pool:  # longest first by jittered lengths, in eighths
-            room: list[int] = []
-            jitter = [s * rng.uniform(0.8, 1.0) for s in sizes]
-            order = sorted(range(len(sizes)), key=jitter.__getitem__, reverse=True)
-            step = max(1, -(-len(order) // 8))
-            for k in range(0, len(order), step):
-                best_fit(order[k : k + step], sizes, bins, room, capacity)
-        else:
-            best_fit(list(range(len(sizes))), sizes, bins, [], capacity)
-        pool.append(bins)
-    for _ in range(generations):
-        if min(map(len, pool)) <= least:
-            break
-        pool.sort(key=worth, reverse=True)
-        one, two = pool[0], pool[1 + rng.randrange(len(pool) - 1)] if len(pool) > 1 else pool[0]
+    pool = [(_worth(bins, sizes, capacity), bins) for bins in [*(list(map(list, e)) for e in elites), *(_random(sizes, capacity, rng) for _ in range(max(2, population - len(elites))))]]
+    best = lambda x: x[0]
+    for n in range(generations):
+        pool.sort(key=best, reverse=True)
+        if len(pool[0][1]) <= least:
+            return pool[0][1], n
+        one, two = pool[0][1], pool[1 + rng.randrange(len(pool) - 1)][1]
         if rng.random() < 0.5:
             one, two = two, one
         child = _cross(one, two, sizes, capacity, rng)
-        if worth(child) > worth(pool[-1]):
-            pool[-1] = child
-    return max(pool, key=worth)
+        worth = _worth(child, sizes, capacity)
+        if worth > pool[-1][0]:
+            pool[-1] = (worth, child)
+    return max(pool, key=best)[1], generations
 
 
 def _pack_once(items: DataFrame, capacity: int, block_items: int, islands: int, epochs: int, level: int) -> DataFrame:
@@ -128,8 +128,8 @@ def _pack_once(items: DataFrame, capacity: int, block_items: int, islands: int,
     blocks = max(1, -(-n // block_items))
     block = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(blocks))
     rows = items.select("key", "length", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    rows = rows.withColumns({"elite": F.lit(0), "bin": F.lit(-1).cast("int")})
-    schema = "key long, length int, block long, island int, elite int, bin int, bins int, room int"
+    rows = rows.withColumns({"elite": F.lit(0), "bin": F.lit(-1).cast("int"), "generations": F.lit(0)})
+    schema = "key long, length int, block long, island int, elite int, bin int, generations int, bins int, least int, room int"
 
     def island(epoch: int):
         def run(key, df: pd.DataFrame) -> pd.DataFrame:
@@ -137,43 +137,44 @@ def _pack_once(items: DataFrame, capacity: int, block_items: int, islands: int,
             keys, sizes = own.key.to_numpy(), own.length.tolist()
             elites = []
             for _, part in df[df.bin >= 0].groupby("elite"):
-                part = part.sort_values("key")
                 bins: dict[int, list[int]] = {}
-                for i, b in enumerate(part.bin.tolist()):
+                for i, b in enumerate(part.sort_values("key").bin.tolist()):
                     bins.setdefault(b, []).append(i)
                 elites.append(list(bins.values()))
-            best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), epoch, level)) & 0xFFFFFFFF, elites)
+            best, took = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), epoch, level)) & 0xFFFFFFFF, elites)
             at, room = [0] * len(sizes), [0] * len(sizes)
             for b, members in enumerate(best):
                 r = capacity - sum(sizes[i] for i in members)
                 for i in members:
                     at[i], room[i] = b, r
-            return pd.DataFrame({"key": keys, "length": own.length.to_numpy(), "block": key[0], "island": key[1], "elite": 0, "bin": at, "bins": len(best), "room": room})
+            return pd.DataFrame({"key": keys, "length": own.length.to_numpy(), "block": key[0], "island": key[1], "elite": 0, "bin": at, "generations": int(df.generations.max()) + took, "bins": len(best), "least": -(-sum(sizes) // capacity), "room": room})
 
         return run
 
     for epoch in range(epochs):
         if epoch:
+            if rows.groupBy("block").agg(F.min(F.col("bins") - F.col("least")).alias("over")).where("over > 0").isEmpty():
+                break
             moved = rows.withColumns({"island": F.pmod(F.col("island") + 1, F.lit(islands)), "elite": F.lit(1)})
             rows = rows.unionByName(moved)
-        rows = rows.select("key", "length", "block", "island", "elite", "bin").groupBy("block", "island").applyInPandas(island(epoch), schema)
+        rows = rows.select("key", "length", "block", "island", "elite", "bin", "generations").groupBy("block", "island").applyInPandas(island(epoch), schema)
         rows = materialize(rows, "islands")
     best = rows.groupBy("block").agg(F.min_by("island", F.struct("bins", "island")).alias("island"))
     sequence = F.lit(level << 56) + F.col("block") * F.lit(1 << 20) + F.col("bin")
-    return rows.join(best, ["block", "island"]).select("key", "length", sequence.alias("sequence_id"), "room")
+    return rows.join(best, ["block", "island"]).select("key", "length", sequence.alias("sequence_id"), "room", "generations")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(key, length) -> key, sequence_id, offset."""
+    """(key, length) -> key, sequence_id, offset, generations (of the island that placed the item)."""
     bad = F.col("key").isNull() | F.col("length").isNull() | ~F.col("length").between(1, capacity)
     items = items.select("key", F.when(bad, F.raise_error(F.lit("a length outside 1 to the capacity"))).otherwise(F.col("length")).cast("int").alias("length"))
-    whole = items.where(F.col("length") == capacity).select("key", "length", (F.lit(3 << 56) + F.col("key")).alias("sequence_id"))
+    whole = items.where(F.col("length") == capacity).select("key", "length", (F.lit(3 << 56) + F.col("key")).alias("sequence_id"), F.lit(0).alias("generations"))
     first = materialize(_pack_once(items.where(F.col("length") < capacity), capacity, block_items, islands, epochs, 1), "packed")
     loose = F.col("room") * 50 > capacity
     second = _pack_once(first.where(loose), capacity, block_items, islands, epochs, 2)
     out = whole.unionByName(first.where(~loose).drop("room")).unionByName(second.drop("room"))
     order = "(PARTITION BY sequence_id ORDER BY length DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return out.select("key", "sequence_id", F.expr(f"coalesce(sum(length) OVER {order}, 0L)").alias("offset"))
+    return out.select("key", "sequence_id", F.expr(f"coalesce(sum(length) OVER {order}, 0L)").alias("offset"), "generations")
 
 
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

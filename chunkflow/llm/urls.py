@@ -2,12 +2,13 @@
 
 A rule is a pattern over host + path. ``||`` stands for the start of the host or of one of
 its labels, ``^`` for a separator (anything but a letter or digit, or either end), ``*`` for
-anything; the rest is literal. Only letter and digit runs that must be whole tokens of a
+anything; the rest is literal. A pattern after ``@@`` is an exception: it allows what other
+patterns of the method block. Only letter and digit runs that must be whole tokens of a
 matching URL can index a rule, of these the one that the fewest URLs hold.
 
 Null URLs and URLs without ``://`` have an empty host and path. Rules without a whole token
-are candidates for every URL. Equal rules count once; of the rules that fit, the longest
-wins, then the last in string order.
+are candidates for every URL. Equal rules count once; of the listed rules that fit, the longest
+wins, then the last in string order. Repeated rows come back each, very long URLs whole.
 """
 
 from __future__ import annotations
@@ -21,8 +22,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the query: (action, host + path).
 HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: What the method blocks where no such rule fits.
-PATTERNS = ["^spam^", "^ads^", "^adult^", "^casino^", "^porn^", "^track^"]
+#: What the method blocks where no such rule fits: these words anywhere, offers in host labels and paths.
+ANYWHERE = ["spam", "ads", "adult", "casino", "porn", "track"]
+OFFERS = ["cheap", "free", "best", "buy", "online", "instant", "discount", "win"]
+GOODS = ["pills", "bets", "loans", "replica", "watches", "viagra", "poker", "slots", "lottery", "jackpot"]
+#: Hosts whose pages are about such things.
+ABOUT = ["help", "docs", "research"]
+#: Rules up to so many, of so many characters together, are broadcast; more meet the tokens in salted joins.
+MOST_RULES, MOST_CHARS, SALTS = 200_000, 16 << 20, 16
+
+
+def patterns() -> list[str]:
+    """The method's patterns, several hundred, by rule from the words above."""
+    out = [f"^{w}^" for w in ANYWHERE]
+    for g in GOODS:
+        for o in OFFERS:
+            out += [f"||{o}-{g}.", f"||{g}.{o}.", f"/{o}/{g}^", f"/{g}/*^{o}^"]
+    return out + [f"@@||{a}.*/{w}^" for a in ABOUT for w in ANYWHERE + GOODS]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -54,29 +70,45 @@ def compile_pattern(pattern: str, ignore_case: bool = False) -> tuple[str, list[
 def rules_table(spark: SparkSession, host_rules: list[tuple[str, str]], patterns: list[str]) -> DataFrame:
     """(rule, action, rx, tokens, listed): listed rules come before the method's patterns."""
     rows = [(r, a, *compile_pattern("||" + r), True) for a, r in host_rules]
-    rows += [(p, "block", *compile_pattern(p, True), False) for p in patterns]
+    rows += [(p, "allow" if p.startswith("@@") else "block", *compile_pattern(p.removeprefix("@@"), True), False) for p in patterns]
     return spark.createDataFrame(rows, "rule string, action string, rx string, tokens array<string>, listed boolean").distinct()
 
 
+def candidates(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, key, rule, action, rx, listed): each URL with the rules whose rarest token it holds."""
+    words = F.regexp_extract_all(ascii_lower(F.col("key")), F.lit("[a-z0-9]+"), F.lit(0))
+    tokens = urls.select("url", "key", F.explode(F.array_union(F.array(F.lit("")), words)).alias("token"))
+    literals = rules.select("rule", "action", "rx", "listed", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    seen = tokens.join(F.broadcast(literals.select("token").distinct()) if _small(rules) else literals.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    index = literals.join(seen, "token", "left").groupBy("rule", "action", "rx", "listed")
+    index = index.agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
+    if _small(rules):
+        return tokens.join(F.broadcast(index), "token").drop("token")
+    # a token that many URLs hold is spread over SALTS keys
+    tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return tokens.join(index, ["token", "salt"]).drop("token", "salt")
+
+
+def _small(rules: DataFrame) -> bool:
+    n, chars = rules.agg(F.count("*"), F.sum(F.length("rx"))).first()
+    return n <= MOST_RULES and (chars or 0) <= MOST_CHARS
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict added; every row of pages comes back once.
 
     Only the URL column is tokenised and shuffled. Columns of pages that are called host,
     path, rule or verdict are replaced.
     """
-    host, path = url_parts(F.col("__cf_url"))
-    urls = pages.select(F.col(url).alias("__cf_url")).where("__cf_url is not null").distinct().withColumn("_key", F.concat(host, path))
-    tokens = urls.select("__cf_url", "_key", F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all(ascii_lower(F.col("_key")), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    literals = rules.select("rule", "action", "rx", "listed", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
-    seen = tokens.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token").count()
-    index = literals.join(seen, "token", "left").groupBy("rule", "action", "rx", "listed")
-    index = index.agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    fits = tokens.join(index, "token").where(F.expr("regexp(_key, rx)"))
+    host, path = url_parts(F.col("url"))
+    urls = pages.select(F.col(url).alias("url")).where("url is not null").distinct().withColumn("key", F.concat(host, path))
+    fits = candidates(urls, rules).where(F.expr("regexp(key, rx)"))
     order = F.struct(F.length("rule"), "rule", "action")
-    best = fits.groupBy("__cf_url").agg(
+    best = fits.groupBy(F.col("url").alias("__cf_url")).agg(
         F.max_by("rule", F.when(F.col("listed"), order)).alias("__cf_rule"),
         F.max_by("action", F.when(F.col("listed"), order)).alias("__cf_action"),
-        F.max(F.when(~F.col("listed"), F.lit("block"))).alias("__cf_own"),
+        F.min(F.when(~F.col("listed"), F.col("action"))).alias("__cf_own"),  # an exception comes before a block
     )
     host, path = url_parts(F.col(url))
     out = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
@@ -86,7 +118,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    out = judge_urls(pages, rules_table(spark, HOST_RULES, PATTERNS))
+    out = judge_urls(pages, rules_table(spark, HOST_RULES, patterns()))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -107,6 +139,11 @@ WITH p AS (
   FROM q
 )
 SELECT page_id, host, path, hit.rule AS rule,
-       coalesce(hit.action, CASE WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])(spam|ads|adult|casino|porn|track)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-FROM m
-"""
+       coalesce(hit.action, CASE
+         WHEN regexp_matches(u, '(?i)^([^/]*[.])?({about})[.](.|\n)*/({anywhere}|{goods})([^a-z0-9]|$)') THEN 'allow'
+         WHEN regexp_matches(u, '(?i)(^|[^a-z0-9])({anywhere})([^a-z0-9]|$)') THEN 'block'
+         WHEN regexp_matches(u, '(?i)^([^/]*[.])?(({offers})-({goods})|({goods})[.]({offers}))[.]') THEN 'block'
+         WHEN regexp_matches(u, '(?i)/({offers})/({goods})([^a-z0-9]|$)|/({goods})/((.|\n)*[^a-z0-9])?({offers})([^a-z0-9]|$)') THEN 'block'
+         ELSE 'allow' END) AS verdict
+FROM (SELECT *, host || path AS u FROM m)
+""".replace("{anywhere}", "|".join(ANYWHERE)).replace("{offers}", "|".join(OFFERS)).replace("{goods}", "|".join(GOODS)).replace("{about}", "|".join(ABOUT))

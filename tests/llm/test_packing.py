@@ -47,13 +47,29 @@ def test_odd_documents(spark, messy, nothing):
     assert packing.pack_documents(nothing, VOCAB).collect() == []
 
 
-def test_evolving_beats_or_equals_best_fit():
-    sizes = [51, 27, 22, 60, 40, 34, 33, 33, 70, 30, 50, 50] * 5
+#: Lengths that best fit, longest first, packs in one bin of 100 more than they need.
+HARD = [[38, 27, 35, 27, 45, 28, 24, 45, 31], [32, 37, 31, 36, 29, 35, 34, 35, 31], [32, 33, 35, 44, 56, 40, 60, 32, 42, 26]]
+
+
+@pytest.mark.parametrize("sizes", HARD)
+def test_evolving_needs_fewer_bins_than_best_fit(sizes):
+    first: list[list[int]] = []
+    packing.best_fit(list(range(len(sizes))), sizes, first, [], 100)
+    best, generations = packing.evolve(sizes, 100, 1, generations=200)
+    assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in best)
+    assert len(best) == len(first) - 1 == -(-sum(sizes) // 100) and generations > 0
+
+
+def test_islands_migrate_and_beat_best_fit(spark):
+    sizes = HARD[0] + HARD[1] + HARD[2] + HARD[0]
     first: list[list[int]] = []
     packing.best_fit(list(range(len(sizes))), sizes, first, [], 100)
-    best = packing.evolve(sizes, 100, 3, generations=200)
-    assert sorted(i for b in best for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= 100 for b in best) and len(best) <= len(first)
+    items = spark.createDataFrame(list(enumerate(sizes)), "key long, length int").repartition(3)
+    rows = packing.pack(items, 100, islands=2, epochs=6).collect()
+    assert len({r.sequence_id for r in rows}) < len(first) and max(r.generations for r in rows) > packing.GENERATIONS
+    for s in {r.sequence_id for r in rows}:
+        own = sorted((r.offset, sizes[r.key]) for r in rows if r.sequence_id == s)
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 100
 
 
 def test_lengths_out_of_range_are_errors(spark):

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from chunkflow.llm import topk, urls
@@ -31,6 +30,32 @@ def test_patterns_without_a_whole_token_still_run(spark):
     assert urls.compile_pattern("*adsy")[1] == [] and urls.compile_pattern("||a.b/c")[1] == ["a", "b"]
 
 
+def test_the_index_spares_regular_expressions(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rules = urls.rules_table(spark, urls.HOST_RULES, urls.patterns())
+    host, path = urls.url_parts(F.col("url"))
+    found = pages.select("url").where("url is not null").distinct().withColumn("key", F.concat(host, path))
+    n, m = found.count(), rules.count()
+    assert m > 350 and urls.candidates(found, rules).where("not listed").count() < 0.01 * n * m
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_patterns_against_every_regular_expression(spark, monkeypatch, most):
+    import re
+
+    monkeypatch.setattr(urls, "MOST_RULES", most)
+    rng = random.Random(3)
+    words = [*urls.ANYWHERE[:2], *urls.OFFERS[:2], *urls.GOODS[:2], "help", "x", "adsx"]
+    found = ["http://" + "".join(rng.choice(words) + rng.choice(".-./") for _ in range(rng.randint(1, 6))) + rng.choice(["com", "com/", "com/ADS", "com/" + "y" * 5000 + "/spam"]) for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, 1, "k", "v") for i, u in enumerate(found)], "page_id long, url string, host int, token string, verdict string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages, urls.rules_table(spark, [], urls.patterns())).collect()}
+    rules = [(p.startswith("@@"), re.compile(urls.compile_pattern(p.removeprefix("@@"), True)[0])) for p in urls.patterns()]
+    for i, u in enumerate(found):
+        hits = {exception for exception, rx in rules if rx.search(u.removeprefix("http://").split("/")[0].lower() + u.removeprefix("http://")[len(u.removeprefix("http://").split("/")[0]) :])}
+        assert got[i] == ("allow" if True in hits or not hits else "block"), u
+    assert set(got.values()) == {"allow", "block"}
+
+
 def test_repeated_and_missing_rows(spark):
     assert len(verdicts(spark, ["http://a.net/"] * 3, urls.HOST_RULES)) == 3
     assert verdicts(spark, [], urls.HOST_RULES) == {}
