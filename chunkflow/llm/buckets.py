@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, materialize
+from ._spark import connected_components, materialize, scratch
 
 #: Orders of nodes: hubs are the least after these bits are flipped. HUBS of them come at once.
 ORDERS = [0, 0x2F0B4C47E3A91D5C, 0x51C64E6D1B873593, 0x3C6EF372FE94F82B, 0x6A09E667F3BCC908]
@@ -98,19 +98,21 @@ def settle(buckets: DataFrame, links: DataFrame, test: Callable[[DataFrame], Dat
     links: those known. test turns pairs (a, b) into the links (u, v) among them; span turns rows
     of mixed buckets (key, node, component) into links that join their components.
     """
-    groups = connected_components(links.unionByName(test(hub_pairs(buckets, few))))
-    rest = _mixed(buckets.where("m > 2"), groups)
-    found = test(_pairs(rest.where(F.col("m") <= few)))
-    rest = rest.where(F.col("m") > few)
-    for order in ORDERS[HUBS:]:
-        g, r = _parts(F.col("g")), _parts(F.col("r"))
-        copies, rows = _sizes(rest).agg(F.sum(F.col("g") * r + F.col("r") * (g + r)), F.sum(F.col("g") + F.col("r"))).first()
-        if not rows or copies <= COPIES * rows:
-            break
-        links = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        groups = connected_components(links.unionByName(found).unionByName(test(_against_one(rest, order))))
-        rest, found = _mixed(rest, groups), found.limit(0)
-    if rows:
-        found = found.unionByName(span(rest))
-    # components stand for what they hold
-    return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
+    with scratch(buckets.sparkSession):
+        groups = connected_components(links.unionByName(test(hub_pairs(buckets, few))))
+        rest = _mixed(buckets.where("m > 2"), groups)
+        found = test(_pairs(rest.where(F.col("m") <= few)))
+        rest = rest.where(F.col("m") > few)
+        for order in ORDERS[HUBS:]:
+            g, r = _parts(F.col("g")), _parts(F.col("r"))
+            copies, rows = _sizes(rest).agg(F.sum(F.col("g") * r + F.col("r") * (g + r)), F.sum(F.col("g") + F.col("r"))).first()
+            if not rows or copies <= COPIES * rows:
+                break
+            links = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            groups = connected_components(links.unionByName(found).unionByName(test(_against_one(rest, order))))
+            rest, found = _mixed(rest, groups), found.limit(0)
+        if rows:
+            found = found.unionByName(span(rest))
+        # components stand for what they hold
+        groups = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
+        return materialize(groups, "settled", keep=True)

@@ -2,9 +2,10 @@
 
 A line is normalised: A-Z lower-cased, ASCII punctuation and runs of white space made one
 space. Equal normalised lines are one class. A class has a 62-bit SimHash of its words (of a
-line under SHORT words, of its runs of four bytes) and KEYS keys. A key of a line of WIDE words
-or more is made of three minima over its words, longer words weighing more; one of a line of up to
-NARROW words of two minima over its runs of four bytes; lines of at most TINY characters are
+line under SHORT words, of its runs of four bytes) and KEYS keys of a kind: lines of MANY words or
+more have keys of three minima over their words, longer words weighing more, lines of MIDDLE words
+(both ends in) keys of two such minima, lines of up to NARROW words keys of two minima over their
+runs of four bytes; at the borders lines have two kinds. Lines of at most TINY characters are
 also keyed by all strings that as many deletions as they may have edits leave, which misses
 nothing. Classes that share a key are candidates, without those whose SimHashes differ in more
 than DISTANCE bits, and are linked if the edit similarity of their normalised lines, 1 - edits
@@ -33,14 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from ._spark import documents, materialize
+from ._spark import documents, materialize, scratch
 from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
-SHORT, WIDE, NARROW, TINY, DISTANCE, KEYS, FEW = 10, 8, 12, 14, 20, 8, 64
+SHORT, NARROW, MIDDLE, MANY, TINY, DISTANCE, KEYS, FEW = 10, 5, (4, 11), 9, 14, 20, 8, 64
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
-#: Key columns: two keys of 32 bits in each; k from words, g from runs of bytes.
+#: Key columns: two keys of 32 bits in each; k of the longest and the shortest lines, g of those between.
 PACKED = [f"{x}{i}" for x in "kg" for i in range(KEYS // 2)]
 LINES = "_line long, doc_id long, text_hash long, number int, level int, h1 long, h2 long, sim long, " + ", ".join(f"{c} long" for c in PACKED) + ", tiny string"
 _KIND = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
@@ -51,14 +52,15 @@ _B = _RNG.integers(0, 1 << 32, 3 * KEYS, dtype=np.uint32)
 
 
 class Hashes(NamedTuple):
-    """Of lines: words, two hashes, SimHash, keys from words and from bytes (0 rows mean nothing)."""
+    """Of lines: words, normalised length, two hashes, SimHash, keys k and g (null by the words, see LINES)."""
 
     words: np.ndarray
+    chars: np.ndarray
     h1: np.ndarray
     h2: np.ndarray
     sim: np.ndarray
-    by_words: np.ndarray
-    by_bytes: np.ndarray
+    k: np.ndarray
+    g: np.ndarray
 
     @classmethod
     def of(cls, lines: list[str]) -> Hashes:
@@ -72,24 +74,28 @@ class Hashes(NamedTuple):
             np.cumsum(mix(words ^ np.uint64(salt)) * _powers(_P, len(words)), out=sums[1:])
             hashes.append(mix((sums[b] - sums[a]) * _powers(_P_INVERSE, len(words) + 1)[a] + n.astype(np.uint64)).view(np.int64))
         sizes = end - start
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        # letters and the spaces between words; bytes that go on a letter are all inside words
+        chars = total[b] - total[a] + np.maximum(n - 1, 0) - np.array([0 if x.isascii() else len(x.encode("utf-8", "replace")) - len(x) for x in lines])
         sim = simhash(mix(words), a, n, np.where(sizes < 5, 1, 3).astype(np.uint64)) >> np.uint64(2)
-        by_words, by_bytes = np.zeros((2, len(lines), KEYS // 2), np.int64)
+        k, g = np.zeros((2, len(lines), KEYS // 2), np.int64)
         if len(full := np.flatnonzero(n)):
             # a longer word's numbers are cut by more, so it gives the minimum more often
             cut = np.clip(2 * np.log2(np.maximum(sizes - 1, 1)), 0, 6).astype(np.uint32)
-            by_words[full] = packed_keys(least(words, cut, np.cumsum(n[full]) - n[full], 3 * KEYS), 3)
-        if len(few := np.flatnonzero((n > 0) & (n <= NARROW))):
+            minima = least(words, cut, np.cumsum(n[full]) - n[full], 3 * KEYS)
+            k[full], g[full] = packed_keys(minima, 3), packed_keys(minima[:, : 2 * KEYS], 2)
+        if len(few := np.flatnonzero((n > 0) & (n < SHORT))):
             texts = [b"\n\n" + normalised(lines[i]).encode() + b"\n" for i in few]
             data, size = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.array([len(t) for t in texts])
             keep = np.ones(len(data), bool)
-            for k in (1, 2, 3):
-                keep[np.cumsum(size) - k] = False
+            for back in (1, 2, 3):
+                keep[np.cumsum(size) - back] = False
             quads = mix((data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16) | data[2:-1] << np.uint64(8) | data[3:])[keep[:-3]])
             first = np.cumsum(size - 3) - (size - 3)
-            short = n[few] < SHORT
-            sim[few[short]] = (simhash(quads, first, size - 3) >> np.uint64(2) | np.uint64(1 << 62))[short]
-            by_bytes[few] = packed_keys(least(quads, np.uint32(0), first, 2 * KEYS), 2)
-        return cls(n, *hashes, sim.view(np.int64), by_words, by_bytes)
+            sim[few] = simhash(quads, first, size - 3) >> np.uint64(2) | np.uint64(1 << 62)
+            narrow = n[few] <= NARROW
+            k[few[narrow]] = packed_keys(least(quads, np.uint32(0), first, 2 * KEYS), 2)[narrow]
+        return cls(n, chars, *hashes, sim.view(np.int64), k, g)
 
 
 def least(features: np.ndarray, cut: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
@@ -154,9 +160,9 @@ def simhash(words: np.ndarray, start: np.ndarray, n: np.ndarray, weights: np.nda
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def levels(lines: list[str]) -> np.ndarray:
+def levels(chars: np.ndarray) -> np.ndarray:
     """8 times the logarithm of the normalised length to the base 1.25: similar lines are at most 8 apart."""
-    return np.floor(8 * np.log([max(1, len(normalised(x))) for x in lines]) / np.log(1.25)).astype(np.int32)
+    return np.floor(8 * np.log(np.maximum(chars, 1)) / np.log(1.25)).astype(np.int32)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -175,12 +181,11 @@ def line_table(docs: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(len(sizes)), sizes)[keep]
                 number = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
                 pick = [x.take(pa.array(of)) for x in (ids, hashed)]
-                short = [normalised(every[i]) if len(every[i]) <= 8 * TINY else None for i in keep]
-                short = [x if x is not None and len(x) <= TINY else None for x in short]
+                short = [normalised(every[i]) if got.chars[i] <= TINY else None for i in keep]
                 sim = np.where([x is None for x in short], got.sim[keep], np.int64(-1 << 63))
                 words, none = got.words[keep], lambda x: pa.array(np.ascontiguousarray(x[0]), mask=x[1])
-                keys = [none((c, words < WIDE)) for c in got.by_words[keep].T] + [none((c, words > NARROW)) for c in got.by_bytes[keep].T]
-                columns = [pa.array(np.arange(line, line + len(keep))), *pick, *map(pa.array, (number.astype(np.int32), levels(every)[keep], got.h1[keep], got.h2[keep], sim)), *keys, pa.array(short, pa.string())]
+                keys = [none((c, (words > NARROW) & (words < MANY))) for c in got.k[keep].T] + [none((c, (words < MIDDLE[0]) | (words > MIDDLE[1]))) for c in got.g[keep].T]
+                columns = [pa.array(np.arange(line, line + len(keep))), *pick, *map(pa.array, (number.astype(np.int32), levels(got.chars)[keep], got.h1[keep], got.h2[keep], sim)), *keys, pa.array(short, pa.string())]
                 line += len(keep)
                 yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
@@ -370,36 +375,38 @@ def shared_keys(slim: DataFrame, more: DataFrame) -> DataFrame:
 
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h1, h2, group) of the classes that occur more than once or are linked."""
-    classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("level", "sim", *PACKED)])
-    classes = materialize(classes, "line-classes")
-    tiny = lines.where("tiny is not null").groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.first("sim").alias("sim"), F.first("tiny").alias("tiny"))
-    buckets = materialize(shared_keys(classes, deletion_keys(tiny)), "buckets")
-    first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
-    large = buckets.where("key is not null").select("key", F.col("a").alias("node"))
-    texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), lines, docs)
-    info = classes.select("node", "level", "sim")
-
-    def test(pairs: DataFrame) -> DataFrame:
-        x, y = info.alias("x"), info.alias("y")
-        may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y"))
-        return materialize(_confirmed(may.select("a", "b"), texts), "links")
-
-    links = materialize(_confirmed(first, texts), "links")
-    groups = settle(with_hubs(large), links, test, lambda rest: _links_in_blocks(rest, info, texts), 1)
-    out = classes.join(groups, "node", "left").where("times > 1 or component is not null")
-    return materialize(out.select("h1", "h2", F.coalesce("component", "node").alias("group")), "line-groups")
+    with scratch(docs.sparkSession):
+        classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("level", "sim", *PACKED)])
+        classes = materialize(classes, "line-classes")
+        tiny = lines.where("tiny is not null").groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.first("sim").alias("sim"), F.first("tiny").alias("tiny"))
+        buckets = materialize(shared_keys(classes, deletion_keys(tiny)), "buckets")
+        first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
+        large = buckets.where("key is not null").select("key", F.col("a").alias("node"))
+        texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), lines, docs)
+        info = classes.select("node", "level", "sim")
+
+        def test(pairs: DataFrame) -> DataFrame:
+            x, y = info.alias("x"), info.alias("y")
+            may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y"))
+            return materialize(_confirmed(may.select("a", "b"), texts), "links")
+
+        links = materialize(_confirmed(first, texts), "links")
+        groups = settle(with_hubs(large), links, test, lambda rest: _links_in_blocks(rest, info, texts), 1)
+        out = classes.join(groups, "node", "left").where("times > 1 or component is not null")
+        return materialize(out.select("h1", "h2", F.coalesce("component", "node").alias("group")), "line-groups", keep=True)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, numbers): the lines that go; docs holds doc_id, text, text_hash."""
-    lines = line_table(docs)
-    found = lines.join(line_groups(lines, docs), ["h1", "h2"]).select("group", F.col("doc_id").isNull().alias("late"), "doc_id", "number", "text_hash")
-    found = materialize(found, "found")
-    kept = found.groupBy("group").agg(F.min(F.struct("late", "doc_id", "number", "text_hash")).alias("x")).select("x.*")
-    # by place and not by group, a key that holds no more than a document's copies
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("number").alias("_number"), F.col("text_hash").alias("_hash"))
-    gone = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("number") == F.col("_number")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers"))
+    with scratch(docs.sparkSession):
+        lines = line_table(docs)
+        found = lines.join(line_groups(lines, docs), ["h1", "h2"]).select("group", F.col("doc_id").isNull().alias("late"), "doc_id", "number", "text_hash")
+        found = materialize(found, "found")
+        kept = found.groupBy("group").agg(F.min(F.struct("late", "doc_id", "number", "text_hash")).alias("x")).select("x.*")
+        # by place and not by group, a key that holds no more than a document's copies
+        kept = kept.select(F.col("doc_id").alias("_id"), F.col("number").alias("_number"), F.col("text_hash").alias("_hash"))
+        gone = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("number") == F.col("_number")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
+        return materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers")), "dropped", keep=True)
 
 
 @F.pandas_udf(StringType())
@@ -414,7 +421,7 @@ def _without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that go, and the number of lines that went in `lines_gone`."""
     own = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "__cf_text_hash": F.xxhash64("text")})
-    gone = materialize(dropped_lines(own.select("doc_id", "text", F.col("__cf_text_hash").alias("text_hash"))), "dropped")
+    gone = dropped_lines(own.select("doc_id", "text", F.col("__cf_text_hash").alias("text_hash")))
     may = _may_hold(gone, "__cf_text_hash")
     found = gone.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), F.col("numbers").alias("__cf_gone"))
     out = own.where(may).join(found, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_text_hash") == F.col("__cf_hash")), "left")

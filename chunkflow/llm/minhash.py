@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import documents, materialize
+from ._spark import documents, materialize, scratch
 from .arrow import portions
 from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import mix, overlap, shingle_sets
@@ -191,25 +191,26 @@ def links_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n and group (any number) of every row of docs."""
-    sig = signatures(docs, width)
-    classes = sig.where("n > 0").groupBy("hi", "lo").agg(F.min("_row").alias("node"))
-    member = materialize(sig.join(classes, ["hi", "lo"], "left").select("_row", "doc_id", "text_hash", "n", "node"), "members")
-    reps = materialize(sig.join(member.where("_row = node").select("_row"), "_row", "left_semi"), "classes")
-    slim = reps.select(F.col("_row").alias("node"), "n", "planes")
-    bands = reps.select(F.col("_row").alias("node"), F.explode("bands").alias("key"))
-    buckets = with_hubs(bands)
-    sets = shingle_table(buckets, reps, docs, width)
-
-    def test(pairs: DataFrame) -> DataFrame:
-        x, y = slim.alias("x"), slim.alias("y")
-        may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y", percent))
-        return materialize(confirmed(materialize(may.select("a", "b"), "pairs"), sets, percent), "links")
-
-    none = buckets.sparkSession.createDataFrame([], "u long, v long")
-    groups = settle(buckets, none, test, lambda rows: materialize(links_in_blocks(rows, sets, percent), "links"), FEW)
-    out = member.join(groups, "node", "left")
-    # rows without shingles are in groups of their own
-    return out.select("doc_id", "text_hash", "n", F.coalesce("component", "node", "_row").alias("group"))
+    with scratch(docs.sparkSession):
+        sig = signatures(docs, width)
+        classes = sig.where("n > 0").groupBy("hi", "lo").agg(F.min("_row").alias("node"))
+        member = materialize(sig.join(classes, ["hi", "lo"], "left").select("_row", "doc_id", "text_hash", "n", "node"), "members")
+        reps = materialize(sig.join(member.where("_row = node").select("_row"), "_row", "left_semi"), "classes")
+        slim = reps.select(F.col("_row").alias("node"), "n", "planes")
+        bands = reps.select(F.col("_row").alias("node"), F.explode("bands").alias("key"))
+        buckets = with_hubs(bands)
+        sets = shingle_table(buckets, reps, docs, width)
+
+        def test(pairs: DataFrame) -> DataFrame:
+            x, y = slim.alias("x"), slim.alias("y")
+            may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y", percent))
+            return materialize(confirmed(materialize(may.select("a", "b"), "pairs"), sets, percent), "links")
+
+        none = buckets.sparkSession.createDataFrame([], "u long, v long")
+        groups = settle(buckets, none, test, lambda rows: materialize(links_in_blocks(rows, sets, percent), "links"), FEW)
+        out = member.join(groups, "node", "left")
+        # rows without shingles are in groups of their own
+        return materialize(out.select("doc_id", "text_hash", "n", F.coalesce("component", "node", "_row").alias("group")), "near-groups", keep=True)
 
 
 def duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -226,7 +227,7 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     Null doc_ids come last; under one doc_id the text with the smallest hash is kept, and of
     rows equal in both any one. All columns of docs come back.
     """
-    groups = materialize(near_groups(docs, width, percent).select("group", F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash"), "groups")
+    groups = near_groups(docs, width, percent).select("group", F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
     place = F.struct("late", "doc_id", "text_hash")
     kept = groups.groupBy("group").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
     found = materialize(groups.join(kept, "group"), "grouped").where("n > 1")
