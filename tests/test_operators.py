@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import xml.dom.minidom
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from chunkflow.functions import checking
+from chunkflow.functions import text as T
 from chunkflow.functions.reversing import reversing_translator
 from chunkflow.operators import answers, chunking, commits, cost, failures, glossary, records, review, sequences, translation
 from chunkflow.sources import books, markup, packing
@@ -230,3 +233,16 @@ def test_read_books(spark, tmp_path):
     (tmp_path / "a" / "x.fb2").write_bytes(FB2.format(enc="utf-8").encode())
     got = books.read_books(spark, str(tmp_path)).collect()
     assert [(r.file_name, len(r.book_id)) for r in got] == [("x.fb2", 40)]
+
+
+def test_rules_for_one_text_equal_those_of_columns(spark):
+    rng = random.Random(4)
+    parts = ["word ", "Слово ", "![a](img/x y.png)", "[l](http://e/(x))", "[m](rel)", "[n](a.b)", "# ", "\n", "```c```", "> ", "1. ", "*", "as an AI", "<<<SOURCE>>>", "<<<TRANSLATION>>>", "<<<END_TRANSLATION>>>", "﻿", " ", "```md\n", "\n```", "", "  "]
+    text = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+    pairs = [(i, text(), text()) for i in range(400)]
+    pairs += [(400 + i, a, a + b) for i, (_, a, b) in enumerate(pairs[:200])]
+    rows = spark.createDataFrame(pairs, "i int, original string, translation string")
+    got = answers.validate_pairs(rows).select("i", "original", "translation", "reason", T.parse_response(F.col("translation")).alias("parsed"), T.plain_text(F.col("translation")).alias("plain")).collect()
+    for r in got:
+        assert (r.reason, r.parsed, r.plain) == (checking.problem(r.original, r.translation), checking.parse_answer(r.translation), checking.plain(r.translation)), r
+    assert len({r.reason and r.reason[:12] for r in got}) > 5
