@@ -324,3 +324,24 @@ def test_pipeline_stages(spark, tiny):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
     assert corpus_pipeline.run(spark, tiny).agg(F.sum("length")).first()[0] == sum(r.length for r in rows)
+
+
+def test_stages_on_odd_tables(spark, messy, nothing, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, no rows at all."""
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(2, 60)), (2, None), (3, ""), (4, "two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda rows: sorted(((r.doc_id or -1, r.text or "") for r in rows), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).collect() == []
+        out = stage(spark, messy, str(tmp_path))
+        rows = out.collect()
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in rows} == {r.doc_id for r in messy.collect()} and len(rows) >= messy.count()
+            continue
+        assert out.columns == corpus_pipeline.COLUMNS
+        if name == "minhash_near_dedup":
+            gone = {2, 7}  # and one of the two equal rows
+            assert key(rows) == sorted({x for x in key(messy.collect()) if x[0] not in gone}, key=repr)
+        if name == "benchmark_decontamination":
+            # only the row with the item's text goes; a short item drops nothing
+            assert key(rows) == [x for x in key(messy.collect()) if x[1] != prose(2, 60)]
