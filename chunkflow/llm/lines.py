@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from ..operators.review import _common as common_places
 from ._spark import documents, materialize, scratch
 from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
@@ -196,8 +197,8 @@ def normalised(line: str) -> str:
     return b" ".join(line.encode("utf-8", "replace").lower().translate(PUNCTUATION).split()).decode()
 
 
-def edits(a: str, b: str) -> int:
-    """Edit distance, with the rows of the table as bits of one number."""
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, with the rows of the table as bits of one number; any larger number once it must exceed `most`."""
     if len(a) > len(b):
         a, b = b, a
     start = 0
@@ -214,25 +215,37 @@ def edits(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
-    for c in b:
+    most = len(b) if most is None else most
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         eq = where.get(c, 0)
         x = ((eq & up) + up ^ up) | eq | down
         plus, minus = down | ~(x | up) & full, up & x
         score += bool(plus & last) - bool(minus & last)
+        if score - left > most:
+            return score - left
         plus, minus = plus << 1 | 1, minus << 1
         up, down = (minus | ~(x | plus)) & full, plus & x & full
     return score
 
 
+def gap_edits(x: list[str], y: list[str]) -> int:
+    """No fewer edits than two sequences of words need: all letters between words they share in order."""
+    out = at_x = at_y = 0
+    for i, j in [*common_places(x, y), (len(x), len(y))]:
+        out += max(sum(map(len, x[at_x:i])) + i - at_x, sum(map(len, y[at_y:j])) + j - at_y)
+        at_x, at_y = i + 1, j + 1
+    return out
+
+
 def similar(a: str, b: str) -> bool:
     """Edit similarity of 0.8 or more."""
-    most = max(len(a), len(b))
-    if 5 * abs(len(a) - len(b)) > most:
+    longer = max(len(a), len(b))
+    if 5 * abs(len(a) - len(b)) > longer:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and 5 * sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+    if len(x) == len(y) and 5 * sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= longer:
         return True  # no more edits than the letters of the words that differ
-    return 5 * edits(a, b) <= most
+    return 5 * gap_edits(x, y) <= longer or 5 * edits(a, b, longer // 5) <= longer
 
 
 #: Bits of a filter on documents; its size doesn't depend on how many there are.
