@@ -40,7 +40,7 @@ from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
-SHORT, NARROW, MIDDLE, MANY, TINY, DISTANCE, KEYS, FEW = 10, 5, (4, 11), 9, 14, 20, 8, 64
+SHORT, NARROW, MIDDLE, MANY, TINY, DISTANCE, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 20, 8, 64, 16
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
 #: Key columns: two keys of 32 bits in each; k of the longest and the shortest lines, g of those between.
 PACKED = [f"{x}{i}" for x in "kg" for i in range(KEYS // 2)]
@@ -296,13 +296,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join the components of mixed buckets (key, node, component)."""
+    """Links that join the components of mixed buckets (key, node, component).
+
+    Where few rows of two blocks are near each other by their SimHashes, these pairs come out and
+    are confirmed once, however many buckets they share; else the task confirms only
+    what still joins components.
+    """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         sim, side, component, node = (df[c].to_numpy() for c in ("sim", "side", "component", "node"))
         ok = near(sim[:, None], sim[None, :]) & (component[:, None] != component[None, :])
         if side.any():
             ok &= side[:, None] != side[None, :]
+        pairs = np.argwhere(np.triu(ok))
+        if len(pairs) <= SPARSE * len(df):
+            ends = np.sort(node[pairs], axis=1)
+            return pd.DataFrame({"u": ends[:, 0], "v": ends[:, 1], "sure": False})
         root = {c: c for c in component.tolist()}
 
         def find(c):
@@ -311,15 +320,18 @@ def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> Data
             return c
 
         lines, out = [normalised(x) for x in df.line], []
-        for i, j in zip(*np.nonzero(np.triu(ok)), strict=True):
+        for i, j in pairs.tolist():
             p, q = find(int(component[i])), find(int(component[j]))
             if p != q and similar(lines[i], lines[j]):
                 root[p] = q
-                out.append((int(node[i]), int(node[j])))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    dealt = deal_in_blocks(rest).join(info, "node").join(texts, "node")
-    return materialize(dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long"), "links")
+                out.append((int(node[i]), int(node[j]), True))
+        return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": bool})
+
+    spark = rest.sparkSession
+    dealt = deal_in_blocks(rest).join(info, "node").join(texts, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")
+    found = materialize(dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long, sure boolean"), "near")
+    maybe = found.where("not sure").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    return materialize(found.where("sure").select("u", "v").unionByName(_confirmed(maybe, texts)), "links")
 
 
 def deletion_keys(tiny: DataFrame) -> DataFrame:
