@@ -8,7 +8,7 @@ more have keys of three minima over their words, longer words weighing more, lin
 runs of four bytes; at the borders lines have two kinds. Lines of at most TINY characters are
 also keyed by all strings that as many deletions as they may have edits leave, which misses
 nothing. Classes that share a key are candidates, without those whose SimHashes differ in more
-than DISTANCE bits, and are linked if the edit similarity of their normalised lines, 1 - edits
+bits than DISTANCE says, and are linked if the edit similarity of their normalised lines, 1 - edits
 / longer length, is at least 0.8. README says why blocks of the SimHash alone don't do, and has
 the recall. Of each connected group of lines over all documents the occurrence with the smallest
 (doc_id, line number) stays, the others go.
@@ -40,7 +40,9 @@ from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
-SHORT, NARROW, MIDDLE, MANY, TINY, DISTANCE, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 20, 8, 12, 16
+SHORT, NARROW, MIDDLE, MANY, TINY, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 8, 12, 16
+#: Bits in which SimHashes of similar lines differ at most: of words, of runs of bytes.
+DISTANCE = (14, 20)
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
 #: Key columns: two keys of 32 bits in each; k of the longest and the shortest lines, g of those between.
 PACKED = [f"{x}{i}" for x in "kg" for i in range(KEYS // 2)]
@@ -116,14 +118,16 @@ def packed_keys(minima: np.ndarray, each: int) -> np.ndarray:
 def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether SimHashes leave room for a link; those of a tiny line, or of two kinds, say nothing."""
     differ = x.view(np.uint64) ^ y.view(np.uint64)
-    return (np.bitwise_count(differ) <= DISTANCE) | (differ >> np.uint64(62) != 0) | (x < 0)
+    most = np.where(x >> 62 & 1, DISTANCE[1], DISTANCE[0])
+    return (np.bitwise_count(differ) <= most) | (differ >> np.uint64(62) != 0) | (x < 0)
 
 
 def may_link(x: str, y: str) -> Column:
     """near() of the columns x.sim and y.sim, and lengths that leave room for a link."""
     differ = F.expr(f"{x}.sim ^ {y}.sim")
     levels = F.abs(F.col(f"{x}.level") - F.col(f"{y}.level")) <= 9
-    return levels & ((F.bit_count(differ) <= DISTANCE) | (F.shiftrightunsigned(differ, 62) != 0) | (F.col(f"{x}.sim") < 0))
+    most = F.when(F.shiftright(f"{x}.sim", 62).bitwiseAND(F.lit(1)) == 1, DISTANCE[1]).otherwise(DISTANCE[0])
+    return levels & ((F.bit_count(differ) <= most) | (F.shiftrightunsigned(differ, 62) != 0) | (F.col(f"{x}.sim") < 0))
 
 
 def deletions(line: str) -> set[str]:
