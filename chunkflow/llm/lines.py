@@ -312,6 +312,10 @@ def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> Data
         ok = near(sim[:, None], sim[None, :]) & (component[:, None] != component[None, :])
         if side.any():
             ok &= side[:, None] != side[None, :]
+        # rows that share an earlier key too have met there
+        for at in range(min(2 * KEYS, int(df.key.iloc[0]) >> 40)):
+            half = df[PACKED[at // 2]].to_numpy() >> 32 * (at % 2) & 0xFFFFFFFF
+            ok &= half[:, None] != half[None, :]
         pairs = np.argwhere(np.triu(ok))
         if len(pairs) <= SPARSE * len(df):
             ends = np.sort(node[pairs], axis=1)
@@ -412,7 +416,8 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
         first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
         large = buckets.where("key is not null").select("key", F.col("a").alias("node"))
         texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), lines, docs)
-        info = classes.select("node", "level", "sim")
+        # of a kind of key that a line lacks it has numbers of its own
+        info = classes.select("node", "level", "sim", *(F.coalesce(c, F.xxhash64("node", F.lit(c))).alias(c) for c in PACKED))
 
         def test(pairs: DataFrame) -> DataFrame:
             x, y = info.alias("x"), info.alias("y")
