@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lines, minhash, packing, quality, tokencount, topk, urls, warc
+from . import aligning, bytebpe, decontam, langid, lines, minhash, packing, quality, runs, tokencount, topk, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": langid.op9_language_id,
     "op10_token_counts": tokencount.op10_token_counts,
+    "op11_byte_bpe": bytebpe.op11_byte_bpe,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_alignment": aligning.op13_alignment,
 }
 
 SQL = {
