@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: White space as a set of code points, the same in every operator.
 WS = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_WS = WS.replace("[", "[^", 1)
-_URL = rf"(?:[^()\t-\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]*(?:\([^()]*\)[^()]*)*)"
+#: A link target. Possessive, so that Java steps through its groups in a loop: what follows a target
+#: is never part of it, and the depth of a match doesn't grow with the text.
+_URL = rf"(?:{NOT_WS.replace('[^', '[^()')}*+(?:\([^()]*+\)[^()]*+)*+)"
 IMAGE = rf"!\[([^\]]*)\]\(({_URL})\)"
 LINK = rf"(?<!!)\[([^\]]*)\]\(({_URL})\)"
 MARKERS = r"(?i)<<<(?:END_)?(?:TRANSLATION|SOURCE|GLOSSARY)>>>"

@@ -42,21 +42,31 @@ def validate_pairs(pairs: DataFrame, source: str = "original", translation: str
 def accept_attempts(chunks: DataFrame, attempts: DataFrame) -> DataFrame:
     """Pairs: the first of three attempts that is valid, else after three the source itself.
 
-    A chunk with fewer attempts, none of them valid, has no row: it is still pending.
+    A chunk with fewer attempts, none of them valid, has no row: it is still pending. Of an attempt that
+    was delivered more than once the least (answer, ms) counts. Attempts are brought together by chunk
+    without the sources, one answer a number, and which numbers are there as bits; the sources
+    join what is left and decide.
     """
-    rows = attempts.select(BOOK, INDEX, "attempt", "response", "ms").where(F.col("attempt").between(1, ATTEMPTS)).withColumn("translation", parse_response(F.col("response")))
-    rows = rows.join(chunks.select(BOOK, INDEX, F.col("markdown").alias("original")), [BOOK, INDEX])
-    rows = validate_pairs(rows)
-    best = rows.groupBy(BOOK, INDEX).agg(
-        F.max("original").alias("original"),
-        F.min_by(F.struct("translation", "ms"), F.when(F.col("ok"), F.col("attempt"))).alias("good"),
-        F.max_by(F.struct("reason", "ms"), "attempt").alias("last"),
-        F.count_distinct("attempt").alias("n"),
-    )
-    kept = F.col("good").isNull()
-    return best.where(~kept | (F.col("n") >= ATTEMPTS)).select(
-        BOOK, INDEX, "original", F.coalesce("good.translation", "original").alias("translation"), kept.alias("used_original"),
-        F.when(kept, F.col("last.reason")).alias("reason"), F.coalesce("good.ms", "last.ms").alias("ms"),
+    n, rows = F.col("attempt"), attempts.where(F.col("attempt").between(1, ATTEMPTS))
+    answer = F.struct("response", "ms")
+    numbers = range(1, ATTEMPTS + 1)
+    seen = rows.groupBy(BOOK, INDEX).agg(F.expr("bit_or(1 << (cast(attempt as int) - 1))").alias("_seen"), *(F.min(F.when(n == k, answer)).alias(f"_{k}") for k in numbers))
+    parsed = seen.select(BOOK, INDEX, "_seen", *(F.struct(parse_response(F.col(f"_{k}.response")).alias("text"), F.col(f"_{k}.ms").alias("ms")).alias(f"_{k}") for k in numbers))
+    both = parsed.join(chunks.select(BOOK, INDEX, F.col("markdown").alias("original")), [BOOK, INDEX])
+    both = both.withColumn("_src", plain_text(F.coalesce("original", F.lit(""))))
+    there = {k: F.col("_seen").bitwiseAND(1 << (k - 1)) > 0 for k in numbers}
+    for k in numbers:
+        # an answer is looked at only if none before it will do
+        tried = both.withColumns({"_text": F.col(f"_{k}.text"), "_dst": plain_text(F.coalesce(F.col(f"_{k}.text"), F.lit("")))})
+        reason = refusal_reason("original", "_text")
+        earlier = F.lit(False) if k == 1 else F.col("_good").isNotNull()
+        good = F.when(there[k] & F.col("_why").isNull(), k)
+        both = tried.withColumn("_why", F.when(there[k] & ~earlier, reason)).withColumn("_good", good if k == 1 else F.coalesce("_good", good)).drop("_text", "_dst")
+    pick = F.coalesce(*(F.when(F.col("_good") == k, F.col(f"_{k}")) for k in numbers))
+    kept, last = F.col("_good").isNull(), F.col(f"_{ATTEMPTS}")
+    return both.where(~kept | (F.col("_seen") == (1 << ATTEMPTS) - 1)).select(
+        BOOK, INDEX, "original", F.coalesce(pick["text"], "original").alias("translation"), kept.alias("used_original"),
+        F.when(kept, F.col("_why")).alias("reason"), F.when(kept, last["ms"]).otherwise(pick["ms"]).alias("ms"),
     )
 
 

@@ -72,19 +72,31 @@ def join_chunks(assembled: DataFrame) -> DataFrame:
     return assembled.groupBy(BOOK).agg(glued.alias("parts")).select(BOOK, F.concat(F.array_join("parts", ""), F.lit("\n")).alias("markdown"))
 
 
-def split_chapters(books: DataFrame) -> DataFrame:
-    """(book, markdown) -> chapter_no, title, body; level 1 and 2 headings outside fences begin one."""
+def split_chapters(books: DataFrame, block: int = 4096) -> DataFrame:
+    """(book, markdown) -> chapter_no, title, body; level 1 and 2 headings outside fences begin one.
+
+    Whether a line is inside a fence hangs on all lines before it. So blocks of lines are looked at
+    first: whether a block turns the inside out, and how many headings it has if it begins outside
+    or inside a fence. These few numbers are put in order per book; then a line's chapter follows from
+    its own block. The lines of a chapter are joined within blocks before blocks are.
+    """
     text = F.regexp_replace(F.coalesce("markdown", F.lit("")), r"\A\s+|\s+\z", "")
-    lines = books.select(BOOK, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    own = Window.partitionBy(BOOK).orderBy("line_no")
+    lines = books.select(BOOK, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("_block", F.floor(F.col("line_no") / block))
+    own = Window.partitionBy(BOOK, "_block").orderBy("line_no")
     fence = F.col("line").startswith("```")
-    lines = lines.withColumn("fences", F.sum(F.when(fence, 1).otherwise(0)).over(own))
-    heads = (F.col("fences") % 2 == 0) & ~fence & F.col("line").rlike(r"\A#{1,2} ") & (F.col("line_no") > 0)
-    lines = lines.withColumn("part", F.sum(F.when(heads, 1).otherwise(0)).over(own))
-    parts = lines.groupBy(BOOK, "part").agg(F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("body"), F.min_by("line", "line_no").alias("first"), F.count("*").alias("n_lines"))
-    blank = F.col("body").rlike(r"\A\s*\z")
-    parts = parts.where(~blank | (F.col("part") == 0)).withColumn("blank", blank)
-    parts = parts.withColumn("n", F.count("*").over(Window.partitionBy(BOOK))).where(~F.col("blank") | (F.col("n") == 1))
-    no = F.row_number().over(Window.partitionBy(BOOK).orderBy("part")) - 1
+    lines = lines.withColumn("_odd", F.sum(fence.cast("int")).over(own) % 2)
+    head = ~fence & F.col("line").rlike(r"\A#{1,2} ") & (F.col("line_no") > 0)
+    lines = lines.withColumns({"_if_out": (head & (F.col("_odd") == 0)).cast("int"), "_if_in": (head & (F.col("_odd") == 1)).cast("int")})
+    lines = lines.withColumns({c: F.sum(c).over(own) for c in ("_if_out", "_if_in")})
+    # blocks in order
+    blocks = lines.groupBy(BOOK, "_block").agg(F.max_by("_odd", "line_no").alias("odd"), F.max("_if_out").alias("if_out"), F.max("_if_in").alias("if_in"))
+    before = Window.partitionBy(BOOK).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_inside", F.coalesce(F.sum("odd").over(before) % 2, F.lit(0)) == 1)
+    blocks = blocks.withColumn("_first", F.coalesce(F.sum(F.when(F.col("_inside"), F.col("if_in")).otherwise(F.col("if_out"))).over(before), F.lit(0)))
+    rows = lines.join(blocks.select(BOOK, "_block", "_inside", "_first"), [BOOK, "_block"])
+    rows = rows.withColumn("part", F.col("_first") + F.when(F.col("_inside"), F.col("_if_in")).otherwise(F.col("_if_out")))
+    pieces = rows.groupBy(BOOK, "_block", "part").agg(F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("piece"), F.min_by("line", "line_no").alias("first"), F.count("*").alias("n"))
+    parts = pieces.groupBy(BOOK, "part").agg(F.array_join(in_order(F.col("piece"), "_block"), "\n").alias("body"), F.min_by("first", "_block").alias("first"), F.sum("n").alias("n_lines"))
+    # the text is trimmed and later chapters begin with a heading, so none is blank but that of an empty book
     title = F.trim(F.regexp_extract("first", r"\A#{1,2} (.*)", 1))
-    return parts.select(BOOK, no.alias("chapter_no"), title.alias("title"), F.regexp_replace("body", r"\A\s+|\s+\z", "").alias("body"), "n_lines")
+    return parts.select(BOOK, F.col("part").cast("int").alias("chapter_no"), title.alias("title"), F.regexp_replace("body", r"\A\s+|\s+\z", "").alias("body"), "n_lines")

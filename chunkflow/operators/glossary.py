@@ -22,6 +22,16 @@ def glossary_candidates(big_chunks: DataFrame, top: int = 24) -> DataFrame:
     return big_chunks.withColumn("names", F.slice(F.array_distinct(found), 1, top))
 
 
+def candidate_rows(big_chunks: DataFrame, top: int = 24) -> DataFrame:
+    """A row for each candidate of glossary_candidates(): pos and src, with the other columns.
+
+    An outer generate, as Spark would test an inner one's array in a filter and so look for the words twice.
+    """
+    named = glossary_candidates(big_chunks, top)
+    kept = [c for c in named.columns if c not in ("names", "markdown", "pos", "src")]
+    return named.select(*kept, F.posexplode_outer("names").alias("pos", "src")).where(F.col("src").isNotNull())
+
+
 def merge_glossary(seed: DataFrame, extracts: DataFrame) -> DataFrame:
     """The first entry of each book and source form wins: seed, then big_id, then pos.
 

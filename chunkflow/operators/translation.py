@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..functions.checking import parse_answer, problem
 from .commits import KEYS, invalidate_reviewed, kept_original
-from .sequences import BOOK, INDEX
+from .sequences import BOOK, INDEX, neighbours
 
 #: Takes source texts and for each the (original, translation) pairs before it.
 Translator = Callable[[list[str], list[list[tuple[str, str]]]], list[str]]
+#: How many pairs before a chunk are its context.
+LOOK = 2
 PAIRS = "chunk_index int, original string, translation string, used_original boolean, reason string, ms long, failure string"
 ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
@@ -68,35 +71,51 @@ def translate_windows_run(chunks: DataFrame, translator: Translator, attempts: i
     return rows.mapInArrow(run, StructType([StructField(BOOK, kind), *StructType.fromDDL(PAIRS).fields]))
 
 
-def retry_kept(pairs: DataFrame, reviewed: DataFrame, translator: Translator, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+def retry_chains(kept: DataFrame, block: int = 4096) -> DataFrame:
+    """kept (book, chunk_index) with `chain`, the index that its chain begins at.
+
+    Kept chunks at most LOOK apart see one another when they are tried again, others don't: such runs
+    are found in blocks of a book, and only the last start of each block is put in order.
+    """
+    own = Window.partitionBy(BOOK, "_block").orderBy(INDEX)
+    near = neighbours(kept.select(*KEYS).distinct(), LOOK, block)
+    alone = F.coalesce(F.col(INDEX) - F.lag(INDEX).over(own) > LOOK, F.lit(True))
+    rows = near.withColumn("_start", F.when(alone, F.col(INDEX))).where("_own")
+    before = Window.partitionBy(BOOK).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(BOOK, "_block").agg(F.max("_start").alias("_last"))
+    last = last.select(BOOK, "_block", F.max("_last").over(before).alias("_before"))
+    here = F.max("_start").over(own)
+    return rows.withColumn("_here", here).join(last, [BOOK, "_block"]).select(*KEYS, F.coalesce("_here", "_before").alias("chain"))
+
+
+def retry_kept(pairs: DataFrame, reviewed: DataFrame, translator: Translator, attempts: int = 3, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(pairs, reviewed) after another try at the chunks whose source was kept.
 
     Context is each chunk's two neighbours before it, as they stand. A new pair replaces the
-    old one whole; what is translated now counts as not reviewed.
+    old one whole; what is translated now counts as not reviewed. Each chain of kept chunks (see
+    retry_chains) is tried in order with the pairs ahead of it, all chains at once.
     """
-    kept = kept_original(pairs)
-    # what is tried again and the two pairs ahead of it
-    near = kept.select(BOOK, F.explode(F.array(F.col(INDEX) - 2, F.col(INDEX) - 1, F.col(INDEX))).alias(INDEX)).distinct()
-    rows = pairs.join(near, KEYS, "left_semi").select(*KEYS, "original", "translation", "used_original")
+    chains = retry_chains(kept_original(pairs), block)
+    near = chains.select(BOOK, "chain", F.explode(F.sequence(F.col(INDEX) - LOOK, F.col(INDEX))).alias(INDEX)).distinct()
+    rows = pairs.select(*KEYS, "original", "translation", "used_original").join(near, KEYS).select(*KEYS, "original", "translation", "used_original", "chain")
     kind, index = pairs.schema[BOOK].dataType, pairs.schema[INDEX].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, {}
         for batch in batches:
             out = []
-            for book, at, original, text, used in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != book:
-                    now, last = book, {}
-                got = _one(translator, original or "", [last[k] for k in (at - 2, at - 1) if k in last], attempts) if used else {}
+            for book, at, original, text, used, chain in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (book, chain):
+                    now, last = (book, chain), {}
+                got = _one(translator, original or "", [last[k] for k in range(at - LOOK, at) if k in last], attempts) if used else {}
                 if got.get("used_original") is False:
                     text = got["translation"]
                     out.append((book, at, text, got["ms"]))
-                last = {k: last[k] for k in last if k == at - 1} | {at: (original, text)}
+                last = {k: last[k] for k in last if k > at - LOOK} | {at: (original, text)}
             types = [batch.column(0).type, batch.column(1).type, pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], [BOOK, INDEX, "translation", "ms"])
 
-    # a book's rows pass in order, as each try sees the one before
-    rows = rows.repartition(BOOK).sortWithinPartitions(*KEYS)
+    rows = rows.repartition(BOOK, "chain").sortWithinPartitions(BOOK, "chain", INDEX)
     new = rows.mapInArrow(run, StructType([StructField(BOOK, kind), StructField(INDEX, index), StructField("translation", StringType()), StructField("ms", LongType())]))
     fresh = new.select(*KEYS, F.col("translation").alias("_t"), F.col("ms").alias("_ms"))
     out = pairs.join(fresh, KEYS, "left")

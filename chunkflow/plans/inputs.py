@@ -19,12 +19,11 @@ INPUTS = {
         'T' || cast(cast(floor(turn / 3) AS int) AS string) AS chapter_title, 'p' || cast(cast(floor(turn / 6) AS int) AS string) AS document_path,
         CASE WHEN turn % 3 = 1 THEN 'space' WHEN turn % 3 = 2 THEN 'line' END AS join_with FROM conversations""",
     # a source is a book, a document a chunk
-    # numbered by counts of blocks of ids and ranks inside them, apart from the texts
-    "sourced": """SELECT d.source AS book_id, cast(n.at + coalesce(b.before, 0) AS int) AS chunk_index, d.text AS markdown, d.lang AS chapter_title, 'd' AS document_path, d.doc_id, d.lang
-        FROM documents AS d
-        JOIN (SELECT doc_id, source, cast(floor(doc_id / 4096) AS bigint) AS blk, row_number() OVER (PARTITION BY source, floor(doc_id / 4096) ORDER BY doc_id) - 1 AS at FROM documents AS x) AS n ON d.doc_id = n.doc_id
+    # numbered by ranks in blocks of ids and the counts of the blocks before; no join back to the texts
+    "sourced": """SELECT d.source AS book_id, cast(d.at + coalesce(b.before, 0) AS int) AS chunk_index, d.text AS markdown, d.lang AS chapter_title, 'd' AS document_path, d.doc_id, d.lang
+        FROM (SELECT doc_id, source, lang, text, cast(floor(doc_id / 4096) AS bigint) AS blk, row_number() OVER (PARTITION BY source, cast(floor(doc_id / 4096) AS bigint) ORDER BY doc_id) - 1 AS at FROM documents AS x) AS d
         JOIN (SELECT source, blk, sum(n) OVER (PARTITION BY source ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-              FROM (SELECT source, cast(floor(doc_id / 4096) AS bigint) AS blk, count(*) AS n FROM documents AS y GROUP BY source, cast(floor(doc_id / 4096) AS bigint)) AS z) AS b ON n.source = b.source AND n.blk = b.blk""",
+              FROM (SELECT source, cast(floor(doc_id / 4096) AS bigint) AS blk, count(*) AS n FROM documents AS y GROUP BY source, cast(floor(doc_id / 4096) AS bigint)) AS z) AS b ON d.source = b.source AND d.blk = b.blk""",
     # translations with holes: no pair for every third turn
     "pairs": """SELECT conv_id AS book_id, cast(turn AS int) AS chunk_index, text AS original, 'x ' || text AS translation,
         turn % 5 = 0 AS used_original, CASE WHEN turn % 2 = 1 THEN 'old ' || text END AS pre_review, cast(conv_id % 7 * 100 + turn AS bigint) AS ms

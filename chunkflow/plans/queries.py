@@ -348,8 +348,8 @@ def glossary_candidates(get):
 
 
 def _extracts(get):
-    named = glossary.glossary_candidates(get("sourced"), top=1_000_000)
-    return named.select("book_id", F.col("chunk_index").alias("big_id"), F.posexplode("names").alias("pos", "src")).withColumn("dst", F.when(F.length("src") == 4, F.col("src")).otherwise(F.concat(F.col("big_id"), F.lit(" "), F.reverse("src"), F.lit(" "))))
+    rows = glossary.candidate_rows(get("sourced").select("book_id", F.col("chunk_index").alias("big_id"), "markdown"), top=1_000_000)
+    return rows.withColumn("dst", F.when(F.length("src") == 4, F.col("src")).otherwise(F.concat(F.col("big_id"), F.lit(" "), F.reverse("src"), F.lit(" "))))
 
 
 @query("""

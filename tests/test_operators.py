@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chunkflow.functions import checking
 from chunkflow.functions import text as T
 from chunkflow.functions.reversing import reversing_translator
-from chunkflow.operators import answers, chunking, commits, cost, failures, glossary, records, review, sequences, translation
+from chunkflow.operators import answers, chunking, commits, cost, failures, glossary, links, records, review, sequences, translation
 from chunkflow.sources import books, markup, packing
 from chunkflow.streaming import jobs
 
@@ -246,3 +246,89 @@ def test_rules_for_one_text_equal_those_of_columns(spark):
     for r in got:
         assert (r.reason, r.parsed, r.plain) == (checking.problem(r.original, r.translation), checking.parse_answer(r.translation), checking.plain(r.translation)), r
     assert len({r.reason and r.reason[:12] for r in got}) > 5
+
+
+def test_answers_delivered_twice_and_out_of_bounds(spark):
+    source, good = "A source text that is long enough to check.", "Ein Text, der lang genug ist, um gut zu sein."
+    rows = [("a", 0, n, r, 10 * n) for n, r in ((1, ""), (1, ""), (2, "as an ai"), (2, "as an ai"))] + [("b", 0, n, "", 5) for n in (1, 2, 3, 3, 9)]
+    rows += [("c", 0, 3, good, 7), ("c", 0, 1, None, 8), ("d", 0, 4, good, 9), ("e", 0, 2, good, 1), ("no chunk", 0, 1, good, 1)]
+    attempts = spark.createDataFrame(rows, "book_id string, chunk_index int, attempt int, response string, ms long")
+    texts = spark.createDataFrame([(b, 0, source) for b in "abcdef"] + [("b", 1, None)], "book_id string, chunk_index int, markdown string")
+    out = answers.accept_attempts(texts, attempts)
+    got = {r.book_id: (r.translation, r.used_original, r.reason, r.ms) for r in out.collect()}
+    assert got == {"b": (source, True, "empty translation", 5), "c": (good, False, None, 7), "e": (good, False, None, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+
+
+@pytest.mark.parametrize(("seed", "block"), [(0, 2), (1, 3), (2, 7), (3, 4096), (4, 4), (5, 5)])
+def test_retry_by_chains_equals_a_fold_over_the_book(spark, seed, block):
+    rng = random.Random(seed)
+    rows = [(b, i, f"s{i}", f"t{i}", rng.random() < 0.5, "old", 1) for b in "ab" for i in range(60) if rng.random() < 0.8]
+    pairs = spark.createDataFrame(rows, "book_id string, chunk_index int, original string, translation string, used_original boolean, pre_review string, ms long").repartition(3)
+
+    def translator(sources, contexts):  # an answer that shows what was seen
+        s = sources[0]
+        return ["" if int(s[1:]) % 7 == 0 else f"n{s} " + "/".join(f"{a}:{b}"[:40] for a, b in contexts[0])]
+
+    want = {}
+    for b in "ab":
+        done = {}
+        for _, i, s, t, used, pre, _ in sorted(r for r in rows if r[0] == b):
+            text = t
+            if used:
+                made = translator([s], [[done[k] for k in (i - 2, i - 1) if k in done]])[0]
+                text, used, pre = (made.strip(), False, None) if made else (t, True, pre)
+            done[i] = (s, text)
+            want[b, i] = (text, used, pre)
+    new, left = translation.retry_kept(pairs, pairs.select("book_id", "chunk_index"), translator, block=block)
+    assert {(r.book_id, r.chunk_index): (r.translation, r.used_original, r.pre_review) for r in new.collect()} == want
+    tried = {(r[0], r[1]) for r in rows if r[4]}
+    assert {tuple(r) for r in left.collect()} == {k for k in want if k not in tried or want[k][1]}
+
+
+def test_kept_chunks_of_one_large_book_are_tried_in_many_tasks(spark):
+    kept = spark.range(100_000).select(F.lit("b").alias("book_id"), (F.col("id") * 3 + F.col("id") % 2).cast("int").alias("chunk_index"))
+    chains = translation.retry_chains(kept)
+    sizes = chains.groupBy("book_id", "chain").count()
+    assert (sizes.count(), sizes.agg(F.max("count")).first()[0]) == (50_001, 2)
+    spread = chains.repartition(8, "book_id", "chain").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 20_000
+
+
+def plain_chapters(text: str) -> list[tuple[str, str, int]]:
+    parts, inside = [[]], False
+    for n, line in enumerate((text or "").strip(" \t\n\x0b\f\r").split("\n")):
+        if line.startswith("```"):
+            inside = not inside
+        elif not inside and n and line.startswith(("# ", "## ")):
+            parts.append([])
+        parts[-1].append(line)
+    title = lambda x: x.lstrip("#").strip(" ") if x.startswith(("# ", "## ")) else ""
+    return [(title(p[0]), "\n".join(p).strip(" \t\n\x0b\f\r"), len(p)) for p in parts]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5, 4096])
+def test_chapters_by_blocks_of_lines(spark, block):
+    rng = random.Random(block)
+    kinds = ["text", "```", "# A b", "## C", "### no", "", " # no", "```x", "  "]
+    texts = ["\n".join(rng.choices(kinds, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "\n \n", "# only"]
+    books_ = spark.createDataFrame(list(enumerate(texts)), "book_id int, markdown string").repartition(3)
+    got = {}
+    for r in commits.split_chapters(books_, block).orderBy("book_id", "chapter_no").collect():
+        got.setdefault(r.book_id, []).append((r.title, r.body, r.n_lines))
+    assert got == {k: plain_chapters(t) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("n", [5_000, 100_000])
+def test_links_with_very_many_parentheses(spark, n):
+    target = "x" + "(y)" * n
+    text = f"see [a]({target}) and ![i]({target}) and [b](c" + "(d)" * n
+    rows = spark.createDataFrame([(1, 0, text, text), (2, 0, text, "none of them, but long enough " * n)], "book_id int, chunk_index int, original string, translation string")
+    got = rows.select(T.link_hrefs(F.col("original")), T.image_srcs(F.col("original"))).first()
+    assert tuple(map(list, got)) == ([target], [target])
+    found = links.explode_links(rows.withColumnRenamed("book_id", "doc_id"), "doc_id", "original").collect()
+    assert {(r.doc_id, r.kind, r.target == target) for r in found} == {(k, kind, True) for k in (1, 2) for kind in ("link", "image")}
+    reasons = {r.book_id: r.reason for r in answers.validate_pairs(rows).collect()}
+    assert reasons == {1: None, 2: f"missing image {target}"}
+    assert checking.problem(text, text) is None and checking.problem(text, "none of them, but long enough " * n) == f"missing image {target}"

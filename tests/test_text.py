@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,31 @@ def test_reversing_keeps_markup_and_is_its_own_inverse():
 )
 def test_xhtml(md, html):
     assert xhtml.fragment(md) == html
+
+
+@pytest.mark.parametrize(
+    ("md", "html"),
+    [
+        ("> a\n> > b\n> c\n\n> d", "<blockquote><p>a</p>\n<blockquote><p>b</p></blockquote>\n<p>c</p>\n<p>d</p></blockquote>"), ("> a\n\n\n> b", "<blockquote><p>a</p></blockquote>\n<blockquote><p>b</p></blockquote>"),
+        ("> ```\n> > x\n\n> y\nz", "<blockquote><pre><code>&gt; x\n\ny</code></pre></blockquote>\n<p>z</p>"), ("```\na\n```\n```\nb", "<pre><code>a</code></pre>\n<pre><code>b</code></pre>"),
+        ("* a\n  b\n  * c\n- d\n1. e", "<ul>\n<li><p>a<br/>\nb</p></li>\n<li><p>c</p></li>\n</ul>\n<p>- d</p>\n<ol>\n<li><p>e</p></li>\n</ol>"), (">", "<blockquote></blockquote>"), ("", ""),
+        ("***both*** **a*", "<p><strong><em>both</em></strong> *<em>a</em></p>"), ("_a_b_ __c__", "<p><em>a_b</em> <strong>c</strong></p>"), ("*a\nb*", "<p>*a<br/>\nb*</p>"),
+        ("[![x](y/z.png)](u)", '<p>[<img alt="x" src="images/z.png"/>](u)</p>'), ("`a [b](c)` [d](e(f)g)", '<p><code>a [b](c)</code> <a href="e(f)g">d</a></p>'),
+    ],
+)
+def test_xhtml_blocks_and_spans(md, html):
+    assert xhtml.fragment(md) == html
+
+
+@pytest.mark.parametrize("md", [">" * 2000, "> " * 100_000, "*a " * 100_000, "_a " * 100_000, "**a *" * 50_000, "[a](x" + "(y)" * 100_000 + ")", "[" * 200_000, "[a " * 50_000 + "](", "x" + "`" * 100_001, "* a\n" * 50_000])
+def test_hostile_markdown_takes_one_pass(spark, md):
+    start = time.monotonic()
+    got = xhtml.fragment(md)
+    assert time.monotonic() - start < 5
+    assert got.count("<blockquote>") == got.count("</blockquote>") and xhtml.fragment(md + "\n\nend").endswith("<p>end</p>")
+
+
+def test_hostile_markdown_in_rows(spark):
+    texts = [">" * 2000, "*a " * 20_000, "_a " * 20_000, "[a](x" + "(y)" * 5000 + ")"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(xhtml.markdown_to_xhtml(F.col("s")).alias("x")).collect()
+    assert [r.x.count("<") for r in rows] == [4000, 2, 2, 4]
