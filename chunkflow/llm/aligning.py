@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from pyspark.sql.types import StructType
 
 from ._spark import documents, materialize
 from .arrow import portions
-from .bytebpe import byte_letters
-from .pieces import BY_SPACE, BY_SPACES, ByChunk, starts
+from .bytebpe import BYTES, byte_letters
+from .pieces import ByChunk, is_blank, is_space, starts
 from .tokens import vocabulary
 
 LANE, HEAD = 256, 200_000
@@ -46,14 +47,22 @@ ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array
 
 
 class Tokens:
-    """A tokenizer and the bytes of its ids; spaced(text) is what it reads for a text."""
+    """A tokenizer, by chunks, and the bytes of its ids."""
 
-    def __init__(self, table: list[bytes], encode: Callable[[list[str]], list[np.ndarray]]):
-        self.table, self.encode = table, encode
-        self.sizes = np.array([len(b) for b in table], np.int64)
+    def __init__(self, table: list[bytes], space: Callable[[np.ndarray], np.ndarray], many: Callable[[list[str]], list[list[int]]]):
+        self.table, self.sizes = pa.array(table, pa.binary()), np.array([len(b) for b in table], np.int64)
+        self.encode = ByChunk(space, many, self.sizes)
 
-    def spells(self, ids: np.ndarray, data: bytes) -> bool:
-        return b"".join([self.table[i] for i in ids.tolist()]) == data
+    def spelling(self, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Which texts their tokens spell."""
+        made = self.table.take(pa.array(ids, pa.int64()))
+        data = b"" if not len(ids) else bytes(memoryview(made.buffers()[2])[: int(self.sizes[ids].sum())])
+        if data == b"".join(texts):  # as a rule; tokens then end where texts do, or the texts differ
+            sizes = np.diff(starts(self.sizes[ids])[starts(counts)])
+            if np.array_equal(sizes, [len(t) for t in texts]):
+                return np.ones(len(texts), bool)
+        ends = starts(self.sizes[ids])[starts(counts)].tolist()
+        return np.array([data[a:b] == t for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)], bool)
 
 
 @lru_cache(maxsize=2)
@@ -66,7 +75,7 @@ def byte_level(path: str) -> Tokens:
     table = [b""] * t.get_vocab_size()
     for word, i in t.get_vocab().items():
         table[i] = bytes([back[c] for c in word]) if all(c in back for c in word) else word.encode()
-    return Tokens(table, ByChunk(BY_SPACES, lambda chunks: [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)]))
+    return Tokens(table, is_space, lambda chunks: [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)])
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +94,7 @@ def word_pieces(path: str) -> Tokens:
     of_byte = re.compile("<0x([0-9A-F]{2})>")
     table = [bytes([int(m[1], 16)]) if (m := of_byte.fullmatch(p)) else p.replace(mark, " ").encode() for p in pieces]
     alone = [model.piece_to_id(mark)]  # an empty text gets no space
-    return Tokens(table, ByChunk(BY_SPACE, lambda chunks: [ids or alone for ids in model.encode([c[1:] for c in chunks], num_threads=1)] if chunks else []))
+    return Tokens(table, is_blank, lambda chunks: [ids or alone for ids in model.encode([c[1:] for c in chunks], num_threads=1)])
 
 
 def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,21 +118,40 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, edges: np.ndarray) -> tuple
     return np.sort(np.concatenate(found_a)), np.sort(np.concatenate(found_b))
 
 
-def merge_portion(a: Tokens, b: Tokens, texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Tokens, cuts and links of a portion of texts; see align()."""
+class Merged(NamedTuple):
+    """Ids of a portion's texts one after another, where each text's begin, and the A and B tokens that end at a cut."""
+
+    a_ids: np.ndarray
+    b_ids: np.ndarray
+    a_starts: np.ndarray
+    b_starts: np.ndarray
+    cut_a: np.ndarray
+    cut_b: np.ndarray
+
+    def columns(self) -> list[pa.ListArray]:
+        """ALIGNED of each text."""
+        text_of = np.searchsorted(self.a_starts, self.cut_a, "right") - 1
+        groups = starts(np.bincount(text_of, minlength=len(self.a_starts) - 1))
+        column = lambda flat, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        out = [column(self.a_ids, self.a_starts), column(self.b_ids, self.b_starts), *(column(np.diff(c, prepend=-1), groups) for c in (self.cut_a, self.cut_b))]
+        return [*out, column(self.cut_a - self.a_starts[text_of], groups), column(self.cut_b - self.b_starts[text_of], groups)]
+
+
+def merge_portion(a: Tokens, b: Tokens, texts: list[str | None]) -> Merged:
+    """Tokens and cuts of a portion of texts; see align()."""
     read = [f" {t}" if t else "" for t in texts]
-    a_ids, b_ids = a.encode(read), b.encode(read)
-    for k, text in enumerate(read):
-        data = text.encode()
-        if not (a.spells(a_ids[k], data) and b.spells(b_ids[k], data)):
-            a_ids[k] = b_ids[k] = np.zeros(0, np.uint32)
-    flat = [np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in (a_ids, b_ids)]
-    sizes = [np.array([len(i) for i in x], np.int64) for x in (a_ids, b_ids)]
+    spelt = [t.encode() for t in read]
+    ids, counts = zip(*(t.encode(read) for t in (a, b)), strict=True)
+    good = a.spelling(ids[0], counts[0], spelt) & b.spelling(ids[1], counts[1], spelt)
+    if not good.all():
+        ids = [i[np.repeat(good, n)] for i, n in zip(ids, counts, strict=True)]
+        counts = [np.where(good, n, 0) for n in counts]
+    ids = [i.astype(np.int64) for i in ids]
     # one line of bytes for all texts: tokens end on both sides where a text ends
-    ends = [np.cumsum(t.sizes[f]) for t, f in zip((a, b), flat, strict=True)]
+    ends = [np.cumsum(t.sizes[i]) for t, i in zip((a, b), ids, strict=True)]
     step = np.arange(0, len(ends[0]), LANE)
-    cut_a, cut_b = lockstep(*ends, np.concatenate([[0], ends[0][step[1:] - 1], ends[0][-1:]]))
-    return {"a_ids": flat[0], "b_ids": flat[1], "a_n": sizes[0], "b_n": sizes[1], "cut_a": cut_a, "cut_b": cut_b}
+    cuts = lockstep(*ends, np.concatenate([[0], ends[0][step[1:] - 1], ends[0][-1:]]))
+    return Merged(*ids, *(starts(n) for n in counts), *cuts)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
@@ -140,18 +168,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(a_path), word_pieces(b_path)
         for part in (p for x in batches for p in portions(x, at)):
-            m = merge_portion(a, b, part.column(at).to_pylist())
-            of_a, of_b = starts(m["a_n"]), starts(m["b_n"])
-            text_of = np.searchsorted(of_a, m["cut_a"], "right") - 1
-            groups = starts(np.bincount(text_of, minlength=part.num_rows))
-            column = lambda flat, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            new = [column(m["a_ids"], of_a), column(m["b_ids"], of_b), *(column(np.diff(m[c], prepend=-1), groups) for c in ("cut_a", "cut_b"))]
-            new += [column(m["cut_a"] - of_a[text_of], groups), column(m["cut_b"] - of_b[text_of], groups)]
+            new = merge_portion(a, b, part.column(at).to_pylist()).columns()
             yield pa.RecordBatch.from_arrays([*(part.column(k).cast(arrow.field(k).type) for k in range(len(kept))), *new], schema=arrow)
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=4)
+def _labels(blocks: int) -> pa.Array:
+    """Every id of so many blocks of 16,384, and one more, with each mark that can follow it."""
+    return pa.array([f"{i}{mark}" for i in range(blocks + 1 << 14) for mark in ",|;"], pa.string())
+
+
 def group_texts(a_ids: pa.ListArray, b_ids: pa.ListArray, a_sizes: pa.ListArray, b_sizes: pa.ListArray) -> pa.Array:
     """`a1,a2|b1;a3|b2,b3` of each row: ids of the groups, A before B; empty without tokens."""
     a, b, na, nb = (x.flatten().to_numpy() for x in (a_ids, b_ids, a_sizes, b_sizes))
@@ -163,39 +191,40 @@ def group_texts(a_ids: pa.ListArray, b_ids: pa.ListArray, a_sizes: pa.ListArray,
     tail_a[end_a - 1], tail_b[end_b - 1] = 1, 2
     ids, tail = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.int64)
     ids[place_a], ids[place_b], tail[place_a], tail[place_b] = a, b, tail_a, tail_b
-    words, codes = np.unique(ids * 3 + tail, return_inverse=True)
-    spelt = pa.array([f"{w // 3}{',|;'[w % 3]}" for w in words.tolist()], pa.string()).take(pa.array(codes))
+    spelt = _labels(int(ids.max(initial=0)) >> 14).take(pa.array(ids * 3 + tail))
     sizes = sum(pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a_ids, b_ids))
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts(sizes), pa.int32()), spelt), "")
     return pc.utf8_slice_codeunits(joined, 0, -1)
 
 
-def _digests(aligned: DataFrame, key: str) -> DataFrame:
-    """One row for each row of align(): counts, a digest of its groups, and its distinct linked pairs of ids with their counts."""
+def _counts(docs: DataFrame, a_path: str, b_path: str, key: str, text: str) -> DataFrame:
+    """One row for each row of docs: counts, a digest of its groups, and its distinct linked pairs of ids with their counts.
+
+    What align() gives, without its lists leaving the task.
+    """
     ddl = "_row long, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>, n array<int>"
-    schema = StructType([*StructType.fromDDL(ddl).fields, aligned.schema[key]])
+    schema = StructType([*StructType.fromDDL(ddl).fields, docs.schema[key]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = byte_level(a_path), word_pieces(b_path)
         row = TaskContext.get().partitionId() << 33
-        for part in (p.slice(k, 200) for p in batches for k in range(0, p.num_rows, 200)):
-            n = part.num_rows
-            a_ids, b_ids, a_sizes, b_sizes = part.columns[1:]
-            counts = [pc.list_value_length(x).cast(pa.int64()) for x in (a_ids, b_ids, a_sizes)]
-            links = counts[2].to_numpy()
-            own, pairs = np.repeat(np.arange(n), links), np.zeros(0, np.int64)
-            if len(own):
-                a, b = (ids.flatten().to_numpy()[np.cumsum(s.flatten().to_numpy()) - 1].astype(np.int64) for ids, s in ((a_ids, a_sizes), (b_ids, b_sizes)))
-                pairs = a << 32 | b
-            values, codes = np.unique(pairs, return_inverse=True)
-            both, times = np.unique(own * max(1, len(values)) + codes, return_counts=True)
-            of, pair = both // max(1, len(values)), values[both % max(1, len(values))]
+        for part in (p for x in batches for p in portions(x, 1, BYTES)):
+            n, m = part.num_rows, merge_portion(a, b, part.column(1).to_pylist())
+            lists = m.columns()
+            sizes = [pc.list_value_length(x).cast(pa.int64()) for x in lists[:3]]
+            own = np.repeat(np.arange(n), sizes[2].to_numpy())
+            found = pa.array(m.a_ids[m.cut_a] << 32 | m.b_ids[m.cut_b]).dictionary_encode()
+            most = max(1, len(found.dictionary))
+            counted = pa.array(own * most + found.indices.to_numpy()).value_counts()  # in the order of rows
+            both, times = (counted.field(k).to_numpy() for k in (0, 1))
+            of, pair = both // most, found.dictionary.to_numpy()[both % most]
             ends = pa.array(starts(np.bincount(of, minlength=n)), pa.int32())
             columns = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pair >> 32, pair & 0xFFFFFFFF, times)]
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in group_texts(a_ids, b_ids, a_sizes, b_sizes).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), *counts, pa.array(digests, pa.string()), *columns, part.column(0)], names=schema.names)
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in group_texts(*lists[:4]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), *sizes, pa.array(digests, pa.string()), *columns, part.column(0)], names=schema.names)
             row += n
 
-    return aligned.select(key, "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def pair_table(rows: DataFrame) -> DataFrame:
@@ -218,9 +247,9 @@ def frequent_pairs(table: DataFrame, head: int) -> pa.Table:
     return stepped.where(F.lit(False) if least is None else F.col("step") >= least).select("a", "b", "count", "best").toArrow()
 
 
-def link_counts(aligned: DataFrame, key: str = "doc_id", head: int = HEAD) -> DataFrame:
-    """Per row of align(): key, n_a, n_b, n_groups, n_links, n_best, count_sum and the SHA-256 of group_texts(), empty without tokens."""
-    rows = materialize(_digests(aligned, key), "aligned")
+def link_counts(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+    """Per row of docs: key, n_a, n_b, n_groups, n_links, n_best, count_sum and the SHA-256 of group_texts(), empty without tokens."""
+    rows = materialize(_counts(docs, a_path, b_path, key, text), "aligned")
     table = pair_table(rows)
     top = frequent_pairs(table, head)
     code = top["a"].to_numpy().astype(np.int64) << 32 | top["b"].to_numpy()
@@ -252,5 +281,4 @@ def link_counts(aligned: DataFrame, key: str = "doc_id", head: int = HEAD) -> Da
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = align(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
-    return link_counts(made)
+    return link_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))

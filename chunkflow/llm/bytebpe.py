@@ -16,6 +16,7 @@ DECODED, which are replaced. A table without rows gives none.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +29,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ._spark import documents
-from .arrow import portions
-from .pieces import BY_SPACES, ByChunk, lists, starts
+from .arrow import portions, runs
+from .pieces import ByChunk, is_space, starts
 from .tokens import vocabulary
 
+#: Bytes of text, or of ids, in a portion.
+BYTES = 2 << 20
 ENCODED = "ids array<int>, starts array<int>, ends array<int>, n_split int"
 DECODED = "bytes binary, decoded string, lead int, tail int"
 
@@ -76,7 +79,12 @@ class ByteBPE:
         for word, i in vocab.items():
             self.bytes[i] = bytes([back[c] for c in word])
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        self.encode = ByChunk(BY_SPACES, self._many)
+        self.table = pa.array(self.bytes, pa.binary())
+        self.encode = ByChunk(is_space, self._many, self.sizes)
+
+    def decode(self, ids: pa.Array, counts: np.ndarray) -> pa.BinaryArray:
+        """The bytes of lists of ids that follow one another, counts in each."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts(counts), pa.int32()), self.table.take(ids)), b"")
 
     def _many(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -87,12 +95,17 @@ def byte_bpe(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def character_offsets(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """First and last character (exclusive) of the tokens that end at these bytes, and how many begin inside one."""
-    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+def character_offsets(texts: list[str], sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last character (exclusive) of each token in its text, and whether it begins inside one.
+
+    sizes: the bytes of the tokens of all texts; counts: how many each text has.
+    """
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    begins = (data & 0xC0) != 0x80
     of = np.cumsum(begins, dtype=np.int32) - 1  # the character of each byte
-    first = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
-    return of[first], of[ends - 1] + 1, int((~begins[first]).sum())
+    ends = np.cumsum(sizes)
+    base = np.repeat(starts([len(t) for t in texts])[:-1], counts)
+    return of[ends - sizes] - base, of[ends - 1] + 1 - base, ~begins[ends - sizes]
 
 
 def _put(df: DataFrame, new: str) -> tuple[list[str], StructType]:
@@ -109,11 +122,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
-        for part in (p for b in batches for p in portions(b, at)):
+        for part in (p for b in batches for p in portions(b, at, BYTES)):
             texts = [t or "" for t in part.column(at).to_pylist()]
-            ids = bpe.encode(texts)
-            spans = [character_offsets(t.encode(), np.cumsum(bpe.sizes[i])) for t, i in zip(texts, ids, strict=True)]
-            new = [lists(ids), lists([s for s, _, _ in spans]), lists([e for _, e, _ in spans]), pa.array([n for *_, n in spans], pa.int32())]
+            ids, counts = bpe.encode(texts)
+            first, last, inside = character_offsets(texts, bpe.sizes[ids], counts)
+            ends = starts(counts)
+            split = starts(inside)[ends]
+            new = [*(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (ids, first, last)), pa.array(np.diff(split), pa.int32())]
             old = [part.column(k).cast(arrow.field(k).type) for k in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*old, *new], schema=arrow)
 
@@ -138,27 +153,48 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_bpe(path, pattern).bytes
+        bpe = byte_bpe(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            sizes = [4 * n for n in pc.fill_null(pc.list_value_length(batch.column(len(kept))), 0).to_pylist()]
+            for part in (batch.slice(r.start, r.stop - r.start) for r in runs(sizes, BYTES)):
                 own = part.column(len(kept))
-                flat = own.flatten().to_numpy(zero_copy_only=False)
-                ends = starts(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
-                data = [b"".join([table[i] for i in flat[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                whole = [whole_characters(d) for d in data]
-                new = [pa.array(data, pa.binary()), pa.array([w[0] for w in whole], pa.string()), *(pa.array([w[k] for w in whole], pa.int32()) for k in (1, 2))]
+                data = bpe.decode(own.flatten(), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+                whole = [whole_characters(d) for d in data.to_pylist()]
+                new = [data, pa.array([w[0] for w in whole], pa.string()), *(pa.array([w[k] for w in whole], pa.int32()) for k in (1, 2))]
                 old = [part.column(k).cast(arrow.field(k).type) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*old, *new], schema=arrow)
 
     return rows.select(*kept, F.col(ids).alias("_ids")).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
+def _numbers(n: int) -> pa.Array:
+    return pa.array([str(i) for i in range(n)], pa.string())
+
+
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, n_split, and SHA-256 of the ids and of the bytes that they decode to, of every row of docs.
+
+    What encode() and decode() give, without their lists leaving the task.
+    """
+    schema = StructType([docs.schema[key], *StructType.fromDDL("n_tokens long, n_split int, ids_sha256 string, decoded_sha256 string").fields])
+    sha = lambda data: pa.array([hashlib.sha256(d).hexdigest() for d in data.to_pylist()], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path, pattern)
+        numbers = _numbers(len(bpe.bytes))
+        for part in (p for b in batches for p in portions(b, 1, BYTES)):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            ids, counts = bpe.encode(texts)
+            split = np.diff(starts(character_offsets(texts, bpe.sizes[ids], counts)[2])[starts(counts)])
+            flat, ends = pa.array(ids), pa.array(starts(counts), pa.int32())
+            spelt = pc.binary_join(pa.ListArray.from_arrays(ends, numbers.take(flat)), " ").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(split, pa.int32()), sha(spelt), sha(bpe.decode(flat, counts))], names=schema.names)
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    made = encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
-    back = decode(made.select("doc_id", "ids", "n_split"), path, pattern)
-    spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelt.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), "n_split")
+    return digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
