@@ -779,18 +779,27 @@ def used_images(get):
     return books.used_images(texts, images).select("book_id", "href")
 
 
-def _packed(docs):
-    rows = docs.select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'end'").alias("markdown"))
-    images = rows.select("book_id", F.lit("images/a.png").alias("href"), F.lit("image/png").alias("mime_type"), F.unhex(F.lit("89")).alias("bytes"))
-    out = packing.pack_books(rows, images, "de")
-    sections = books.extract_sections(out.select("book_id", "file_name", F.col("epub").alias("content")))
-    read = sections.groupBy(F.col("book_id").cast("long").alias("book_id")).agg(F.count("markdown").cast("int").alias("n"))
-    return out.join(read, "book_id").select(F.col("book_id").alias("doc_id"), (F.col("n") + 5).alias("parts"), (F.hex(F.substring("epub", 1, 2)) == "504B").alias("is_zip"))
-
-
-@query("SELECT doc_id, 7 AS parts, true AS is_zip FROM documents")
+@query(f"""
+WITH c AS (SELECT doc_id, source, lang, {CLEAN_SQL} AS t FROM documents),
+e AS (SELECT doc_id, 'OEBPS/chapter-001.xhtml' AS entry, '<h1>A ' || lang || '</h1>' || chr(10) || '<p>' || trim('w ' || t) || '</p>' AS body FROM c
+UNION ALL SELECT doc_id, 'OEBPS/chapter-002.xhtml', '<h2>B</h2>' || chr(10) || '<p>end</p>' FROM c UNION ALL SELECT doc_id, 'OEBPS/images/a.png', 'picture ' || doc_id FROM c
+UNION ALL SELECT doc_id, n, NULL FROM c, (VALUES ('mimetype'), ('META-INF/container.xml'), ('OEBPS/nav.xhtml'), ('OEBPS/book.css'), ('OEBPS/content.opf')) AS v(n))
+SELECT doc_id, 'b' || doc_id || '.de.epub' AS file_name, entry, body, true AS same_size FROM e
+""")
 def pack_books(get):
-    return _packed(get("documents"))
+    """All books written as files, read as any book is, and what is in their entries."""
+    docs = _clean(get)
+    rows = docs.select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A ' || lang || chr(10) || chr(10) || 'w ' || t || chr(10) || '## B' || chr(10) || 'end'").alias("markdown"))
+    images = rows.select("book_id", F.lit("images/a.png").alias("href"), F.lit("image/png").alias("mime_type"), F.encode(F.expr("'picture ' || book_id"), "UTF-8").alias("bytes"))
+    path = jobs.shared_path(docs.sparkSession, "books")
+    written = jobs.table_of(packing.write_books(rows, images, "de", path, style="p { margin: 0 }"), "written")
+    files = written.select(F.col("book_id").alias("doc_id"), "file_name", F.explode("entries").alias("e"), F.col("path").alias("_path"))
+    read = books.read_books(docs.sparkSession, path)
+    entries = books.entry_texts(read).select(F.col("book_id").alias("_book"), "entry", "size", "text")
+    at = F.sha1(F.regexp_replace("_path", "^file:/+", "file:/"))
+    both = files.join(entries, (at == F.col("_book")) & (F.col("e.name") == F.col("entry")))
+    body = F.when(F.col("entry").endswith(".png"), F.col("text")).when(F.col("entry").contains("/chapter-"), F.regexp_extract("text", r"(?s)<body>\n(.*)\n</body>", 1))
+    return both.select("doc_id", "file_name", "entry", body.alias("body"), (F.col("size") == F.col("e.size")).alias("same_size"))
 
 
 @query("SELECT doc_id, true AS head, true AS picture, true AS link FROM @docs_md")
@@ -828,8 +837,11 @@ def stream_commit(get):
 def stream_progress(get):
     turns = get("conversations")
     source = turns.sparkSession.readStream.schema(turns.schema).parquet(get("conversations.path"))
-    pairs = source.select(F.col("conv_id").alias("book_id"), (F.col("turn") % 5 == 0).alias("used_original"))
-    return jobs.latest(jobs.stream_progress(pairs), "progress")
+    # every pair is delivered twice
+    pairs = source.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chunk_index"), (F.col("turn") % 5 == 0).alias("used_original"), F.explode(F.array(F.lit(1), F.lit(2))).alias("_")).drop("_")
+    path = jobs.shared_path(turns.sparkSession, "progress")
+    jobs.merge_progress(pairs, path)
+    return jobs.read_progress(turns.sparkSession, path, turns.schema["conv_id"].dataType.simpleString())
 
 
 @query("SELECT doc_id, least(n_chars, 400) AS at_most, true AS inside FROM documents")

@@ -47,7 +47,7 @@ class Node:
         return "".join(out)
 
 
-class _Builder(HTMLParser):
+class Builder(HTMLParser):
     """A lenient tree: open paragraphs end where a block begins, stray end tags are dropped."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
@@ -89,7 +89,7 @@ class _Builder(HTMLParser):
 
 def parse(markup: str) -> Node:
     """The tree of a document; script and style bodies are left out."""
-    builder = _Builder()
+    builder = Builder()
     builder.feed(re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<(?:link|script|style)\b[^>]*/?>", "", markup))
     builder.close()
     return builder.root

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import json
 import random
+import tracemalloc
 import xml.dom.minidom
 import zipfile
 
@@ -332,3 +334,149 @@ def test_links_with_very_many_parentheses(spark, n):
     reasons = {r.book_id: r.reason for r in answers.validate_pairs(rows).collect()}
     assert reasons == {1: None, 2: f"missing image {target}"}
     assert checking.problem(text, text) is None and checking.problem(text, "none of them, but long enough " * n) == f"missing image {target}"
+
+
+def test_images_come_without_the_chapters(spark, monkeypatch):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("O/b.JPG", b"jpg")
+        z.writestr("O/ch.xhtml", b"<broken")
+        z.writestr("x/b.jpg", b"two")
+        z.writestr("O/bad.png", b"spoilt later")
+    bad = out.getvalue().replace(b"spoilt later", b"spoilt_later")
+    binary = "".join(f'<binary id="i{n}.png" content-type="image/png">{base64.b64encode(bytes([n]) * 50_000).decode()}</binary>' for n in range(60))
+    odd = '<body><p>open<binary id="a.png">AAAA</binary><binary id="a.png">BBBB</binary><binary>CCCC</binary><binary id="no.png">AAA</binary><script><binary id="s.png">AAAA</binary></script><binary id="cut.png">AA'
+    files = [("a", "a.epub", bad), ("b", "b.fb2", f"<FictionBook><body/>{binary}</FictionBook>".encode()), ("c", "c.fb2", odd.encode()), ("d", "d.epub", b"no zip"), ("e", "e.fb2", None), ("f", None, b"x"), ("g", "g.zip", bad)]
+    df = spark.createDataFrame([(a, b, None if c is None else bytearray(c)) for a, b, c in files], "book_id string, file_name string, content binary")
+    monkeypatch.setattr(books, "parse_book", None)  # isn't asked for
+    got = books.extract_images(df, batch_bytes=100_000).collect()
+    images = {(r.book_id, r.source_path): (r.href, r.mime_type, bytes(r.bytes)) for r in got}
+    assert len(images) == len(got)
+    assert {k: v for k, v in images.items() if k[0] != "b"} == {
+        ("a", "O/b.JPG"): ("images/b.JPG", "image/jpeg", b"jpg"), ("a", "x/b.jpg"): ("images/b.jpg", "image/jpeg", b"two"), ("c", "a.png"): ("images/a.png", "image/png", b"\0\0\0"),
+    }
+    assert {k[1]: v for k, v in images.items() if k[0] == "b"} == {f"i{n}.png": (f"images/i{n}.png", "image/png", bytes([n]) * 50_000) for n in range(60)}
+
+
+def test_binaries_are_let_go_as_they_pass():
+    text = "<FictionBook>" + "<p>word</p>" * 1000 + "".join(f'<binary id="{n}">{"QUJD" * 100_000}</binary>' for n in range(40)) + "</FictionBook>"
+    tracemalloc.start()
+    assert sum(len(data) for _, _, data in books.fb2_images(text)) == 40 * 300_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 < len(text)
+
+
+def test_sections_know_images_without_decoding_them(monkeypatch):
+    monkeypatch.setattr(books.base64, "b64decode", None)
+    status, sections = books.parse_book("b.fb2", FB2.format(enc="utf-8").encode())
+    assert status == "ok" and "![](images/pic.png)" in sections[0][2]
+
+
+def test_books_are_written_entry_by_entry(spark, tmp_path):
+    rows = [("b/1", "x.fb2", "T & <t>", "# One\n\n" + "> " * 3000 + "deep\n\n# Two\n\n![i](images/p.png)"), ("b/2", "y.epub", None, None), (None, "z.fb2", "t", "m")]
+    texts = spark.createDataFrame(rows, "book_id string, file_name string, title string, markdown string")
+    images = spark.createDataFrame([("b/1", f"images/{n}.png", "image/png", bytearray([n]) * 1000) for n in range(30)] + [("none", "images/p.png", "image/png", bytearray(b"x")), ("b/1", "images/q.png", None, None)], "book_id string, href string, mime_type string, bytes binary")
+    for _ in range(2):  # written again, the same files
+        got = {r.book_id: r for r in packing.write_books(texts, images, "ru", str(tmp_path / "out"), "p {}").collect()}
+    assert set(got) == {"b/1", "b/2"} and [p.name for p in (tmp_path / "out" / "b%2F1").iterdir()] == ["x.ru.epub"]
+    packed = {r.book_id: bytes(r.epub) for r in packing.pack_books(texts, images, "ru", "p {}").collect()}
+    for book, r in got.items():
+        data = (tmp_path / "out" / book.replace("/", "%2F") / r.file_name).read_bytes()
+        assert data == packed[book] and len(data) == r.size and data[38:58] == b"application/epub+zip"
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            assert z.testzip() is None and [(x.filename, x.file_size, x.CRC) for x in z.infolist()] == [tuple(e) for e in r.entries]
+            package = xml.dom.minidom.parseString(z.read(packing.PACKAGE))
+            hrefs = {f"OEBPS/{n.getAttribute('href')}" for n in package.getElementsByTagName("item")}
+            assert hrefs == set(z.namelist()) - {"mimetype", "META-INF/container.xml", packing.PACKAGE}
+            assert all(b'href="book.css"' in z.read(n) for n in z.namelist() if n.endswith("xhtml"))
+    with zipfile.ZipFile(io.BytesIO(packed["b/1"])) as z:
+        assert z.read("OEBPS/images/7.png") == b"\x07" * 1000 and z.read("OEBPS/chapter-001.xhtml").count(b"<blockquote>") == 3000
+        assert len(package.getElementsByTagName("itemref")) == 2
+    back = books.extract_sections(spark.createDataFrame([("b", "x.epub", bytearray(packed["b/1"]))], "book_id string, file_name string, content binary")).collect()
+    assert [r.chapter_title for r in back] == ["One", "Two"]
+
+
+def test_a_writer_holds_one_entry():
+    class Sink(io.RawIOBase):
+        size = 0
+
+        def write(self, data):
+            self.size += len(data)
+            return len(data)
+
+    sink, picture = Sink(), random.Random(1).randbytes(2_000_000)
+    tracemalloc.start()
+    book = packing.EpubWriter(sink, "t", "de")
+    for n in range(30):
+        book.image(f"images/{n}.png", "image/png", picture)
+    book.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sink.size > 60_000_000 and peak < 10_000_000
+
+
+def _deliver(spark, path, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path / "in" / name))
+
+
+def test_done_chunks_leave_the_store(spark, tmp_path):
+    schema = "book_id string, chunk_index int, attempt int, response string, original string, ms long"
+    source, good = "A source text that is long enough to check.", "Ein Text, der lang genug ist, um gut zu sein."
+    read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+    def run(horizon_ms):
+        query = jobs.run_available(jobs.stream_commit(read(), horizon_ms), str(tmp_path / "out"), str(tmp_path / "cp"))
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+
+    _deliver(spark, tmp_path, "1", [("a", n, 1, good, source, 5) for n in range(50)] + [("b", 0, 2, good, source, 6)], schema)
+    held = run(3_600_000)
+    assert held >= 51
+    # delivered again within the horizon: nothing new
+    _deliver(spark, tmp_path, "2", [("a", n, 1, "later " + good, source, 9) for n in range(50)], schema)
+    run(3_600_000)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 50 and {(r.translation, r.ms) for r in rows} == {(good, 5)}
+    _deliver(spark, tmp_path, "3", [("b", 0, 1, "", source, 4)], schema)
+    run(3_600_000)
+    assert [(r.translation, r.ms) for r in spark.read.parquet(str(tmp_path / "out")).where("book_id = 'b'").collect()] == [(good, 6)]
+
+
+def test_marks_of_done_chunks_expire(spark, tmp_path):
+    schema = "book_id string, chunk_index int, attempt int, response string, original string"
+    source, good = "A source text that is long enough to check.", "Ein Text, der lang genug ist, um gut zu sein."
+    held = []
+    for n in range(3):
+        _deliver(spark, tmp_path, str(n), [(f"b{n}", k, 1, good, source) for k in range(40)], schema)
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = jobs.run_available(jobs.stream_commit(stream, horizon_ms=1), str(tmp_path / "out"), str(tmp_path / "cp"))
+        held.append([p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
+    assert held[-1] < 120
+
+
+def test_progress_counts_once_and_survives_a_replay(spark, tmp_path):
+    schema = "book_id string, chunk_index int, used_original boolean"
+    path = str(tmp_path / "table")
+    counts = lambda: sorted(map(tuple, jobs.read_progress(spark, path).collect()))
+    assert counts() == []
+
+    def run(sum_every=2):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return jobs.merge_progress(stream, path, sum_every)
+
+    _deliver(spark, tmp_path, "1", [("a", n, n == 0) for n in range(5)] * 2, schema)
+    run()
+    assert counts() == [("a", 5, 1)]
+    _deliver(spark, tmp_path, "2", [("a", n, False) for n in range(4, 8)] + [("b", 0, True)], schema)
+    run()
+    assert counts() == [("a", 8, 1), ("b", 1, 1)]
+    assert (tmp_path / "table/rows/sum=1").exists()
+    _deliver(spark, tmp_path, "3", [("b", 0, True), ("b", 1, None)], schema)
+    run()
+    assert counts() == [("a", 8, 1), ("b", 2, 1)]
+    # the last batch is run again, as after a crash before its commit
+    for name in ("commits/2", "commits/.2.crc"):
+        (tmp_path / "table/state" / name).unlink(missing_ok=True)
+    run()
+    assert counts() == [("a", 8, 1), ("b", 2, 1)]
