@@ -48,25 +48,21 @@ def accept_attempts(chunks: DataFrame, attempts: DataFrame) -> DataFrame:
     join what is left and decide.
     """
     n, rows = F.col("attempt"), attempts.where(F.col("attempt").between(1, ATTEMPTS))
-    answer = F.struct("response", "ms")
     numbers = range(1, ATTEMPTS + 1)
-    seen = rows.groupBy(BOOK, INDEX).agg(F.expr("bit_or(1 << (cast(attempt as int) - 1))").alias("_seen"), *(F.min(F.when(n == k, answer)).alias(f"_{k}") for k in numbers))
-    parsed = seen.select(BOOK, INDEX, "_seen", *(F.struct(parse_response(F.col(f"_{k}.response")).alias("text"), F.col(f"_{k}.ms").alias("ms")).alias(f"_{k}") for k in numbers))
-    both = parsed.join(chunks.select(BOOK, INDEX, F.col("markdown").alias("original")), [BOOK, INDEX])
-    both = both.withColumn("_src", plain_text(F.coalesce("original", F.lit(""))))
-    there = {k: F.col("_seen").bitwiseAND(1 << (k - 1)) > 0 for k in numbers}
-    for k in numbers:
-        # an answer is looked at only if none before it will do
-        tried = both.withColumns({"_text": F.col(f"_{k}.text"), "_dst": plain_text(F.coalesce(F.col(f"_{k}.text"), F.lit("")))})
-        reason = refusal_reason("original", "_text")
-        earlier = F.lit(False) if k == 1 else F.col("_good").isNotNull()
-        good = F.when(there[k] & F.col("_why").isNull(), k)
-        both = tried.withColumn("_why", F.when(there[k] & ~earlier, reason)).withColumn("_good", good if k == 1 else F.coalesce("_good", good)).drop("_text", "_dst")
-    pick = F.coalesce(*(F.when(F.col("_good") == k, F.col(f"_{k}")) for k in numbers))
-    kept, last = F.col("_good").isNull(), F.col(f"_{ATTEMPTS}")
-    return both.where(~kept | (F.col("_seen") == (1 << ATTEMPTS) - 1)).select(
-        BOOK, INDEX, "original", F.coalesce(pick["text"], "original").alias("translation"), kept.alias("used_original"),
-        F.when(kept, F.col("_why")).alias("reason"), F.when(kept, last["ms"]).otherwise(pick["ms"]).alias("ms"),
+    seen = rows.groupBy(BOOK, INDEX).agg(F.expr("bit_or(1 << (cast(attempt as int) - 1))").alias("_seen"), *(F.min(F.when(n == k, F.struct("response", "ms"))).alias(f"_{k}") for k in numbers))
+    both = seen.join(chunks.select(BOOK, INDEX, F.col("markdown").alias("original")), [BOOK, INDEX])
+    # a row for each answer again, where it is: rules look at it once, and no row moves
+    answer = lambda k: F.when(F.col("_seen").bitwiseAND(1 << (k - 1)) > 0, F.struct(F.lit(k).alias("attempt"), f"_{k}.response", f"_{k}.ms"))
+    each = both.select(BOOK, INDEX, "original", "_seen", F.explode(F.array_compact(F.array(*map(answer, numbers)))).alias("_a"))
+    each = validate_pairs(each.select(BOOK, INDEX, "original", "_seen", "_a.attempt", "_a.ms", parse_response(F.col("_a.response")).alias("translation")))
+    best = each.groupBy(BOOK, INDEX).agg(
+        F.min_by(F.struct("original", "translation", "ms"), F.when(F.col("ok"), F.col("attempt"))).alias("good"),
+        F.max_by(F.struct("original", "reason", "ms"), "attempt").alias("last"), F.max("_seen").alias("_seen"),
+    )
+    kept = F.col("good").isNull()
+    return best.where(~kept | (F.col("_seen") == (1 << ATTEMPTS) - 1)).select(
+        BOOK, INDEX, F.col("last.original").alias("original"), F.coalesce("good.translation", "last.original").alias("translation"), kept.alias("used_original"),
+        F.when(kept, F.col("last.reason")).alias("reason"), F.when(kept, F.col("last.ms")).otherwise(F.col("good.ms")).alias("ms"),
     )
 
 
