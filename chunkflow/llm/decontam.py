@@ -11,7 +11,7 @@ characters have no budget and are met where they stand as whole words.
 
 Null and empty texts hold nothing; items that are null or without a letter or digit are left
 out. Repeated rows and items are each reported. Very long texts are searched in stretches that
-overlap by more than a segment and its budget. An item longer than a batch is an error.
+overlap by more than a segment and its budget; so are very long items, whose parts share OVERLAP characters.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .arrow import portions
 Q, SEGMENT, STRIDE, RATE, SHORTEST = 10, 100, 10, 0.08, 20
 #: Characters of a batch of items: its index takes some 40 bytes for each.
 BATCH_CHARS, STRETCH = 800_000, 1 << 18
+#: A longer item comes in parts of so many characters, which share some with the next.
+PART_CHARS, OVERLAP = 100_000, 2_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = 42
 LEAKS = "item_id long, start int, stop int, edits int"
@@ -86,10 +88,13 @@ class Index(NamedTuple):
     exact: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> Index:
+    def of(cls, items: list[tuple[int, str, bool]]) -> Index:
+        """items: (id, text, whether the text is the whole item and not a part of a long one)."""
         ids, codes, short = [], [], {}
-        for item, text in items:
+        for item, text, entire in items:
             whole = normalized(text)[0]
+            if not entire and len(whole) < SEGMENT:
+                continue  # its segments are in the part before
             if len(whole) and whole[-1] == 32:
                 whole = whole[:-1]
             if len(whole) >= SHORTEST:
@@ -221,15 +226,20 @@ def _aligned(own: np.ndarray, codes: np.ndarray, low: np.ndarray, k: int) -> tup
     return int(edits[best]), min(len(codes), int(low[best] + end[best]))
 
 
-def item_batches(benchmark: DataFrame, batch_chars: int = BATCH_CHARS) -> Iterator[Index]:
-    """The benchmark's indexes, each of about batch_chars characters, a size that is checked."""
+def item_parts(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, entire) of the items; one of over PART_CHARS comes as parts that overlap by OVERLAP."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
-    if (size[1] or 0) > BATCH_CHARS:
-        raise ValueError(f"a benchmark item of {size[1]} characters; BATCH_CHARS is {BATCH_CHARS}")
-    n = max(1, -(-(size[0] or 0) // batch_chars))
+    at = F.sequence(F.lit(1), F.length("text") - OVERLAP, F.lit(PART_CHARS - OVERLAP))
+    parts = F.when(F.length("text") <= PART_CHARS, F.array("text")).otherwise(F.transform(at, lambda i: F.substring("text", i, F.lit(PART_CHARS))))
+    return items.select("item_id", F.explode(parts).alias("part"), (F.length("text") <= PART_CHARS).alias("entire"))
+
+
+def item_batches(benchmark: DataFrame, batch_chars: int = BATCH_CHARS) -> Iterator[Index]:
+    """The benchmark's indexes, each of about batch_chars characters, however long an item is."""
+    items = item_parts(benchmark)
+    n = max(1, -(-(items.agg(F.sum(F.length("part"))).first()[0] or 0) // batch_chars))
     for b in range(n):
-        yield Index.of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()])
+        yield Index.of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(n)) == b).collect()])
 
 
 def _found(texts: list[str | None], index: Index) -> list[list[dict]]:
@@ -279,7 +289,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", name:
     found = tables[0]
     for more in tables[1:]:
         found = found.unionByName(more)
-    found = found.groupBy("__cf_digest").agg(F.array_sort(F.flatten(F.collect_list("__cf_leaks"))).alias("__cf_leaks"))
+    # parts of an item may be in several batches: the best of each item stays
+    best = found.select("__cf_digest", F.explode("__cf_leaks").alias("x")).groupBy("__cf_digest", "x.item_id").agg(F.min(F.struct("x.edits", "x.start", "x.stop")).alias("x"))
+    found = best.groupBy("__cf_digest").agg(F.array_sort(F.collect_list(F.struct("item_id", "x.start", "x.stop", "x.edits"))).alias("__cf_leaks"))
     column = F.coalesce("__cf_leaks", F.array().cast(f"array<struct<{LEAKS}>>"))
     return docs.join(found, F.md5(text) == F.col("__cf_digest"), "left").withColumn(name, column).drop("__cf_digest", "__cf_leaks")
 

@@ -234,13 +234,13 @@ def test_leaks_with_edits_case_and_cuts(spark):
 def test_leaks_in_long_texts_and_batches(spark, monkeypatch):
     item = prose(77, 30)
     text = prose(5, 70_000) + " " + item + " " + prose(6, 70_000)
-    found = decontam.find_leaks(decontam.normalized(text)[0], decontam.Index.of([(4, item)]))
+    found = decontam.find_leaks(decontam.normalized(text)[0], decontam.Index.of([(4, item, True)]))
     assert [x[0] for x in found] == [4]
     bench = spark.createDataFrame([(k, prose(k, 30)) for k in range(6)], "item_id long, text string")
     assert sum(1 for _ in decontam.item_batches(bench, 300)) > 2
 
 
-def test_leaks_equal_an_alignment_of_every_segment(spark, monkeypatch):
+def test_leaks_equal_an_alignment_of_every_segment(spark):
     """Against the whole table of edits of every segment of every item and each text."""
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip()
@@ -262,7 +262,7 @@ def test_leaks_equal_an_alignment_of_every_segment(spark, monkeypatch):
             row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
         return row.min()
 
-    index, seen = decontam.Index.of(items), set()
+    index, seen = decontam.Index.of([(*x, True) for x in items]), set()
     for text in texts:
         codes, want = decontam.normalized(text)[0], {}
         for k, (item, own) in enumerate(zip(index.items.tolist(), index.codes, strict=True)):
@@ -281,9 +281,22 @@ def test_leaks_equal_an_alignment_of_every_segment(spark, monkeypatch):
     assert found[0] == found[1] and (len(texts), 50, 3, 9, 0) in found[0] and not any(x[0] == len(texts) + 1 for x in found[0])
     left = {r.doc_id for r in decontam.without_leaks(docs, bench).collect()}
     assert left == set(range(len(texts) + 5)) - {x[0] for x in found[0] if x[3] - x[2] >= decontam.SHORTEST} and len(texts) in left
-    monkeypatch.setattr(decontam, "BATCH_CHARS", 200)
-    with pytest.raises(ValueError, match="BATCH_CHARS"):
-        decontam.with_leaks(docs, bench)
+
+
+def test_a_very_long_item_is_met_anywhere(spark, nothing):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(30_000)]
+    item = " ".join(rng.choices(words, k=330_000))
+    assert len(item) > 2_000_000
+    bench = spark.createDataFrame([(7, item), (8, "a short one of the usual kind, met whole or not at all by a text"), (7, item)], "item_id long, text string")
+    step = decontam.PART_CHARS - decontam.OVERLAP
+    places = [0, len(item) - 130, *(k * step + d for k in (1, 5, 20) for d in (-130, -60, 0, decontam.OVERLAP - 60, decontam.OVERLAP)), *(rng.randrange(len(item)) for _ in range(10))]
+    docs = spark.createDataFrame([(k, f"before {item[at : at + 130]} after") for k, at in enumerate(places)] + [(99, " ".join(rng.choices(words, k=60)))], "doc_id long, text string")
+    found = {r.doc_id: {(x.item_id, x.edits) for x in r.leaks} for r in decontam.with_leaks(docs, bench).collect()}
+    assert found == {k: {(7, 0)} for k in range(len(places))} | {99: set()}
+    assert {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == {99}
+    parts = decontam.item_parts(bench.limit(1)).collect()
+    assert len(parts) > 20 and max(len(r.part) for r in parts) == decontam.PART_CHARS and not any(r.entire for r in parts)
 
 
 def test_banded_alignment_equals_the_whole_table():
