@@ -2,13 +2,14 @@
 
 One pass splits the texts and keeps each document's pre-token frequencies in the shared folder.
 Pieces are counted once per distinct pre-token of the corpus. The most frequent pre-tokens (at
-most `head`, a bound on count and length, hence on bytes) go to the tasks as a broadcast; a
+most `head`, long ones by their digests, hence a bound on bytes) go to the tasks as a broadcast; a
 document's other pre-tokens meet the table of pieces in a shuffled join. No ids are made. Null
 and empty texts have no tokens, repeated rows are counted each, other columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,19 +72,32 @@ def pretoken_table(rows: DataFrame, path: str) -> DataFrame:
 
 
 def frequent(table: DataFrame, head: int) -> pa.Table:
-    """(pretoken, pieces) of the most frequent short pre-tokens, at most `head` rows.
+    """(name, pieces) of the most frequent pre-tokens, at most `head` rows.
 
-    A step of frequency comes in whole or not at all: counts by step are summed before they
-    meet, so no task ranks the pre-tokens.
+    A name is the pre-token, or, if that is long, two spaces and its MD5: no pre-token holds a space. A step
+    of frequency comes in whole or not at all: counts by step are summed before they meet, so no task
+    ranks the pre-tokens.
     """
-    short = table.where(F.length("pretoken") <= MOST_CHARS).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    name = F.when(F.length("pretoken") <= MOST_CHARS, F.col("pretoken")).otherwise(F.concat(F.lit("  "), F.md5(F.col("pretoken").cast("binary"))))
+    named = table.select(name.alias("name"), "pieces", F.floor(F.log2("n") * 16).cast("int").alias("step"))
     least, held = None, 0
-    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # at most 16 * 64 steps
+    for r in sorted(named.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # at most 16 * 64 steps
         held += r["count"]
         if held > head:
             break
         least = r["step"]
-    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("pretoken", "pieces").toArrow()
+    return named.where(F.lit(False) if least is None else F.col("step") >= least).select("name", "pieces").toArrow()
+
+
+def names_of(tokens: pa.Array) -> pa.Array:
+    """The names of pre-tokens, as frequent() has them."""
+    long = np.flatnonzero(np.asarray(pc.utf8_length(tokens)) > MOST_CHARS)
+    if not len(long):
+        return tokens
+    spelt = ["  " + hashlib.md5(t.encode(), usedforsecurity=False).hexdigest() for t in tokens.take(pa.array(long)).to_pylist()]
+    mask = np.zeros(len(tokens), bool)
+    mask[long] = True
+    return pc.replace_with_mask(tokens, pa.array(mask), pa.array(spelt, tokens.type))
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
@@ -91,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     rows = frequencies(docs, path, key, text)
     table = pretoken_table(rows, path)
     top = frequent(table, head)
-    known = docs.sparkSession.sparkContext.broadcast((top["pretoken"].to_numpy(), top["pieces"].to_numpy()))
+    known = docs.sparkSession.sparkContext.broadcast((top["name"].to_numpy(), top["pieces"].to_numpy()))
     kept = [f for f in StructType.fromDDL("_row long, n_bytes long, known long, pretokens array<string>, freqs array<int>").fields]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +114,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             tokens, freqs = (batch.column(k) for k in (2, 3))
             size = np.asarray(pc.list_value_length(tokens))
             flat, times = tokens.flatten(), freqs.flatten()
-            at = np.asarray(pc.fill_null(pc.index_in(flat, value_set=names), -1))
+            at = np.asarray(pc.fill_null(pc.index_in(names_of(flat), value_set=names), -1))
             of = np.repeat(np.arange(len(size)), size)
             found = np.bincount(of, pieces[at] * np.asarray(times), minlength=len(size)).astype(np.int64)
             rest = at < 0

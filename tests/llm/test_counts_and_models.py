@@ -28,6 +28,21 @@ def test_token_counts(spark, messy, nothing, tiny):
     assert tokencount.count_tokens(nothing, VOCAB).collect() == []
 
 
+def test_frequent_long_pre_tokens_are_looked_up(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCAB)
+    rules = ["-" * 80, "=" * 100, "é" * 70, "x" * 5000]
+    docs = spark.createDataFrame([(k, f"a {rules[k % 4]} b {'long' * 30}{k}") for k in range(60)], "doc_id long, text string").repartition(3)
+    rows = tokencount.frequencies(docs, VOCAB)
+    table = tokencount.pretoken_table(rows, VOCAB)
+    top = tokencount.frequent(table, 200)
+    assert max(map(len, top["name"].to_pylist())) <= 64 and sum(n.startswith("  ") for n in top["name"].to_pylist()) == 5
+    for head in (0, 10, 200):
+        got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, VOCAB, head=head).collect()}
+        assert got == {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
+
+
 def test_language_of_held_out_documents(spark, sf):
     got = langid.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
