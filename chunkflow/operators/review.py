@@ -90,7 +90,7 @@ def _equal_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     same = len(commonprefix([a, b]))
     tail = len(commonprefix([a[same:][::-1], b[same:][::-1]]))
     x, y = a[same : len(a) - tail], b[same : len(b) - tail]
-    pairs = [(k, k) for k in range(same)] + [(i + same, j + same) for i, j in _common(x, y)]
+    pairs = [(k, k) for k in range(same)] + [(i + same, j + same) for i, j in common_places(x, y)]
     pairs += [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
     runs: list[tuple[int, int, int]] = []
     for i, j in pairs:
@@ -101,7 +101,7 @@ def _equal_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return runs
 
 
-def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+def common_places(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence, bit-parallel: one number holds a row over y.
 
     A zero at bit j of row i says that y[j] makes the subsequence of x[: i + 1] longer.

@@ -586,11 +586,24 @@ def split_blocks(get):
     return chunking.split_blocks_of(get("documents").select("doc_id", F.expr(BLOCKS).alias("md")), "md").select("doc_id", "pos", "block")
 
 
-@query("SELECT doc_id, length(md) AS chars, true AS back FROM @docs_md")
+# texts of letters, digits and single spaces, so that markup can be put around them
+CLEAN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' '{g}), ' +', ' '{g}))"
+CLEAN_SQL = CLEAN.replace("{g}", ", 'g'")
+
+
+def _clean(get):
+    return get("documents").select("doc_id", "source", "lang", F.expr(CLEAN.replace("{g}", "")).alias("t"))
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, source, lang, {CLEAN_SQL} AS t FROM documents)
+SELECT doc_id, '# ' || reverse(source) || chr(10) || reverse(t) || chr(10) || '```' || chr(10) || reverse(t) || chr(10) || '```' || chr(10) || '[' || reverse(lang) || '](u/' || lang || ')`' || lang || '`' || reverse(source) AS once, true AS back FROM c
+""")
 def reverse_markdown(get):
-    rows = get("docs_md").select("doc_id", "md", reversing.reverse_markdown(F.col("md")).alias("once"))
-    again = rows.withColumn("twice", reversing.reverse_markdown(F.col("once")))
-    return again.select("doc_id", F.length("once").alias("chars"), (F.col("twice") == F.col("md")).alias("back"))
+    md = "'# ' || source || chr(10) || t || chr(10) || '```' || chr(10) || t || chr(10) || '```' || chr(10) || '[' || lang || '](u/' || lang || ')`' || lang || '`' || source"
+    rows = _clean(get).select("doc_id", F.expr(md).alias("md"))
+    rows = rows.withColumn("once", reversing.reverse_markdown(F.col("md")))
+    return rows.select("doc_id", "once", (reversing.reverse_markdown(F.col("once")) == F.col("md")).alias("back"))
 
 
 # --- folds and helpers
@@ -683,15 +696,6 @@ def page_markdown(get):
     return out.select("page_id", out.markdown.rlike("(?m)^# ").alias("has_head"), (~F.contains("markdown", F.lit("track("))).alias("no_script"), (~F.contains("markdown", F.lit("margin:0"))).alias("no_style"))
 
 
-# texts of letters, digits and single spaces, so that markup can be put around them
-CLEAN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' '{g}), ' +', ' '{g}))"
-CLEAN_SQL = CLEAN.replace("{g}", ", 'g'")
-
-
-def _clean(get):
-    return get("documents").select("doc_id", "source", "lang", F.expr(CLEAN.replace("{g}", "")).alias("t"))
-
-
 @query(f"""
 WITH c AS (SELECT doc_id, source, lang, {CLEAN_SQL} AS t FROM documents)
 SELECT doc_id, '## ' || source || chr(10) || chr(10) || CASE WHEN t = '' THEN '' ELSE t || ' ' END || '*' || lang || '* [r](https://e.example/' || doc_id || ')' || chr(10) || chr(10) || '- one' || chr(10) || '- **two**' || chr(10) || '  - in' || chr(10) || chr(10)
@@ -844,11 +848,13 @@ def stream_progress(get):
     return jobs.read_progress(turns.sparkSession, path, turns.schema["conv_id"].dataType.simpleString())
 
 
-@query("SELECT doc_id, least(n_chars, 400) AS at_most, true AS inside FROM documents")
+@query(f"""
+WITH c AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(range(200, 601), lambda p: substr(t, p, 1) = ' ') AS near, list_filter(range(1, 401), lambda p: substr(t, p, 1) = ' ') AS ahead FROM c)
+SELECT doc_id, CASE WHEN length(t) <= 400 THEN length(t) WHEN len(near) > 0 THEN list_min(list_transform(near, lambda p: abs(p - 400) * 10000 + p)) % 10000 ELSE coalesce(list_max(ahead), 400) END::INT AS cut FROM w
+""")
 def best_cut(get):
-    rows = get("documents").select("doc_id", "n_chars", chunking.best_cut(F.col("text"), F.lit(0), 400).alias("cut"))
-    inside = (F.col("cut") <= F.least(F.col("n_chars"), F.lit(600))) & ((F.col("cut") >= 200) | (F.col("cut") == F.col("n_chars")))
-    return rows.select("doc_id", F.least(F.col("n_chars"), F.lit(400)).alias("at_most"), inside.alias("inside"))
+    return _clean(get).select("doc_id", chunking.best_cut(F.col("t"), F.lit(0), 400).alias("cut"))
 
 
 @query("SELECT page_id, html AS text FROM pages")
