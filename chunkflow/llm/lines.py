@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from ..operators.review import _common as common_places
+from ..operators.review import common_places
 from ._spark import documents, materialize, scratch
 from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
