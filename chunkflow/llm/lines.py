@@ -42,7 +42,7 @@ from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
 SHORT, NARROW, MIDDLE, MANY, TINY, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 8, 12, 16
 #: Bits in which SimHashes of similar lines differ at most: of words, of runs of bytes.
-DISTANCE = (14, 20)
+DISTANCE = (22, 20)
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
 #: Key columns: two keys of 32 bits in each; k of the longest and the shortest lines, g of those between.
 PACKED = [f"{x}{i}" for x in "kg" for i in range(KEYS // 2)]
