@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..operators.answers import REFUSAL
+from . import rules
 from .text import IMAGE, LINK, MARKERS, WS
 
 _python = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", p)
@@ -15,8 +15,8 @@ _PLAIN = [
     (re.compile(r"[`*_~]"), ""), (re.compile(rf"{_WS}+"), " "),
 ]
 _TRIM = re.compile(rf"\A{_WS}+|{_WS}+\Z")
-_IMAGE, _LINK, _MARKERS, _REFUSAL = re.compile(_python(IMAGE)), re.compile(_python(LINK)), re.compile(MARKERS), re.compile(REFUSAL)
-_FIRM = re.compile("(?i)https?:|mailto:")
+_IMAGE, _LINK, _MARKERS, _REFUSAL = re.compile(_python(IMAGE)), re.compile(_python(LINK)), re.compile(MARKERS), re.compile(rules.REFUSAL)
+_FIRM = re.compile(rules.FIRM)
 _INNER = re.compile(rf"(?is)<<<TRANSLATION>>>{_WS}*(.*?){_WS}*<<<END_TRANSLATION>>>")
 
 
@@ -46,22 +46,17 @@ def parse_answer(text: str) -> str:
 
 
 def problem(source: str, translation: str | None) -> str | None:
-    """Why the translation isn't accepted, None if it is."""
-    if not translation or not trim(translation):
-        return "empty translation"
-    src, dst = plain(source), plain(translation)
-    if len(src) > 20 and len(dst) < max(8, len(src) * 0.15):
-        return "translation too short"
-    if len(src) > 20 and len(dst) > len(src) * 8:
-        return "translation too long"
-    if _REFUSAL.search(dst):
-        return "model refusal"
-    if _MARKERS.search(translation):
-        return "harness tags in translation"
-    for t in targets(_IMAGE, source):
-        if f"]({t})" not in translation:
-            return f"missing image {t}"
-    for t in targets(_LINK, source):
-        if (_FIRM.match(t) or "/" in t or "." in t) and t not in translation:
-            return f"missing href {t}"
+    """Why the translation isn't accepted, None if it is: operators.answers.refusal_reason for one text."""
+    text, src, dst = translation or "", plain(source), plain(translation or "")
+    counts = len(src) > rules.COUNTS_FROM
+    missing = lambda targets, gone: next((t for t in targets if gone(t)), None)
+    failed = {
+        rules.EMPTY: lambda: not trim(text), rules.SHORT: lambda: counts and len(dst) < max(rules.LEAST, len(src) * rules.LEAST_SHARE),
+        rules.LONG: lambda: counts and len(dst) > len(src) * rules.MOST_TIMES, rules.REFUSED: lambda: _REFUSAL.search(dst), rules.TAGS: lambda: _MARKERS.search(text),
+        rules.NO_IMAGE: lambda: missing(targets(_IMAGE, source), lambda t: f"]({t})" not in text),
+        rules.NO_HREF: lambda: missing(targets(_LINK, source), lambda t: _FIRM.search(t) and t not in text),
+    }
+    for reason in rules.REASONS:
+        if found := failed[reason]():
+            return reason + found if reason in (rules.NO_IMAGE, rules.NO_HREF) else reason
     return None

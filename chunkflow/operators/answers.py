@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.text import MARKERS, image_srcs, language_prefix, link_hrefs, mostly_script, parse_response, plain_text, script_counts, script_for_lang, trim_ws
 from .sequences import BOOK, INDEX
 
-#: Fixed phrases of refusals.
-REFUSAL = "(?i)i cannot translate|i can't translate|as an ai|не могу перевести|отказ от перевода"
 ATTEMPTS = 3
 
 
@@ -19,18 +18,16 @@ def refusal_reason(source: str = "original", translation: str = "translation") -
     Needs columns _src and _dst, the plain texts of both sides (see validate_pairs).
     """
     src, dst, text = F.length("_src"), F.length("_dst"), F.col(translation)
-    image = F.get(F.filter(image_srcs(F.col(source)), lambda x: ~F.contains(text, F.concat(F.lit("]("), x, F.lit(")")))), F.lit(0))
-    firm = lambda x: x.rlike("(?i)^(?:https?:|mailto:)") | F.contains(x, F.lit("/")) | F.contains(x, F.lit("."))
-    href = F.get(F.filter(link_hrefs(F.col(source)), lambda x: firm(x) & ~F.contains(text, x)), F.lit(0))
-    return (
-        F.when(text.isNull() | (trim_ws(text) == ""), "empty translation")
-        .when((src > 20) & (dst < F.greatest(F.lit(8.0), src * F.lit(0.15))), "translation too short")
-        .when((src > 20) & (dst > src * 8), "translation too long")
-        .when(F.col("_dst").rlike(REFUSAL), "model refusal")
-        .when(text.rlike(MARKERS), "harness tags in translation")
-        .when(image.isNotNull(), F.concat(F.lit("missing image "), image))
-        .when(href.isNotNull(), F.concat(F.lit("missing href "), href))
-    )
+    counts = src > rules.COUNTS_FROM
+    first = lambda targets, missing: F.get(F.filter(targets, missing), F.lit(0))
+    image = first(image_srcs(F.col(source)), lambda x: ~F.contains(text, F.concat(F.lit("]("), x, F.lit(")"))))
+    href = first(link_hrefs(F.col(source)), lambda x: x.rlike(rules.FIRM) & ~F.contains(text, x))
+    failed = {
+        rules.EMPTY: text.isNull() | (trim_ws(text) == ""), rules.SHORT: counts & (dst < F.greatest(F.lit(float(rules.LEAST)), src * F.lit(rules.LEAST_SHARE))),
+        rules.LONG: counts & (dst > src * rules.MOST_TIMES), rules.REFUSED: F.col("_dst").rlike(rules.REFUSAL), rules.TAGS: text.rlike(MARKERS),
+    }
+    named = [F.when(found.isNotNull(), F.concat(F.lit(reason), found)) for reason, found in ((rules.NO_IMAGE, image), (rules.NO_HREF, href))]
+    return F.coalesce(*(F.when(failed[r], r) for r in rules.REASONS if r in failed), *named)
 
 
 def validate_pairs(pairs: DataFrame, source: str = "original", translation: str = "translation") -> DataFrame:
