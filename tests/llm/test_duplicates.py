@@ -358,3 +358,24 @@ def test_stages_on_odd_tables(spark, messy, nothing, tmp_path):
         if name == "benchmark_decontamination":
             # only the row with the item's text goes; a short item drops nothing
             assert key(rows) == [x for x in key(messy.collect()) if x[1] != prose(2, 60)]
+
+
+@pytest.mark.parametrize(("kind", "rate", "least"), [("words", 0.05, 0.95), ("words", 0.1, 0.93), ("words", 0.15, 0.9), ("letters", 0.02, 0.9), ("letters", 0.05, 0.6), ("letters", 0.08, 0.3)])
+def test_recall_of_lines_with_scattered_edits(sf, kind, rate, least):
+    """Of similar pairs, how many share a key and lie within the bound; README states what is lost."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(1)
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist() if t]
+    own = sorted({x for t in texts for x in t.split("\n") if 10 <= len(x.split()) <= 60})
+    own = rng.sample(own, 1000)
+    letter = lambda c: rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and rng.random() < rate else c
+    word = lambda w: rng.choice(["zulu", "qwert", "vexing", "jumble"]) if rng.random() < rate else w
+    changed = ["".join(map(letter, x)) if kind == "letters" else " ".join(map(word, x.split(" "))) for x in own]
+    x, y = lines.Hashes.of(own), lines.Hashes.of(changed)
+    halves = lambda k: np.ascontiguousarray(k).view(np.uint32)
+    middle = (x.words <= lines.MIDDLE[1]) & (y.words <= lines.MIDDLE[1])
+    met = (halves(x.k) == halves(y.k)).any(1) | ((halves(x.g) == halves(y.g)).any(1) & middle)
+    met &= lines.near(x.sim, y.sim)
+    alike = [k for k, (a, b) in enumerate(zip(own, changed, strict=True)) if a != b and lines.similar(lines.normalised(a), lines.normalised(b))]
+    assert len(alike) > 500 and met[alike].mean() >= least
