@@ -17,7 +17,8 @@ The rows of a key are compared as they pass, if they are at most FEW; larger buc
 buckets.py. Lines without a word always stay. Null texts stay null. Rows with equal doc_id and
 text are one document that was written more than once and keep the same lines; a null doc_id
 comes after all others. Other columns are kept as they are, but for `lines_gone`, which is
-replaced. A table without rows gives none.
+replaced. A line of many megabytes is hashed at once, and confirmed with numbers of as many bits. A table
+without rows gives none.
 """
 
 from __future__ import annotations

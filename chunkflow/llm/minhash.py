@@ -11,7 +11,8 @@ linked ones become components. Where a bucket still holds several components, it
 are compared in pairs if they are at most FEW, else what lies outside the largest component in
 blocks (buckets.py). So no link between different components is lost.
 
-Null and empty texts and texts without words have no shingles and link with nothing.
+Null and empty texts and texts without words have no shingles and link with nothing. A very long
+text is hashed whole, in portions.
 Repeated rows are copies. Rows with a null doc_id take part; a component's id is its
 smallest non-null doc_id. Extra columns are left out.
 """
