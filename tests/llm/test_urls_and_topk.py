@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunkflow.llm import topk, urls
+from chunkflow.llm import queries, topk, urls
 
 
 def verdicts(spark, found, host_rules, patterns=()):
@@ -109,3 +111,22 @@ def test_bad_components_are_left_out(spark):
     rows = [(1, [0.5, -0.01]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf"), 0.0])]
     got = spark.createDataFrame(rows, "i int, e array<float>").select("i", topk.quantized(F.col("e")).alias("v")).orderBy("i").collect()
     assert [r.v for r in got] == [[32, -1], None, None, None, None]
+
+
+def test_very_long_urls(spark):
+    long = "http://Shop.example.net/en/" + "a-b/" * 200_000 + "?x=casino"
+    got = verdicts(spark, [long, "http://cheap-pills.org/" + "x" * 500_000, "http://" + "h." * 100_000 + "net/" + "p" * 100_000], urls.HOST_RULES, urls.patterns())
+    assert [(len(v[1]), v[2], v[3]) for _, v in sorted(got.items())] == [(4 + 800_000, "example.net/en/", "allow"), (500_001, None, "block"), (100_001, "net/", "block")]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_their_sql(spark, tiny, name):
+    con = duckdb.connect()
+    for t in ("pages", "embeddings", "documents"):
+        p = Path(tiny, f"{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
+    got, want = queries.QUERIES[name](spark, tiny), con.sql(queries.SQL[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    of = lambda columns, rows: sorted((tuple(r[columns.index(n)] for n in names) for r in rows), key=repr)
+    assert of(got.columns, got.collect()) == of(want.columns, want.fetchall())
