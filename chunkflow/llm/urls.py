@@ -3,18 +3,21 @@
 A rule is a pattern over host + path. ``||`` stands for the start of the host or of one of
 its labels, ``^`` for a separator (anything but a letter or digit, or either end), ``*`` for
 anything; the rest is literal. A pattern after ``@@`` is an exception: it allows what other
-patterns of the method block. Only letter and digit runs that must be whole tokens of a
-matching URL can index a rule, of these the one that the fewest URLs hold.
+patterns of the method block. Letter and digit runs that must be whole tokens of a
+matching URL index a rule, of these the one that the fewest URLs hold. A rule without such a token is
+indexed by the rarest run of three characters of its literal parts, which URLs are cut into only if there are such rules.
 
-Null URLs and URLs without ``://`` have an empty host and path. Rules without a whole token
-are candidates for every URL. Equal rules count once; of the listed rules that fit, the longest
+Null URLs and URLs without ``://`` have an empty host and path. Rules without three literal
+characters in a row are candidates for every URL. Equal rules count once; of the listed rules that fit, the longest
 wins, then the last in string order. Repeated rows come back each, very long URLs whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ GOODS = ["pills", "bets", "loans", "replica", "watches", "viagra", "poker", "slo
 ABOUT = ["help", "docs", "research"]
 #: Rules up to so many, of so many characters together, are broadcast; more meet the tokens in salted joins.
 MOST_RULES, MOST_CHARS, SALTS = 200_000, 16 << 20, 16
+#: Before the three characters of an index entry; no token of a URL holds it.
+GRAM = " "
 
 
 def patterns() -> list[str]:
@@ -52,7 +57,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def compile_pattern(pattern: str, ignore_case: bool = False) -> tuple[str, list[str]]:
-    """(regular expression, tokens that any match holds whole)."""
+    """(regular expression, tokens that any match holds whole, or else runs of three characters marked GRAM)."""
     anchored = pattern.startswith("||")
     body = pattern[2:] if anchored else pattern
     parts = {"^": "(?:[^A-Za-z0-9]|^|$)", "*": "(?s:.*)"}
@@ -64,6 +69,9 @@ def compile_pattern(pattern: str, ignore_case: bool = False) -> tuple[str, list[
         after = body[m.end()] if m.end() < len(body) else "*"
         if "*" not in (before, after) and before.isascii() and after.isascii():
             tokens.append(m[0].lower())
+    if not tokens:
+        literals = re.split(r"[*^]", body.translate(str.maketrans(UPPER, LOWER)))
+        tokens = [GRAM + x[k : k + 3] for x in literals for k in range(len(x) - 2)]
     return rx, sorted(set(tokens))
 
 
@@ -74,15 +82,40 @@ def rules_table(spark: SparkSession, host_rules: list[tuple[str, str]], patterns
     return spark.createDataFrame(rows, "rule string, action string, rx string, tokens array<string>, listed boolean").distinct()
 
 
+def rules_of(patterns: DataFrame) -> DataFrame:
+    """The rules of a table (pattern, action), as the method's: for rules_table().unionByName() or by themselves.
+
+    The pattern of an exception begins with ``@@`` and allows, whatever its action; another action than
+    block or allow is an error, null or empty patterns are left out, repeated rows count once.
+    """
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, "allow" if p.startswith("@@") else a, *compile_pattern(p.removeprefix("@@"), True), False) for p, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if bad := {a for _, a, *_ in rows} - {"block", "allow"}:
+                raise ValueError(f"actions {sorted(map(str, bad))}; block and allow are known")
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rule", "action", "rx", "tokens", "listed"])
+
+    rows = patterns.where("pattern <> ''").select("pattern", "action").distinct()
+    return rows.mapInArrow(compiled, "rule string, action string, rx string, tokens array<string>, listed boolean").distinct()
+
+
 def candidates(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, key, rule, action, rx, listed): each URL with the rules whose rarest token it holds."""
-    words = F.regexp_extract_all(ascii_lower(F.col("key")), F.lit("[a-z0-9]+"), F.lit(0))
-    tokens = urls.select("url", "key", F.explode(F.array_union(F.array(F.lit("")), words)).alias("token"))
+    small, grams = _shape(rules)
+    lower = ascii_lower(F.col("key"))
+    words = F.array_union(F.array(F.lit("")), F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)))
+    if grams:
+        cut = F.transform(F.sequence(F.lit(1), F.length(lower) - 2), lambda k: F.concat(F.lit(GRAM), F.substring(lower, k, F.lit(3))))
+        words = F.when(F.length(lower) > 2, F.array_union(words, cut)).otherwise(words)
+    tokens = urls.select("url", "key", F.explode(words).alias("token"))
     literals = rules.select("rule", "action", "rx", "listed", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
-    seen = tokens.join(F.broadcast(literals.select("token").distinct()) if _small(rules) else literals.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    seen = tokens.join(F.broadcast(literals.select("token").distinct()) if small else literals.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     index = literals.join(seen, "token", "left").groupBy("rule", "action", "rx", "listed")
     index = index.agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    if _small(rules):
+    if small:
         return tokens.join(F.broadcast(index), "token").drop("token")
     # a token that many URLs hold is spread over SALTS keys
     tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
@@ -90,9 +123,11 @@ def candidates(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return tokens.join(index, ["token", "salt"]).drop("token", "salt")
 
 
-def _small(rules: DataFrame) -> bool:
-    n, chars = rules.agg(F.count("*"), F.sum(F.length("rx"))).first()
-    return n <= MOST_RULES and (chars or 0) <= MOST_CHARS
+def _shape(rules: DataFrame) -> tuple[bool, bool]:
+    """Whether the rules are few enough to be broadcast, and whether some are indexed by runs of three characters."""
+    gram = F.exists("tokens", lambda t: t.startswith(GRAM))
+    n, chars, grams = rules.agg(F.count("*"), F.sum(F.length("rx")), F.max(gram)).first()
+    return n <= MOST_RULES and (chars or 0) <= MOST_CHARS, bool(grams)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:

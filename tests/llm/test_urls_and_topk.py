@@ -29,7 +29,7 @@ def test_hosts_paths_and_longest_rules(spark):
 def test_patterns_without_a_whole_token_still_run(spark):
     got = verdicts(spark, ["http://a.b/xadsy", "http://ads.b/", "http://a.b/c"], [], ["*adsy", "^ads^"])
     assert [got[i][3] for i in range(3)] == ["block", "block", "allow"]
-    assert urls.compile_pattern("*adsy")[1] == [] and urls.compile_pattern("||a.b/c")[1] == ["a", "b"]
+    assert urls.compile_pattern("*adsy")[1] == [" ads", " dsy"] and urls.compile_pattern("*ab*^c^*")[1] == ["c"] and urls.compile_pattern("*ab*")[1] == [] and urls.compile_pattern("||a.b/c")[1] == ["a", "b"]
 
 
 def test_the_index_spares_regular_expressions(spark, sf):
@@ -130,3 +130,30 @@ def test_queries_equal_their_sql(spark, tiny, name):
     assert names == sorted(want.columns)
     of = lambda columns, rows: sorted((tuple(r[columns.index(n)] for n in names) for r in rows), key=repr)
     assert of(got.columns, got.collect()) == of(want.columns, want.fetchall())
+
+
+def test_rules_from_a_table_of_the_urls_own_parts(spark, sf, tmp_path):
+    """Hosts, anchors, wildcards inside tokens and exceptions, as patterns in a file, against every regular expression."""
+    import re
+
+    found = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").where("page_id % 7 = 0")  # the other side is every pair
+    host, path = urls.url_parts(F.col("url"))
+    parts = found.select(host.alias("h"), F.regexp_extract(path, "([A-Za-z0-9]{4,})", 1).alias("w"), "page_id").where("h <> ''")
+    made = parts.select(F.explode(F.array(
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("||"), "h", F.lit("^"))), F.when((F.col("page_id") % 5 == 0) & (F.col("w") != ""), F.concat(F.lit("/"), "w", F.lit("^"))),
+        F.when(F.col("w") != "", F.concat(F.lit("*"), F.substring("w", 2, 3), F.lit("*"))), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("@@||"), "h", F.lit("/*"), F.substring("w", 1, 3), F.lit("*"))),
+    )).alias("pattern")).where("pattern is not null")
+    made.select("pattern", F.lit("block").alias("action")).unionByName(spark.createDataFrame([(None, "block"), ("", "block"), ("*qz*", "allow")], "pattern string, action string")).write.parquet(str(tmp_path / "rules"))
+    rules = urls.rules_of(spark.read.parquet(str(tmp_path / "rules")))
+    rows = rules.collect()
+    assert len(rows) > 20 and any(t.startswith(" ") for r in rows for t in r.tokens) and not any(r.listed for r in rows)
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in urls.judge_urls(found, rules).collect()}
+    compiled = [(re.compile(r.rx), r.action) for r in rows]
+    for host, path, verdict in got.values():
+        fits = {a for rx, a in compiled if rx.search(host + path)} if host or path else set()
+        assert verdict == ("allow" if "allow" in fits or not fits else "block")
+    known = found.where("url is not null").select("url").distinct().withColumn("key", F.concat(*urls.url_parts(F.col("url"))))
+    runs, pairs = urls.candidates(known, rules).count(), known.count() * len(rows)
+    assert runs < 0.35 * pairs
+    with pytest.raises(Exception, match="block and allow"):
+        urls.rules_of(spark.createDataFrame([("a", "drop")], "pattern string, action string")).collect()
