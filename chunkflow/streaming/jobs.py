@@ -16,7 +16,7 @@ from ..functions.checking import parse_answer, problem
 from ..operators.answers import ATTEMPTS
 from ..operators.chunking import chunk_documents
 from ..operators.commits import KEYS
-from ..operators.sequences import BOOK, INDEX
+from ..operators.sequences import BOOK
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
