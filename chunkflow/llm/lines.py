@@ -42,6 +42,8 @@ from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
 SHORT, NARROW, MIDDLE, MANY, TINY, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 8, 12, 16
+#: Rows that a task turns into Python objects at a time.
+PART = 500
 #: Bits in which SimHashes of similar lines differ at most: of words, of runs of bytes.
 DISTANCE = (22, 20)
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -292,9 +294,9 @@ def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(normalised(x), normalised(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+        for part in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
+            good = [similar(normalised(x.as_py()), normalised(y.as_py())) for x, y in zip(part.column(2), part.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     left, right = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(test, "u long, v long")
@@ -347,8 +349,8 @@ def deletion_keys(tiny: DataFrame) -> DataFrame:
     """(key, node, sim) of lines (node, tiny, sim): what deletions leave, in hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [(h, i, s) for i, x, s in zip(*(c.to_pylist() for c in batch.columns), strict=True) for h in {1 << 62 | int.from_bytes(blake2b(y.encode(), digest_size=8).digest()) >> 12 << 10 for y in deletions(x)}]
+        for part in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
+            made = [(h, i, s) for i, x, s in zip(*(c.to_pylist() for c in part.columns), strict=True) for h in {1 << 62 | int.from_bytes(blake2b(y.encode(), digest_size=8).digest()) >> 12 << 10 for y in deletions(x)}]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * 3)], ["key", "node", "sim"])
 
     return tiny.select("node", "tiny", "sim").mapInArrow(run, "key long, node long, sim long")
