@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from ..operators.review import common_places
 from ._spark import documents, materialize, scratch
@@ -259,25 +259,18 @@ def similar(a: str, b: str) -> bool:
 FILTER_BITS = 1 << 24
 
 
-def _may_hold(keys: DataFrame, text_hash: str = "text_hash") -> Column:
-    """A predicate on (doc_id, text_hash): false only where keys don't hold the pair.
+def _marked(df: DataFrame, keys: DataFrame, text_hash: str = "text_hash") -> DataFrame:
+    """df with __cf_may: false only where keys don't hold its (doc_id, text_hash).
 
-    The pairs' hashes set bits of a map of FILTER_BITS, which goes to the tasks; so texts
-    that no join will use aren't shuffled. A full map lets all pass, with the same result.
+    The pairs' hashes set bits of a map of FILTER_BITS, which goes to the tasks as at most FILTER_BITS / 64
+    rows; so texts that no join will use aren't shuffled. A full map lets all pass, with the same result.
     """
-    h = F.xxhash64("doc_id", "text_hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    words = keys.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[words["word"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    held = keys.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf(BooleanType())
-    def test(hashes: pd.Series) -> pd.Series:
-        at = hashes.to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-        return pd.Series((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return test(F.xxhash64("doc_id", text_hash))
+    place = lambda hashed: F.xxhash64("doc_id", hashed).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = lambda hashed: F.call_function("shiftleft", F.lit(1).cast("long"), place(hashed).bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(place("text_hash"), 6).alias("__cf_word")).agg(F.bit_or(bit("text_hash")).alias("__cf_bits"))
+    out = df.withColumn("__cf_word", F.shiftright(place(text_hash), 6)).join(F.broadcast(words), "__cf_word", "left")
+    may = F.coalesce("__cf_bits", F.lit(0).cast("long")).bitwiseAND(bit(text_hash)) != 0
+    return out.withColumn("__cf_may", may).drop("__cf_word", "__cf_bits")
 
 
 def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -285,8 +278,8 @@ def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = lines.join(nodes.select(F.col("node").alias("_line")).distinct(), "_line", "left_semi")
     wanted = wanted.groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).agg(F.collect_list(F.struct("number", "_line")).alias("at"))
     wanted = materialize(wanted, "wanted")
-    may = _may_hold(wanted.select(F.col("__cf_id").alias("doc_id"), F.col("__cf_hash").alias("text_hash")))
-    held = docs.where(may).join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
+    marked = _marked(docs, wanted.select(F.col("__cf_id").alias("doc_id"), F.col("__cf_hash").alias("text_hash")))
+    held = marked.where("__cf_may").join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
     held = held.select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("x"))
     held = held.select(F.col("x._line").alias("node"), F.get("all", F.col("x.number")).alias("line"))
     return materialize(held.dropDuplicates(["node"]), "line-texts")
@@ -459,13 +452,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that go, and the number of lines that went in `lines_gone`."""
     own = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "__cf_text_hash": F.xxhash64("text")})
     gone = dropped_lines(own.select("doc_id", "text", F.col("__cf_text_hash").alias("text_hash")))
-    may = _may_hold(gone, "__cf_text_hash")
+    marked = _marked(own, gone, "__cf_text_hash")
     found = gone.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), F.col("numbers").alias("__cf_gone"))
-    out = own.where(may).join(found, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_text_hash") == F.col("__cf_hash")), "left")
+    out = marked.where("__cf_may").drop("__cf_may").join(found, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_text_hash") == F.col("__cf_hash")), "left")
     # only texts that lose lines go through Python
     less = _without(F.when(F.col("__cf_gone").isNotNull(), F.col("text")), F.col("__cf_gone"))
     out = out.withColumns({"text": F.when(F.col("__cf_gone").isNotNull(), less).otherwise(F.col("text")), "lines_gone": F.coalesce(F.size("__cf_gone"), F.lit(0))})
-    out = out.drop("__cf_id", "__cf_hash", "__cf_gone").unionByName(own.where(~may).withColumn("lines_gone", F.lit(0)))
+    out = out.drop("__cf_id", "__cf_hash", "__cf_gone").unionByName(marked.where("not __cf_may").drop("__cf_may").withColumn("lines_gone", F.lit(0)))
     return out.drop("__cf_text_hash")
 
 
