@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from .arrays import each_text
 
 #: What stays in place: links and images (whose label is reversed), code spans, runs of marks.
 _FIXED = re.compile(r"(!?\[[^\]]*\]\([^)]+\)|`[^`]+`|[\[\]#!*_`]+)")
@@ -39,11 +38,7 @@ def reverse_text(markdown: str | None) -> str | None:
 
 
 def reverse_markdown(c: Column) -> Column:
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([reverse_text(t) for t in texts], dtype=object)
-
-    return run(c)
+    return each_text(reverse_text, c)
 
 
 def reversing_translator(sources: list[str], contexts: list[list[tuple[str, str]]]) -> list[str]:
