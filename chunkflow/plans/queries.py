@@ -587,12 +587,12 @@ def split_blocks(get):
 
 
 # texts of letters, digits and single spaces, so that markup can be put around them
-CLEAN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' '{g}), ' +', ' '{g}))"
-CLEAN_SQL = CLEAN.replace("{g}", ", 'g'")
+CLEAN_SQL = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 def _clean(get):
-    return get("documents").select("doc_id", "source", "lang", F.expr(CLEAN.replace("{g}", "")).alias("t"))
+    # CLEAN_SQL in one pass; Java looks the class of a character up, where it tries the parts of a union one by one
+    return get("documents").select("doc_id", "source", "lang", F.trim(F.regexp_replace("text", r"\P{Alnum}+", " ")).alias("t"))
 
 
 @query(f"""

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.arrays import in_batches
 from ..functions.text import nav_title
 from ..functions.xhtml import _ILLEGAL, clean, fragment
 from ..operators.commits import split_chapters
@@ -155,7 +156,7 @@ def _pack(books: DataFrame, images: DataFrame, lang: str, style: str, columns: s
     schema = StructType([StructField("book_id", books.schema["book_id"].dataType), *StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         # one row at a time: a batch may hold many images
         rows = ([c[k].as_py() for c in b.columns] for b in batches for k in range(b.num_rows))
         for book, own in groupby(rows, lambda r: r[0]):
@@ -169,8 +170,10 @@ def _pack(books: DataFrame, images: DataFrame, lang: str, style: str, columns: s
                     epub.chapter(name, text or "")
                 elif role == IMAGE_ROW and name and data is not None:
                     epub.image(name, kind or "application/octet-stream", data)
-            values = done(epub.close())
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([book, *values], arrow, strict=True)], schema=arrow)
+            yield (book, *done(epub.close()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(packed(batches), arrow)
 
     return _stream(books, images, lang).mapInArrow(run, schema)
 
