@@ -62,8 +62,8 @@ def _against_one(rows: DataFrame, order: int) -> DataFrame:
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def _parts(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("long")
+def _parts(n: Column, times: int = 1) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(times * BLOCK))).cast("long")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -72,14 +72,14 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return sizes.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("g"), (F.sum("n") - F.max("n")).alias("r"))
 
 
-def deal_in_blocks(rows: DataFrame) -> DataFrame:
+def deal_in_blocks(rows: DataFrame, times: int = 1) -> DataFrame:
     """Rows (key, node, component, ...) of mixed buckets for every two blocks (i, j) to compare.
 
-    A bucket's largest component is dealt by a hash into blocks of about BLOCK rows, and so is
-    the rest. Blocks of the rest meet all blocks of the largest component (side 1) and one
+    A bucket's largest component is dealt by a hash into blocks of about `times` BLOCK rows, and so is the
+    rest. Blocks of the rest meet all blocks of the largest component (side 1) and one
     another (side 1 is the later one); rows of one block that meets itself have side 0.
     """
-    rows = rows.join(_sizes(rows).select("key", "main", _parts(F.col("g")).alias("_g"), _parts(F.col("r")).alias("_r")), "key")
+    rows = rows.join(_sizes(rows).select("key", "main", _parts(F.col("g"), times).alias("_g"), _parts(F.col("r"), times).alias("_r")), "key")
     rows = rows.withColumn("_in", F.col("component") == F.col("main")).withColumn("_at", F.pmod(F.xxhash64("key", "node"), F.when(F.col("_in"), F.col("_g")).otherwise(F.col("_r"))))
     meets = F.when(F.col("_in"), F.sequence(F.lit(0), F.col("_r") - 1)).otherwise(F.sequence(F.lit(0), F.col("_g") + F.col("_r") - 1))
     rows = rows.withColumn("_with", F.explode(meets))

@@ -36,14 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..operators.review import common_places
+from . import buckets
 from ._spark import documents, materialize, scratch
 from .arrow import portions, runs
 from .buckets import deal_in_blocks, settle, with_hubs
 from .shingles import _P, _P_INVERSE, PORTION, _powers, mix, word_hashes
 
+#: Places in the profile of a line: of characters, of all.
+LETTERS, COUNTS = 32, 128
 SHORT, NARROW, MIDDLE, MANY, TINY, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 8, 12, 16
 #: Rows that a task turns into Python objects at a time.
 PART = 500
+#: Times buckets.BLOCK that blocks of lines hold.
+BLOCKS = 4
 #: Bits in which SimHashes of similar lines differ at most: of words, of runs of bytes.
 DISTANCE = (22, 20)
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -255,6 +260,40 @@ def similar(a: str, b: str) -> bool:
     return 5 * gap_edits(x, y) <= longer or 5 * edits(a, b, longer // 5) <= longer
 
 
+def profiles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines: counts of characters (LETTERS places) and of pairs of neighbouring ones (COUNTS - LETTERS), up to 255; lengths."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    out = np.zeros((len(lines), COUNTS), np.uint8)
+    for part in runs((sizes + 50).tolist(), 1 << 18):
+        n = sizes[part]
+        chars = np.frombuffer("".join(lines[part]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(chars):
+            continue
+        row = np.repeat(np.arange(len(n)) * COUNTS, n)
+        inside = row[1:] == row[:-1]
+        two = (chars[:-1] * np.uint32(37) + chars[1:])[inside] % np.uint32(COUNTS - LETTERS)
+        places = np.concatenate([row + chars % np.uint32(LETTERS), row[1:][inside] + LETTERS + two])
+        out[part] = np.minimum(np.bincount(places, minlength=len(n) * COUNTS), 255).reshape(-1, COUNTS)
+    return out, sizes
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False only for pairs that similar() denies, by profiles x and y and lengths n and m.
+
+    An edit adds at most one character and two pairs of neighbours, and takes away as many; counts in the
+    same place, and those cut at 255, only bring profiles nearer.
+    """
+    longer = np.maximum(n, m)
+    ok = 5 * np.abs(n - m) <= longer
+    for at in range(0, len(x), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        differ = x[part].astype(np.int16) - y[part]
+        for own, each in ((differ[:, :LETTERS], 1), (differ[:, LETTERS:], 2)):
+            most = (np.abs(own).sum(1, dtype=np.int64) + np.abs(own.sum(1, dtype=np.int64))) // 2
+            ok[part] &= 5 * most <= each * longer[part]
+    return ok
+
+
 #: Bits of a filter on documents; its size doesn't depend on how many there are.
 FILTER_BITS = 1 << 24
 
@@ -273,22 +312,30 @@ def _marked(df: DataFrame, keys: DataFrame, text_hash: str = "text_hash") -> Dat
     return out.withColumn("__cf_may", may).drop("__cf_word", "__cf_bits")
 
 
+def _normal(line: Column) -> Column:
+    """normalised() of a column."""
+    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(lower, r"[ \t\n\x0B\f\r!-/:-@\[-`{-~]+", " "))
+
+
 def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, line) of the lines numbered in column node."""
+    """(node, line) of the lines numbered in column node, normalised."""
     wanted = lines.join(nodes.select(F.col("node").alias("_line")).distinct(), "_line", "left_semi")
     wanted = wanted.groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).agg(F.collect_list(F.struct("number", "_line")).alias("at"))
     wanted = materialize(wanted, "wanted")
     marked = _marked(docs, wanted.select(F.col("__cf_id").alias("doc_id"), F.col("__cf_hash").alias("text_hash")))
     held = marked.where("__cf_may").join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
     held = held.select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("x"))
-    held = held.select(F.col("x._line").alias("node"), F.get("all", F.col("x.number")).alias("line"))
+    held = held.select(F.col("x._line").alias("node"), _normal(F.get("all", F.col("x.number"))).alias("line"))
     return materialize(held.dropDuplicates(["node"]), "line-texts")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
-            good = [similar(normalised(x.as_py()), normalised(y.as_py())) for x, y in zip(part.column(2), part.column(3), strict=True)]
+            x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+            (p, n), (q, m) = profiles(x), profiles(y)
+            good = [may and similar(a, b) for a, b, may in zip(x, y, may_be_similar(p, q, n, m).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     left, right = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
@@ -298,42 +345,92 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join the components of mixed buckets (key, node, component).
 
-    Where few rows of two blocks are near each other by their SimHashes, these pairs come out and
-    are confirmed once, however many buckets they share; else the task confirms only
-    what still joins components.
+    A task takes the blocks one after another, many small ones at a time. Pairs that SimHashes and profiles
+    leave come out and are confirmed once, however many buckets they share. Where these are
+    many for the block's rows, the task confirms only what still joins components.
     """
+    names = ["key", "i", "j", "side", "component", "node", "sim", "level", *PACKED, "line"]
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        sim, side, component, node = (df[c].to_numpy() for c in ("sim", "side", "component", "node"))
-        ok = near(sim[:, None], sim[None, :]) & (component[:, None] != component[None, :])
-        if side.any():
-            ok &= side[:, None] != side[None, :]
+    def near_pairs(key, side, component, sim, level, packed, lines, at) -> np.ndarray:
+        """Pairs of rows that may be linked; at: where blocks begin."""
+        of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
+        sided = np.maximum.reduceat(side, at)[of] > 0
+        again = level // 8 < key & 255  # such rows share the part of shorter lines too
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, len(key)):
+            i = np.flatnonzero(of[d:] == of[:-d])
+            if not len(i):
+                break
+            j = i + d
+            ok = (component[i] != component[j]) & ~(sided[i] & (side[i] == side[j])) & ~(again[i] & again[j])
+            i, j = i[ok], j[ok]
+            ok = near(sim[i], sim[j])
+            found.append(np.stack([i[ok], j[ok]], 1))
+        i, j = np.concatenate(found).T
         # rows that share an earlier key too have met there
-        for at in range(min(2 * KEYS, int(df.key.iloc[0]) >> 40)):
-            half = df[PACKED[at // 2]].to_numpy() >> 32 * (at % 2) & 0xFFFFFFFF
-            ok &= half[:, None] != half[None, :]
-        pairs = np.argwhere(np.triu(ok))
-        if len(pairs) <= SPARSE * len(df):
-            ends = np.sort(node[pairs], axis=1)
-            return pd.DataFrame({"u": ends[:, 0], "v": ends[:, 1], "sure": False})
-        root = {c: c for c in component.tolist()}
+        for k in range(2 * KEYS):
+            half = packed[k // 2] >> 32 * (k % 2) & 0xFFFFFFFF
+            ok = (half[i] != half[j]) | (key[i] >> 40 <= k)
+            i, j = i[ok], j[ok]
+        profile, size = profiles(lines)
+        ok = np.concatenate([np.zeros(0, bool), *(may_be_similar(profile[p], profile[q], size[p], size[q]) for p, q in ((i[k : k + PART * 100], j[k : k + PART * 100]) for k in range(0, len(i), PART * 100)))])
+        return np.stack([i[ok], j[ok]], 1)
+
+    def confirmed(pairs: np.ndarray, component: np.ndarray, lines: list[str]) -> list[bool]:
+        root = {c: c for c in component[pairs].ravel().tolist()}
 
         def find(c):
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        lines, out = [normalised(x) for x in df.line], []
+        out = []
         for i, j in pairs.tolist():
             p, q = find(int(component[i])), find(int(component[j]))
-            if p != q and similar(lines[i], lines[j]):
+            out.append(p != q and similar(lines[i], lines[j]))
+            if out[-1]:
                 root[p] = q
-                out.append((int(node[i]), int(node[j]), True))
-        return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": bool})
+        return out
+
+    def of_blocks(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of rows whose blocks are complete."""
+        key, i, j = (rows.column(k).to_numpy() for k in range(3))
+        at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        for some in runs(np.diff(np.r_[at, len(key)]).tolist(), 2 * BLOCKS * buckets.BLOCK):
+            a, b = at[some.start], at[some.stop] if some.stop < len(at) else len(key)
+            part = rows.slice(a, b - a)
+            own, side, component, node, sim, level, *packed = (part.column(k).to_numpy() for k in (0, *range(3, len(names) - 1)))
+            lines, first = part.column(len(names) - 1).to_pylist(), at[some] - a
+            pairs = near_pairs(own, side, component, sim, level, packed, lines, first)
+            block = np.searchsorted(first, pairs[:, 0], "right") - 1
+            many = np.bincount(block, minlength=len(first)) > SPARSE * np.diff(np.r_[first, len(own)])
+            keep, sure = np.ones(len(pairs), bool), many[block]
+            for k in np.flatnonzero(many).tolist():
+                keep[block == k] = confirmed(pairs[block == k], component, lines)
+            ends = np.sort(node[pairs], axis=1)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(sure[keep])], ["u", "v", "sure"])
 
-    spark = rest.sparkSession
-    dealt = deal_in_blocks(rest).join(info, "node").join(texts, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")
-    found = materialize(dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long, sure boolean"), "near")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            rows = batch if kept is None else pa.concat_batches([kept, batch])
+            if not rows.num_rows:
+                continue
+            differ = np.zeros(rows.num_rows, bool)
+            for k in range(3):
+                column = rows.column(k).to_numpy()
+                differ |= column != column[-1]
+            end = int(np.flatnonzero(differ)[-1]) + 1 if differ.any() else 0
+            kept = rows.slice(end)
+            if end:
+                yield from of_blocks(rows.slice(0, end))
+        if kept is not None:
+            yield from of_blocks(kept)
+
+    dealt = deal_in_blocks(rest.join(info, "node").join(texts, "node"), BLOCKS).withColumns({c: F.col(c).cast("long") for c in ("i", "j", "side", "level")})
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*names).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialize(dealt.mapInArrow(run, "u long, v long, sure boolean"), "near")
     maybe = found.where("not sure").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
     return materialize(found.where("sure").select("u", "v").unionByName(_confirmed(maybe, texts)), "links")
 
@@ -408,12 +505,13 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
         classes = lines.groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("level", "sim", *PACKED)])
         classes = materialize(classes, "line-classes")
         tiny = lines.where("tiny is not null").groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.first("sim").alias("sim"), F.first("tiny").alias("tiny"))
-        buckets = materialize(shared_keys(classes, deletion_keys(tiny)), "buckets")
-        first = materialize(buckets.where("key is null").select("a", "b").distinct(), "pairs")
-        large = buckets.where("key is not null").select("key", F.col("a").alias("node"))
+        shared = materialize(shared_keys(classes, deletion_keys(tiny)), "buckets")
+        first = materialize(shared.where("key is null").select("a", "b").distinct(), "pairs")
+        large = shared.where("key is not null").select("key", F.col("a").alias("node"))
         texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), lines, docs)
         # of a kind of key that a line lacks it has numbers of its own
         info = classes.select("node", "level", "sim", *(F.coalesce(c, F.xxhash64("node", F.lit(c))).alias(c) for c in PACKED))
+        info = materialize(info.join(texts.select("node"), "node", "left_semi"), "info")
 
         def test(pairs: DataFrame) -> DataFrame:
             x, y = info.alias("x"), info.alias("y")

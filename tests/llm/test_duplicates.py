@@ -379,3 +379,36 @@ def test_recall_of_lines_with_scattered_edits(sf, kind, rate, least):
     met &= lines.near(x.sim, y.sim)
     alike = [k for k, (a, b) in enumerate(zip(own, changed, strict=True)) if a != b and lines.similar(lines.normalised(a), lines.normalised(b))]
     assert len(alike) > 500 and met[alike].mean() >= least
+
+
+def test_profiles_deny_no_similar_pair():
+    rng, pairs = random.Random(12), []
+    for k in range(600):
+        line = lines.normalised(prose(k, rng.choice([4, 9, 30, 300])) + rng.choice(["", " é漢字", " \U0001f600 z"]))
+        own = list(line)
+        for _ in range(rng.randrange(1 + len(own) // 4)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice(["", "x", own[at] + "é", "漢"])
+        pairs.append((line, "".join(own) if k % 5 else lines.normalised(prose(-k, len(line.split())))))
+    (p, n), (q, m) = (lines.profiles([x[k] for x in pairs]) for k in (0, 1))
+    may, good = lines.may_be_similar(p, q, n, m), np.array([lines.similar(*x) for x in pairs])
+    assert n.tolist() == [len(x) for x, _ in pairs]
+    assert may[good].all() and good.sum() > 200 and not may[(n < 200) & (np.arange(600) % 5 == 0)].all()
+
+
+def test_unlike_lines_of_a_bucket_are_not_read(spark, monkeypatch):
+    """Many short lines that share two frequent words: none may get as far as similar()."""
+    rng, asked = random.Random(3), spark.sparkContext.accumulator(0)
+
+    def counted(a, b, real=lines.similar):
+        asked.add(1)
+        return real(a, b)
+
+    monkeypatch.setattr(lines, "similar", counted)
+    own = ["the and " + " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, x, k) for k, x in enumerate(own)], "doc_id long, line string, sim long")
+    texts = docs.select(F.col("doc_id").alias("node"), "line")
+    info = texts.select("node", F.lit(40).alias("level"), F.lit(0).cast("long").alias("sim"), *(F.xxhash64("node", F.lit(c)).alias(c) for c in lines.PACKED))
+    rest = texts.select(F.lit(9 << 40 | 5).cast("long").alias("key"), "node", F.lit(300).alias("m"), F.col("node").alias("component"))
+    assert lines._links_in_blocks(rest, info, texts).collect() == []
+    assert asked.value < 100
