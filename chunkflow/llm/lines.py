@@ -237,9 +237,26 @@ def edits(a: str, b: str, most: int | None = None) -> int:
             return score - left
         plus, minus = plus << 1 | 1, minus << 1
         up, down = (minus | ~(x | plus)) & full, plus & x & full
+        if left % 64 == 0 and left > 64 and (low := _least_edits(up, down, len(a), len(b) - left, left, most)) > most:
+            return low
     return score
 
 
+def _least_edits(up: int, down: int, m: int, done: int, left: int, most: int) -> int:
+    """No fewer edits than the table's end can have by this column, of which every few rows are looked at.
+
+    A path through row i needs the edits there and the difference of what is left of both texts; that changes by two
+    a row at most, so a row at half a step from one looked at has at most a step less. Rows more than `most` from the diagonal need more than that.
+    """
+    step = max(1, most // 8)
+    low, high = max(0, done - most), min(m, done + most)
+    least = most + step + 1
+    for i in [*range(low, high, step), high]:
+        mask = (1 << i) - 1
+        least = min(least, done + (up & mask).bit_count() - (down & mask).bit_count() + abs(m - i - left))
+    return least - step
+
+
 def gap_edits(x: list[str], y: list[str]) -> int:
     """No fewer edits than two sequences of words need: all letters between words they share in order."""
     out = at_x = at_y = 0

@@ -412,3 +412,18 @@ def test_unlike_lines_of_a_bucket_are_not_read(spark, monkeypatch):
     rest = texts.select(F.lit(9 << 40 | 5).cast("long").alias("key"), "node", F.lit(300).alias("m"), F.col("node").alias("component"))
     assert lines._links_in_blocks(rest, info, texts).collect() == []
     assert asked.value < 100
+
+
+def test_edits_stop_only_beyond_the_bound():
+    rng = random.Random(21)
+    for k in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.choice([70, 200, 500])))
+        own = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 2)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice(["", "x", own[at] + "e", "xyz"])
+        b = a[: len(a) // 3] + "".join(rng.choice("abcd ") for _ in range(len(a) // 2)) if k % 4 == 0 else "".join(own)
+        true = lines.edits(a, b, len(a) + len(b))
+        for most in (true - 1, true, true + 1, len(a) // 5):
+            got = lines.edits(a, b, max(0, most))
+            assert got == true or (true > max(0, most) and got > max(0, most))
