@@ -14,7 +14,7 @@ the recall. Of each connected group of lines over all documents the occurrence w
 (doc_id, line number) stays, the others go.
 
 The rows of a key are compared as they pass, if they are at most FEW; larger buckets go the way of
-buckets.py. Lines without a word always stay. Null texts stay null. Rows with equal doc_id and
+buckets.py. Edit distances are asked only of pairs that counts of characters don't rule out. Lines without a word always stay. Null texts stay null. Rows with equal doc_id and
 text are one document that was written more than once and keep the same lines; a null doc_id
 comes after all others. Other columns are kept as they are, but for `lines_gone`, which is
 replaced. A line of many megabytes is hashed at once, and confirmed with numbers of as many bits. A table
