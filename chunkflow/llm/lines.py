@@ -30,6 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,12 @@ LETTERS, COUNTS = 32, 128
 SHORT, NARROW, MIDDLE, MANY, TINY, KEYS, FEW, SPARSE = 10, 5, (4, 11), 9, 14, 8, 12, 16
 #: Rows that a task turns into Python objects at a time.
 PART = 500
+#: Pairs whose edits are counted together, of lines of up to 160 characters; fewer of longer ones.
+ALIKE, LONG = 4096, 2500
 #: Times buckets.BLOCK that blocks of lines hold.
 BLOCKS = 4
+#: Levels of length that the rows of a bucket that isn't split are apart at most.
+SPREAD = 16
 #: Bits in which SimHashes of similar lines differ at most: of words, of runs of bytes.
 DISTANCE = (22, 20)
 PUNCTUATION = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -277,6 +282,92 @@ def similar(a: str, b: str) -> bool:
     return 5 * gap_edits(x, y) <= longer or 5 * edits(a, b, longer // 5) <= longer
 
 
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair needs at most `most` edits, no fewer than their lengths differ by: a band of the table as bits, all pairs a column at a time."""
+    top = int(most.max())
+    words = top // 32 + 1
+    band, lead = 64 * words, 64 * words - top - 1
+    n, m = (np.array([len(x) for x in side]) for side in (a, b))
+    chars = np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.zeros(int(chars.max(initial=0)) + 1, bool)
+    known[chars] = True
+    # numbers from 1, 0 is no character
+    code = np.cumsum(known)[chars].astype(np.uint8 if known.sum() < 256 else np.uint32)
+    place = lambda sizes: (np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    row, at = place(n)
+    rows = np.zeros((len(a), int(m.max()) + band), code.dtype)
+    rows[row, at + lead] = code[: len(row)]
+    columns = np.zeros((len(a), int(m.max())), code.dtype)
+    columns[place(m)] = code[len(row) :]
+    one, high = np.uint64(1), np.uint64(63)
+    # bit p of a column i is row p + i - lead; the score is followed down the lowest diagonal, then along the last row
+    up = np.frombuffer(((1 << band) - (1 << lead)).to_bytes(band // 8, "little"), np.uint64)[:, None].repeat(len(a), 1)
+    down, carried = np.zeros_like(up), np.empty_like(up)
+    score, own, out = np.minimum(n, top), np.arange(len(a)), np.zeros(len(a), bool)
+    for i in range(columns.shape[1]):
+        if i % 32 == 0 and i:
+            keep = (score <= most + top + m - n) & (i < m)
+            done = i >= m
+            out[own[done]] = score[done] <= most[done]
+            if 4 * keep.sum() < 3 * len(keep):
+                own, n, m, most, score = own[keep], n[keep], m[keep], most[keep], score[keep]
+                rows, columns, up, down, carried = rows[keep], columns[keep], up[:, keep], down[:, keep], carried[:, keep]
+                if not len(own):
+                    return out
+        eq = np.ascontiguousarray(np.packbits(rows[:, i : i + band] == columns[:, i : i + 1], axis=1, bitorder="little").view("<u8").T)
+        part = eq & up
+        carry = None
+        for w in range(words):
+            total = part[w] + up[w]
+            more = total < part[w]
+            if carry is not None:
+                total += carry
+                more |= total < carry
+            carried[w], carry = total, more.astype(np.uint64)
+        diagonal = (carried ^ up) | eq | down
+        plus, minus = down | ~(diagonal | up), diagonal & up
+        last = i - n + top >= 0
+        if not last.any():
+            score += (diagonal[-1] >> high == 0)
+        else:
+            score += ~last & (diagonal[-1] >> high == 0)
+            some = np.flatnonzero(last & (i < m))
+            bit = band - 2 + n[some] - top - i
+            word, bit = bit >> 6, (bit & 63).astype(np.uint64)
+            score[some] += (plus[word, some] >> bit & one).astype(np.int64) - (minus[word, some] >> bit & one).astype(np.int64)
+        shifted = diagonal >> one
+        shifted[:-1] |= diagonal[1:] << high
+        up, down = minus | ~(shifted | plus), shifted & plus
+    out[own] = score <= most
+    return out
+
+
+def alike(x: list[str], y: list[str]) -> np.ndarray:
+    """similar() of many pairs. It is soon done with pairs that share most words, the others are compared together."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    longer = sizes.max(1)
+    out = 5 * np.abs(sizes[:, 0] - sizes[:, 1]) <= longer
+    unlike = []
+    for i in np.flatnonzero(out).tolist():
+        p, q = set(x[i].split(" ")), set(y[i].split(" "))
+        if longer[i] > LONG or 5 * len(p & q) >= 3 * max(len(p), len(q)):
+            out[i] = similar(x[i], y[i])
+        else:
+            unlike.append(i)
+    left = np.array(unlike, np.int64)
+    left = left[np.argsort(longer[left], kind="stable")]
+    words = longer[left] // 160 + 1
+    for w in np.unique(words).tolist():
+        some = left[words == w]
+        for k in range(0, len(some), max(1, ALIKE // w)):
+            part = some[k : k + max(1, ALIKE // w)]
+            if len(part) < 2 * FEW:
+                out[part] = [similar(x[i], y[i]) for i in part]
+            else:
+                out[part] = within([x[i] for i in part], [y[i] for i in part], longer[part] // 5)
+    return out
+
+
 def profiles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of lines: counts of characters (LETTERS places) and of pairs of neighbouring ones (COUNTS - LETTERS), up to 255; lengths."""
     sizes = np.array([len(x) for x in lines], np.int64)
@@ -329,40 +420,55 @@ def _marked(df: DataFrame, keys: DataFrame, text_hash: str = "text_hash") -> Dat
     return out.withColumn("__cf_may", may).drop("__cf_word", "__cf_bits")
 
 
-def _normal(line: Column) -> Column:
-    """normalised() of a column."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, r"[ \t\n\x0B\f\r!-/:-@\[-`{-~]+", " "))
+def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, line, level, sim, PACKED) of the lines numbered in column node, normalised; of a kind of key that a line lacks it has numbers of its own."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 0):
+                texts = [t.split("\n") for t in part.column(0).to_pylist()]
+                of, at = np.repeat(np.arange(len(texts)), pc.list_value_length(part.column(1)).to_numpy()), part.column(1).flatten()
+                own = [normalised(texts[i][k]) for i, k in zip(of.tolist(), at.field("number").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([at.field("node"), pa.array(own, pa.string()), *(at.field(c) for c in kept)], ["node", "line", *kept])
 
-def _texts(nodes: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, line) of the lines numbered in column node, normalised."""
+    kept = ["level", "sim", *PACKED]
     wanted = lines.join(nodes.select(F.col("node").alias("_line")).distinct(), "_line", "left_semi")
-    wanted = wanted.groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).agg(F.collect_list(F.struct("number", "_line")).alias("at"))
+    known = [F.coalesce(c, F.xxhash64("_line", F.lit(c))).alias(c) for c in PACKED]
+    wanted = wanted.groupBy(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).agg(F.collect_list(F.struct("number", F.col("_line").alias("node"), "level", "sim", *known)).alias("at"))
     wanted = materialize(wanted, "wanted")
     marked = _marked(docs, wanted.select(F.col("__cf_id").alias("doc_id"), F.col("__cf_hash").alias("text_hash")))
     held = marked.where("__cf_may").join(wanted, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("text_hash") == F.col("__cf_hash")))
-    held = held.select(F.split("text", "\n", -1).alias("all"), F.explode("at").alias("x"))
-    held = held.select(F.col("x._line").alias("node"), _normal(F.get("all", F.col("x.number"))).alias("line"))
+    held = held.select("text", "at").mapInArrow(run, "node long, line string, level int, sim long, " + ", ".join(f"{c} long" for c in PACKED))
+    # several rows can be one document
     return materialize(held.dropDuplicates(["node"]), "line-texts")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
-            x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
-            (p, n), (q, m) = profiles(x), profiles(y)
-            good = [may and similar(a, b) for a, b, may in zip(x, y, may_be_similar(p, q, n, m).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+def _confirmed(pairs: DataFrame, texts: DataFrame, bounded: bool = False) -> DataFrame:
+    """Links (u, v): the similar ones of pairs (a, b); bounded: only those that may_link() allows."""
 
-    left, right = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(test, "u long, v long")
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist()
+            for some in runs(sizes, 4 << 20):
+                part = batch.slice(some.start, some.stop - some.start)
+                x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+                (p, n), (q, m) = profiles(x), profiles(y)
+                good = may_be_similar(p, q, n, m)
+                left = np.flatnonzero(good)
+                good[left] = alike([x[i] for i in left], [y[i] for i in left])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    columns = ["line", "level", "sim"] if bounded else ["line"]
+    left, right = (texts.select(F.col("node").alias(x), F.struct(*columns).alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.where(may_link("of_a", "of_b")) if bounded else both
+    return both.select("a", "b", F.col("of_a.line").alias("line_a"), F.col("of_b.line").alias("line_b")).mapInArrow(test, "u long, v long")
 
 
 def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join the components of mixed buckets (key, node, component).
 
-    A task takes the blocks one after another, many small ones at a time. Pairs that SimHashes and profiles
+    info may hold the lines too. A task takes the blocks one after another, many small ones at a time. Pairs that SimHashes and profiles
     leave come out and are confirmed once, however many buckets they share. Where these are
     many for the block's rows, the task confirms only what still joins components.
     """
@@ -393,7 +499,7 @@ def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> Data
         ok = np.concatenate([np.zeros(0, bool), *(may_be_similar(profile[p], profile[q], size[p], size[q]) for p, q in ((i[k : k + PART * 100], j[k : k + PART * 100]) for k in range(0, len(i), PART * 100)))])
         return np.stack([i[ok], j[ok]], 1)
 
-    def confirmed(pairs: np.ndarray, component: np.ndarray, lines: list[str]) -> list[bool]:
+    def confirmed(pairs: np.ndarray, component: np.ndarray, lines: list[str]) -> np.ndarray:
         root = {c: c for c in component[pairs].ravel().tolist()}
 
         def find(c):
@@ -401,12 +507,14 @@ def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> Data
                 root[c] = c = root[root[c]]
             return c
 
-        out = []
-        for i, j in pairs.tolist():
-            p, q = find(int(component[i])), find(int(component[j]))
-            out.append(p != q and similar(lines[i], lines[j]))
-            if out[-1]:
-                root[p] = q
+        out = np.zeros(len(pairs), bool)
+        for at in range(0, len(pairs), ALIKE):
+            some = [(k, i, j) for k, (i, j) in enumerate(pairs[at : at + ALIKE].tolist(), at) if find(int(component[i])) != find(int(component[j]))]
+            good = alike([lines[i] for _, i, _ in some], [lines[j] for *_, j in some])
+            for (k, i, j), ok in zip(some, good.tolist(), strict=True):
+                p, q = find(int(component[i])), find(int(component[j]))
+                if ok and p != q:
+                    root[p], out[k] = q, True
         return out
 
     def of_blocks(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -444,7 +552,8 @@ def _links_in_blocks(rest: DataFrame, info: DataFrame, texts: DataFrame) -> Data
         if kept is not None:
             yield from of_blocks(kept)
 
-    dealt = deal_in_blocks(rest.join(info, "node").join(texts, "node"), BLOCKS).withColumns({c: F.col(c).cast("long") for c in ("i", "j", "side", "level")})
+    rows = rest.join(info, "node")
+    dealt = deal_in_blocks(rows if "line" in info.columns else rows.join(texts, "node"), BLOCKS).withColumns({c: F.col(c).cast("long") for c in ("i", "j", "side", "level")})
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(*names).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = materialize(dealt.mapInArrow(run, "u long, v long, sure boolean"), "near")
@@ -467,7 +576,7 @@ def shared_keys(slim: DataFrame, more: DataFrame) -> DataFrame:
     """(key, a, b): what the nodes that share a key give. more: further rows (key, node, sim).
 
     Rows of a key come one after another. Of up to FEW rows, all pairs a, b within the
-    distance come out, with a null key; of more rows, each row with its key and two levels of
+    distance come out, with a null key; of more rows, each row with its key and level of
     length, node and SimHash. So a task holds FEW rows of a key at most, and chance collisions give nothing.
     """
     def pairs(rows: np.ndarray) -> pa.RecordBatch:
@@ -496,10 +605,7 @@ def shared_keys(slim: DataFrame, more: DataFrame) -> DataFrame:
                 many[0] = True
             big = np.repeat(many, size)
             if big.any():
-                # by length: two rows of one level of eight or of neighbouring ones meet
-                part = (rows[big, 0] >> 10 << 8) + (rows[big, 0] & 1023) // 8
-                for more in (0, 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part + more, rows[big, 1], rows[big, 2])], ["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[big, k]) for k in range(3)], ["key", "a", "b"])
             large = rows[-1, 0] >> 10 if many[-1] else None
             last = np.arange(len(rows)) >= first[-1]
             kept = rows[last & ~big]
@@ -516,6 +622,19 @@ def shared_keys(slim: DataFrame, more: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, a long, b long")
 
 
+def by_length(large: DataFrame) -> DataFrame:
+    """(key, node): the parts of large buckets (key, node, with the level of length in the key) in which rows of like length meet.
+
+    A bucket whose levels are at most SPREAD apart is one part. Else two rows of one level of eight or of
+    neighbouring ones meet, and each row is in two parts.
+    """
+    rows = large.select(F.shiftright("key", 10).alias("base"), F.col("key").bitwiseAND(F.lit(1023)).alias("level"), "node")
+    spread = rows.groupBy("base").agg((F.max("level") - F.min("level")).alias("spread"))
+    part = F.shiftright("level", 3)
+    parts = F.when(F.col("spread") <= SPREAD, F.array(F.lit(0).cast("long"))).otherwise(F.array(part, part + 1))
+    return rows.join(spread, "base").select("base", "node", F.explode(parts).alias("part")).select((F.shiftleft("base", 8) + F.col("part")).alias("key"), "node")
+
+
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h1, h2, group) of the classes that occur more than once or are linked."""
     with scratch(docs.sparkSession):
@@ -524,19 +643,14 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
         tiny = lines.where("tiny is not null").groupBy("h1", "h2").agg(F.min("_line").alias("node"), F.first("sim").alias("sim"), F.first("tiny").alias("tiny"))
         shared = materialize(shared_keys(classes, deletion_keys(tiny)), "buckets")
         first = materialize(shared.where("key is null").select("a", "b").distinct(), "pairs")
-        large = shared.where("key is not null").select("key", F.col("a").alias("node"))
+        large = materialize(by_length(shared.where("key is not null").select("key", F.col("a").alias("node"))), "large")
         texts = _texts(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), lines, docs)
-        # of a kind of key that a line lacks it has numbers of its own
-        info = classes.select("node", "level", "sim", *(F.coalesce(c, F.xxhash64("node", F.lit(c))).alias(c) for c in PACKED))
-        info = materialize(info.join(texts.select("node"), "node", "left_semi"), "info")
 
         def test(pairs: DataFrame) -> DataFrame:
-            x, y = info.alias("x"), info.alias("y")
-            may = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(may_link("x", "y"))
-            return materialize(_confirmed(may.select("a", "b"), texts), "links")
+            return materialize(_confirmed(pairs, texts, bounded=True), "links")
 
         links = materialize(_confirmed(first, texts), "links")
-        groups = settle(with_hubs(large), links, test, lambda rest: _links_in_blocks(rest, info, texts), 1)
+        groups = settle(with_hubs(large), links, test, lambda rest: _links_in_blocks(rest, texts, texts), 1)
         out = classes.join(groups, "node", "left").where("times > 1 or component is not null")
         return materialize(out.select("h1", "h2", F.coalesce("component", "node").alias("group")), "line-groups", keep=True)
 

@@ -427,3 +427,54 @@ def test_edits_stop_only_beyond_the_bound():
         for most in (true - 1, true, true + 1, len(a) // 5):
             got = lines.edits(a, b, max(0, most))
             assert got == true or (true > max(0, most) and got > max(0, most))
+
+
+def test_many_pairs_at_once_are_as_one_by_one():
+    rng = random.Random(31)
+    for length in (1, 3, 60, 159, 160, 161, 320, 700):
+        x, y = [], []
+        for k in range(60):
+            a = "".join(rng.choice("abcd é漢\U0001f600") for _ in range(max(1, length - rng.randrange(1 + length // 10))))
+            own = list(a)
+            for _ in range(rng.randrange(1 + len(a) // 3)):
+                at = rng.randrange(len(own) or 1)
+                own[at : at + 1] = rng.choice(["", "x", "ex", "xyz"])
+            b = "".join(rng.choice("abcd ") for _ in a) if k % 5 == 0 else "".join(own) or "x"
+            a, b = (b, a) if k % 2 else (a, b)
+            x.append(a)
+            y.append(b)
+        assert lines.alike(x, y).tolist() == [lines.similar(a, b) for a, b in zip(x, y, strict=True)]
+        true = np.array([lines.edits(a, b, len(a) + len(b)) for a, b in zip(x, y, strict=True)])
+        for off in (-1, 0, 1):
+            most = np.maximum(true + off, [abs(len(a) - len(b)) for a, b in zip(x, y, strict=True)])
+            assert (lines.within(x, y, most) == (true <= most)).all()
+    assert lines.alike([], []).tolist() == []
+
+
+def test_rows_of_a_large_bucket_of_like_lengths_come_once(spark, monkeypatch):
+    """Forty near copies share keys: a row of a key for each of them, not one for each of two levels of length."""
+    held, base = [], prose(77, 40).split()
+
+    def counted(members, real=lines.with_hubs):
+        held.append((members.count(), members.select("key", "node").distinct().count(), members.groupBy("key").count().agg(F.max("count")).first()[0]))
+        return real(members)
+
+    monkeypatch.setattr(lines, "with_hubs", counted)
+    docs = spark.createDataFrame([(k, " ".join([*base[:9], f"v{k}", *base[10:]])) for k in range(40)], "doc_id long, text string")
+    assert lines.dedup_lines(docs).where("lines_gone = 1").count() == 39
+    (rows, distinct, most), = held
+    assert rows == distinct <= lines.KEYS * 40 and most <= 40
+
+
+def test_parts_of_a_large_bucket_bring_like_lengths_together(spark):
+    rng = random.Random(9)
+    own = [(b, rng.randrange(*((30, 45) if b else (0, 200))), n) for b in (0, 1) for n in range(60)]
+    large = spark.createDataFrame([(b << 42 | level, b * 100 + n) for b, level, n in own], "key long, node long")
+    parts: dict[int, set] = {}
+    for r in lines.by_length(large).collect():
+        parts.setdefault(r.key, set()).add(r.node)
+    assert len([k for k in parts if k >> 40 == 1]) == 1 < len([k for k in parts if k >> 40 == 0])
+    for b, level, n in own:
+        for c, other, m in own:
+            if b == c and abs(level - other) <= 8:
+                assert any({b * 100 + n, c * 100 + m} <= p for p in parts.values())
