@@ -791,19 +791,17 @@ UNION ALL SELECT doc_id, n, NULL FROM c, (VALUES ('mimetype'), ('META-INF/contai
 SELECT doc_id, 'b' || doc_id || '.de.epub' AS file_name, entry, body, true AS same_size FROM e
 """)
 def pack_books(get):
-    """All books written as files, read as any book is, and what is in their entries."""
+    """All books written as files, these read by their paths, and what is in their entries."""
     docs = _clean(get)
     rows = docs.select(F.col("doc_id").alias("book_id"), F.expr("'b' || doc_id || '.fb2'").alias("file_name"), F.col("source").alias("title"), F.expr("'# A ' || lang || chr(10) || chr(10) || 'w ' || t || chr(10) || '## B' || chr(10) || 'end'").alias("markdown"))
     images = rows.select("book_id", F.lit("images/a.png").alias("href"), F.lit("image/png").alias("mime_type"), F.encode(F.expr("'picture ' || book_id"), "UTF-8").alias("bytes"))
     path = jobs.shared_path(docs.sparkSession, "books")
     written = jobs.table_of(packing.write_books(rows, images, "de", path, style="p { margin: 0 }"), "written")
-    files = written.select(F.col("book_id").alias("doc_id"), "file_name", F.explode("entries").alias("e"), F.col("path").alias("_path"))
-    read = books.read_books(docs.sparkSession, path)
-    entries = books.entry_texts(read).select(F.col("book_id").alias("_book"), "entry", "size", "text")
-    at = F.sha1(F.regexp_replace("_path", "^file:/+", "file:/"))
-    both = files.join(entries, (at == F.col("_book")) & (F.col("e.name") == F.col("entry")))
+    files = written.select(F.col("book_id").alias("doc_id"), "file_name", F.explode("entries").alias("e"))
     body = F.when(F.col("entry").endswith(".png"), F.col("text")).when(F.col("entry").contains("/chapter-"), F.regexp_extract("text", r"(?s)<body>\n(.*)\n</body>", 1))
-    return both.select("doc_id", "file_name", "entry", body.alias("body"), (F.col("size") == F.col("e.size")).alias("same_size"))
+    entries = books.entry_texts(books.read_listed(written)).select(F.col("book_id").cast("long").alias("_book"), "entry", "size", body.alias("body"))
+    both = files.join(entries, (F.col("doc_id") == F.col("_book")) & (F.col("e.name") == F.col("entry")))
+    return both.select("doc_id", "file_name", "entry", "body", (F.col("size") == F.col("e.size")).alias("same_size"))
 
 
 @query("SELECT doc_id, true AS head, true AS picture, true AS link FROM @docs_md")

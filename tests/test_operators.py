@@ -237,6 +237,16 @@ def test_read_books(spark, tmp_path):
     assert [(r.file_name, len(r.book_id)) for r in got] == [("x.fb2", 40)]
 
 
+def test_read_listed(spark, tmp_path):
+    for name in ("x.fb2", "a b%.fb2"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = [(1, f"file://{tmp_path}/x.fb2"), (2, f"file://{tmp_path}/a%20b%25.fb2"), (3, None)]
+    got = books.read_listed(spark.createDataFrame(rows, "book_id long, path string")).collect()
+    assert sorted((r.book_id, r.file_name, bytes(r.content)) for r in got) == [("1", "x.fb2", b"x.fb2"), ("2", "a b%.fb2", b"a b%.fb2")]
+    with pytest.raises(Exception, match="none.fb2"):
+        books.read_listed(spark.createDataFrame([(1, f"file://{tmp_path}/none.fb2")], "book_id long, path string")).collect()
+
+
 def test_rules_for_one_text_equal_those_of_columns(spark):
     rng = random.Random(4)
     parts = ["word ", "Слово ", "![a](img/x y.png)", "[l](http://e/(x))", "[m](rel)", "[n](a.b)", "# ", "\n", "```c```", "> ", "1. ", "*", "as an AI", "<<<SOURCE>>>", "<<<TRANSLATION>>>", "<<<END_TRANSLATION>>>", "﻿", " ", "```md\n", "\n```", "", "  "]

@@ -48,3 +48,8 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_pack_books_lists_no_books(spark):
+    got = QUERIES["pack_books"](spark, "/root/testdata/sf0.001")
+    assert got.count() == 200 * 8 and not [f for f in got.inputFiles() if f.endswith(".epub")]
