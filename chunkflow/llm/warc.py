@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -159,12 +160,22 @@ class _Inflated:
                 out = self.unzip.decompress(piece)
             except zlib.error as e:
                 self.broken = f"broken member: {e}"
-                break
+                return self._before(piece)
             self.taken += len(piece) - len(self.unzip.unused_data)
             if out:
                 return out
         return b""
 
+    def _before(self, piece: bytes) -> bytes:
+        """What the piece that broke gives up to the byte that breaks; the error took it along."""
+        unzip, out = zlib.decompressobj(31), bytearray()
+        for at in range(0, self.taken, 1 << 12):
+            unzip.decompress(bytes(self.w.data[at : min(at + (1 << 12), self.taken)]))
+        with suppress(zlib.error):
+            for at in range(len(piece)):
+                out += unzip.decompress(piece[at : at + 1])
+        return bytes(out)
+
 
 def _parse(block: bytes) -> dict:
     """The record that begins a decompressed member or a plain stretch; ValueError if unsound."""

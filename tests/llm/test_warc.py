@@ -87,6 +87,22 @@ def test_members_of_several_records():
     assert set(ids) >= {0, 1, 2, 3, 9} and len(gaps) == 1
 
 
+def test_records_before_a_break_come_back():
+    """Whatever byte breaks a member, the error doesn't take along what came out before."""
+    for n in (3, 400):
+        parts = [record(i, random.Random(i).randbytes(60), plain=True) for i in range(n)]
+        one = gzip.compress(b"".join(parts))
+        for at in (-8, -4):  # checksum, size
+            broken = bytearray(one)
+            broken[at] ^= 0xFF
+            ids, gaps = found(bytes(broken) + record(999, b"x"))
+            assert ids == [*range(n - 1), 999] and gaps == [(0, len(one))]
+    broken = bytearray(one)
+    broken[len(one) // 2 : len(one) // 2 + 40] = b"\xff" * 40
+    ids, gaps = found(bytes(broken) + record(999, b"x"))
+    assert ids == [*range(len(ids) - 1), 999] and len(ids) > 100 and gaps == [(0, len(one))]
+
+
 def test_a_length_beyond_the_archive_is_not_followed():
     class Counted(io.BytesIO):
         most = 0
