@@ -81,7 +81,8 @@ def split_chapters(books: DataFrame, block: int = 4096) -> DataFrame:
     its own block. The lines of a chapter are joined within blocks before blocks are.
     """
     text = F.regexp_replace(F.coalesce("markdown", F.lit("")), r"\A\s+|\s+\z", "")
-    lines = books.select(BOOK, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("_block", F.floor(F.col("line_no") / block))
+    # a block that can't be null: else a join asks for that on one side only, and the lines are cut and shuffled twice
+    lines = books.select(BOOK, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("_block", F.coalesce(F.floor(F.col("line_no") / block), F.lit(0)))
     own = Window.partitionBy(BOOK, "_block").orderBy("line_no")
     fence = F.col("line").startswith("```")
     lines = lines.withColumn("_odd", F.sum(fence.cast("int")).over(own) % 2)

@@ -333,6 +333,16 @@ def test_chapters_by_blocks_of_lines(spark, block):
     assert got == {k: plain_chapters(t) for k, t in enumerate(texts)}
 
 
+def test_chapters_shuffle_lines_once(spark):
+    books_ = spark.createDataFrame([(1, "a")], "book_id int, markdown string").where("book_id is not null")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is the last one
+    try:
+        plan = commits.split_chapters(books_)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Generate posexplode") == 1 and "ReusedExchange" in plan
+
+
 @pytest.mark.parametrize("n", [5_000, 100_000])
 def test_links_with_very_many_parentheses(spark, n):
     target = "x" + "(y)" * n
