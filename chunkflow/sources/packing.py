@@ -12,10 +12,12 @@ import unicodedata
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 from typing import BinaryIO
 from urllib.parse import quote
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,35 @@ def _add(to: ET.Element, tag: str, text: str | None = None, **attrs: str) -> ET.
     return out
 
 
+@lru_cache(1)
+def _container() -> bytes:
+    container = ET.Element("container", {"xmlns": CONTAINER_NS, "version": "1.0"})
+    _add(_add(container, "rootfiles"), "rootfile", **{"full-path": PACKAGE, "media-type": PACKAGE_TYPE})
+    return _xml(container)
+
+
+@lru_cache(64)
+def _frame(lang: str, styled: bool) -> tuple[bytes, bytes, bytes]:
+    """What a page has before its title, between that and its body, and after it."""
+    page = ET.Element("html", {"xmlns": XHTML, "xmlns:epub": OPS, "lang": lang, "xml:lang": lang})
+    head = _add(page, "head")
+    _add(head, "title")
+    if styled:
+        _add(head, "link", rel="stylesheet", href=STYLE, **{"type": "text/css"})
+    _add(page, "body", "\n")
+    start, _, end = _xml(page).rpartition(b"</body>")
+    start, _, mid = start.rpartition(b"<title />")
+    return start, mid, end
+
+
+@lru_cache(8)
+def _store(uri: str) -> tuple:
+    """The file system of a URI and the path in it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
 class _EntryBuffer:
     """A ZIP file's end as a seekable file: the entry at hand stays in memory until it is let out."""
 
@@ -75,9 +106,7 @@ class EpubWriter:
         self.zip = zipfile.ZipFile(self.buffer, "w")
         self.listed: list[tuple[str, str, str, str, bool]] = []  # id, name, type, title, in the reading order
         self._put("mimetype", b"application/epub+zip", zipfile.ZIP_STORED)  # first and uncompressed
-        container = ET.Element("container", {"xmlns": CONTAINER_NS, "version": "1.0"})
-        _add(_add(container, "rootfiles"), "rootfile", **{"full-path": PACKAGE, "media-type": PACKAGE_TYPE})
-        self._put("META-INF/container.xml", _xml(container))
+        self._put("META-INF/container.xml", _container())
 
     def _put(self, name: str, data: bytes, how: int = zipfile.ZIP_DEFLATED) -> None:
         self.zip.writestr(zipfile.ZipInfo(name), data, how)
@@ -85,14 +114,10 @@ class EpubWriter:
 
     def _page(self, title: str, body: str) -> bytes:
         """A page around an XHTML fragment, which is put in as it is."""
-        page = ET.Element("html", {"xmlns": XHTML, "xmlns:epub": OPS, "lang": self.lang, "xml:lang": self.lang})
-        head = _add(page, "head")
-        _add(head, "title", title)
-        if self.style:
-            _add(head, "link", rel="stylesheet", href=STYLE, **{"type": "text/css"})
-        _add(page, "body", "\n")
-        start, _, end = _xml(page).rpartition(b"</body>")
-        return start + body.encode() + b"\n</body>" + end
+        start, mid, end = _frame(self.lang, bool(self.style))
+        # no title is an empty element
+        head = b"<title>" + escape(title).encode("utf-8", "xmlcharrefreplace") + b"</title>" if title else b"<title />"
+        return start + head + mid + body.encode() + b"\n</body>" + end
 
     def chapter(self, title: str, markdown: str) -> None:
         n = sum(x[4] for x in self.listed) + 1
@@ -202,9 +227,7 @@ def write_books(books: DataFrame, images: DataFrame, target_lang: str, path: str
     uri = re.sub(r"^file:/(?!/)", "file:///", uri).rstrip("/")
 
     def opened(book: object, name: str) -> tuple[BinaryIO, Callable[[list[dict]], list]]:
-        from pyarrow.fs import FileSystem
-
-        store, root = FileSystem.from_uri(uri)
+        store, root = _store(uri)
         parts = quote(str(book), safe=""), (name or "").replace("/", "_")
         store.create_dir(f"{root}/{parts[0]}", recursive=True)
         draft = f"{root}/{parts[0]}/.{uuid.uuid4().hex}"

@@ -333,6 +333,21 @@ def test_chapters_by_blocks_of_lines(spark, block):
     assert got == {k: plain_chapters(t) for k, t in enumerate(texts)}
 
 
+def test_pages_of_a_book_share_what_is_around_them(monkeypatch):
+    made = []
+    monkeypatch.setattr(packing, "_xml", lambda root, xml=packing._xml: made.append(root.tag) or xml(root))
+    titles = ["a & b <c> \"d\"", "]]>", "\x01", "</body><title />", "ä\U0001f600"] * 4
+    epub = packing.EpubWriter(out := io.BytesIO(), "t", "de", "p {}")
+    for x in titles:
+        epub.chapter(x, "text")
+    epub.close()
+    assert len(made) <= 3  # container, page and package, however many chapters
+    with zipfile.ZipFile(out) as z:
+        pages = [xml.dom.minidom.parseString(z.read(f"OEBPS/chapter-{n:03d}.xhtml")) for n in range(1, len(titles) + 1)]
+        got = ["".join(n.data for n in p.getElementsByTagName("title")[0].childNodes) for p in pages]
+    assert got == [x.replace("\x01", "") for x in titles]
+
+
 def test_chapters_shuffle_lines_once(spark):
     books_ = spark.createDataFrame([(1, "a")], "book_id int, markdown string").where("book_id is not null")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is the last one
